@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tideline.llm.line_dedup import OP2_SQL, op2_line_dedup
+from tideline.llm.mixing import op1_source_mixing
+from tideline.llm.packing import op3_best_fit_packing
 from tideline.llm.quality import op10_quality_rules
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
