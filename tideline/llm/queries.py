@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from tideline.llm.embeddings import OP9_SQL, op9_embedding_near_dedup
 from tideline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tideline.llm.mixing import op1_source_mixing
 from tideline.llm.packing import op3_best_fit_packing
 from tideline.llm.quality import op10_quality_rules
+from tideline.llm.simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
 }
