@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from tideline.llm.embeddings import OP9_SQL, op9_embedding_near_dedup
+from tideline.llm.language_model import op7_lm_scoring
 from tideline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tideline.llm.mixing import op1_source_mixing
 from tideline.llm.packing import op3_best_fit_packing
 from tideline.llm.quality import op10_quality_rules
 from tideline.llm.simhash import op8_simhash_near_dedup
+from tideline.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
