@@ -7,6 +7,7 @@ from tideline.llm.language_model import op7_lm_scoring
 from tideline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tideline.llm.mixing import op1_source_mixing
 from tideline.llm.packing import op3_best_fit_packing
+from tideline.llm.personal_data import op5_personal_data
 from tideline.llm.quality import op10_quality_rules
 from tideline.llm.simhash import op8_simhash_near_dedup
 from tideline.llm.toxicity import op6_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_personal_data": op5_personal_data,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
