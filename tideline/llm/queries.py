@@ -10,12 +10,14 @@ from tideline.llm.packing import op3_best_fit_packing
 from tideline.llm.personal_data import op5_personal_data
 from tideline.llm.quality import op10_quality_rules
 from tideline.llm.simhash import op8_simhash_near_dedup
+from tideline.llm.suffix_dedup import op4_suffix_array_dedup
 from tideline.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
