@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped[context.applicationId] = True
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names; in one of our own where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
