@@ -33,11 +33,11 @@ def records(spark, d):
 @query(
     "grid_bucket_mean",
     """WITH s AS (SELECT min(event_id) AS first, CAST(pow(2, greatest(0, ceil(log2(count(*) / 512.0)))) AS BIGINT) AS size FROM events)
-    SELECT (event_id - first) // size AS t, avg(value) AS value, avg(user_id) AS user_id, min(event_id) AS first_row FROM events, s GROUP BY ALL""",
-    "value user_id",
+    SELECT (event_id - first) // size AS t, avg(CAST(round(value * 100) AS BIGINT)) AS cents, avg(user_id) AS user_id, min(event_id) AS first_row FROM events, s GROUP BY ALL""",
+    "cents user_id",
 )
 def grid_bucket_mean(spark, d):
-    return g.bucket_rows(table(spark, d, "events"), "event_id", ["value", "user_id"], 512)
+    return g.bucket_rows(table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")), "event_id", ["cents", "user_id"], 512)
 
 
 CONV = """conv AS (SELECT conv_id * 1000 + turn AS row, turn, length(text) AS v FROM conversations

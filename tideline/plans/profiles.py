@@ -70,14 +70,13 @@ def clean_number(spark, d):
 
 @query(
     "clean_time",
-    "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN CAST(epoch_us(ts) // 1000000 * 1000 AS DOUBLE) WHEN 0 THEN CAST(epoch_us(ts) // 1000000 * 1000 AS DOUBLE) ELSE CAST(epoch_us(ts) // 1000 AS DOUBLE) END AS ms FROM events",
-    "ms",
+    "SELECT event_id, CAST(CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN epoch_us(ts) // 1000000 * 1000 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000 ELSE epoch_us(ts) // 1000 END AS BIGINT) AS ms FROM events",
 )
 def clean_time(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", (F.col("event_id") % 4).alias("style"))
     iso, s, ms = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.unix_seconds("ts").cast("string"), F.unix_millis("ts").cast("string")
     value = F.when(F.col("style") == 0, cleaning.clean_time(iso, "iso")).when(F.col("style") == 1, cleaning.clean_time(s, "s")).when(F.col("style") == 2, cleaning.clean_time(ms, "ms"))
-    return events.select("event_id", value.otherwise(cleaning.clean_time(F.lit("soon"), "iso")).alias("ms"))
+    return events.select("event_id", value.otherwise(cleaning.clean_time(F.lit("soon"), "iso")).cast("long").alias("ms"))
 
 
 @query("cell_shape", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\p{L}+', 'A', 'g'), '\p{N}+', '9', 'g'), '\s+', ' ', 'g') AS shape FROM documents")

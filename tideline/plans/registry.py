@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "sensor_fingerprint"
-MODULES = ("kernels", "profiles", "grids", "signals", "health", "relations", "drift", "faults", "reports", "corpus", "privacy", "streams")
+MODULES = ("kernels", "profiles", "grids", "signals", "health")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
+_where: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
             return rounded(make(spark, sf_dir))
 
         run.__doc__ = make.__doc__
-        _queries[name] = run
+        _queries[name], _where[name] = run, make.__module__.rpartition(".")[2]
         if sql:
             replaced = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
             _oracles[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if replaced else sql
