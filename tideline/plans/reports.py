@@ -130,12 +130,12 @@ def log_export(spark, d):
 @query(
     "shared_changepoint",
     with_grid(
-        """, p AS (SELECT run_id, sensor, arg_max(t, abs(v)) AS cut_t FROM grid WHERE sensor NOT LIKE 'rows%' GROUP BY ALL), c AS (SELECT a.run_id, a.cut_t AS at_t, count(DISTINCT b.sensor) AS sensors FROM (SELECT DISTINCT run_id, cut_t FROM p) a JOIN p b ON b.run_id = a.run_id AND abs(a.cut_t - b.cut_t) <= 3 GROUP BY ALL)
+        """, p AS (SELECT run_id, sensor, t AS cut_t FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sensor ORDER BY abs(v) DESC, t) AS place FROM grid WHERE sensor NOT LIKE 'rows%' AND v IS NOT NULL) WHERE place = 1), c AS (SELECT a.run_id, a.cut_t AS at_t, count(DISTINCT b.sensor) AS sensors FROM (SELECT DISTINCT run_id, cut_t FROM p) a JOIN p b ON b.run_id = a.run_id AND abs(a.cut_t - b.cut_t) <= 3 GROUP BY ALL)
         SELECT run_id, arg_max(at_t, sensors * 100000 - at_t) AS at_t, max(sensors) AS sensors FROM c GROUP BY run_id"""
     ),
 )
 def shared_changepoint(spark, d):
-    points = grid(spark, d).where("sensor not like 'rows%' and v is not null").groupBy("run_id", "sensor").agg(F.max_by("t", F.abs("v")).alias("cut_t"))
+    points = grid(spark, d).where("sensor not like 'rows%' and v is not null").groupBy("run_id", "sensor").agg(F.max_by("t", F.struct(F.abs("v"), -F.col("t"))).alias("cut_t"))
     return r.shared_change(points, 3)
 
 
