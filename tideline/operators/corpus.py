@@ -173,3 +173,16 @@ def link_claims(scored: DataFrame, least: float = 0.75, most: int = 3) -> DataFr
     """``claim_id, column_id, score``: the best columns of each claim."""
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "column_id"))
     return scored.where(F.col("score") >= least).withColumn("place", place).where(F.col("place") <= most)
+
+
+def cues(transcripts: DataFrame) -> DataFrame:
+    """``source_id, text`` (VTT): blocks with times, speaker tag and text without markup."""
+    blocks = transcripts.select("source_id", F.posexplode(F.filter(F.split("text", r"\n\s*\n"), lambda b: F.contains(b, F.lit("-->")))).alias("pos", "block"))
+
+    def seconds(part: int) -> Column:
+        stamp = F.regexp_extract("block", r"([0-9:.]+)\s+-->\s+([0-9:.]+)", part)
+        h, m, s = (F.split(stamp, ":")[i].cast("double") for i in range(3))
+        return h * 3600 + m * 60 + s
+
+    body = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"<[^>]*>", "")
+    return blocks.select("source_id", "pos", seconds(1).alias("start"), seconds(2).alias("stop"), F.regexp_extract("block", r"<v ([^>]*)>", 1).alias("speaker"), F.trim(body).alias("text"))
