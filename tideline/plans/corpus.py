@@ -34,14 +34,14 @@ def ingest_dedupe_by_hash(spark, d):
 
 @query(
     "upsert_by_external_id",
-    """WITH m AS (SELECT user_id AS id, event_id AS version, event_type AS body FROM events), old AS (SELECT id, max(version) AS version, arg_max(body, version) AS body FROM m WHERE version % 10 < 5 GROUP BY id
-    ), new AS (SELECT id, max(version) AS version, arg_max(body, version) AS body FROM m WHERE version % 10 >= 5 GROUP BY id)
+    """WITH m AS (SELECT user_id AS id, event_id AS version, event_type AS body, ts >= TIMESTAMP '2024-01-16' AS late FROM events), old AS (SELECT id, max(version) AS version, arg_max(body, version) AS body FROM m WHERE NOT late GROUP BY id
+    ), new AS (SELECT id, max(version) AS version, arg_max(body, version) AS body FROM m WHERE late GROUP BY id)
     SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.version > coalesce(o.version, -1) THEN n.body ELSE o.body END AS body, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL OR n.version < o.version OR n.body = o.body THEN 'keep' ELSE 'replace' END AS action FROM old o FULL JOIN new n ON n.id = o.id""",
 )
 def upsert_by_external_id(spark, d):
-    m = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("body"))
+    m = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("body"), (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("late"))
     latest = lambda x, tag: x.groupBy("id").agg(F.max("version").alias(f"{tag}_version"), F.max_by("body", "version").alias(f"{tag}_body"))
-    met = latest(m.where("version % 10 < 5"), "old").join(latest(m.where("version % 10 >= 5"), "new"), "id", "full")
+    met = latest(m.where("not late"), "old").join(latest(m.where("late"), "new"), "id", "full")
     newer = F.col("new_version") > F.coalesce("old_version", F.lit(-1))
     action = F.when(F.col("old_version").isNull(), "insert").when(F.col("new_version").isNull() | (F.col("new_version") < F.col("old_version")) | (F.col("new_body") == F.col("old_body")), "keep").otherwise("replace")
     return met.select("id", F.when(newer, F.col("new_body")).otherwise(F.col("old_body")).alias("body"), action.alias("action"))

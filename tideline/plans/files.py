@@ -75,18 +75,18 @@ def open_questions(spark, d):
     return wanted.join(c.claims(docs(spark, d), phrases(spark)).select("column_id").distinct(), "column_id", "left_anti").select("phrase", "column_id")
 
 
-@query("claim_contradicted", f"WITH {CLAIMS} SELECT DISTINCT c.doc_id, c.column_id FROM claims c JOIN documents d ON d.doc_id = c.doc_id WHERE NOT contains(substr(d.text, 1, 400), c.sentence)")
+@query("claim_contradicted", rf"WITH {CLAIMS} SELECT DISTINCT c.doc_id, c.column_id FROM claims c JOIN documents d ON d.doc_id = c.doc_id WHERE NOT contains(regexp_replace(d.text, '[^\n]*icense[^\n]*', '', 'g'), c.sentence)")
 def claim_contradicted(spark, d):
-    """Claims whose sentence is gone once the texts were cut to 400 characters by their owner."""
-    now = docs(spark, d).select("doc_id", F.substring("text", 1, 400).alias("now"))
+    """Claims whose sentence is gone once the owner has taken the license lines out of the texts."""
+    now = docs(spark, d).select("doc_id", F.regexp_replace("text", r"[^\n]*icense[^\n]*", "").alias("now"))
     return c.claims(docs(spark, d), phrases(spark)).join(now, "doc_id").where(~F.contains("now", "sentence")).select("doc_id", "column_id").distinct()
 
 
-@query("link_replace", "WITH old AS (SELECT user_id AS claim_id, event_type AS column_id, bool_or(value > 95) AS confirmed FROM events WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT DISTINCT user_id AS claim_id, event_type AS column_id FROM events WHERE event_id % 7 = 0) SELECT claim_id, column_id, true AS confirmed FROM old WHERE confirmed UNION ALL SELECT n.claim_id, n.column_id, false FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.confirmed AND o.claim_id = n.claim_id AND o.column_id = n.column_id)")
+@query("link_replace", "WITH old AS (SELECT user_id AS claim_id, event_type AS column_id, bool_or(value > 95) AS confirmed FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), new AS (SELECT DISTINCT user_id AS claim_id, event_type AS column_id FROM events WHERE ts >= TIMESTAMP '2024-01-16') SELECT claim_id, column_id, true AS confirmed FROM old WHERE confirmed UNION ALL SELECT n.claim_id, n.column_id, false FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.confirmed AND o.claim_id = n.claim_id AND o.column_id = n.column_id)")
 def link_replace(spark, d):
     e = table(spark, d, "events")
-    old = e.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("claim_id"), F.col("event_type").alias("column_id")).agg(F.bool_or(F.col("value") > 95).alias("confirmed"))
-    new = e.where("event_id % 7 = 0").select(F.col("user_id").alias("claim_id"), F.col("event_type").alias("column_id")).distinct()
+    old = e.where("ts < TIMESTAMP'2024-01-16'").groupBy(F.col("user_id").alias("claim_id"), F.col("event_type").alias("column_id")).agg(F.bool_or(F.col("value") > 95).alias("confirmed"))
+    new = e.where("ts >= TIMESTAMP'2024-01-16'").select(F.col("user_id").alias("claim_id"), F.col("event_type").alias("column_id")).distinct()
     kept = old.where("confirmed")
     return kept.unionByName(new.join(kept, ["claim_id", "column_id"], "left_anti").withColumn("confirmed", F.lit(False)))
 
