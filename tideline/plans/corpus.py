@@ -207,3 +207,28 @@ def apply_retention(spark, d):
 def chunk_speaker(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.expr("turn div 4").alias("chunk"), "role")
     return rows.groupBy("source_id", "chunk").agg(F.when(F.count_distinct("role") == 1, F.min("role")).alias("speaker"))
+
+
+@query("tabular_to_text", "SELECT c_custkey, 'name: ' || c_name || '; segment: ' || c_mktsegment || '; nation: ' || c_nationkey AS text FROM customer")
+def tabular_to_text(spark, d):
+    rows = table(spark, d, "customer")
+    named = (("name", "c_name"), ("segment", "c_mktsegment"), ("nation", "c_nationkey"))
+    return rows.select("c_custkey", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.col(c_)) for n, c_ in named]).alias("text"))
+
+
+@query("email_threads", "SELECT conv_id AS thread, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, arg_min(text, turn) AS first_text, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def email_threads(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.groupBy(F.col("conv_id").alias("thread")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.min_by("text", "turn").alias("first_text"), F.max("turn").alias("last_turn"))
+
+
+@query("golden_hit_rate", f"WITH q AS (SELECT item_id, {NORM.format(x='text')} AS quote FROM benchmark), b AS (SELECT doc_id, {NORM.format(x='text')} AS body FROM documents) SELECT count(*) AS n, avg(CAST(EXISTS (SELECT 1 FROM b WHERE contains(body, quote)) AS INT)) AS hit_rate FROM q", "hit_rate")
+def golden_hit_rate(spark, d):
+    found = c.quotes_exact(table(spark, d, "benchmark"), docs(spark, d))
+    return found.agg(F.count("*").alias("n"), F.avg(F.col("verified").cast("int")).alias("hit_rate"))
+
+
+@query("catalog_refresh", f"WITH {CLAIMS}, n AS (SELECT column_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM claims GROUP BY column_id) SELECT column_id, n, docs, 0.5 + 0.5 * docs / n AS confidence FROM n", "confidence")
+def catalog_refresh(spark, d):
+    counts = c.claims(docs(spark, d), phrases(spark)).groupBy("column_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return counts.withColumn("confidence", 0.5 + 0.5 * F.col("docs") / F.col("n"))

@@ -264,3 +264,20 @@ def propose_rules(spark, d):
 )
 def rule_restate(spark, d):
     return h.restate(h.propose_rules(grid(spark, d), 240)).select("sensor", "type", "text")
+
+
+@query("report_quality", with_grid(CHECKED + " SELECT \"check\", count(*) AS blocks, count(*) FILTER (WHERE failed) AS failed, count(DISTINCT sensor) FILTER (WHERE failed) AS sensors FROM checks WHERE part = 1 GROUP BY ALL"))
+def report_quality(spark, d):
+    after = checks(spark, d).where("part = 1")
+    return after.groupBy("check").agg(F.count("*").alias("blocks"), F.count_if("failed").alias("failed"), F.count_distinct(F.when(F.col("failed"), F.col("sensor"))).alias("sensors"))
+
+
+@query(
+    "health_incidents",
+    with_grid(SUPPRESSED + ", f AS (SELECT run_id, sensor, arg_min(\"check\", \"order\" * 100000 + block) AS health, min(block) AS onset FROM final WHERE part = 1 AND failed GROUP BY ALL) SELECT run_id, health, onset // 64 AS place, count(*) AS n_sensors, string_agg(sensor, ',' ORDER BY sensor) AS sensors FROM f GROUP BY run_id, health, onset // 64"),
+)
+def health_incidents(spark, d):
+    """Failed sensors with the same verdict and nearby onsets are one incident."""
+    bad = h.gate(h.suppressed(checks(spark, d))).where("health <> 'healthy'")
+    by = bad.groupBy("run_id", "health", F.expr("from_block div 64").alias("place"))
+    return by.agg(F.count("*").alias("n_sensors"), F.array_join(F.sort_array(F.collect_set("sensor")), ",").alias("sensors"))

@@ -129,3 +129,9 @@ def role_assign(spark, d):
 def role_override(spark, d):
     roles = r.assign_roles(scores(spark, d))
     return r.override_roles(roles, grid(spark, d).where("sensor like 'tax%'").select("run_id", "sensor", F.lit("actuator").alias("role")).distinct())
+
+
+@query("evidence_of_sensor", with_grid(PAIRS + " SELECT 'correlation' AS kind, a || ',' || b AS sensors, rho FROM pairs WHERE a = 'price' OR b = 'price'"), "rho")
+def evidence_of_sensor(spark, d):
+    evidence = r.rank_pairs(planted(spark, d), LEAST).select(F.lit("correlation").alias("kind"), F.array("a", "b").alias("sensors"), "rho")
+    return evidence.where(F.array_contains("sensors", "price")).withColumn("sensors", F.array_join("sensors", ","))
