@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,3 +189,60 @@ def cues(transcripts: DataFrame) -> DataFrame:
 
     body = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"<[^>]*>", "")
     return blocks.select("source_id", "pos", seconds(1).alias("start"), seconds(2).alias("stop"), F.regexp_extract("block", r"<v ([^>]*)>", 1).alias("speaker"), F.trim(body).alias("text"))
+
+
+def thread_chunks(segments: DataFrame) -> DataFrame:
+    """One chunk for each message of a thread: the first message, then its own. The first is found by a partial aggregate, so long threads don't meet in one task."""
+    said = segments.withColumn("said", F.concat_ws(": ", "speaker", "text"))
+    parent = said.groupBy("source_id").agg(F.min("seq").alias("first_seq"), F.min_by("said", "seq").alias("parent"))
+    text = F.when(F.col("seq") == F.col("first_seq"), F.col("said")).otherwise(F.concat("parent", F.lit("\n\n"), "said"))
+    return said.join(parent, "source_id").select("source_id", "seq", text.alias("text")).withColumn("tokens", tokens_of(F.col("text")))
+
+
+def word_turns(words: DataFrame, gap_ms: int = 2000, most_chars: int = 1200) -> DataFrame:
+    """``source_id, pos, speaker, word, start_ms, end_ms``: turns end where the speaker changes, after a pause, and at the first
+    sentence end beyond a number of characters. Pauses and speakers are windows; the last rule is a fold over the sentence ends of one turn.
+    """
+    source = Window.partitionBy("source_id").orderBy("pos")
+    quiet = F.col("start_ms") - F.max("end_ms").over(source.rowsBetween(Window.unboundedPreceding, -1)) > gap_ms
+    change = F.when(F.lag("pos").over(source).isNull() | quiet | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(source)), 1).otherwise(0)
+    island = words.withColumn("change", change).withColumn("island", F.sum("change").over(source))
+    run = Window.partitionBy("source_id", "island")
+    counted = island.withColumn("chars", F.sum(F.length("word") + 1).over(run.orderBy("pos")))
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
+    step = lambda s, e: F.when(e - s["last"] > most_chars, F.struct(e.alias("last"), F.array_append(s["cuts"], e).alias("cuts"))).otherwise(s)
+    ends = F.sort_array(F.collect_list(F.when(F.col("word").rlike(r"[.!?]$"), F.col("chars"))))
+    cuts = counted.groupBy("source_id", "island").agg(ends.alias("ends")).select("source_id", "island", F.aggregate("ends", start, step, lambda s: s["cuts"]).alias("cuts"))
+    cut = counted.join(cuts, ["source_id", "island"]).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("chars"))))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
+    return cut.groupBy("source_id", "island", "part", "speaker").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), text.alias("text"))
+
+
+def best_dice(quote: str, body: str) -> float:
+    """The largest Dice coefficient of letter pairs between a quote and the windows of a body that have about as many words."""
+    pairs = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+    want, words, best = pairs(quote), body.split(" "), 0.0
+    total, size = sum(want.values()), len(quote.split(" "))
+    for width in {size, size + 1, max(1, size - 1)}:
+        for i in range(len(words) - width + 1):
+            text = " ".join(words[i : i + width])
+            both = total + max(0, len(text) - 1)
+            if both and 2 * min(total, max(0, len(text) - 1)) / both > best:
+                best = max(best, 2 * (want & pairs(text)).total() / both)
+    return best
+
+
+def quotes_fuzzy(pairs: DataFrame, least: float = 0.9) -> DataFrame:
+    """``quote, body`` of each claim: exact after normalisation, else the most similar window of words. Only pairs that aren't exact reach Python."""
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("double")
+    def dice(quote: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([best_dice(q, b) if q and b else 0.0 for q, b in zip(quote, body)], dtype="float64")
+
+    ready = pairs.withColumns({"quote": F.coalesce(normalize(F.col("quote")), F.lit("")), "body": F.coalesce(normalize(F.col("body")), F.lit(""))})
+    exact = (F.col("quote") != "") & F.contains("body", F.col("quote"))
+    plain = ready.where(exact).withColumn("similarity", F.lit(1.0))
+    near = ready.where(~exact).withColumn("similarity", dice("quote", "body"))
+    method = F.when(exact, "exact").when(F.col("similarity") >= least, "similar").otherwise("none")
+    return plain.unionByName(near).withColumn("method", method).withColumn("verified", F.col("method") != "none").drop("quote", "body")

@@ -101,32 +101,8 @@ def shared_change(points: DataFrame, tolerance: int) -> DataFrame:
     return counts.groupBy("run_id").agg(F.max_by("at_t", F.struct("sensors", -F.col("at_t"))).alias("at_t"), F.max("sensors").alias("sensors"))
 
 
-def scale_change(g: DataFrame, onset: int) -> DataFrame:
-    """Ratios of level and spread after an onset to those before."""
-    mid = g.groupBy(*KEYS).agg(*[F.expr(f"percentile(CASE WHEN t {op} {onset} THEN v END, 0.5)").alias(n) for n, op in (("before", "<"), ("after", ">="))])
-    away = g.join(mid, KEYS).withColumn("away", F.abs(F.col("v") - F.when(F.col("t") < onset, F.col("before")).otherwise(F.col("after"))))
-    spread = away.groupBy(*KEYS, "before", "after").agg(*[F.expr(f"percentile(CASE WHEN t {op} {onset} THEN away END, 0.5)").alias(n) for n, op in (("s_before", "<"), ("s_after", ">="))])
-    ratio = spread.select(*KEYS, (F.col("after") / F.when(F.col("before") != 0, F.col("before"))).alias("level_ratio"), (F.col("s_after") / F.when(F.col("s_before") > 0, F.col("s_before"))).alias("spread_ratio"))
-    return ratio.withColumn("gain", F.coalesce((F.abs("level_ratio") > 1.2) & (F.abs(F.col("level_ratio") / F.col("spread_ratio") - 1) < 0.3), F.lit(False)))
-
-
 def ranking(decided: DataFrame) -> DataFrame:
     """Drifting sensors by their share of all deviation, drivers before victims."""
     run = Window.partitionBy("run_id")
     share = decided.where("drifting").withColumn("contribution", F.col("max_deviation") / F.sum("max_deviation").over(run))
     return share.withColumn("place", F.row_number().over(run.orderBy("victim", F.desc(F.round("contribution", 9)), "sensor"))).select("run_id", "sensor", "victim", "contribution", "place")
-
-
-def verdict(cases: DataFrame) -> DataFrame:
-    """The first case that matches gives the fault; columns are the evidence of a group of drifting sensors."""
-    c = F.col
-    fault = (
-        F.when(c("shared_share") >= 0.9, "data logging")
-        .when(c("siblings_only"), "sibling source")
-        .when(c("redundant") & (c("n_sensors") == 1), "redundant sensor")
-        .when((c("n_sensors") == 1) & c("gain"), "sensor gain")
-        .when(c("n_sensors") == 1, "sensor bias")
-        .when(c("in_loop"), "hidden by a control loop")
-        .otherwise("process fault")
-    )
-    return cases.withColumn("fault", fault)

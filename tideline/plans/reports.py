@@ -139,19 +139,6 @@ def shared_changepoint(spark, d):
     return r.shared_change(points, 3)
 
 
-@query(
-    "scale_change",
-    with_grid(
-        """, m AS (SELECT run_id, sensor, median(v) FILTER (WHERE t < 300) AS b, median(v) FILTER (WHERE t >= 300) AS a FROM grid GROUP BY ALL), w AS (SELECT run_id, sensor, t, abs(v - CASE WHEN t < 300 THEN b ELSE a END) AS away, b, a FROM grid JOIN m USING (run_id, sensor)
-        ), s AS (SELECT run_id, sensor, b, a, median(away) FILTER (WHERE t < 300) AS sb, median(away) FILTER (WHERE t >= 300) AS sa FROM w GROUP BY ALL), q AS (SELECT run_id, sensor, a / nullif(b, 0) AS level_ratio, sa / CASE WHEN sb > 0 THEN sb END AS spread_ratio FROM s)
-        SELECT *, coalesce(abs(level_ratio) > 1.2 AND abs(level_ratio / spread_ratio - 1) < 0.3, false) AS gain FROM q"""
-    ),
-    "level_ratio spread_ratio",
-)
-def scale_change(spark, d):
-    return r.scale_change(grid(spark, d), 300)
-
-
 RANKED = RAMP + BLOCKS + ALARMS + """, d2 AS (SELECT *, max_deviation >= 2 AS far, sensor LIKE '%[%' AS victim FROM decided), rk AS (SELECT run_id, sensor, victim, max_deviation / sum(max_deviation) OVER (PARTITION BY run_id) AS contribution FROM d2 WHERE far)"""
 
 
@@ -162,16 +149,3 @@ def ranked(spark, d):
 @query("fault_ranking", with_grid(RANKED + " SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY victim, round(contribution, 9) DESC, sensor) AS INTEGER) AS place FROM rk"), "contribution")
 def fault_ranking(spark, d):
     return r.ranking(ranked(spark, d))
-
-
-@query(
-    "fault_verdict",
-    with_grid(
-        """, c AS (SELECT run_id, split_part(sensor, '[', 1) AS family, count(DISTINCT sensor) AS n_sensors, avg(CAST(v > 30 AS INT)) AS shared_share, min(v) < 0.05 AS siblings_only FROM grid WHERE sensor <> 'tax' GROUP BY ALL)
-        SELECT run_id, family, CASE WHEN shared_share >= 0.9 THEN 'data logging' WHEN siblings_only THEN 'sibling source' WHEN n_sensors = 1 THEN 'sensor bias' WHEN family = 'quantity' THEN 'hidden by a control loop' ELSE 'process fault' END AS fault FROM c"""
-    ),
-)
-def fault_verdict(spark, d):
-    g = grid(spark, d).where("sensor <> 'tax'")
-    cases = g.groupBy("run_id", F.split("sensor", r"\[")[0].alias("family")).agg(F.count_distinct("sensor").alias("n_sensors"), F.avg((F.col("v") > 30).cast("int")).alias("shared_share"), (F.min("v") < 0.05).alias("siblings_only"))
-    return r.verdict(cases.withColumns({"redundant": F.lit(False), "gain": F.lit(False), "in_loop": F.col("family") == "quantity"})).select("run_id", "family", "fault")
