@@ -10,7 +10,7 @@ from tideline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-SLOW = {"drift_responsible", "drift_victims", "drift_report", "calibrate_drift", "calibrate_health", "role_scores", "role_assign", "role_override"}
+SLOW = {"drift_responsible", "drift_victims", "drift_report", "calibrate_drift", "calibrate_health"}
 
 
 def rows(frame):

@@ -63,17 +63,21 @@ def tokens_of(text: Column) -> Column:
 
 
 def chunks(segments: DataFrame, most: int) -> DataFrame:
-    """Segments packed in order, up to ``most`` tokens a chunk; a fold over the ordered segments of one source, in the JVM."""
-    ordered = segments.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("seq", tokens_of(F.col("text")).alias("n")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("chunk"), F.expr("cast(array() as array<struct<seq: bigint, chunk: bigint>>)").alias("out"))
+    """Segments packed in order, up to ``most`` tokens a chunk.
+
+    A fold over the ordered segments of one source, in the JVM; it keeps the segments that open a chunk, so its state grows with the chunks only.
+    """
+    sized = segments.select("source_id", F.col("seq").cast("long").alias("seq"), tokens_of(F.col("text")).alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<bigint>").alias("opens"))
 
     def step(state: Column, item: Column) -> Column:
         full = (state["size"] > 0) & (state["size"] + item["n"] > most)
-        chunk = F.when(full, state["chunk"] + 1).otherwise(state["chunk"])
-        return F.struct(F.when(full, item["n"]).otherwise(state["size"] + item["n"]).alias("size"), chunk.alias("chunk"), F.concat(state["out"], F.array(F.struct(item["seq"].cast("long").alias("seq"), chunk.alias("chunk")))).alias("out"))
+        return F.when(full, F.struct(item["n"].alias("size"), F.array_append(state["opens"], item["seq"]).alias("opens"))).otherwise(F.struct((state["size"] + item["n"]).alias("size"), state["opens"].alias("opens")))
 
-    placed = ordered.select("source_id", F.inline(F.aggregate("items", start, step, lambda s: s["out"])))
-    return placed.groupBy("source_id", "chunk").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n"))
+    ordered = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("seq", "n"))).alias("items"))
+    opens = ordered.select("source_id", F.aggregate("items", start, step, lambda s: s["opens"]).alias("opens"))
+    chunk = F.size(F.filter("opens", lambda o: o <= F.col("seq"))).cast("long")
+    return sized.join(opens, "source_id").withColumn("chunk", chunk).groupBy("source_id", "chunk").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n"))
 
 
 DIMENSIONS = 1024
