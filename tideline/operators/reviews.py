@@ -125,3 +125,28 @@ def outcomes(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("run_id", "incident").orderBy(F.desc("overlap"), "new_incident"))
     moved = F.when(F.col("onset").isNull() | F.col("new_onset").isNull(), ~F.col("onset").eqNullSafe(F.col("new_onset"))).otherwise(F.abs(F.col("onset") - F.col("new_onset")) > 0.01 * n)
     return shared.withColumn("place", best).where("place = 1").select("run_id", "incident", "new_incident", "overlap", (moved | (F.col("fault") != F.col("new_fault"))).alias("changed"))
+
+
+def trace(steps: DataFrame, rows: DataFrame, most: int = 300) -> DataFrame:
+    """``run_id, sensor, step, keys, cited, result``: one row for each stat of a step, from the first cited evidence that has a finite value for its key.
+
+    A result longer than ``most`` characters is cut at its last blank.
+    """
+    asked = steps.select("run_id", "sensor", "step", "result", "cited", F.explode(F.slice("keys", 1, 20)).alias("stat"))
+    met = asked.select("*", F.posexplode("cited").alias("place", "id")).join(rows.select("run_id", "id", "stats"), ["run_id", "id"]).withColumn("value", F.element_at("stats", F.col("stat")))
+    finite = met.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    head = F.substring("result", 1, most - 3)
+    whole = F.regexp_extract(head, r"(?s)^(.+) ", 1)
+    short = F.when(F.length("result") <= most, F.col("result")).otherwise(F.concat(F.when(whole != "", whole).otherwise(F.substring("result", 1, most - 4)), F.lit("...")))
+    return finite.groupBy("run_id", "sensor", "step", "stat", short.alias("result")).agg(F.min_by("value", "place").alias("value"))
+
+
+def family_notes(runs: DataFrame, notes: DataFrame, run: int) -> DataFrame:
+    """``run, parent, name`` and ``run, alias, seq, text``: notes by alias over a run, its ancestors and the runs of its name."""
+    family = runs.sparkSession.sql(
+        """WITH RECURSIVE up AS (SELECT run, parent FROM {runs} WHERE run = :run UNION ALL SELECT r.run, r.parent FROM up JOIN {runs} r ON r.run = up.parent)
+        SELECT run FROM up UNION SELECT run FROM {runs} WHERE name = (SELECT max(name) FROM {runs} WHERE run = :run)""",
+        args={"run": run},
+        runs=runs,
+    )
+    return notes.join(family, "run", "left_semi").groupBy("alias").agg(F.count("*").alias("n"), F.count_distinct("run").alias("runs"), F.max_by("text", F.struct("run", "seq")).alias("latest"))

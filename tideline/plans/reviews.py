@@ -198,3 +198,54 @@ def review_validate(spark, d):
     checked = v.validate(once, values, aliases)
     errors = F.col("numbers") + F.col("aliases") + F.col("other_labels")
     return checked.select("id", errors.alias("errors"), (errors == 0).alias("passed"))
+
+
+#: The steps of a trace, their stats and how often a phrase stands in the result.
+STEPS = [("health", ["max_deviation", "n"], 0), ("drift", ["middle", "n"], 4), ("isolation", ["z"], 9), ("propagation", ["z", "missing"], 15), ("control-loop", ["missing"], 20), ("verdict", ["max_deviation", "z", "middle", "other"], 40)]
+PHRASE = " leaves its peers"
+
+
+@query(
+    "reasoning_trace",
+    with_grid(
+        EVIDENCE + ", sp AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {keys}, {n})" for s, keys, n in STEPS) + f""") v(step, keys, n)), st1 AS (SELECT DISTINCT run_id, sensor FROM ev), k AS (SELECT run_id, sensor, step, unnest(keys) AS stat, sensor || repeat('{PHRASE}', n) AS result FROM st1 CROSS JOIN sp
+        ), vals AS (SELECT run_id, sensor, stage, unnest(names) AS stat, unnest(nums) AS value FROM ev), f AS (SELECT k.*, value, row_number() OVER (PARTITION BY k.run_id, k.sensor, step, k.stat ORDER BY stage) AS place FROM k JOIN vals USING (run_id, sensor, stat) WHERE isfinite(value))
+        SELECT run_id, sensor, step, stat, CASE WHEN length(result) <= 300 THEN result ELSE regexp_extract(substr(result, 1, 297), '^(.+) ', 1) || '...' END AS result, value FROM f WHERE place = 1"""
+    ),
+    "value",
+)
+def reasoning_trace(spark, d):
+    rows = durable(evidence(spark, d))
+    cited = rows.groupBy("run_id", "sensor").agg(F.transform(F.sort_array(F.collect_list(F.struct("stage", "id"))), lambda x: x["id"]).alias("cited"))
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.array(*[F.lit(x) for x in keys]).alias("keys"), F.lit(PHRASE * n).alias("tail")) for s, keys, n in STEPS])
+    asked = cited.select("run_id", "sensor", "cited", F.inline(steps)).withColumn("result", F.concat("sensor", "tail"))
+    return v.trace(asked, rows)
+
+
+@query(
+    "run_family_notes",
+    """WITH RECURSIVE runs AS (SELECT conv_id AS run, conv_id // 2 AS parent, arg_min(length(text) % 10, turn) AS name FROM conversations GROUP BY conv_id), up AS (SELECT run, parent FROM runs WHERE run = 9 UNION ALL SELECT r.run, r.parent FROM up JOIN runs r ON r.run = up.parent AND up.parent <> up.run
+    ), family AS (SELECT run FROM up UNION SELECT run FROM runs WHERE name = (SELECT name FROM runs WHERE run = 9)), n AS (SELECT conv_id AS run, role AS alias, turn, text FROM conversations WHERE conv_id IN (SELECT run FROM family)
+    ), p AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY run DESC, turn DESC) AS place, count(*) OVER (PARTITION BY alias) AS n FROM n) SELECT alias, n, (SELECT count(DISTINCT run) FROM n WHERE n.alias = p.alias) AS runs, text AS latest FROM p WHERE place = 1""",
+)
+def run_family_notes(spark, d):
+    """Conversations as runs with notes: a run's parent has half its number, its name comes from its first turn."""
+    rows = table(spark, d, "conversations")
+    runs = rows.groupBy(F.col("conv_id").alias("run")).agg(F.min_by(F.length("text") % 10, "turn").alias("name")).withColumn("parent", F.when(F.col("run") > 0, F.expr("run div 2")))
+    return v.family_notes(durable(runs), rows.select(F.col("conv_id").alias("run"), F.col("role").alias("alias"), F.col("turn").alias("seq"), "text"), 9)
+
+
+@query(
+    "tool_rerun_without",
+    with_grid(
+        PAIRS
+        + """, both_ways AS (SELECT run_id, a AS sensor, b AS peer, rho FROM pairs UNION ALL SELECT run_id, b, a, rho FROM pairs
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY run_id, sensor ORDER BY round(abs(rho), 9) DESC, peer) AS place FROM both_ways WHERE sensor <> 'price' AND peer <> 'price') SELECT run_id, sensor, peer, rho, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5"""
+    ),
+    "rho",
+)
+def tool_rerun_without(spark, d):
+    """Relations and peers again, from a grid in which ``price`` is masked."""
+    g = planted(spark, d)
+    masked = g.withColumn("v", F.when(F.col("sensor") == "price", None).otherwise(F.col("v")))
+    return rel.peers(rel.rank_pairs(masked, LEAST), g.where("sensor = 'price'").select("run_id", "sensor").distinct())
