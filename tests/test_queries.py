@@ -43,7 +43,7 @@ def test_equals_sql(spark, duck, name):
     a, b = rows(ours), rows(theirs)
     assert len(a) == len(b)
     different = [(x, y) for x, y in zip(a, b) if x != y]
-    assert len(different) <= 0.02 * len(a), different[:3]  # a last digit may be rounded either way
+    assert len(different) <= 0.005 * len(a), different[:3]  # a last digit may be rounded either way
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
