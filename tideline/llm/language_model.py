@@ -1,16 +1,14 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
-1. Words of the training texts are counted: each task counts its own first, then counts are added up by word.
-2. The most frequent words (HOT at most, found by a histogram of counts) go to every worker with their exact counts; the first CLASSES of
-   them are the model's classes, all other words form one more class.
-3. Pairs of neighbouring classes are counted over all training texts, in sorted blocks by shard of the key. Each shard turns
-   counts of PAIR_MIN or more into levels (the logarithm of the count) and enters (pair, 1), ..., (pair, level) into its own range of the
-   filter. The filter's size follows the corpus up to FILTER_BITS, so its broadcast is bounded; a fuller filter errs more often but
-   loses no count.
-4. Every text is scored: a pair's level is the number of membership probes that succeed in a row, and
-   p(w | h) = (count(h, w) + PRIOR * p(w)) / (count(h) + PRIOR), with p(w) the add-one unigram probability. A word outside of the classes has
-   the probability of their class times its own share in it.
-5. Words outside of HOT need their exact count: each occurrence meets the count table by the word's hash and returns a sum to its text.
+1. One pass over the texts cuts them into blocks of BLOCK_TOKENS. A block knows its distinct words and its distinct pairs of neighbouring
+   words by 64-bit hashes, with how often its training texts have them, and for each text the numbers of its pairs.
+2. The hashes of a block go to shards in ranges of the hash, as many as the bytes of the texts ask for. A shard adds counts up over all
+   blocks. It turns the counts of pairs into levels (the logarithm of the count), enters (pair, 1), ..., (pair, level) into its filter,
+   and answers every block that asked: a pair's level is the number of membership probes that succeed in a row; counts of words are exact.
+   A block asks once for a hash, however often its texts have it, so no hash is crowded.
+3. A filter has ROOM bits for each entry, so filters follow the counted pairs and err equally often at any size; they stay in their shards.
+4. Answers return to their block, and its texts are scored: p(w | h) = (count(h, w) + PRIOR * p(w)) / (count(h) + PRIOR), with p(w) the
+   add-one unigram probability. All words and all pairs take part.
 
 Defined cases: a null or empty text is the end token alone; rows with equal ids or texts are scored on their own; a null id
 counts as the text '' for the folds; without training rows all counts are 0; all columns but the text stay; an empty table gives an empty table.
@@ -18,28 +16,26 @@ counts as the text '' for the folds; without training rows all counts are 0; all
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.llm.common import documents, free_name, held_out, small_batches, stored
+from tideline.llm.common import documents, fields, free_name, held_out, small_batches, stored
 
 FOLDS, HELD_FOLD = 7, 2
-HOT, CLASSES = 1 << 18, 1 << 15
-PAIR_MIN, PRIOR = 2, 500.0
-FILTER_BITS, PROBES = 1 << 28, 4
-#: Words that a task counts before it hands its counts on; tokens in a block of pairs; tokens for each shard of pairs.
-FLUSH_WORDS, BLOCK_TOKENS, SHARD_TOKENS = 800_000, 4_000_000, 4_000_000
+#: Words whose hash a task keeps at hand; others are hashed again.
+HOT = 1 << 18
+PAIR_MIN, PRIOR = 1, 500.0
+#: Bits for each entry of a filter, and probes: a false level in 150 probed.
+ROOM, PROBES = 12, 4
+#: A block ends after so many tokens, texts, or bytes of other columns; bytes of text for each shard.
+BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 3_000_000, 200_000, 64_000_000, 16_000_000
 LEAST_SHARDS = 32
-#: Tokens that are scored at once.
-SCORE_TOKENS = 400_000
 WORD_SEED = 42
-END = b""
+END, BEGIN = b"", b" "
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -48,34 +44,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-def count_words(batches):
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > FLUSH_WORDS:
-                yield pa.record_batch({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
-                counts = Counter()
-    keys, values = list(counts), list(counts.values())
-    for at in range(0, len(keys), 100_000):
-        yield pa.record_batch({"word": pa.array(keys[at : at + 100_000], pa.binary()), "n": pa.array(values[at : at + 100_000], pa.int64())})
-
-
-class Ranks(dict):
-    """Rank of a hot word; -1 for another."""
+class Hashes(dict):
+    """Hash of a word, kept by word."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1
+        out = self[word] = xxhash.xxh64_intdigest(word, WORD_SEED)
+        return out
 
 
-def ranks_of(words: list[bytes], ranks: Ranks) -> np.ndarray:
-    return np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
+def pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as compressed planes of bytes; ascending ones are best given as differences."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
-def pairs_of(rank: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token and of its predecessor; ``classes`` is the class of other words, ``classes + 1`` stands before a text."""
-    own = np.where((rank < 0) | (rank >= classes), classes, rank)
-    return np.concatenate(([classes + 1], own[:-1])), own
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -98,6 +86,11 @@ def level_value(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (1.5 * PAIR_MIN * np.exp2(level - 1.0)) - 0.5, 0.0)
 
 
+def room_for(counts: np.ndarray) -> int:
+    """Bits of a filter, in whole bytes: in proportion to its entries."""
+    return max(512, -(-ROOM * int(levels_of(counts).sum()) // 8) * 8)
+
+
 def build_filter(keys: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
     bits, level = np.zeros(room, np.uint8), levels_of(counts)
     for k in range(1, int(level.max(initial=0)) + 1):
@@ -107,13 +100,12 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def probe_levels(keys: np.ndarray, bits: np.ndarray, shards: int, room: int) -> np.ndarray:
+def probe_levels(keys: np.ndarray, bits: np.ndarray, room: int) -> np.ndarray:
     """The level of each pair: how many probes in a row find it."""
-    level, base = np.zeros(len(keys), np.int64), shard_of(keys, shards) * room
-    live = np.arange(len(keys))
+    level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for k in range(1, 64):
         for probe in range(PROBES):
-            at = base[live] + spots(keys[live], k, probe, room)
+            at = spots(keys[live], k, probe, room)
             live = live[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             if not len(live):
                 return level
@@ -121,165 +113,136 @@ def probe_levels(keys: np.ndarray, bits: np.ndarray, shards: int, room: int) ->
     return level
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(keys, 0) % np.uint64(shards)).astype(np.int64)
-
-
-def count_pairs(held, shards: int):
-    def blocks(keys: np.ndarray):
-        keys, counts = np.unique(keys, return_counts=True)
-        shard = shard_of(keys, shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of ascending hashes begins."""
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
+
+
+def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, shards: int, hot: int):
+    """Of each block a row for each shard, with what it asks, and one row of its own (shard -1) with its texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    begin, end = (np.uint64(xxhash.xxh64_intdigest(x, WORD_SEED)) for x in (BEGIN, END))
+    asks, owns = ("keys", "seen", "words", "word_seen"), ("first", "second", "pairs", "sizes")
+
+    def rows(block: str, parts: list[np.ndarray], sizes: np.ndarray, learned: np.ndarray, rest: pa.Table):
+        own = np.concatenate(parts)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[np.cumsum(sizes) - sizes] = begin
+        words, word = np.unique(own, return_inverse=True)
+        keys, at, pair = np.unique(mixed(mixed(before, 1) + own, 2), return_index=True, return_inverse=True)
+        # before a text stands a word that is as frequent as the end
+        first, second = np.searchsorted(words, np.where(before[at] == begin, end, before[at])), word[at]
+        training = np.repeat(learned, sizes)
+        seen, word_seen = np.bincount(pair[training], minlength=len(keys)), np.bincount(word[training], minlength=len(words))
+        a, b = shard_edges(keys, shards), shard_edges(words, shards)
+        out = {n: [] for n in ("block", "shard", *asks, *owns)}
         for k in range(shards):
-            mine = order[edges[k] : edges[k + 1]]
-            if len(mine):
-                # sorted keys as differences take few bytes once the shuffle compresses them
-                yield k, np.diff(keys[mine], prepend=0).astype("<i8").tobytes(), np.minimum(counts[mine], 0xFFFFFFFF).astype("<u4").tobytes()
+            mine, named = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
+            for n, x in zip(asks, (pack(np.diff(keys[mine], prepend=np.uint64(0)), "<u8"), pack(seen[mine], "<u4"), pack(np.diff(words[named], prepend=np.uint64(0)), "<u8"), pack(word_seen[named], "<u4"))):
+                out[n].append(x)
+        for n, x in zip(owns, (first, second, pair, sizes)):
+            out[n] = [None] * shards + [pack(x, "<u4")]
+        for n in asks:
+            out[n].append(None)
+        columns = [pa.array([block] * (shards + 1)), pa.array([*range(shards), -1], pa.int64()), *[pa.array(out[n], pa.binary()) for n in (*asks, *owns)]]
+        target = to_arrow_schema(schema).field("rest").type
+        held = rest.combine_chunks()
+        structs = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.columns], names=kept)
+        lists = pa.ListArray.from_arrays(pa.array([0] * (shards + 1) + [len(structs)], pa.int32()), structs)
+        lists = lists.cast(target) if lists.type != target else lists
+        yield pa.RecordBatch.from_arrays([*columns, lists], names=["block", "shard", *asks, *owns, "rest"])
 
     def run(batches):
-        ranks, classes = held.value[0], held.value[3]
-        kept, size = [], 0
+        from pyspark import TaskContext
+
+        context, hashes, n = TaskContext.get(), Hashes(), 0
+        parts, sizes, learned, rest, size, texts, other = [], [], [], [], 0, 0, 0
 
         def flush():
-            rows = list(blocks(np.concatenate(kept))) if kept else []
-            if rows:
-                yield pa.record_batch({"shard": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+            return rows(f"{context.partitionId()}-{n}", parts, np.array(sizes, np.int64), np.concatenate(learned), pa.Table.from_batches(rest))
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                before, own = pairs_of(ranks_of(tokens(text), ranks), classes)
-                kept.append(before * (classes + 2) + own)
-                size += len(own)
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    kept, size = [], 0
-        yield from flush()
+            whole, flags = batch[text].to_pylist(), batch[train].to_numpy(zero_copy_only=False).astype(bool)
+            others, since = batch.select(kept), 0
+            for i, x in enumerate(whole):
+                found = tokens(x)
+                parts.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+                sizes.append(len(found))
+                size += len(found)
+                if len(hashes) > hot:
+                    hashes.clear()
+                if size >= BLOCK_TOKENS or i + 1 == len(whole):
+                    part = others.slice(since, i + 1 - since)
+                    rest.append(part)
+                    learned.append(flags[since : i + 1])
+                    texts, other, since = texts + part.num_rows, other + part.nbytes, i + 1
+                    if size >= BLOCK_TOKENS or texts >= BLOCK_TEXTS or other >= BLOCK_BYTES:
+                        yield from flush()
+                        parts, sizes, learned, rest, size, texts, other, n = [], [], [], [], 0, 0, 0, n + 1
+        if sizes:
+            yield from flush()
 
     return run
 
 
-def merge_pairs(room: int):
-    def run(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.cumsum(np.frombuffer(x, "<i8")) for x in rows["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
-        bits = build_filter(keys[firsts], np.add.reduceat(counts, firsts), room)
-        return pa.table({"shard": rows["shard"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+def answer_blocks(rows: pa.Table) -> pa.Table:
+    """Of one shard: the filter of its pairs and the counts of its words, and what these say to each block that asks."""
+
+    def added(hashes: str, counts: str):
+        asked = [np.cumsum(unpack(x, "<u8")) for x in rows[hashes].to_pylist()]
+        keys, which = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(which, np.concatenate([unpack(x, "<u4") for x in rows[counts].to_pylist()]), len(keys)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in asked])
+        return keys, total, lambda values, kind: [pack(x, kind) for x in np.split(values[which], ends[:-1])]
+
+    keys, counts, deal = added("keys", "seen")
+    learned = counts > 0
+    room = room_for(counts[learned])
+    levels = deal(probe_levels(keys, build_filter(keys[learned], counts[learned], room), room), "u1")
+    words, word_counts, deal = added("words", "word_seen")
+    once = np.arange(rows.num_rows) == 0
+    totals = [pa.array(np.where(once, x, 0), pa.int64()) for x in (word_counts.sum(), (word_counts > 0).sum())]
+    return pa.table([rows["block"], rows["shard"], pa.array(levels, pa.binary()), pa.array(deal(word_counts, "<i8"), pa.binary()), *totals], names=["block", "shard", "levels", "counts", "n_tokens", "n_words"])
+
+
+def score_block(kept: list[str], total: int, distinct: int):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        own = block.to_batches()[0]
+        first, second, pairs, sizes = (unpack(own[n][0].as_py(), "<u4").astype(np.int64) for n in ("first", "second", "pairs", "sizes"))
+        answers = answers.sort_by("shard")
+        levels, counts = (np.concatenate([unpack(x, kind) for x in answers[n].to_pylist()]) for n, kind in (("levels", "u1"), ("counts", "<i8")))
+        context, share = counts[first].astype(np.float64), (counts[second] + 1) / (total + distinct + 1)
+        chance = (np.minimum(level_value(levels.astype(np.float64)), context) + PRIOR * share) / (context + PRIOR)
+        starts = np.cumsum(sizes) - sizes
+        known, base, score = (np.add.reduceat(x[pairs], starts) for x in ((counts[second] > 0).astype(np.int64), np.log10(share), np.log10(chance)))
+        result = pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([*[x for n, x in zip(own["rest"].type.value_type, own["rest"].flatten().flatten()) if n.name in kept], result], names=[*kept, "scored_"])
 
     return run
 
 
-def score_texts(held, shards: int, room: int):
-    def run(texts: pa.Array) -> pa.Array:
-        ranks, counts, bits, classes, total, distinct = held.value
-        known = counts.astype(np.float64)
-        log_counts = np.log10(known + 1)
-        scale = math.log10(total + distinct + 1) if total + distinct else 0.0
-        # shares of a class among all tokens, add-one smoothed; other words share what is left
-        class_weight = np.concatenate([known[:classes] + 1, np.zeros(max(0, classes - len(known)))])
-        rest = max(1.0, total + distinct + 1 - class_weight.sum())
-        class_weight = np.concatenate([class_weight, [rest, 0.0]])
-        class_count = np.concatenate([known[:classes], np.zeros(max(0, classes - len(known))), [max(0.0, total - known[:classes].sum()), known[ranks[END]] if ranks[END] >= 0 else 0.0]])
-        parts: list[tuple] = []
-
-        def solve(texts_words: list[list[bytes]]) -> None:
-            """Many texts at once: their tokens lie one after another."""
-            sizes = np.array([len(x) for x in texts_words])
-            starts = np.cumsum(sizes) - sizes
-            words = [w for x in texts_words for w in x]
-            rank = ranks_of(words, ranks)
-            hot = rank >= 0
-            logs = np.where(hot, log_counts[np.maximum(rank, 0)] if len(log_counts) else 0.0, 0.0)
-            before, own = pairs_of(rank, classes)
-            before[starts] = classes + 1
-            keys, which = np.unique(before * (classes + 2) + own, return_inverse=True)
-            levels = probe_levels(keys, bits, shards, room) if len(bits) else np.zeros(len(keys), np.int64)
-            seen, context = level_value(levels)[which], class_count[before]
-            chance = (np.minimum(seen, context) + PRIOR * class_weight[own] / (total + distinct + 1)) / (context + PRIOR)
-            other = own == classes
-            score = np.log10(chance) + np.where(other, logs - math.log10(rest), 0.0)
-            hashes = np.array([xxhash.xxh64_intdigest(words[i], WORD_SEED) for i in np.flatnonzero(~hot).tolist()], np.uint64)
-            known_here = np.add.reduceat(hot.astype(np.int64), starts)
-            parts.append((sizes, known_here, np.add.reduceat(logs, starts) - sizes * scale, np.add.reduceat(score, starts), sizes - known_here, hashes))
-
-        waiting, size = [], 0
-        for text in texts.to_pylist():
-            waiting.append(tokens(text))
-            size += len(waiting[-1])
-            if size >= SCORE_TOKENS:
-                solve(waiting)
-                waiting, size = [], 0
-        if waiting:
-            solve(waiting)
-        sizes, n_known, base, score, n_rare, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0)] * 6
-        offsets = pa.array(np.concatenate(([0], np.cumsum(n_rare))), pa.int32())
-        rare = pa.ListArray.from_arrays(offsets, pa.array(hashes.astype(np.uint64).view(np.int64)))
-        values = [pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare]
-        return pa.StructArray.from_arrays(values, names=["n_tokens", "n_known", "base", "score", "rare"])
-
-    return F.arrow_udf(run, "n_tokens long, n_known long, base double, score double, rare array<long>")
-
-
-def hot_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """Words from the lowest count on at which there are no more than ``most``, the most frequent first."""
-    scale = F.floor(F.log2("n") * 16)
-    histogram = {r["step"]: r["k"] for r in counts.groupBy(scale.alias("step")).agg(F.count("*").alias("k")).collect()}  # some 1,000 rows at most
-    total, lowest = 0, None
-    for step in sorted(histogram, reverse=True):
-        total += histogram[step]
-        if total > most:
-            break
-        lowest = step
-    if lowest is None:
-        return []
-    rows = counts.where(scale >= lowest).select("word", "n").collect()  # ``most`` rows at most
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
-
-
-def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm", hot: int = HOT, classes: int = CLASSES, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm", hot: int = HOT) -> DataFrame:
     """``docs`` without its text, with a struct of ``n_tokens, n_known, train_tokens, base_score, score``; learns from the rows where ``train`` holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    training = docs.where(train).select(F.col(text).cast("binary").alias("text"))
-    counts = stored(training.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = hot_words(counts, hot)
-    ranks, known = Ranks({w: k for k, (w, _) in enumerate(top)}), np.array([n for _, n in top], np.int64)
-    classes = max(1, min(classes, len(top)))
-    shards = max(LEAST_SHARDS, -(-total // SHARD_TOKENS))
-    room = max(512, min(filter_bits, 2 * total) // shards // 8 * 8)
-    words = spark.sparkContext.broadcast((ranks, known, None, classes))
-    blocks = training.mapInArrow(count_pairs(words, shards), "shard long, keys binary, counts binary")
-    built = blocks.groupBy("shard").applyInArrow(merge_pairs(room), "shard long, bits binary").collect()  # ``filter_bits`` / 8 bytes at most
-    bits = np.zeros(shards * room // 8, np.uint8)
-    for r in built:
-        bits[r["shard"] * room // 8 : (r["shard"] + 1) * room // 8] = np.frombuffer(r["bits"], np.uint8)
-    held = spark.sparkContext.broadcast((ranks, known, bits, classes, total, distinct))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    marked = docs.select(*others, score_texts(held, shards, room)(F.col(text).cast("binary")).alias("scored_"), F.monotonically_increasing_id().alias("row_"))
-    scored = stored(marked)  # written once, so that a row keeps its number
-    probes = scored.select("row_", F.explode("scored_.rare").alias("hash"))
-    table = counts.select(F.xxhash64("word").alias("hash"), "n").groupBy("hash").agg(F.max("n").alias("n"))
-    sums = (
-        probes.join(table, "hash", "left")
-        .groupBy("row_")
-        .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs_"), F.count("n").alias("more_"))
-        .withColumnRenamed("row_", "own_row_")
-    )
-    out = scored.join(sums, F.col("row_") == F.col("own_row_"), "left")
-    logs = F.coalesce("logs_", F.lit(0.0))
-    result = F.struct(
-        F.col("scored_.n_tokens").alias("n_tokens"),
-        (F.col("scored_.n_known") + F.coalesce("more_", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("scored_.base") + logs).alias("base_score"),
-        (F.col("scored_.score") + logs).alias("score"),
-    )
-    kept = [F.col(f"`{c}`") for c in scored.columns if c not in ("scored_", "row_")]
-    return out.select(*kept, result.alias(free_name(docs, into)))
+    small_batches(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("binary")) + 1), F.lit(0))).first()[0]
+    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    kept, flag = [c for c in docs.columns if c != text], free_name(docs, "train_")
+    ready = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(text), F.coalesce(train, F.lit(False)).alias(flag))
+    # the flag stays with the other columns, so that there is always one
+    others = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text])
+    kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "first", "second", "pairs", "sizes")], ("rest", T.ArrayType(others))]
+    blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot), fields(*kinds)))  # written once, so that a block keeps its texts
+    asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen")
+    answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, n_tokens long, n_words long"))
+    total, distinct = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    own = blocks.where("shard < 0").select("block", "first", "second", "pairs", "sizes", "rest")
+    result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
+    schema = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)])
+    scored = own.groupBy("block").cogroup(answers.select("block", "shard", "levels", "counts").groupBy("block")).applyInArrow(score_block(kept, total, distinct), schema)
+    return scored.withColumnRenamed("scored_", free_name(docs, into))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
