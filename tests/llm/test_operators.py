@@ -132,6 +132,9 @@ def test_fullest_is_optimal():
 # -- 4 strings
 
 
+COMMON = " ".join(f"passage {k * k % 89}" for k in range(25))
+
+
 def covered(texts):
     data, n = [(t or "").encode() for t in texts], suffix_dedup.LENGTH
     seen = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
@@ -146,18 +149,26 @@ def covered(texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 3])
-def test_strings(spark, texts, empty, crowd):
+@pytest.mark.parametrize("crowd, chunk, hot", [(suffix_dedup.CROWD, suffix_dedup.CHUNK, suffix_dedup.HOT), (3, suffix_dedup.CHUNK, 1), (3, 2, suffix_dedup.HOT)])
+def test_strings(spark, texts, empty, monkeypatch, crowd, chunk, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").collect()]
     rows += ["a" * 700, "b" * 150 + "a" * 500, "ab" * 400, "q" + "ab" * 300, None, "", rows[0], rows[0], "x" + rows[1][:400] + "y"]
-    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = suffix_dedup.dedup_strings(frame, crowd=crowd).select("strings.*").collect()
+    rows += [f"{k * 7919 % 1000:03}" * (k % 5) + COMMON + f"{k}" * (k % 4) for k in range(40)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7)
+    got = suffix_dedup.dedup_strings(frame, crowd=crowd, chunk=chunk).select("strings.*").collect()
     assert sorted(tuple(r) for r in got) == covered(rows)
-    odd = suffix_dedup.dedup_strings(texts.where("length(text) < 6000 or text is null"), into="quality", crowd=crowd)
-    assert odd.columns[-1] == "quality_" and odd.count() == texts.where("length(text) < 6000 or text is null").count()
+    odd = suffix_dedup.dedup_strings(texts, into="quality", crowd=crowd, chunk=chunk)
+    assert odd.columns[-1] == "quality_" and sorted(tuple(r.quality_) for r in odd.collect()) == covered([r.text for r in texts.collect()])
     assert suffix_dedup.dedup_strings(empty).count() == 0
 
 
+def test_portions(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TEXT_BYTES", 10)
+    assert suffix_dedup.portions([b"", b"12345", b"12345", b"1", b"x" * 50, b"", b"1"]) == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    assert suffix_dedup.portions([]) == []
+
+
 # -- 5 personal data
 
 

@@ -10,9 +10,13 @@ have equal anchors, so only strings whose anchor occurs elsewhere can repeat.
 3. Stretches meet by anchor. Over those of a task's anchors a suffix array is built by two-stage sorting: only suffixes smaller than
    their successors are sorted directly, all others are induced by scanning the buckets of first bytes in order. Neighbours in the
    array with LENGTH or more bytes in common are the repeats.
-4. An anchor with more than its share of all anchors (a very common line, say) would make one task large: its strings are counted by a
-   128-bit hash of all their bytes instead, added up before the shuffle.
-5. Covered bytes are merged by text, and texts lose them.
+4. An anchor with very many occurrences (of a very common line, say) would make one task large. Its equal stretches become one row
+   before they meet, with two of their places; a stretch at two places is covered whole. The distinct stretches are dealt in chunks,
+   each with a suffix array of its own. Only where an anchor has several chunks do these exchange what they hold, one 128-bit hash for
+   each distinct string of a chunk.
+5. What is covered of a distinct stretch goes back to all its places. Stretches with very many places need no partner for that: they
+   are covered whole, and are told to the places by a broadcast of bounded size.
+6. Covered bytes are merged by text, and texts lose them.
 
 Defined cases: a null text is empty; matches never cross texts; rows with equal ids or texts are texts of their own, so two equal
 rows of LENGTH bytes or more are removed both; all columns stay, with the text replaced (bytes of a broken character are
@@ -32,12 +36,16 @@ from tideline.llm.common import cut, documents, free_name, small_batches, stored
 
 LENGTH, GRAM = 200, 32
 FILTER_BITS, FILTER_SHARDS = 1 << 28, 256
-#: An anchor with more occurrences than this, and than one of so many parts of all anchors, is counted by hash.
-CROWD, CROWD_PARTS = 1 << 15, 1 << 22
+#: An anchor with more occurrences than this, and than one of so many parts of all anchors, is a crowd.
+CROWD, CROWD_PARTS = 1 << 14, 1 << 20
+#: Distinct stretches of a crowd in one suffix array.
+CHUNK = 1 << 13
+#: A stretch in more rows than this, and than one of so many parts of all rows, is told to its places by a broadcast.
+HOT, HOT_PARTS = 1 << 10, 1 << 16
 #: A text with more copies than this, and than one of so many parts of all texts, is read in one of its copies only.
 COPIES, COPY_PARTS = 64, 1 << 16
-#: Bytes of stretches in one suffix array, about.
-ARRAY_BYTES = 4 << 20
+#: Bytes of stretches in one suffix array, about; bytes of texts that are read at once.
+ARRAY_BYTES, TEXT_BYTES = 4 << 20, 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,7 +117,23 @@ class Anchors:
         self.gram, self.place, self.first, self.last, self.text = (np.concatenate(x) for x in zip(*found))
 
 
+def portions(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts with TEXT_BYTES or one text each."""
+    ends = np.cumsum(np.array([len(x) for x in texts], np.int64)) if len(texts) else np.zeros(0, np.int64)
+    out, at, done = [], 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + TEXT_BYTES, side="right")))
+        out.append((at, to))
+        at, done = to, int(ends[to - 1])
+    return out
+
+
 def anchor_rows(texts: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+    parts = [anchor_part(texts[a:b], h1[a:b], h2[a:b]) for a, b in portions(texts.to_pylist())]
+    return pa.concat_arrays(parts) if parts else anchor_part(texts, h1, h2)
+
+
+def anchor_part(texts: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
     found = Anchors([x or b"" for x in texts.to_pylist()])
     key = h1.to_numpy(zero_copy_only=False).view(np.uint64) + mix(h2.to_numpy(zero_copy_only=False).view(np.uint64))
     order = np.argsort(found.text, kind="stable")
@@ -155,56 +179,39 @@ def in_filter(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def stretches_of(held):
-    """Texts to stretches: gram, bytes, number of strings and the places (h1, h2, start) of each anchor that may repeat and is no crowd.
+def stretches_of(held, crowded: bool):
+    """Texts to stretches: gram, bytes, number of strings and the places (h1, h2, start) of each anchor that may repeat.
 
-    Equal stretches of a batch are one row with all their places.
+    Those of crowds only, or of all other anchors only. Equal stretches of a portion of texts are one row with all their places.
     """
 
     def run(batches):
+        bits, crowds = held.value
         for batch in batches:
-            bits, crowds = held.value
-            found = Anchors([x or b"" for x in batch["body"].to_pylist()])
-            take = np.flatnonzero(in_filter(found.gram, bits) & ~np.isin(found.gram, crowds)) if len(found.gram) else found.text
-            rows: dict[bytes, int] = {}
-            row = np.array([rows.setdefault(found.bytes[a : b + LENGTH], len(rows)) for a, b in zip(found.first[take].tolist(), found.last[take].tolist())], np.int64)
-            order = np.argsort(row, kind="stable")
-            take, row = take[order], row[order]
-            text = found.text[take]
-            firsts = np.flatnonzero(np.diff(row, prepend=-1))
-            h1, h2 = (batch[c].to_numpy(zero_copy_only=False)[text] for c in ("h1", "h2"))
-            places = pa.StructArray.from_arrays([pa.array(h1), pa.array(h2), pa.array(found.first[take] - found.begins[text])], names=["h1", "h2", "start"])
-            sizes = found.last[take] - found.first[take] + 1
-            yield pa.record_batch(
-                {
-                    "gram": pa.array(found.gram[take][firsts].view(np.int64)),
-                    "stretch": pa.array(list(rows), pa.binary()),
-                    "n": pa.array(sizes[firsts]),
-                    "places": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(row)).astype(np.int32)), places),
-                }
-            )
-
-    return run
-
-
-def crowded_strings(held):
-    """Texts to the hashes of all strings whose anchor is a crowd: (w1, w2, h1, h2, place)."""
-
-    def run(batches):
-        for batch in batches:
-            _, crowds = held.value
-            texts = [x or b"" for x in batch["body"].to_pylist()]
-            found = Anchors(texts)
-            take = np.flatnonzero(np.isin(found.gram, crowds))
-            if not len(take):
-                continue
-            data = np.frombuffer(found.bytes, np.uint8)
-            sizes = found.last[take] - found.first[take] + 1
-            at = np.repeat(found.first[take] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            text = np.repeat(found.text[take], sizes)
-            w1, w2 = (mix(rolled(data, LENGTH, base)[at]) for base in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03))
-            h1, h2 = (batch[c].to_numpy(zero_copy_only=False)[text] for c in ("h1", "h2"))
-            yield pa.record_batch({"w1": pa.array(w1.view(np.int64)), "w2": pa.array(w2.view(np.int64)), "h1": pa.array(h1), "h2": pa.array(h2), "start": pa.array(at - found.begins[text])})
+            whole = batch["body"].to_pylist()
+            for at, to in portions(whole):
+                found = Anchors(whole[at:to])
+                if not len(found.gram):
+                    continue
+                inside = np.isin(found.gram, crowds)
+                take = np.flatnonzero(inside if crowded else in_filter(found.gram, bits) & ~inside)
+                rows: dict[bytes, int] = {}
+                row = np.array([rows.setdefault(found.bytes[a : b + LENGTH], len(rows)) for a, b in zip(found.first[take].tolist(), found.last[take].tolist())], np.int64)
+                order = np.argsort(row, kind="stable")
+                take, row = take[order], row[order]
+                text = found.text[take]
+                firsts = np.flatnonzero(np.diff(row, prepend=-1))
+                h1, h2 = (batch[c][at:to].to_numpy(zero_copy_only=False)[text] for c in ("h1", "h2"))
+                places = pa.StructArray.from_arrays([pa.array(h1), pa.array(h2), pa.array(found.first[take] - found.begins[text])], names=["h1", "h2", "start"])
+                sizes = found.last[take] - found.first[take] + 1
+                yield pa.record_batch(
+                    {
+                        "gram": pa.array(found.gram[take][firsts].view(np.int64)),
+                        "stretch": pa.array(list(rows), pa.binary()),
+                        "n": pa.array(sizes[firsts]),
+                        "places": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(row)).astype(np.int32)), places),
+                    }
+                )
 
     return run
 
@@ -265,31 +272,41 @@ def common_prefixes(raw: bytes, order: np.ndarray) -> np.ndarray:
     return same
 
 
-def repeats(stretches: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which strings occur twice: the stretch of each and its number in the stretch, in order. A stretch of ``n`` strings has n + LENGTH - 1 bytes."""
-    raw = b"".join([*stretches, b"\xff" * (LENGTH + 8)])  # a byte that no text has, larger than all
-    data = np.frombuffer(raw, np.uint8)
-    sizes = np.array([len(x) for x in stretches], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    owned = np.zeros(len(data), bool)
-    owner = np.repeat(np.arange(len(stretches)), counts)
-    place = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    owned[place] = True
-    wanted = owned.copy()
-    tail = begins + counts - 1  # a chain of suffixes not smaller than their successors is followed to its end
-    while len(tail):
-        byte, after = data[tail], data[tail + 1]
-        tail = tail[byte >= after] + 1
-        tail = tail[~wanted[tail]]
-        wanted[tail] = True
-    order = two_stage_sort(data, raw.decode("latin-1"), wanted)
-    order = order[owned[order]]
-    same = common_prefixes(raw, order)
-    twice = np.zeros(len(data), bool)
-    twice[order[:-1][same]] = True
-    twice[order[1:][same]] = True
-    hit = twice[place]
-    return owner[hit], (place - begins[owner])[hit]
+class SortedStrings:
+    """The strings of LENGTH bytes in stretches, in order; a stretch of ``n`` strings has n + LENGTH - 1 bytes.
+
+    ``owner`` and ``start`` say where the strings lie, stretch by stretch, and ``group`` which of them are equal: groups are numbered in
+    order of their bytes. ``raw`` holds all stretches, ``at`` where each group's first string begins in it.
+    """
+
+    def __init__(self, stretches: list[bytes], counts: np.ndarray):
+        self.raw = b"".join([*stretches, b"\xff" * (LENGTH + 8)])  # a byte that no text has, larger than all
+        data = np.frombuffer(self.raw, np.uint8)
+        sizes = np.array([len(x) for x in stretches], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(stretches)), counts)
+        self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = begins[self.owner] + self.start
+        owned = np.zeros(len(data), bool)
+        owned[place] = True
+        wanted = owned.copy()
+        tail = begins + counts - 1  # a chain of suffixes not smaller than their successors is followed to its end
+        while len(tail):
+            byte, after = data[tail], data[tail + 1]
+            tail = tail[byte >= after] + 1
+            tail = tail[~wanted[tail]]
+            wanted[tail] = True
+        order = two_stage_sort(data, self.raw.decode("latin-1"), wanted)
+        order = order[owned[order]]
+        first = np.concatenate(([True], ~common_prefixes(self.raw, order))) if len(order) else np.zeros(0, bool)
+        self.at = order[first]
+        groups = np.zeros(len(data), np.int64)
+        groups[order] = np.cumsum(first) - 1
+        self.group = groups[place]
+
+    def twice(self) -> np.ndarray:
+        """Whether each string occurs twice or more here."""
+        return np.bincount(self.group, minlength=1)[self.group] > 1
 
 
 def runs(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,8 +340,9 @@ def repeated_runs(batches):
         owner, begin, end = np.flatnonzero(many), np.zeros(many.sum(), np.int64), n[rows[many]] + LENGTH - 1
         array = np.flatnonzero(shared)
         if len(array):
-            own, at = repeats([stretch[i] for i in rows[array].tolist()], n[rows[array]])
-            who, a, b = runs(own, at)
+            strings = SortedStrings([stretch[i] for i in rows[array].tolist()], n[rows[array]])
+            hit = strings.twice()
+            who, a, b = runs(strings.owner[hit], strings.start[hit])
             less = ~many[array[who]]
             owner, begin, end = np.concatenate([owner, array[who[less]]]), np.concatenate([begin, a[less]]), np.concatenate([end, b[less]])
         out = [(h1, h2, start + a, start + b) for k, a, b in zip(owner.tolist(), begin.tolist(), end.tolist()) for h1, h2, start in held[k]]
@@ -348,6 +366,58 @@ def repeated_runs(batches):
         yield from solve(gram, stretch, n, places)
 
 
+def in_hash_order(chunk: pa.Table) -> pa.Table:
+    return chunk.sort_by([("s1", "ascending"), ("s2", "ascending")])
+
+
+def chunk_strings(chunk: pa.Table) -> pa.Table:
+    """Of a chunk of a crowd's distinct stretches: a 128-bit hash of each distinct string, by its number in order."""
+    chunk = in_hash_order(chunk)
+    strings = SortedStrings(chunk["stretch"].to_pylist(), chunk["n"].to_numpy())
+    data = np.frombuffer(strings.raw, np.uint8)
+    w1, w2 = (mix(rolled(data, LENGTH, base)[strings.at]) for base in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03))
+    many = len(strings.at)
+    return pa.table({"gram": pa.array(np.full(many, chunk["gram"][0].as_py())), "part": pa.array(np.full(many, chunk["part"][0].as_py())), "k": pa.array(np.arange(many)), "w1": pa.array(w1.view(np.int64)), "w2": pa.array(w2.view(np.int64))})
+
+
+def chunk_runs(chunk: pa.Table, elsewhere: pa.Table) -> pa.Table:
+    """The covered runs of a chunk's stretches, from its own strings and the numbers of those that other chunks hold too."""
+    chunk = in_hash_order(chunk)
+    out = {"s1": pa.array([], pa.int64()), "s2": pa.array([], pa.int64()), "from": pa.array([], pa.int64()), "to": pa.array([], pa.int64())}
+    if chunk.num_rows:
+        strings = SortedStrings(chunk["stretch"].to_pylist(), chunk["n"].to_numpy())
+        other = np.zeros(len(strings.at), bool)
+        other[elsewhere["k"].to_numpy()] = True
+        hit = strings.twice() | other[strings.group]
+        who, a, b = runs(strings.owner[hit], strings.start[hit])
+        out = {"s1": chunk["s1"].take(pa.array(who)), "s2": chunk["s2"].take(pa.array(who)), "from": pa.array(a), "to": pa.array(b)}
+    return pa.table(out)
+
+
+def crowd_runs(stretches: DataFrame, chunk: int) -> DataFrame:
+    """Stretches of crowds to the covered runs of each text."""
+    place = F.transform("places", lambda p: F.xxhash64(p["h1"], p["h2"], p["start"]))
+    rows = stored(stretches.withColumns({"s1": F.xxhash64(F.lit(3), "stretch"), "s2": F.xxhash64(F.lit(4), "stretch"), "one": F.array_min(place), "other": F.array_max(place)}))
+    distinct = rows.groupBy("gram", "s1", "s2").agg(F.first("stretch").alias("stretch"), F.first("n").alias("n"), F.count("*").alias("rows"), F.min("one").alias("one"), F.max("other").alias("other"))
+    distinct = stored(distinct.withColumn("many", F.col("one") != F.col("other")).drop("one", "other"))
+    parts = distinct.groupBy("gram").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
+    dealt = stored(distinct.join(parts, "gram").withColumn("part", F.pmod("s1", "parts")).select("gram", "part", "parts", "s1", "s2", "stretch", "n"))
+    strings = stored(dealt.where("parts > 1").groupBy("gram", "part").applyInArrow(chunk_strings, "gram long, part long, k long, w1 long, w2 long"))
+    shared = strings.groupBy("w1", "w2").agg(F.count("*").alias("chunks")).where("chunks > 1").select("w1", "w2")
+    elsewhere = strings.join(shared, ["w1", "w2"], "left_semi").select("gram", "part", "k")  # a string is in a chunk once
+    found = dealt.groupBy("gram", "part").cogroup(elsewhere.groupBy("gram", "part")).applyInArrow(chunk_runs, "s1 long, s2 long, from long, to long")
+    end = (F.col("n") + LENGTH - 1).alias("to")
+    total = distinct.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = (F.col("rows") > max(HOT, total // HOT_PARTS)) & F.col("many")
+    whole = distinct.where(F.col("many") & ~hot).select("s1", "s2", F.lit(0).cast("long").alias("from"), end)
+    some = found.join(distinct.where("many").select("s1", "s2"), ["s1", "s2"], "left_anti")
+    hottest = F.broadcast(distinct.where(hot).select("s1", "s2"))  # fewer than HOT_PARTS
+    place = [F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), (F.col("p.start") + F.col("from")).alias("from"), (F.col("p.start") + F.col("to")).alias("to")]
+    direct = rows.join(hottest, ["s1", "s2"], "left_semi").select(F.explode("places").alias("p"), F.lit(0).cast("long").alias("from"), end)
+    met = rows.join(hottest, ["s1", "s2"], "left_anti").select("s1", "s2", "places").join(whole.unionByName(some), ["s1", "s2"]).select(F.explode("places").alias("p"), "from", "to")
+    return direct.unionByName(met).select(*place)
+
+
 def remove_runs(texts: pa.Array, copies: pa.Array, covered: pa.Array) -> pa.Array:
     out = []
     for text, n, pieces in zip(texts.to_pylist(), copies.to_pylist(), covered.to_pylist()):
@@ -372,7 +442,7 @@ def remove_runs(texts: pa.Array, copies: pa.Array, covered: pa.Array) -> pa.Arra
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
-def dedup_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", into: str = "strings", crowd: int = CROWD) -> DataFrame:
+def dedup_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", into: str = "strings", crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with repeated strings removed from the text, and a struct ``n_bytes, n_removed, n_spans, kept_sha256``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -391,14 +461,10 @@ def dedup_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", i
     limit = max(crowd, total // CROWD_PARTS)
     crowds = np.sort(np.array([r["gram"] for r in repeated.where(F.col("n") > limit).select("gram").collect()], np.int64).view(np.uint64))  # fewer than CROWD_PARTS
     held = spark.sparkContext.broadcast((repeated_filter(repeated, count), crowds))
-    stretches = keyed.mapInArrow(stretches_of(held), "gram long, stretch binary, n long, places array<struct<h1: long, h2: long, start: long>>")
-    covered = stretches.repartition("gram").sortWithinPartitions("gram").mapInArrow(repeated_runs, "h1 long, h2 long, from long, to long")
+    kinds = "gram long, stretch binary, n long, places array<struct<h1: long, h2: long, start: long>>"
+    covered = keyed.mapInArrow(stretches_of(held, False), kinds).repartition("gram").sortWithinPartitions("gram").mapInArrow(repeated_runs, "h1 long, h2 long, from long, to long")
     if len(crowds):
-        strings = stored(keyed.mapInArrow(crowded_strings(held), "w1 long, w2 long, h1 long, h2 long, start long").distinct())
-        place = F.xxhash64("h1", "h2", "start")
-        twice = strings.groupBy("w1", "w2").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("w1", "w2")
-        more = strings.join(twice, ["w1", "w2"], "left_semi").select("h1", "h2", F.col("start").alias("from"), (F.col("start") + LENGTH).alias("to"))
-        covered = covered.unionByName(more)
+        covered = covered.unionByName(crowd_runs(keyed.mapInArrow(stretches_of(held, True), kinds), chunk))
     pieces = covered.groupBy("h1", "h2").agg(F.collect_list(F.struct("from", "to")).alias("covered_"))
     found = cut(pieces.join(copies.drop("row_"), ["h1", "h2"], "full").select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "copies_", "covered_"))
     marked = docs.withColumn("body_", body)
