@@ -219,22 +219,57 @@ def test_toxicity(spark, texts, empty):
 # -- 7 language model
 
 
-@pytest.mark.parametrize("hot", [language_model.HOT, 300])
-def test_language_model(spark, docs, hot):
+def pair_model(rows, seen):
+    """Plain counts of words and pairs, and the smoothed score of a text from them, with counts as their levels' middles."""
+    words, pairs = Counter(w for i in seen for w in rows[i]), Counter(p for i in seen for p in zip([None, *rows[i]], rows[i]))
+    total, distinct = sum(words.values()), len(words)
+
+    def score(text):
+        out = 0.0
+        for h, w in zip([None, *text], text):
+            context, count = words[b"" if h is None else h], pairs[h, w]
+            level = 1.5 * 2 ** int(math.log2(count)) - 0.5 if count else 0
+            out += math.log10((min(level, context) + language_model.PRIOR * (words[w] + 1) / (total + distinct + 1)) / (context + language_model.PRIOR))
+        return out
+
+    return words, total, distinct, score
+
+
+@pytest.mark.parametrize("options", [{}, {"HOT": 300, "BLOCK_TOKENS": 2000, "LEAST_SHARDS": 200}])
+def test_language_model(spark, docs, monkeypatch, options):
+    for name, value in options.items():
+        monkeypatch.setattr(language_model, name, value)
     train = ~language_model.held_out(F.col("doc_id"), 7, 2)
-    got = {r.doc_id: r for r in language_model.score_language(docs, train, hot=hot).select("doc_id", "lm.*").collect()}
+    got = {r.doc_id: r for r in language_model.score_language(docs, train, hot=language_model.HOT).select("doc_id", "lm.*").collect()}
     rows = {r.doc_id: language_model.tokens(r.text.encode()) for r in docs.collect()}
-    counts = Counter(w for i, words in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in words)
-    total, distinct = sum(counts.values()), len(counts)
+    seen = [i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, total, distinct, score = pair_model(rows, seen)
     for i, words in rows.items():
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words)
         assert abs(got[i].base_score - base) < 1e-6 and got[i].n_known == sum(counts[w] > 0 for w in words) and got[i].n_tokens == len(words) and got[i].train_tokens == total
-    seen = [i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    # a filter errs upwards only, and rarely
+    gaps = np.array([(got[i].score - score(words)) / len(words) for i, words in rows.items()])
+    assert gaps.min() > -1e-9 and gaps.mean() < 0.02 and np.median(gaps) < 0.01
     assert sum(got[i].score for i in seen) > sum(got[i].base_score for i in seen)
 
 
-def test_language_model_odd(texts, empty):
-    assert language_model.score_language(texts, F.lit(True), into="quality").count() == texts.count()
+def test_filter_errs_as_stated():
+    random = np.random.default_rng(4)
+    keys, counts = random.integers(0, 1 << 63, 60_000).astype(np.uint64), np.floor(1 / random.random(60_000)).astype(np.int64).clip(1, 1 << 40)
+    room = language_model.room_for(counts[:40_000])
+    levels = language_model.probe_levels(keys, language_model.build_filter(keys[:40_000], counts[:40_000], room), room)
+    true = np.where(np.arange(60_000) < 40_000, language_model.levels_of(counts), 0)
+    assert (levels >= true).all() and (levels > true).mean() < 0.01
+
+
+def test_language_model_odd(spark, texts, empty):
+    out = language_model.score_language(texts, F.lit(True), into="quality").collect()
+    rows = [(r.doc_id, language_model.tokens((r.text or "").encode())) for r in texts.collect()]
+    _, total, _, score = pair_model({k: words for k, (_, words) in enumerate(rows)}, range(len(rows)))
+    want = sorted((-1 if i is None else i, len(words), round(score(words), 3)) for i, words in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.quality_.n_tokens, round(r.quality_.score, 3)) for r in out)
+    assert {r.quality_.train_tokens for r in out} == {total} and [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 0.02 * g[1] for g, w in zip(got, want))
     assert language_model.score_language(empty, F.lit(True)).count() == 0
     assert {r.lm.n_known for r in language_model.score_language(texts, F.lit(False)).collect()} == {0}
 

@@ -16,6 +16,8 @@ counts as the text '' for the folds; without training rows all counts are 0; all
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 
 from tideline.llm.common import documents, fields, free_name, held_out, small_batches, stored
 
+LOG = logging.getLogger(__name__)
 FOLDS, HELD_FOLD = 7, 2
 #: Words whose hash a task keeps at hand; others are hashed again.
 HOT = 1 << 18
@@ -35,6 +38,8 @@ ROOM, PROBES = 12, 4
 BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 3_000_000, 200_000, 64_000_000, 16_000_000
 LEAST_SHARDS = 32
 WORD_SEED = 42
+#: What a shard says of itself, in one of its rows: tokens and distinct words of training, distinct pairs asked for, those with a wrong level, bits.
+TOTALS = ("n_tokens", "n_words", "n_pairs", "n_wrong", "bits")
 END, BEGIN = b"", b" "
 
 
@@ -113,14 +118,13 @@ def probe_levels(keys: np.ndarray, bits: np.ndarray, room: int) -> np.ndarray:
     return level
 
 
-def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of ascending hashes begins."""
-    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    return np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash: ranges of equal width, so ascending for ascending hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, shards: int, hot: int):
-    """Of each block a row for each shard, with what it asks, and one row of its own (shard -1) with its texts."""
+    """Of each block a row for each shard that it asks (never more rows than it has pairs and words), and one row of its own (shard -1) with its texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     begin, end = (np.uint64(xxhash.xxh64_intdigest(x, WORD_SEED)) for x in (BEGIN, END))
@@ -137,21 +141,20 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
         first, second = np.searchsorted(words, np.where(before[at] == begin, end, before[at])), word[at]
         training = np.repeat(learned, sizes)
         seen, word_seen = np.bincount(pair[training], minlength=len(keys)), np.bincount(word[training], minlength=len(words))
-        a, b = shard_edges(keys, shards), shard_edges(words, shards)
-        out = {n: [] for n in ("block", "shard", *asks, *owns)}
-        for k in range(shards):
-            mine, named = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
-            for n, x in zip(asks, (pack(np.diff(keys[mine], prepend=np.uint64(0)), "<u8"), pack(seen[mine], "<u4"), pack(np.diff(words[named], prepend=np.uint64(0)), "<u8"), pack(word_seen[named], "<u4"))):
+        which, named_in = shard_of(keys, shards), shard_of(words, shards)
+        asked = np.union1d(which, named_in)
+        ranges = [np.searchsorted(x, asked, side=side) for x in (which, named_in) for side in ("left", "right")]
+        out = {n: [] for n in asks}
+        for a, b, c, d in zip(*ranges):
+            for n, x in zip(asks, (pack(np.diff(keys[a:b], prepend=np.uint64(0)), "<u8"), pack(seen[a:b], "<u4"), pack(np.diff(words[c:d], prepend=np.uint64(0)), "<u8"), pack(word_seen[c:d], "<u4"))):
                 out[n].append(x)
-        for n, x in zip(owns, (first, second, pair, sizes)):
-            out[n] = [None] * shards + [pack(x, "<u4")]
-        for n in asks:
-            out[n].append(None)
-        columns = [pa.array([block] * (shards + 1)), pa.array([*range(shards), -1], pa.int64()), *[pa.array(out[n], pa.binary()) for n in (*asks, *owns)]]
+        many = len(asked)
+        out = {n: [*x, None] for n, x in out.items()} | {n: [None] * many + [pack(x, "<u4")] for n, x in zip(owns, (first, second, pair, sizes))}
+        columns = [pa.array([block] * (many + 1)), pa.array([*asked.tolist(), -1], pa.int64()), *[pa.array(out[n], pa.binary()) for n in (*asks, *owns)]]
         target = to_arrow_schema(schema).field("rest").type
         held = rest.combine_chunks()
         structs = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.columns], names=kept)
-        lists = pa.ListArray.from_arrays(pa.array([0] * (shards + 1) + [len(structs)], pa.int32()), structs)
+        lists = pa.ListArray.from_arrays(pa.array([0] * (many + 1) + [len(structs)], pa.int32()), structs)
         lists = lists.cast(target) if lists.type != target else lists
         yield pa.RecordBatch.from_arrays([*columns, lists], names=["block", "shard", *asks, *owns, "rest"])
 
@@ -201,11 +204,12 @@ def answer_blocks(rows: pa.Table) -> pa.Table:
     keys, counts, deal = added("keys", "seen")
     learned = counts > 0
     room = room_for(counts[learned])
-    levels = deal(probe_levels(keys, build_filter(keys[learned], counts[learned], room), room), "u1")
+    found = probe_levels(keys, build_filter(keys[learned], counts[learned], room), room)
+    wrong, levels = found != levels_of(counts), deal(found, "u1")
     words, word_counts, deal = added("words", "word_seen")
     once = np.arange(rows.num_rows) == 0
-    totals = [pa.array(np.where(once, x, 0), pa.int64()) for x in (word_counts.sum(), (word_counts > 0).sum())]
-    return pa.table([rows["block"], rows["shard"], pa.array(levels, pa.binary()), pa.array(deal(word_counts, "<i8"), pa.binary()), *totals], names=["block", "shard", "levels", "counts", "n_tokens", "n_words"])
+    totals = [pa.array(np.where(once, x, 0), pa.int64()) for x in (word_counts.sum(), (word_counts > 0).sum(), len(keys), wrong.sum(), room)]
+    return pa.table([rows["block"], rows["shard"], pa.array(levels, pa.binary()), pa.array(deal(word_counts, "<i8"), pa.binary()), *totals], names=["block", "shard", "levels", "counts", *TOTALS])
 
 
 def score_block(kept: list[str], total: int, distinct: int):
@@ -236,8 +240,9 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "first", "second", "pairs", "sizes")], ("rest", T.ArrayType(others))]
     blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot), fields(*kinds)))  # written once, so that a block keeps its texts
     asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen")
-    answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, n_tokens long, n_words long"))
-    total, distinct = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, " + ", ".join(f"{n} long" for n in TOTALS)))
+    total, distinct, pairs, wrong, bits = answers.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
+    LOG.info("%d bits of filters; %d of %d distinct pairs have a wrong level", bits, wrong, pairs)
     own = blocks.where("shard < 0").select("block", "first", "second", "pairs", "sizes", "rest")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     schema = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)])
