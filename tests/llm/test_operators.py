@@ -216,6 +216,42 @@ def test_toxicity(spark, texts, empty):
     assert toxicity.score_toxicity(texts, nothing, into="quality").count() == texts.count() and toxicity.score_toxicity(empty, nothing).count() == 0
 
 
+def test_margin_is_the_sum_over_pairs():
+    random = np.random.default_rng(3)
+    machine = toxicity.Machine(-1.0, np.arange(9), random.normal(size=9), random.normal(size=(9, toxicity.FACTORS)))
+    texts = [[], [4], [0, 3, 8], list(range(9))]
+    want = [-1 + sum(machine.weights[i] for i in t) + sum(machine.factors[i] @ machine.factors[j] for i in t for j in t if i < j) for t in texts]
+    got = machine.margins(np.array(sum(texts, []), np.int64), np.array([len(t) for t in texts]))
+    assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a != b, lambda a, b: a == b])
+def test_toxicity_of_pairs(spark, rule):
+    """Two words, each in half the texts of either label, decide the label together."""
+    random = np.random.default_rng(6)
+    rows = []
+    for k in range(4000):
+        a, b = map(int, random.random(2) < 0.5)
+        words = [f"word{x}" for x in random.integers(0, 300, 30)] + ["alpha"] * a + ["omega"] * b
+        rows.append((k, " ".join(random.permutation(words)), int(rule(a, b))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit_toxicity(frame, frame.select("doc_id", "toxic"), F.col("doc_id") < 3000)
+    scored = toxicity.score_toxicity(frame.where("doc_id >= 3000"), machine).toPandas()
+    assert ((scored["toxicity"] >= 0.5) == (scored["toxic"] == 1)).mean() > 0.95
+
+
+def test_toxicity_odd(spark, texts):
+    """Null ids and labels, repeated rows and ties; a bound on terms."""
+    labels = spark.createDataFrame([(None, 1), (2, None), (3, 7), (4, 0), (4, 1), *[(10 + k, k % 2) for k in range(8)]], "doc_id long, toxic int")
+    machine = toxicity.fit_toxicity(texts, labels, F.lit(True))
+    scored = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(texts, machine).collect()}
+    assert all(0 <= v <= 1 for v in scored.values()) and scored[0] == scored[1] == scored[7]
+    again = toxicity.fit_toxicity(texts.repartition(5), labels, F.lit(True))
+    assert again.bias == machine.bias and (again.buckets == machine.buckets).all()
+    small = toxicity.fit_toxicity(texts, labels, F.lit(True), most_terms=0)
+    assert not len(small.buckets)
+
+
 # -- 7 language model
 
 
