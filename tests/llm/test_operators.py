@@ -197,12 +197,41 @@ def test_personal_data(spark, docs, texts, empty):
     frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
     for r in personal_data.find_personal_data(frame, model).select("text", personal_data.digest(F.col("personal.base")).alias("b"), personal_data.digest(F.col("personal.spans")).alias("s")).collect():
         assert r.b == stated(r.text) and set(filter(None, r.b.split(","))) <= set(r.s.split(","))
-    added = personal_data.find_personal_data(spark.createDataFrame([(1, "write to joe (at) example (dot) org")], "doc_id long, text string"), model)
-    assert personal_data.redact(added).first().text == "write to [email]"
+    assert len(set(model[1].values())) > 1
+    for at in (" (at) ", " at "):
+        for dot in (" (dot) ", "[dot]", " dot "):
+            added = personal_data.find_personal_data(spark.createDataFrame([(1, f"write to joe{at}example{dot}org")], "doc_id long, text string"), model)
+            assert personal_data.redact(added).first().text == "write to [email]"
+    known = {r.doc_id: r for r in personal_data.find_personal_data(texts, model, into="quality").select("doc_id", "text", personal_data.digest(F.col("quality_.base")).alias("b")).collect()}
+    assert all(r.b == stated(r.text) for r in known.values()) and known[0].b == "" and known[5].b.count(":") == 6
     assert personal_data.find_personal_data(texts, None, into="quality").count() == texts.count()
     assert personal_data.fit_spans(empty) is None and personal_data.find_personal_data(empty, None).count() == 0
 
 
+def test_places_of_many_matches(spark):
+    text = "é " + "1.2.3.4 ü " * 1500 + "a@b.co"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert personal_data.find_personal_data(frame, None).select(personal_data.digest(F.col("personal.base"))).first()[0] == stated(text)
+
+
+def test_threshold_keeps_ties_whole():
+    assert personal_data.threshold([(0.5, 1.0)] * 10 + [(0.5, 0.0)] * 90) == float("inf")
+    assert personal_data.threshold([(0.9, 1.0)] * 60 + [(0.5, 1.0)] * 10 + [(0.5, 0.0)] * 90) == 0.9
+    assert personal_data.threshold([]) == float("inf")
+
+
+def test_sample_of_candidates(spark):
+    """Labels come from checks, and none of them is a feature; rewritten candidates are of the loose forms."""
+    rows = [(k, f"ip {k % 400}.1.1.1 card 4111 1111 1111 11{k % 100:02} mail a{k}@b.co phone +1 532 555 {k:04}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = personal_data.sampled(frame).toPandas()
+    assert set(sample["source"]) == {0, 1, 2} and not {"luhn", "octets", "n_digits", "length"} & set(sample.columns)
+    for kind, values in sample[sample["source"] == 0].groupby("kind")["label"]:
+        assert kind in (0, 3) or 0 < values.mean() < 1
+    sql, limits = personal_data.fit_spans(frame)
+    assert limits[0] < float("inf") and limits[2] == float("inf")
+
+
 # -- 6 toxicity
 
 
