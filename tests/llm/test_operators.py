@@ -81,6 +81,18 @@ def test_lines(spark, docs, texts, empty):
         assert line_dedup.dedup_lines(empty, **options).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_rows_of_one_id_are_one_document(spark, options):
+    line = "A line that is long enough to be the key of a line, surely."
+    few = spark.createDataFrame([(k % 2, f"{line}\n{k}") for k in range(6)], "doc_id long, text string")
+    assert {r.lines.n_dropped for r in line_dedup.dedup_lines(few, **options).collect()} == {0}
+    more = few.unionByName(spark.createDataFrame([(k, line) for k in (7, 8, None)], "doc_id long, text string"))
+    got = {r.doc_id: r.lines.n_dropped for r in line_dedup.dedup_lines(more, **options).collect()}
+    assert got == {0: 1, 1: 1, 7: 1, 8: 0, None: 1}
+    two = line_dedup.dedup_lines(few, min_docs=2, **options).collect()
+    assert {(r.doc_id, r.lines.n_dropped) for r in two} == {(0, 1), (1, 0)}
+
+
 def test_minimal_hash():
     from tideline.llm.minimal_hash import MinimalHash
 
@@ -395,11 +407,11 @@ def test_embeddings(spark):
     close = unit @ unit.T >= 0.95
     np.fill_diagonal(close, False)
     ids = [*range(300), 1004]
-    for chunk, cell in ((1024, 256), (16, 40)):
-        got = {r.vec_id: r.near for r in embeddings.embedding_components(frame, chunk=chunk, cell_size=cell).collect()}
+    for options in ({}, {"chunk": 16, "cell_size": 40}, {"chunk": 16, "cell_size": 40, "spread": None}, {"chunk": 16, "cell_size": 4, "most_cells": 3}, {"cell_size": 4, "spread": None}):
+        got = {r.vec_id: r.near for r in embeddings.embedding_components(frame, **options).collect()}
         recall = sum(got[i].n_links for i in ids) / close.sum()
         assert 0.9 <= recall <= 1 and all(got[i].n_links <= n for i, n in zip(ids, close.sum(1)))
-        if cell == 256:
+        if not options or "spread" in options:
             assert recall == 1
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (1000, 1001, 1002, 1003))
     assert got[None].n_links == 0 and got[None].component_id is None

@@ -20,10 +20,12 @@ BATCH_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one of our own when unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; one of our own when unset, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     held = spark.sparkContext.getCheckpointDir()
     if not named and not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if not held:
         spark.sparkContext.setCheckpointDir(named)

@@ -32,6 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("id"), "root").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 

@@ -2,16 +2,16 @@
 
 1. Every text gives the hashes of its distinct line keys; a partial aggregation counts documents and the largest id for
    each key before the shuffle, so a line that every document holds costs one row per task.
-2. Keys held by enough documents are dealt over shards by their hash. Each shard becomes a minimal perfect hash with
-   arrays of fingerprints, counts and keepers.
+2. Keys that documents share (two or more) are dealt over shards by their hash. Each shard becomes a minimal perfect hash with
+   arrays of fingerprints, counts and keepers; a count decides at the probe, so one index serves every ``min_docs`` from 2 on.
 3. Documents probe the arrays. While the arrays are within ``broadcast_bytes`` (their size is known by then) they go to
    every worker and texts are not shuffled. Beyond that, shards stay where they are: probes go to the shards, over
    several salted copies of each, stream past the arrays in batches, and only found lines return to their documents.
 
-Keys below ``min_docs`` are never dropped and so have no slot; a probe for one fails its 64-bit fingerprint.
+A key of a single document is never dropped and so has no slot; a probe for one fails its 64-bit fingerprint.
 
-Defined cases: a null or empty text is one empty line; a null id is below all others; rows with the same id count as
-documents of their own and keep or lose a line alike; all columns of the input stay, with the text replaced; an empty table
+Defined cases: a null or empty text is one empty line; rows with the same id are one document and keep or lose a line alike, and so
+are rows without an id, which are below all others; all columns of the input stay, with the text replaced; an empty table
 gives an empty table.
 """
 
@@ -29,6 +29,8 @@ from tideline.llm.common import BLANKS, cut, documents, free_name, small_batches
 from tideline.llm.minimal_hash import MinimalHash
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Documents that share a key before it has a slot.
+SHARED = 2
 #: Keys of one shard, about; a shard's arrays then take some 10 MB.
 SHARD_KEYS = 400_000
 #: Arrays up to this many bytes go to every worker.
@@ -91,15 +93,15 @@ def probe(shard: tuple, high: np.ndarray, low: np.ndarray, min_docs: int) -> tup
     return found, keepers[safe]
 
 
-def frequent_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int) -> DataFrame:
+def shared_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, least: int) -> DataFrame:
+    """Keys of ``least`` documents or more, with their number and the largest id."""
     small_batches(docs.sparkSession)
-    keys = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("id"), keys_of(min_chars)(F.col(text).cast("binary")).alias("keys"))
-    return (
-        keys.select("id", F.inline("keys"))
-        .groupBy("high", "low")
-        .agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-    )
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("id")
+    keys = docs.select(own, keys_of(min_chars)(F.col(text).cast("binary")).alias("keys")).select("id", F.inline("keys"))
+    again = cut(docs.select(own).groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    if not again.isEmpty():  # rows of one id are one document
+        keys = keys.join(again, "id", "left_anti").unionByName(keys.join(again, "id", "left_semi").distinct())
+    return keys.groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= least)
 
 
 def _droppers(shards, n_shards: int, min_chars: int, min_docs: int):
@@ -191,12 +193,12 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with frequent lines removed from its text, and a struct column of the counts ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
-    frequent = cut(frequent_lines(docs, text, doc_id, min_chars, min_docs))
-    n_keys = frequent.count()
+    shared = cut(shared_lines(docs, text, doc_id, min_chars, min(SHARED, min_docs)))
+    n_keys = shared.count()
     n_shards = max(1, -(-n_keys // shard_keys))
     # the shard is the hash as an unsigned number, modulo the number of shards
     shard = F.expr(f"cast(((high % {n_shards}) + (CASE WHEN high < 0 THEN {(1 << 64) % n_shards} ELSE 0 END) + {n_shards}) % {n_shards} as long)")
-    arrays = frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(build_shard, "shard long, arrays binary")
+    arrays = shared.withColumn("shard", shard).groupBy("shard").applyInArrow(build_shard, "shard long, arrays binary")
     result = free_name(docs, into)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     if n_keys * 24 <= broadcast_bytes:
