@@ -1,7 +1,7 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
 1. One pass over the texts cuts them into blocks of BLOCK_TOKENS. A block knows its distinct words and its distinct pairs of neighbouring
-   words by 64-bit hashes, with how often its training texts have them, and for each text the numbers of its pairs.
+   words by 64-bit hashes, with how often its training texts have them, and for each text the numbers of its words.
 2. The hashes of a block go to shards in ranges of the hash, as many as the bytes of the texts ask for. A shard adds counts up over all
    blocks. It turns the counts of pairs into levels (the logarithm of the count), enters (pair, 1), ..., (pair, level) into its filter,
    and answers every block that asked: a pair's level is the number of membership probes that succeed in a row; counts of words are exact.
@@ -35,7 +35,7 @@ PAIR_MIN, PRIOR = 1, 500.0
 #: Bits for each entry of a filter, and probes: a false level in 150 probed.
 ROOM, PROBES = 12, 4
 #: A block ends after so many tokens, texts, or bytes of other columns; bytes of text for each shard.
-BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 3_000_000, 200_000, 64_000_000, 16_000_000
+BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 1_000_000, 200_000, 32_000_000, 16_000_000
 LEAST_SHARDS = 32
 WORD_SEED = 42
 #: What a shard says of itself, in one of its rows: tokens and distinct words of training, distinct pairs asked for, those with a wrong level, bits.
@@ -123,22 +123,31 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def pairs_of(words: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of texts, given by the numbers of their words: hashes in order, first and second word, and the pair of each token.
+
+    Before a text stands a word of its own, which is as frequent as the end.
+    """
+    begin, end = (np.uint64(xxhash.xxh64_intdigest(x, WORD_SEED)) for x in (BEGIN, END))
+    starts = np.cumsum(sizes) - sizes
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[starts] = np.searchsorted(words, end)
+    hashes = words[before]
+    hashes[starts] = begin
+    keys, at, pair = np.unique(mixed(mixed(hashes, 1) + words[word], 2), return_index=True, return_inverse=True)
+    return keys, before[at], word[at], pair
+
+
 def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, shards: int, hot: int):
     """Of each block a row for each shard that it asks (never more rows than it has pairs and words), and one row of its own (shard -1) with its texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    begin, end = (np.uint64(xxhash.xxh64_intdigest(x, WORD_SEED)) for x in (BEGIN, END))
-    asks, owns = ("keys", "seen", "words", "word_seen"), ("first", "second", "pairs", "sizes")
+    asks, owns = ("keys", "seen", "words", "word_seen"), ("own_words", "word", "sizes")
 
     def rows(block: str, parts: list[np.ndarray], sizes: np.ndarray, learned: np.ndarray, rest: pa.Table):
-        own = np.concatenate(parts)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[np.cumsum(sizes) - sizes] = begin
-        words, word = np.unique(own, return_inverse=True)
-        keys, at, pair = np.unique(mixed(mixed(before, 1) + own, 2), return_index=True, return_inverse=True)
-        # before a text stands a word that is as frequent as the end
-        first, second = np.searchsorted(words, np.where(before[at] == begin, end, before[at])), word[at]
+        words, word = np.unique(np.concatenate(parts), return_inverse=True)
+        keys, _, _, pair = pairs_of(words, word, sizes)
         training = np.repeat(learned, sizes)
         seen, word_seen = np.bincount(pair[training], minlength=len(keys)), np.bincount(word[training], minlength=len(words))
         which, named_in = shard_of(keys, shards), shard_of(words, shards)
@@ -149,7 +158,7 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
             for n, x in zip(asks, (pack(np.diff(keys[a:b], prepend=np.uint64(0)), "<u8"), pack(seen[a:b], "<u4"), pack(np.diff(words[c:d], prepend=np.uint64(0)), "<u8"), pack(word_seen[c:d], "<u4"))):
                 out[n].append(x)
         many = len(asked)
-        out = {n: [*x, None] for n, x in out.items()} | {n: [None] * many + [pack(x, "<u4")] for n, x in zip(owns, (first, second, pair, sizes))}
+        out = {n: [*x, None] for n, x in out.items()} | {n: [None] * many + [pack(x, kind)] for n, x, kind in zip(owns, (np.diff(words, prepend=np.uint64(0)), word, sizes), ("<u8", "<u4", "<u4"))}
         columns = [pa.array([block] * (many + 1)), pa.array([*asked.tolist(), -1], pa.int64()), *[pa.array(out[n], pa.binary()) for n in (*asks, *owns)]]
         target = to_arrow_schema(schema).field("rest").type
         held = rest.combine_chunks()
@@ -215,7 +224,9 @@ def answer_blocks(rows: pa.Table) -> pa.Table:
 def score_block(kept: list[str], total: int, distinct: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         own = block.to_batches()[0]
-        first, second, pairs, sizes = (unpack(own[n][0].as_py(), "<u4").astype(np.int64) for n in ("first", "second", "pairs", "sizes"))
+        words = np.cumsum(unpack(own["own_words"][0].as_py(), "<u8"))
+        word, sizes = (unpack(own[n][0].as_py(), "<u4").astype(np.int64) for n in ("word", "sizes"))
+        _, first, second, pairs = pairs_of(words, word, sizes)
         answers = answers.sort_by("shard")
         levels, counts = (np.concatenate([unpack(x, kind) for x in answers[n].to_pylist()]) for n, kind in (("levels", "u1"), ("counts", "<i8")))
         context, share = counts[first].astype(np.float64), (counts[second] + 1) / (total + distinct + 1)
@@ -237,13 +248,13 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     ready = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(text), F.coalesce(train, F.lit(False)).alias(flag))
     # the flag stays with the other columns, so that there is always one
     others = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text])
-    kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "first", "second", "pairs", "sizes")], ("rest", T.ArrayType(others))]
+    kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "own_words", "word", "sizes")], ("rest", T.ArrayType(others))]
     blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot), fields(*kinds)))  # written once, so that a block keeps its texts
     asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen")
     answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, " + ", ".join(f"{n} long" for n in TOTALS)))
     total, distinct, pairs, wrong, bits = answers.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
     LOG.info("%d bits of filters; %d of %d distinct pairs have a wrong level", bits, wrong, pairs)
-    own = blocks.where("shard < 0").select("block", "first", "second", "pairs", "sizes", "rest")
+    own = blocks.where("shard < 0").select("block", "own_words", "word", "sizes", "rest")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     schema = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)])
     scored = own.groupBy("block").cogroup(answers.select("block", "shard", "levels", "counts").groupBy("block")).applyInArrow(score_block(kept, total, distinct), schema)
