@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from tideline.operators import corpus, privacy, relations
 from tideline.operators.corpus import best_dice
 from tideline.plans import fixtures, registry
 
@@ -23,21 +25,113 @@ def grid(spark):
     return fixtures.grid(spark, DATA).toPandas()
 
 
+def sentences(text):
+    return [x for x in (m.strip(" ") for m in re.findall(r"[^.!?\n]+[.!?]*", text)) if x]
+
+
+def plain_chunks(most=400):
+    """``source_id, chunk, piece, from_seq, to_seq, n, tokens, text`` of the conversations."""
+    tokens, out = lambda x: math.ceil(len(x) / 4), []
+    for source, rows in read("conversations").sort_values("turn").groupby("conv_id"):
+        open_, chunk = [], -1
+        for turn, text in [*zip(rows["turn"], rows["text"]), (None, "")]:
+            size = sum(tokens(x) for _, x in open_)
+            if open_ and (turn is None or size + tokens(text) > most or open_[-1][0] // 6 != turn // 6):
+                chunk += 1
+                if size <= most:
+                    out.append((source, chunk, 0, open_[0][0], open_[-1][0], len(open_), size, "\n".join(x for _, x in open_)))
+                else:
+                    pieces = []
+                    for s in sentences(open_[0][1]):
+                        if pieces and tokens(f"{pieces[-1]} {s}") <= most:
+                            pieces[-1] += f" {s}"
+                        else:
+                            pieces.append(s)
+                    out += [(source, chunk, k, open_[0][0], open_[0][0], 1, tokens(x), x) for k, x in enumerate(pieces)]
+                open_ = []
+            open_.append((turn, text))
+    return out
+
+
 def test_chunks_are_packed_in_order(spark):
     ours = QUERIES["chunk_segments"](spark, DATA).toPandas()
+    want = plain_chunks()
+    assert sorted(ours[["source_id", "chunk", "piece", "from_seq", "to_seq", "n", "tokens", "text"]].itertuples(index=False, name=None)) == sorted(want)
+    assert max(t for *_, t, _ in want) <= 400 or any(len(sentences(x)) == 1 for *_, x in want)
+
+
+def test_chunks_split_long_segments(spark):
+    text = "A sentence of some words. " * 50
+    frame = spark.createDataFrame([(1, 0, 0, "short"), (1, 1, 0, text), (1, 2, 0, "tail"), (1, 3, 1, "other block"), (2, 0, 0, "x" * 900)], "source_id long, seq long, block long, text string")
+    got = corpus.chunks(frame, 100).orderBy("source_id", "from_seq", "piece").collect()
+    assert [(r.source_id, r.chunk, r.piece) for r in got] == [(1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 2, 0), (1, 3, 0), (2, 0, 0)]
+    assert all(r.tokens <= 100 for r in got if r.source_id == 1) and " ".join(r.text for r in got if r.chunk == 1) == text.strip()
+
+
+def test_speakers_of_chunks(spark):
+    roles = {(r.conv_id, r.turn): r.role for r in read("conversations").itertuples()}
+    want = {}
+    for source, chunk, piece, low, high, *_ in plain_chunks():
+        held = {roles[source, t] for t in range(low, high + 1) if (source, t) in roles}
+        want[source, chunk] = held.pop() if len(held) == 1 else None
+    got = {(r.source_id, r.chunk): r.speaker for r in QUERIES["chunk_speaker"](spark, DATA).collect()}
+    assert got == want
+
+
+def trigrams(text):
+    padded, counts, want = f" {text.lower()} ", {}, np.zeros(1024)
+    for i in range(len(padded) - 2):
+        counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + 1
+    for gram, n in counts.items():
+        h = 2166136261
+        for b in gram.encode():
+            h = (h ^ b) * 16777619 % 2**32
+        want[h % 1024] += math.log1p(n) * (1 if h >= 2**31 else -1)
+    return want / max(np.linalg.norm(want), 1e-12)
+
+
+def test_claims_are_linked_by_phrases_names_and_likeness(spark):
+    from tideline.plans.corpus import COLUMNS
+
+    said = {r.doc_id * 1_000_000 + r.pos: r.sentence[:300] for r in QUERIES["claim_extract"](spark, DATA).collect()}
     want = []
-    for source, rows in read("conversations").sort_values("turn").groupby("conv_id"):
-        size, chunk, members = 0, 0, []
-        for turn, text in zip(rows["turn"], rows["text"]):
-            n = math.ceil(len(text) / 4)
-            if size and size + n > 200:
-                size, chunk = 0, chunk + 1
-            size += n
-            members.append((chunk, turn))
-        for c in range(chunk + 1):
-            turns = [t for k, t in members if k == c]
-            want.append((source, c, min(turns), max(turns), len(turns)))
-    assert sorted(ours[["source_id", "chunk", "from_seq", "to_seq", "n"]].itertuples(index=False, name=None)) == sorted(want)
+    for claim, text in said.items():
+        low, scores = " ".join(text.lower().split()), []
+        for column, name, phrases in COLUMNS:
+            score = 1.0 if any(p.lower() in low for p in phrases) else 0.6 if re.search(rf"(?:^|\W){name}(?:$|\W)", low) else 0.0
+            scores.append((-round(score + max(0.0, trigrams(text) @ trigrams(" ".join([name, *phrases]))), 3), column))
+        want += [(claim, c, -s) for s, c in sorted(scores)[:3] if -s >= 0.75]
+    got = [(r.claim_id, r.column_id, r.score) for r in QUERIES["claim_link"](spark, DATA).collect()]
+    assert {g[:2] for g in got} == {w[:2] for w in want} and len(got) == len(want)
+    assert all(abs(a[2] - b[2]) < 2e-3 for a, b in zip(sorted(got), sorted(want)))
+
+
+def test_phrases_of_several_words_and_the_limit_of_a_text(spark):
+    docs = spark.createDataFrame([(1, "The flow rate is high. A workflow rate is not it. " + "Flow, rate apart here. " + "We saw the flow-rate drop. " * 30)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("flow rate", 2), ("flow-rate", 1), ("the flow rate", 3)], "phrase string, column_id long")
+    got = corpus.claims(docs, phrases).orderBy("pos").collect()
+    assert [(r.pos, r.column_id) for r in got[:2]] == [(0, 2), (3, 1)] and len(got) == 20
+
+
+def test_quotes_are_found_anywhere(spark):
+    body = "He said \u201cthe tank overflows at night\u201d, then left.  \uff21 full stop"
+    docs = spark.createDataFrame([(5, body), (3, "nothing of it"), (7, body)], "doc_id long, text string")
+    quotes = ["the tank overflows at night", "tank overflows", "tank", "overflows at nig", "ank overflows at nigh", "said \"the tank", "a full stop", "no such thing here at all", "THEN   left.", ""]
+    frame = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    got = {r.item_id: r.doc_id for r in corpus.quotes_exact(frame, docs).collect()}
+    assert got == {**{k: 5 for k in range(10)}, 7: None, 9: None}
+
+
+def test_names_of_several_words(spark):
+    texts = spark.createDataFrame([(1, "The Main Pump and the main pump; mainpump. S12 ev-0123abcd-00001 a+b (a+b)")], "doc_id long, text string")
+    names = spark.createDataFrame([("main pump",), ("S12",), ("a+b",), ("pump",), ("ev-0123abcd-00001",)], "name string")
+    assert {r.name: r.n for r in privacy.name_scan(texts, names).collect()} == {"main pump": 2, "a+b": 2, "pump": 2}
+
+
+def test_groups_of_a_long_chain(spark):
+    chain = [("r", f"s{k:03}", f"s{k + 1:03}", 0.99) for k in range(60)] + [("r", "x", "y", -0.97), ("r", "x", "s000", 0.5)]
+    got = relations.redundancy_groups(spark.createDataFrame(chain, "run_id string, a string, b string, rho double"), 0.95).collect()
+    assert {r.label for r in got} == {"s000", "x"} and len(got) == 63
 
 
 def test_log_chain_links_every_row(spark):
@@ -61,17 +155,9 @@ def test_stream_cusum_equals_the_fold(spark):
 
 
 def test_embeddings_are_hashed_trigrams_of_unit_length(spark):
-    ours = QUERIES["hash_embedding"](spark, DATA).toPandas().set_index("item_id")["embedding"]
-    for item, text in read("benchmark").itertuples(index=False, name=None):
-        padded, counts, want = f" {text.lower()} ", {}, np.zeros(1024)
-        for i in range(len(padded) - 2):
-            counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + 1
-        for gram, n in counts.items():
-            h = 2166136261
-            for b in gram.encode():
-                h = (h ^ b) * 16777619 % 2**32
-            want[h % 1024] += math.log1p(n) * (1 if h >= 2**31 else -1)
-        assert np.allclose(np.array(ours[item]), want / np.linalg.norm(want), atol=1e-4)
+    ours = QUERIES["hash_embedding"](spark, DATA).toPandas().set_index("doc_id")["embedding"]
+    for doc, text in read("documents")[["doc_id", "text"]].itertuples(index=False, name=None):
+        assert np.allclose(np.array(ours[doc]), trigrams(text), atol=1e-4)
 
 
 def test_huber_fit_equals_reweighted_least_squares(spark, grid):
@@ -101,7 +187,7 @@ def test_change_points_pay_and_leave_nothing_that_pays_more(spark, grid):
 
         def split(part, depth):
             gains = [(round(cost(part["v"]) - cost(part["v"][:i]) - cost(part["v"][i:]), 6), -part["t"].iloc[i - 1] - 1) for i in range(12, len(part) - 11)]
-            if depth < 6 and gains and max(gains)[0] > price:
+            if gains and max(gains)[0] > price:
                 cut = -max(gains)[1]
                 want.append(cut)
                 split(part[part["t"] < cut], depth + 1)

@@ -47,7 +47,20 @@ def shape(cell: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(cell, r"\p{L}+", "A"), r"\p{N}+", "9"), r"\s+", " ")
 
 
+def compatible(text: Column) -> Column:
+    """The text in Unicode's compatibility form (NFKC), in Arrow batches."""
+
+    def nfkc(texts):
+        import unicodedata
+
+        import pyarrow as pa
+
+        return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(nfkc, "string")(text)
+
+
 def normalize(text: Column) -> Column:
-    """Lower case, straight quotes, single spaces."""
-    quotes = F.regexp_replace(F.regexp_replace(text, "[‘’‚′]", "'"), "[“”„″]", '"')
-    return F.trim(F.regexp_replace(F.lower(quotes), r"\s+", " "))
+    """Lower case, compatibility form, straight quotes, single spaces."""
+    quotes = F.regexp_replace(F.regexp_replace(compatible(F.lower(text)), "[‘’‚′]", "'"), "[“”„″]", '"')
+    return F.trim(F.regexp_replace(quotes, r"\s+", " "))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.cleaning import normalize
-from tideline.session import ship
+from tideline.session import durable, ship
 
 
 def sessions(messages: DataFrame, keys: list[str], time: str, gap_seconds: int) -> DataFrame:
@@ -54,7 +54,7 @@ def html_to_text(html: Column) -> Column:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
     return docs.select("doc_id", F.posexplode(found).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
 
 
@@ -62,22 +62,43 @@ def tokens_of(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
+SENTENCE = r"[^.!?\n]+[.!?]*"
+
+
+def split_long(text: Column, most: int) -> Column:
+    """The sentences of one text packed in order, up to ``most`` tokens a piece; a longer sentence is a piece of its own."""
+    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    start = F.struct(F.lit("").alias("open"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(state: Column, sentence: Column) -> Column:
+        longer = F.when(state["open"] == "", sentence).otherwise(F.concat_ws(" ", state["open"], sentence))
+        full = (state["open"] != "") & (tokens_of(longer) > most)
+        return F.when(full, F.struct(sentence.alias("open"), F.array_append(state["out"], state["open"]).alias("out"))).otherwise(F.struct(longer.alias("open"), state["out"].alias("out")))
+
+    return F.aggregate(parts, start, step, lambda s: F.array_append(s["out"], s["open"]))
+
+
 def chunks(segments: DataFrame, most: int) -> DataFrame:
-    """Segments packed in order, up to ``most`` tokens a chunk.
+    """Segments packed in order, up to ``most`` tokens a chunk and within one block; a longer segment is split by sentences, into pieces of a chunk of its own.
 
     A fold over the ordered segments of one source, in the JVM; it keeps the segments that open a chunk, so its state grows with the chunks only.
     """
-    sized = segments.select("source_id", F.col("seq").cast("long").alias("seq"), tokens_of(F.col("text")).alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<bigint>").alias("opens"))
+    sized = segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.col("block").cast("long").alias("block"), tokens_of(F.col("text")).alias("n"), "text")
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("block"), F.array().cast("array<bigint>").alias("opens"))
 
     def step(state: Column, item: Column) -> Column:
-        full = (state["size"] > 0) & (state["size"] + item["n"] > most)
-        return F.when(full, F.struct(item["n"].alias("size"), F.array_append(state["opens"], item["seq"]).alias("opens"))).otherwise(F.struct((state["size"] + item["n"]).alias("size"), state["opens"].alias("opens")))
+        full = (state["size"] > 0) & ((state["size"] + item["n"] > most) | (state["block"] != item["block"]))
+        opened = F.struct(item["n"].alias("size"), item["block"].alias("block"), F.array_append(state["opens"], item["seq"]).alias("opens"))
+        return F.when(full, opened).otherwise(F.struct((state["size"] + item["n"]).alias("size"), item["block"].alias("block"), state["opens"].alias("opens")))
 
-    ordered = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("seq", "n"))).alias("items"))
+    ordered = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "block"))).alias("items"))
     opens = ordered.select("source_id", F.aggregate("items", start, step, lambda s: s["opens"]).alias("opens"))
     chunk = F.size(F.filter("opens", lambda o: o <= F.col("seq"))).cast("long")
-    return sized.join(opens, "source_id").withColumn("chunk", chunk).groupBy("source_id", "chunk").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n"))
+    dealt = sized.join(opens, "source_id").withColumn("chunk", chunk)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
+    whole = dealt.where(F.col("n") <= most).groupBy("source_id", "chunk").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n"), F.sum("n").alias("tokens"), text.alias("text"))
+    long = dealt.where(F.col("n") > most).select("source_id", "chunk", F.col("seq").alias("from_seq"), F.col("seq").alias("to_seq"), F.lit(1).cast("long").alias("n"), F.posexplode(split_long(F.col("text"), most)).alias("piece", "text"))
+    return whole.withColumn("piece", F.lit(0)).unionByName(long.withColumn("tokens", tokens_of(F.col("text"))))
 
 
 DIMENSIONS = 1024
@@ -133,11 +154,39 @@ def bm25(docs: DataFrame, terms: list[str], most: int, k1: float = 1.2, b: float
     return joined.groupBy("doc_id").agg(F.sum(score).alias("score")).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(most)
 
 
+#: Query vectors that are compared with all vectors in one pass.
+QUERY_BLOCK = 4096
+
+
 def nearest(vectors: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """The nearest vectors by Euclidean distance to one given vector (one row ``query``)."""
-    near = vectors.join(F.broadcast(wanted), F.lit(True))  # one row
-    square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return near.select("vec_id", F.sqrt(square).alias("distance")).orderBy(F.round("distance", 9), "vec_id").limit(most)
+    """``query_id, query`` to ``query_id, vec_id, distance, place``: the nearest vectors of each query by Euclidean distance, ties to the smaller id.
+
+    Queries are taken in blocks; a block goes to every task, whose vectors meet it as matrix products, and only the best of each task are shuffled.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    count = wanted.count()
+    blocks, out = max(1, -(-count // QUERY_BLOCK)), None
+    for k in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "query").toArrow()  # QUERY_BLOCK rows, about
+        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["query"].to_pylist(), float).reshape(rows.num_rows, -1)))
+
+        def best(batches, held=held):
+            ids, queries = held.value
+            for batch in batches:
+                own, found = np.array(batch["embedding"].to_pylist(), float).reshape(batch.num_rows, -1), batch["vec_id"].to_numpy()
+                for at in range(0, len(ids) if len(found) else 0, 256):
+                    part = queries[at : at + 256]
+                    near = (own**2).sum(1)[None] - 2 * part @ own.T
+                    few = min(most + 16, len(found))  # some more, since exact distances decide
+                    pick = np.argpartition(near, few - 1, axis=1)[:, :few]
+                    exact = np.sqrt(((own[pick] - part[:, None]) ** 2).sum(2))
+                    yield pa.record_batch({"query_id": np.repeat(ids[at : at + 256], few), "vec_id": found[pick].ravel(), "distance": exact.ravel()})
+
+        hits = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, distance double")
+        out = hits if out is None else out.unionByName(hits)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
+    return out.withColumn("place", place).where(F.col("place") <= most)
 
 
 def ranked(hits: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
@@ -156,26 +205,109 @@ def snippet(text: Column, term: Column, before: int = 30, length: int = 120) ->
     return F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(length))
 
 
-def claims(docs: DataFrame, phrases: DataFrame, least: int = 12, most: int = 500) -> DataFrame:
-    """Sentences that name a phrase as whole words; words meet phrases by equality."""
-    s = sentences(docs).where(F.length("sentence").between(least, most))
-    words = s.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}\p{N}_]+"))).alias("phrase"))
-    return words.join(phrases, "phrase").select("doc_id", "pos", "sentence", "column_id")
+#: Phrases or short quotes that stand in one plan; more of them are taken in blocks of so many.
+LITERALS = 500
+EDGE = r"[^\p{L}\p{N}_]"
+
+
+def between_borders(text: Column, phrases: list[str]) -> Column:
+    """Whether a lower-case text holds one of the phrases between word borders."""
+    return text.rlike(f"(?:^|{EDGE})(?:" + "|".join(f"\\Q{p}\\E" for p in phrases) + f")(?:$|{EDGE})")
+
+
+def claims(docs: DataFrame, phrases: DataFrame, least: int = 12, most: int = 500, limit: int = 20) -> DataFrame:
+    """Sentences that hold a phrase (of one word or several) between word borders, with the first column that has one; the first ``limit`` of a text.
+
+    One pattern for a block of phrases finds the sentences; which column a sentence names is asked of the few that were found.
+    """
+    rows = sorted((r["phrase"].lower(), r["column_id"]) for r in phrases.collect())  # the catalog's phrases
+    low, found = F.lower("sentence"), None
+    said = sentences(docs).where(F.length("sentence").between(least, most))
+    for at in range(0, max(1, len(rows)), LITERALS):
+        block = rows[at : at + LITERALS]
+        column = F.least(*[F.when(between_borders(low, [p]), F.lit(c)).cast("long") for p, c in block], F.lit(None).cast("long"), F.lit(None).cast("long"))
+        part = said.where(between_borders(low, [p for p, _ in block]) if block else F.lit(False)).withColumn("column_id", column)
+        found = part if found is None else found.unionByName(part)
+    if len(rows) > LITERALS:
+        found = found.groupBy("doc_id", "pos", "sentence").agg(F.min("column_id").alias("column_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    return found.withColumn("place", place).where(F.col("place") <= limit).select("doc_id", "pos", "sentence", "column_id")
 
 
 def quotes_exact(quotes: DataFrame, docs: DataFrame, words_in: int = 8) -> DataFrame:
-    """Which texts hold a quote: candidates share its first words, then the whole quote is looked up."""
-    def first(text: Column) -> Column:
-        return F.split(normalize(text), " ")
-
-    grams = docs.select("doc_id", normalize(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    keyed = grams.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words_in + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words_in), " "))))).alias("key"))
-    asked = quotes.select("item_id", normalize(F.col("text")).alias("quote"), F.xxhash64(F.array_join(F.slice(first(F.col("text")), 1, words_in), " ")).alias("key"))
-    hit = keyed.join(asked, "key").where(F.contains("body", "quote"))
-    found = hit.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """Which texts hold a quote, anywhere, after normalisation; the smallest id of them.
+
+    The words inside a quote, without its first and last, stand between spaces in every text that holds it: up to ``words_in`` of them are
+    its key. Keys of texts meet keys of quotes, then the whole quote is looked up in the few texts of each. A quote of one or two words has
+    no word inside: it is looked up in every text, in blocks of such quotes.
+    """
+    ship(docs.sparkSession)
+    asked = quotes.select("item_id", normalize(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
+    asked = durable(asked.withColumn("size", F.least(F.size("w") - 2, F.lit(words_in))).select("item_id", "quote", "size", F.when(F.col("size") > 0, F.xxhash64(F.slice("w", 2, F.greatest("size", F.lit(1))))).alias("key")))
+    bodies = docs.select("doc_id", normalize(F.col("text")).alias("body"))
+    sizes = [r["size"] for r in asked.where("size > 0").select("size").distinct().collect()]  # up to ``words_in``
+    hits = None
+    if sizes:
+        words = F.split("body", " ")
+        runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))
+        keys = F.array_distinct(F.concat(*map(runs, sorted(sizes))))
+        met = bodies.select("doc_id", F.explode(keys).alias("key")).join(small(asked.where("size > 0").select("key", "item_id")), "key").select("doc_id", "item_id")
+        met = durable(met)
+        hits = bodies.join(small(met), "doc_id").join(small(asked.select("item_id", "quote")), "item_id").where(F.contains("body", "quote")).select("item_id", "doc_id")
+    short = asked.where("size <= 0")
+    blocks = -(-short.count() // LITERALS)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "quote").collect()  # LITERALS rows, about
+        known = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["quote"]).alias("quote")) for r in block])
+        more = bodies.select("doc_id", F.explode(F.filter(known, lambda q: F.contains(F.col("body"), q["quote"]))).alias("q")).select("q.item_id", "doc_id") if block else None
+        hits = more if hits is None else hits if more is None else hits.unionByName(more)
+    if hits is None:
+        return quotes.select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(False).alias("verified"))
+    found = hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", "doc_id", F.col("doc_id").isNotNull().alias("verified"))
 
 
+#: Rows of a side that is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows; it is counted first."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def link_scores(said: DataFrame, columns: DataFrame) -> DataFrame:
+    """``claim_id, statement`` and ``column_id, name, phrases`` to the score of each pair that has one: 1 for a phrase in the statement, else 0.6 for the
+    name between word borders, and the cosine of their hashed trigrams where it is positive. Columns are a short catalog and go to every task.
+    """
+    text = F.col("column_text")
+    described = hash_embedding(columns.withColumn("column_text", F.concat_ws(" ", "name", F.array_join("phrases", " "))).withColumn("text", text)).withColumnRenamed("embedding", "column_vector").drop("text")
+    met = hash_embedding(said, "statement").join(F.broadcast(described), F.lit(True)).withColumn("low", normalize(F.col("statement")))
+    phrase = F.exists("phrases", lambda p: F.contains(F.col("low"), F.lower(p)))
+    named = F.rlike(F.col("low"), F.concat(F.lit(f"(?:^|{EDGE})\\Q"), F.lower("name"), F.lit(f"\\E(?:$|{EDGE})")))
+    cosine = F.greatest(F.lit(0.0), F.aggregate(F.zip_with("embedding", "column_vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return met.select("claim_id", "column_id", F.round(F.when(phrase, 1.0).when(named, 0.6).otherwise(0.0) + cosine, 3).alias("score"))
+
+
+def lexical_top(docs: DataFrame, questions: DataFrame, most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``query_id, text`` to the best texts of each question by BM25 over its distinct words: ``query_id, doc_id, score, place``.
+
+    Only postings of the questions' words leave a text's row.
+    """
+    words = lambda text: F.filter(F.split(F.lower(text), EDGE + "+"), lambda w: w != "")
+    asked = durable(questions.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
+    sized = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
+    post = sized.select("doc_id", "size", F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    post = durable(post)
+    frequency = post.groupBy("term").agg(F.count("*").alias("df"))
+    met = post.join(small(asked.join(frequency, "term")), "term").join(F.broadcast(stats), F.lit(True))
+    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    total = met.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    return total.withColumn("place", place).where(F.col("place") <= most)
+
+
 def link_claims(scored: DataFrame, least: float = 0.75, most: int = 3) -> DataFrame:
     """``claim_id, column_id, score``: the best columns of each claim."""
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc(F.round("score", 9)), "column_id"))

@@ -29,7 +29,7 @@ def with_blocks(g: DataFrame, size: int, baseline_end: int) -> DataFrame:
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:
-    """Missing share, longest run, noise, spike share, mass at the most frequent value, and level of each block."""
+    """Missing share, longest run, noise, spike share, mass at the most frequent value, level and step size of each block."""
     by = [*KEYS, "part", "block"]
     d = k.hampel(k.diff(blocks), 3.0)
     mid = d.groupBy(*by).agg(F.expr("percentile(d, 0.5)").alias("mid_d"), F.expr("percentile(v, 0.5)").alias("level"), F.avg(F.col("v").isNull().cast("int")).alias("missing"), F.avg(F.col("spike").cast("int")).alias("spikes"), F.count("*").alias("n"))
@@ -39,23 +39,30 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     change = F.when(F.col("v").isNull() | F.lag("v").over(w).isNull() | (F.col("v") != F.lag("v").over(w)), 1).otherwise(0)
     runs = blocks.withColumn("change", change).withColumn("island", F.sum("change").over(w)).where("v is not null").groupBy(*by, "island").agg(F.count("*").alias("run"))
     longest = runs.groupBy(*by).agg(F.max("run").alias("longest"))
-    out = mid.drop("mid_d").join(noise, by).join(mass, by, "left").join(longest, by, "left")
-    return out.select(*by, "n", "missing", "noise", "spikes", "level", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.col("most") / F.col("n"), F.lit(0.0)).alias("edge_mass"), F.coalesce("levels", F.lit(0)).alias("levels"))
+    gap = blocks.where("v is not null").select(*by, "v").distinct().withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy(*by).orderBy("v")))
+    step = gap.groupBy(*by).agg(F.min(F.when(F.col("gap") > 1e-9 * F.abs("v"), F.col("gap"))).alias("step"))
+    out = mid.drop("mid_d").join(noise, by).join(mass, by, "left").join(longest, by, "left").join(step, by, "left")
+    return out.select(*by, "n", "missing", "noise", "spikes", "level", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.col("most") / F.col("n"), F.lit(0.0)).alias("edge_mass"), F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("step", F.lit(0.0)).alias("step"))
 
 
 def reference(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     """The baseline's own figures for each sensor."""
     base = stats.where("part = 0").groupBy(*KEYS).agg(
-        F.max("missing").alias("ref_missing"), F.expr("percentile(longest, 0.99)").alias("ref_run"), F.expr("percentile(noise, 0.5)").alias("ref_noise"), F.max("spikes").alias("ref_spikes"), F.max("edge_mass").alias("ref_mass")
+        F.max("missing").alias("ref_missing"), F.expr("percentile(longest, 0.99)").alias("ref_run"), F.expr("percentile(noise, 0.5)").alias("ref_noise"), F.max("spikes").alias("ref_spikes"), F.max("edge_mass").alias("ref_mass"),
+        F.min(F.when(F.col("step") > 0, F.col("step"))).alias("least_step"), F.max("step").alias("most_step"),
     )
-    inside = blocks.where("part = 0").groupBy(*KEYS).agg(F.expr("percentile(v, 0.01)").alias("p1"), F.expr("percentile(v, 0.99)").alias("p99"), F.count_distinct("v").alias("distinct"))
-    return base.join(inside, KEYS)
+    inside = blocks.where("part = 0").groupBy(*KEYS).agg(F.expr("percentile(v, 0.01)").alias("p1"), F.expr("percentile(v, 0.99)").alias("p99"), F.count_distinct("v").alias("distinct"), F.count("v").alias("count"))
+    # steps say something where values repeat
+    coarse = (F.col("distinct") > 1) & (F.col("distinct") < F.col("count") / 2)
+    return base.join(inside, KEYS).withColumns({n: F.when(coarse, F.col(n)) for n in ("least_step", "most_step")}).drop("count")
 
 
 def checked(stats: DataFrame, ref: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     """Every block with a statistic, a threshold and a verdict for every check."""
     c = F.col
     level_inside = c("level").between(c("p1"), c("p99"))
+    # how far a block's step size lies outside of the baseline's
+    factor = F.coalesce(F.when(c("step") == 0, 1.0).when(c("step") > c("most_step"), c("step") / c("most_step")).when(c("step") < c("least_step"), c("least_step") / c("step")), F.lit(1.0))
     rules = {
         "dropout": (c("missing"), limits["dropout"] * F.greatest(F.lit(0.01), c("ref_missing")), c("missing") > limits["dropout"] * F.greatest(F.lit(0.01), c("ref_missing"))),
         "dead": (c("longest").cast("double"), limits["dead"] * c("ref_run"), c("longest") > limits["dead"] * c("ref_run")),
@@ -63,7 +70,7 @@ def checked(stats: DataFrame, ref: DataFrame, limits: dict[str, float] = LIMITS)
         "spikes": (c("spikes"), F.greatest(F.lit(limits["spikes"]), 3 * c("ref_spikes")), c("spikes") > F.greatest(F.lit(limits["spikes"]), 3 * c("ref_spikes"))),
         "saturated": (c("edge_mass"), F.greatest(F.lit(limits["saturated"]), 3 * c("ref_mass")), (c("distinct") >= 20) & (c("edge_mass") > F.greatest(F.lit(limits["saturated"]), 3 * c("ref_mass")))),
         "noisy": (c("noise"), limits["noisy"] * c("ref_noise"), (c("noise") > limits["noisy"] * c("ref_noise")) & level_inside),
-        "resolution": (c("levels") / c("n"), F.lit(1 / limits["resolution"]), (c("distinct") >= 20) & (c("levels") / c("n") * limits["resolution"] < F.least(F.lit(1.0), c("distinct") / c("n")))),
+        "resolution": (factor, F.lit(limits["resolution"]), factor > limits["resolution"]),
     }
     rows = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(n).alias("check"), s.alias("statistic"), t.alias("threshold"), F.coalesce(f, F.lit(False)).alias("failed")) for i, (n, (s, t, f)) in enumerate(rules.items())])
     return stats.join(ref, KEYS).select(*KEYS, "part", "block", F.inline(rows))
@@ -81,7 +88,9 @@ def gate(checks: DataFrame) -> DataFrame:
     after = checks.where("part = 1")
     worst = F.when(F.col("statistic") < F.col("threshold"), -1.0).otherwise(1.0) * F.abs(F.log2((F.col("statistic") + 1e-9) / (F.col("threshold") + 1e-9)))
     failed = after.where("failed").withColumn("margin", F.abs(worst))
-    first = failed.groupBy(*KEYS).agg(F.min_by("check", F.struct("order", "block")).alias("health"), F.min("block").alias("from_block"), F.max("margin").alias("margin"), F.count_distinct("block").alias("n_blocks"))
+    # block and margin are those of the reported check alone
+    each = failed.groupBy(*KEYS, "order", "check").agg(F.min("block").alias("from_block"), F.max("margin").alias("margin"), F.count_distinct("block").alias("n_blocks"))
+    first = each.groupBy(*KEYS).agg(F.min_by(F.struct(F.col("check").alias("health"), "from_block", "margin", "n_blocks"), "order").alias("f")).select(*KEYS, "f.*")
     sensors = after.select(*KEYS).distinct()
     return sensors.join(first, KEYS, "left").select(*KEYS, F.coalesce("health", F.lit("healthy")).alias("health"), "from_block", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce(F.least(F.lit(1.0), "margin"), F.lit(1.0)).alias("confidence"))
 

@@ -267,26 +267,29 @@ def best_splits(segments: DataFrame, least: int) -> DataFrame:
     """
     own = Window.partitionBy(*KEYS, "segment")
     upto = own.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    sums = segments.withColumns(
-        {"n1": F.count("*").over(upto), "s1": F.sum("v").over(upto), "q1": F.sum(F.col("v") * F.col("v")).over(upto), "n": F.count("*").over(own), "s": F.sum("v").over(own), "q": F.sum(F.col("v") * F.col("v")).over(own)}
-    )
-    gain = (F.col("s1") * F.col("s1") / F.col("n1")) + (F.col("s") - F.col("s1")) * (F.col("s") - F.col("s1")) / (F.col("n") - F.col("n1")) - F.col("s") * F.col("s") / F.col("n")
+    centred = segments.withColumn("c", F.col("v") - F.avg("v").over(own))  # so that large values don't cancel
+    sums = centred.withColumns({"n1": F.count("*").over(upto), "s1": F.sum("c").over(upto), "n": F.count("*").over(own)})
+    gain = F.col("s1") * F.col("s1") * F.col("n") / (F.col("n1") * (F.col("n") - F.col("n1")))
     cut = sums.where((F.col("n1") >= least) & (F.col("n") - F.col("n1") >= least)).withColumn("gain", gain).withColumn("cut_t", F.col("t") + 1)
-    order = own.orderBy(F.desc(F.round("gain", 6)), "cut_t")
+    order = own.orderBy(F.desc(round_sig(F.col("gain"), 9)), "cut_t")
     return cut.withColumn("place", F.row_number().over(order)).where("place = 1").select(*KEYS, "segment", "cut_t", "gain")
 
 
-def change_points(g: DataFrame, least: int = 12, rounds: int = 6) -> DataFrame:
-    """Binary segmentation, level by level: in every round all segments of all sensors split at once where the gain pays."""
+def change_points(g: DataFrame, least: int = 12) -> DataFrame:
+    """Binary segmentation, level by level: in every round all segments of all sensors split at once where the gain pays, until none does.
+
+    A segment of fewer than twice ``least`` samples can't split, so rounds end.
+    """
     whole = g.where("v is not null")
     scale = noise_level(whole)
     size = whole.groupBy(*KEYS).agg(F.count("*").alias("m"))
     price = scale.join(size, KEYS).select(*KEYS, (2 * F.log(F.col("m").cast("double")) * F.greatest(F.col("noise") * F.col("noise"), F.lit(1e-18))).alias("price"))
     segments, price, found = whole.withColumn("segment", F.col("episode").cast("string")), durable(price), None
-    for _ in range(rounds):
-        paid = best_splits(segments, least).join(price, KEYS).where("gain > price").select(*KEYS, "segment", "cut_t", "gain")
-        paid = durable(paid)
+    while True:
+        paid = durable(best_splits(segments, least).join(price, KEYS).where("gain > price").select(*KEYS, "segment", "cut_t", "gain"))
         found = paid if found is None else found.unionByName(paid)
+        if paid.isEmpty():
+            break
         cuts = paid.drop("gain")
         segments = segments.join(cuts, [*KEYS, "segment"], "inner").withColumn("segment", F.concat("segment", F.when(F.col("t") < F.col("cut_t"), "l").otherwise("r"))).drop("cut_t")
     return found.select(*KEYS, "cut_t", "gain")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as k
+from tideline.operators.kernels import KEYS
 from tideline.session import durable, ship
 
 
@@ -19,16 +20,23 @@ def rank_pairs(g: DataFrame, least: float) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            out: dict[tuple, np.ndarray] = {}
-            for run, cells in zip(batch["run_id"].to_pylist(), batch["cells"].to_pylist()):
-                names = [c["sensor"] for c in cells]
-                x = np.array([c["rank"] for c in cells])
-                for i, a in enumerate(names):
-                    for j in range(i + 1, len(names)):
-                        out.setdefault((run, a, names[j]), np.zeros(6))[:] += (1, x[i], x[j], x[i] * x[i], x[j] * x[j], x[i] * x[j])
-            rows = [(*key, *v.tolist()) for key, v in out.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["run_id", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+            lists = batch["cells"]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            cells = lists.flatten()
+            sensors, column = np.unique(np.array(cells.field("sensor").to_pylist(), object).astype(str), return_inverse=True)
+            runs, run = np.unique(np.array(batch["run_id"].to_pylist(), object).astype(str), return_inverse=True)
+            for k, name in enumerate(runs):
+                mine = run[owner] == k
+                rows = np.unique(owner[mine], return_inverse=True)[1]
+                here, x = np.zeros((2, rows.max() + 1, len(sensors))) if mine.any() else np.zeros((2, 0, len(sensors)))
+                here[rows, column[mine]], x[rows, column[mine]] = 1.0, cells.field("rank").to_numpy(zero_copy_only=False)[mine]
+                # a matrix product for each sum: numbers of steps with both, sums of either, squares of either, products
+                found = {"n": here.T @ here, "sa": x.T @ here, "saa": (x * x).T @ here, "sab": x.T @ x}
+                i, j = np.nonzero(np.triu(found["n"], 1))
+                yield pa.record_batch(
+                    {"run_id": [str(name)] * len(i), "a": sensors[i].tolist(), "b": sensors[j].tolist(), "n": found["n"][i, j], "sa": found["sa"][i, j], "sb": found["sa"][j, i], "saa": found["saa"][i, j], "sbb": found["saa"][j, i], "sab": found["sab"][i, j]},
+                    schema=pa.schema([(c, pa.string()) for c in ("run_id", "a", "b")] + [(c, pa.float64()) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]),
+                )
 
     part = wide.mapInArrow(sums, "run_id string, a string, b string, n double, sa double, sb double, saa double, sbb double, sab double")
     total = part.groupBy("run_id", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
@@ -43,21 +51,24 @@ def lag_edges(g: DataFrame, pairs: DataFrame, most: int, gain: float = 0.02) ->
     flat = k.cross_correlation(g, pairs, 0).select("run_id", "a", "b", F.col("rho").alias("at_zero"))
     led = best.join(flat, ["run_id", "a", "b"]).where(F.abs("best") > F.abs("at_zero") + gain)
     ahead = F.col("lag") > 0
-    return led.select("run_id", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("target"), F.abs("lag").alias("lag"), F.col("best").alias("rho"))
+    return led.select("run_id", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("target"), F.abs("lag").alias("lag"), F.col("best").alias("rho"), "at_zero")
 
 
-def redundancy_groups(pairs: DataFrame, least: float, rounds: int = 20) -> DataFrame:
-    """Connected components over strong pairs, two or more sensors each, by spreading the smallest name."""
+def redundancy_groups(pairs: DataFrame, least: float) -> DataFrame:
+    """Connected components over strong pairs, two or more sensors each: the smallest name spreads until nothing changes.
+
+    A label takes its own sensor's label on the way, so rounds grow with the logarithm of the longest chain.
+    """
     edges = pairs.where(F.abs("rho") >= least).select("run_id", "a", "b")
     both = durable(edges.unionByName(edges.select("run_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.select("run_id", F.col("a").alias("sensor")).distinct().withColumn("label", F.col("sensor"))
-    for _ in range(rounds):
+    label = durable(both.select("run_id", F.col("a").alias("sensor")).distinct().withColumn("label", F.col("sensor")))
+    while True:
         near = both.join(label.withColumnRenamed("sensor", "b"), ["run_id", "b"]).groupBy("run_id", F.col("a").alias("sensor")).agg(F.min("label").alias("near"))
-        after = durable(label.join(near, ["run_id", "sensor"]).withColumn("new", F.least("label", "near")))
+        least_near = label.join(near, ["run_id", "sensor"]).withColumn("next", F.least("label", "near"))
+        after = durable(least_near.join(label.select("run_id", F.col("sensor").alias("next"), F.col("label").alias("further")), ["run_id", "next"]).select("run_id", "sensor", "label", F.least("next", "further").alias("new")))
         label = after.select("run_id", "sensor", F.col("new").alias("label"))
-        if not after.where("new < label").limit(1).count():
-            break
-    return label
+        if after.where("new < label").isEmpty():
+            return label
 
 
 def flow_order(edges: DataFrame) -> DataFrame:
@@ -99,38 +110,68 @@ def peers(pairs: DataFrame, failed: DataFrame, most: int = 5) -> DataFrame:
     return sound.withColumn("place", place).where(F.col("place") <= most).select("run_id", "sensor", "peer", "rho", "place")
 
 
-ROLES = ("state", "counter", "setpoint", "controlled", "redundant", "upstream", "downstream", "actuator")
-
-
-def role_scores(prints: DataFrame, flat: DataFrame, edges: DataFrame, groups: DataFrame, acf: DataFrame) -> DataFrame:
-    """One column of evidence from 0 to 1 for each role."""
-    out_edges = edges.groupBy("run_id", F.col("source").alias("sensor")).agg(F.count("*").alias("leads"))
-    in_edges = edges.groupBy("run_id", F.col("target").alias("sensor")).agg(F.count("*").alias("follows"))
-    keys = ["run_id", "sensor"]
-    x = prints.join(flat.select(*keys, F.col("flat_share").alias("flat")), keys, "left").join(out_edges, keys, "left").join(in_edges, keys, "left").join(groups.select(*keys, F.lit(1.0).alias("grouped")), keys, "left").join(acf, keys, "left")
-    leads, follows = F.coalesce("leads", F.lit(0)), F.coalesce("follows", F.lit(0))
-    total = F.greatest(leads + follows, F.lit(1))
-    spread = (F.col("p99") - F.col("p1")) / F.greatest(F.col("noise"), F.lit(1e-12))
+ROLES = ("setpoint", "controlled", "actuator", "redundant", "upstream", "downstream", "counter", "state")
+#: A role needs this score; an actuator by rule leads with this correlation, and has a partner with that one.
+FLOOR, LEAD_RHO, PARTNER_RHO = 0.3, 0.5, 0.95
+
+
+def range_per_mad(base: DataFrame) -> DataFrame:
+    """The range from p1 to p99 of baseline samples by their scaled MAD, or by the step size where that is 0."""
+    q = k.quantiles(base, {"p1": 0.01, "p99": 0.99}).join(k.mad(base), KEYS).join(k.step_size(base), KEYS)
+    scale = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("step"))
+    return q.select(*KEYS, F.when(scale > 0, (F.col("p99") - F.col("p1")) / scale).otherwise(0.0).alias("range_per_mad"))
+
+
+def role_scores(prints: DataFrame, ranges: DataFrame, edges: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """A score from 0 to 1 for each role of each sensor; a constant sensor has none.
+
+    ``edges`` (source, target, lag, rho at the lag, at_zero) lead; ``pairs`` without an edge are partners at lag 0; ``groups`` are redundant sensors.
+    """
+    c, side = F.col, ["run_id", "sensor"]
+    x = durable(prints.join(ranges, KEYS).withColumn("step_like", c("flat_share") / (1 + F.greatest(F.lit(0), c("n_distinct") - 2) / 8)))
+    both = durable(pairs.select("run_id", "a", "b", "rho").unionByName(pairs.select("run_id", c("b").alias("a"), c("a").alias("b"), "rho")))
+    led = edges.select("run_id", c("source").alias("a"), c("target").alias("b"))
+    lagged = led.unionByName(led.select("run_id", c("b").alias("a"), c("a").alias("b")))
+    like = x.select("run_id", c("sensor").alias("source"), "step_like")
+    into = edges.join(like, ["run_id", "source"]).groupBy("run_id", c("target").alias("sensor")).agg(F.count("*").alias("n_in"), F.max(c("step_like") * c("rho") * c("rho")).alias("tracks"), F.max(c("step_like") * F.abs("rho")).alias("follows"))
+    into = durable(into)
+    out = edges.join(into.select("run_id", c("sensor").alias("target"), "tracks"), ["run_id", "target"]).groupBy("run_id", c("source").alias("sensor"))
+    out = out.agg(F.count("*").alias("n_out"), F.max(F.abs("rho") * c("tracks")).alias("leads"), F.max(F.abs("rho")).alias("tracked"), F.bool_or(F.abs("at_zero") >= LEAD_RHO).alias("led"))
+    own, other = x.select("run_id", c("sensor").alias("a"), c("range_per_mad").alias("ra")), x.select("run_id", c("sensor").alias("b"), c("range_per_mad").alias("rb"))
+    ranged = both.join(own, ["run_id", "a"]).join(other, ["run_id", "b"])
+    # the strongest partner at lag 0 with a narrower range, of a sensor that leads another
+    near = ranged.where((F.abs("rho") >= PARTNER_RHO) & (c("rb") < c("ra"))).join(lagged, ["run_id", "a", "b"], "left_anti").join(out.where("led").select("run_id", c("sensor").alias("a")), ["run_id", "a"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("run_id", "a").orderBy(F.desc(F.round(F.abs("rho"), 9)), "b"))
+    partner = durable(near.withColumn("place", first).where("place = 1").select("run_id", "a", "b", F.abs("rho").alias("score")))
+    acts = partner.select("run_id", c("a").alias("sensor"), c("score").alias("rule_actuator"))
+    held = partner.groupBy("run_id", c("b").alias("sensor")).agg(F.max("score").alias("rule_controlled"))
+    wide, narrow = F.greatest("ra", "rb"), F.least("ra", "rb")
+    grouped = ranged.join(groups.select("run_id", c("sensor").alias("a"), "label"), ["run_id", "a"]).join(groups.select("run_id", c("sensor").alias("b"), "label"), ["run_id", "b", "label"])
+    grouped = grouped.groupBy("run_id", c("a").alias("sensor")).agg(F.max(F.abs("rho") * F.sqrt(F.when(wide > 0, narrow / wide).otherwise(1.0))).alias("agrees"))
+    for part in (into, out, acts, held, grouped):
+        x = x.join(part, side, "left")
+    n_in, n_out, tracks, follows, leads, tracked = (F.coalesce(n, F.lit(0)) for n in ("n_in", "n_out", "tracks", "follows", "leads", "tracked"))
+    degree, steady = n_in + n_out, 1 - c("step_like")
     scores = {
-        "state": F.when(F.col("n_distinct") <= 8, F.col("flat")).otherwise(0.0),
-        "counter": F.col("monotonic_share"),
-        "setpoint": F.when(F.col("n_distinct") <= 20, F.col("flat")).otherwise(0.0) * 0.9,
-        "controlled": F.least(F.lit(1.0), 4 / F.greatest(spread, F.lit(1e-12))) * 0.5,
-        "redundant": F.coalesce("grouped", F.lit(0.0)),
-        "upstream": leads / total * 0.8,
-        "downstream": follows / total * 0.8,
-        "actuator": F.least(F.lit(1.0), F.coalesce("acf_time", F.lit(0)) / 40.0) * 0.4,
+        "setpoint": c("step_like") * tracked,
+        "controlled": F.greatest(tracks * (1 - leads), F.coalesce("rule_controlled", F.lit(0.0))),
+        "actuator": F.greatest(leads * (0.6 + 0.4 * follows) * steady, F.coalesce("rule_actuator", F.lit(0.0))),
+        "redundant": F.coalesce("agrees", F.lit(0.0)),
+        "upstream": F.when(degree > 0, n_out / degree * F.least(F.lit(1.0), n_out / 3) * steady).otherwise(0.0),
+        "downstream": F.when(degree > 0, n_in / degree * F.least(F.lit(1.0), n_in / 3) * (1 - tracks)).otherwise(0.0),
+        "counter": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c("monotonic_share") - 0.5) / 0.5)),
+        "state": F.when(c("n_distinct") == 2, 1.0).when(c("n_distinct") <= 8, c("step_like")).otherwise(0.0) * (1 - tracked),
     }
-    return x.select(*keys, "missing_rate", *[scores[r].cast("double").alias(r) for r in ROLES])
+    return x.select(*side, "missing_rate", *[F.when(c("n_distinct") <= 1, 0.0).otherwise(scores[r]).cast("double").alias(r) for r in ROLES])
 
 
-def assign_roles(scores: DataFrame, least: float = 0.3) -> DataFrame:
-    """The best role if it reaches ``least``; confidence is its lead over the next, less missing samples."""
+def assign_roles(scores: DataFrame, least: float = FLOOR) -> DataFrame:
+    """The best role if it reaches ``least``, ties in the order of ROLES; confidence is its lead over the next, less missing samples."""
     long = scores.unpivot(["run_id", "sensor", "missing_rate"], list(ROLES), "role", "score")
-    order = Window.partitionBy("run_id", "sensor").orderBy(F.desc(F.round("score", 9)), "role")
+    order = Window.partitionBy("run_id", "sensor").orderBy(F.desc(F.round("score", 9)), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")))
     placed = long.withColumns({"place": F.row_number().over(order), "next": F.lead("score").over(order)}).where("place = 1")
-    known = F.col("score") >= least
-    return placed.select("run_id", "sensor", F.when(known, F.col("role")).otherwise("unknown").alias("role"), F.when(known, (F.col("score") - F.col("next")) * (1 - F.col("missing_rate"))).otherwise(0.0).alias("confidence"))
+    confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("score") - F.col("next")) * (1 - F.col("missing_rate"))))
+    return placed.select("run_id", "sensor", F.when(F.col("score") >= least, F.col("role")).otherwise("unknown").alias("role"), confidence.alias("confidence"))
 
 
 def override_roles(roles: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.functions.cleaning import clean_number
 from tideline.operators import components as pc
 from tideline.operators import corpus as c
-from tideline.plans.corpus import CLAIMS, docs, phrases
+from tideline.plans.corpus import CLAIMS, PHRASES, docs, phrases
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
 from tideline.session import shared_path
@@ -69,9 +69,12 @@ def vtt_cues(spark, d):
     return c.cues(vtt)
 
 
-@query("open_questions", f"WITH {CLAIMS} SELECT phrase, CAST(column_id AS BIGINT) AS column_id FROM (VALUES ('idiot', 1), ('clown', 1), ('license', 2), ('released', 2), ('never said', 3)) q(phrase, column_id) WHERE column_id NOT IN (SELECT column_id FROM claims)")
+ASKED = [*PHRASES, ("never said", 4)]
+
+
+@query("open_questions", f"WITH {CLAIMS} SELECT phrase, CAST(column_id AS BIGINT) AS column_id FROM (VALUES " + ", ".join(f"('{a}', {b})" for a, b in ASKED) + ") q(phrase, column_id) WHERE column_id NOT IN (SELECT column_id FROM claims)")
 def open_questions(spark, d):
-    wanted = phrases(spark).unionByName(spark.createDataFrame([("never said", 3)], "phrase string, column_id long"))
+    wanted = spark.createDataFrame(ASKED, "phrase string, column_id long")
     return wanted.join(c.claims(docs(spark, d), phrases(spark)).select("column_id").distinct(), "column_id", "left_anti").select("phrase", "column_id")
 
 

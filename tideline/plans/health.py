@@ -13,7 +13,7 @@ END, SIZE = 240, 32
 
 PLANTED = """, sick AS (
   SELECT run_id, sensor, episode, t, CASE WHEN t < 300 THEN v WHEN sensor = 'price' THEN 53000 WHEN sensor = 'rows' THEN v + (t * 37 % 19 - 9) * 8
-    WHEN sensor = 'quantity' AND t % 3 = 0 THEN NULL WHEN sensor = 'discount' AND t % 9 = 0 THEN v + 5 WHEN sensor = 'tax' THEN round(v, 2) ELSE v END AS v FROM grid
+    WHEN sensor = 'quantity' AND t % 3 = 0 THEN NULL WHEN sensor = 'discount' AND t % 9 = 0 THEN v + 5 WHEN sensor = 'tax' THEN round(v, 3) ELSE v END AS v FROM (SELECT * REPLACE (CASE WHEN sensor = 'tax' THEN round(v, 4) ELSE v END AS v) FROM grid)
 ), parts AS (SELECT *, CASE WHEN t < 240 THEN 0 ELSE 1 END AS part FROM sick
 ), ends AS (SELECT *, min(t) OVER w AS lo, max(t) OVER w AS hi FROM parts WINDOW w AS (PARTITION BY run_id, sensor, episode, part)
 ), blocks AS (SELECT run_id, sensor, episode, t, v, part, lo + least((t - lo) // 32, greatest(1, (hi - lo + 1) // 32) - 1) * 32 AS block FROM ends
@@ -29,17 +29,19 @@ STATS = (
 ), ch AS (SELECT *, CASE WHEN v IS NULL OR lag(v) OVER w IS NULL OR v <> lag(v) OVER w THEN 1 ELSE 0 END AS change FROM blocks WINDOW w AS (PARTITION BY run_id, sensor, part, block ORDER BY t)
 ), il AS (SELECT *, sum(change) OVER (PARTITION BY run_id, sensor, part, block ORDER BY t) AS island FROM ch
 ), lg AS (SELECT run_id, sensor, part, block, max(run) AS longest FROM (SELECT run_id, sensor, part, block, island, count(*) AS run FROM il WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL
+), gp AS (SELECT run_id, sensor, part, block, min(gap) FILTER (WHERE gap > 1e-9 * abs(v)) AS step FROM (SELECT *, v - lag(v) OVER (PARTITION BY run_id, sensor, part, block ORDER BY v) AS gap FROM (SELECT DISTINCT run_id, sensor, part, block, v FROM blocks WHERE v IS NOT NULL)) GROUP BY ALL
 ), stats AS (
-  SELECT run_id, sensor, part, block, n, missing, noise, spikes, level, coalesce(longest, 0) AS longest, coalesce(most / n, 0) AS edge_mass, coalesce(levels, 0) AS levels
-  FROM mid JOIN nz USING (run_id, sensor, part, block) LEFT JOIN mass USING (run_id, sensor, part, block) LEFT JOIN lg USING (run_id, sensor, part, block)
+  SELECT run_id, sensor, part, block, n, missing, noise, spikes, level, coalesce(longest, 0) AS longest, coalesce(most / n, 0) AS edge_mass, coalesce(levels, 0) AS levels, coalesce(step, 0) AS step
+  FROM mid LEFT JOIN gp USING (run_id, sensor, part, block) JOIN nz USING (run_id, sensor, part, block) LEFT JOIN mass USING (run_id, sensor, part, block) LEFT JOIN lg USING (run_id, sensor, part, block)
 )"""
 )
 REFERENCE = (
     STATS
-    + """, base AS (SELECT run_id, sensor, max(missing) AS ref_missing, quantile_cont(longest, 0.99) AS ref_run, median(noise) AS ref_noise, max(spikes) AS ref_spikes, max(edge_mass) AS ref_mass FROM stats WHERE part = 0 GROUP BY ALL
-), inside AS (SELECT run_id, sensor, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, count(DISTINCT v) AS "distinct" FROM blocks WHERE part = 0 GROUP BY ALL
-), ref AS (SELECT * FROM base JOIN inside USING (run_id, sensor))"""
+    + """, base AS (SELECT run_id, sensor, max(missing) AS ref_missing, quantile_cont(longest, 0.99) AS ref_run, median(noise) AS ref_noise, max(spikes) AS ref_spikes, max(edge_mass) AS ref_mass, min(step) FILTER (WHERE step > 0) AS lo_step, max(step) AS hi_step FROM stats WHERE part = 0 GROUP BY ALL
+), inside AS (SELECT run_id, sensor, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, count(DISTINCT v) AS "distinct", count(DISTINCT v) > 1 AND count(DISTINCT v) < count(v) / 2 AS coarse FROM blocks WHERE part = 0 GROUP BY ALL
+), ref AS (SELECT * EXCLUDE (lo_step, hi_step, coarse), CASE WHEN coarse THEN lo_step END AS least_step, CASE WHEN coarse THEN hi_step END AS most_step FROM base JOIN inside USING (run_id, sensor))"""
 )
+FACTOR = "coalesce(CASE WHEN step = 0 THEN 1 WHEN step > most_step THEN step / most_step WHEN step < least_step THEN least_step / step END, 1)"
 CHECKS = {
     "dropout": ("missing", "3 * greatest(0.01, ref_missing)", "missing > 3 * greatest(0.01, ref_missing)"),
     "dead": ("CAST(longest AS DOUBLE)", "3 * ref_run", "longest > 3 * ref_run"),
@@ -47,7 +49,7 @@ CHECKS = {
     "spikes": ("spikes", "greatest(0.02, 3 * ref_spikes)", "spikes > greatest(0.02, 3 * ref_spikes)"),
     "saturated": ("edge_mass", "greatest(0.3, 3 * ref_mass)", '"distinct" >= 20 AND edge_mass > greatest(0.3, 3 * ref_mass)'),
     "noisy": ("noise", "3 * ref_noise", "noise > 3 * ref_noise AND level BETWEEN p1 AND p99"),
-    "resolution": ("levels / n", "0.25", '"distinct" >= 20 AND levels / n * 4 < least(1, "distinct" / n)'),
+    "resolution": (FACTOR, "4", f"{FACTOR} > 4"),
 }
 CHECKED = (
     REFERENCE
@@ -67,13 +69,14 @@ SUPPRESSED = (
 def sick(spark, d):
     g = grid(spark, d)
     late, s, t = F.col("t") >= 300, F.col("sensor"), F.col("t")
+    g = g.withColumn("v", F.when(s == "tax", F.round("v", 4)).otherwise(F.col("v")))
     v = (
         F.when(~late, F.col("v"))
         .when(s == "price", 53000.0)
         .when(s == "rows", F.col("v") + (t * 37 % 19 - 9) * 8)
         .when((s == "quantity") & (t % 3 == 0), None)
         .when((s == "discount") & (t % 9 == 0), F.col("v") + 5)
-        .when(s == "tax", F.round("v", 2))
+        .when(s == "tax", F.round("v", 3))
         .otherwise(F.col("v"))
     )
     return h.with_blocks(g.withColumn("v", v), SIZE, END)
@@ -90,12 +93,12 @@ def health_blocks(spark, d):
     return sick(spark, d).select("run_id", "sensor", "t", "part", "block")
 
 
-@query("health_block_stats", with_grid(STATS + " SELECT * FROM stats"), "missing noise spikes level edge_mass")
+@query("health_block_stats", with_grid(STATS + " SELECT * FROM stats"), "missing noise spikes level edge_mass step")
 def health_block_stats(spark, d):
     return h.block_stats(sick(spark, d))
 
 
-@query("health_reference", with_grid(REFERENCE + " SELECT * FROM ref"), "ref_missing ref_run ref_noise ref_spikes ref_mass p1 p99")
+@query("health_reference", with_grid(REFERENCE + " SELECT * FROM ref"), "ref_missing ref_run ref_noise ref_spikes ref_mass p1 p99 least_step most_step")
 def health_reference(spark, d):
     blocks = sick(spark, d)
     return h.reference(blocks, h.block_stats(blocks))
@@ -120,7 +123,8 @@ def health_plant_wide(spark, d):
     "health_gate",
     with_grid(
         SUPPRESSED
-        + """, bad AS (SELECT run_id, sensor, arg_min("check", "order" * 100000 + block) AS health, min(block) AS from_block, count(DISTINCT block) AS n_blocks, max(abs(log2((statistic + 1e-9) / (threshold + 1e-9)))) AS margin FROM final WHERE part = 1 AND failed GROUP BY ALL)
+        + """, each AS (SELECT run_id, sensor, "order", "check" AS health, min(block) AS from_block, count(DISTINCT block) AS n_blocks, max(abs(log2((statistic + 1e-9) / (threshold + 1e-9)))) AS margin FROM final WHERE part = 1 AND failed GROUP BY ALL
+        ), bad AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY run_id, sensor ORDER BY "order") = 1)
         SELECT s.run_id, s.sensor, coalesce(health, 'healthy') AS health, from_block, coalesce(n_blocks, 0) AS n_blocks, coalesce(least(1, margin), 1) AS confidence FROM (SELECT DISTINCT run_id, sensor FROM final WHERE part = 1) s LEFT JOIN bad USING (run_id, sensor)"""
     ),
     "confidence",

@@ -290,17 +290,17 @@ def stat_block_medians(spark, d):
     "stat_best_split",
     with_grid(
         """, s AS (
-          SELECT run_id, sensor, CAST(episode AS VARCHAR) AS segment, t, count(*) OVER u AS n1, sum(v) OVER u AS s1, count(*) OVER w AS n, sum(v) OVER w AS s
-          FROM grid WHERE v IS NOT NULL WINDOW w AS (PARTITION BY run_id, sensor, episode), u AS (PARTITION BY run_id, sensor, episode ORDER BY t)
-        ), c AS (SELECT run_id, sensor, segment, t + 1 AS cut_t, s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n AS gain FROM s WHERE n1 >= 12 AND n - n1 >= 12
-        ), p AS (SELECT *, row_number() OVER (PARTITION BY run_id, sensor, segment ORDER BY round(gain, 6) DESC, cut_t) AS place FROM c)
-        SELECT run_id, sensor, segment, cut_t, round(gain, 3) AS gain FROM p WHERE place = 1"""
+          SELECT run_id, sensor, CAST(episode AS VARCHAR) AS segment, t, v - avg(v) OVER (PARTITION BY run_id, sensor, episode) AS c FROM grid WHERE v IS NOT NULL
+        ), s2 AS (SELECT *, count(*) OVER u AS n1, sum(c) OVER u AS s1, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY run_id, sensor, segment), u AS (PARTITION BY run_id, sensor, segment ORDER BY t)
+        ), c AS (SELECT run_id, sensor, segment, t + 1 AS cut_t, s1 * s1 * n / (n1 * (n - n1)) AS gain FROM s2 WHERE n1 >= 12 AND n - n1 >= 12
+        ), p AS (SELECT *, row_number() OVER (PARTITION BY run_id, sensor, segment ORDER BY CAST(format('{:.8e}', gain) AS DOUBLE) DESC, cut_t) AS place FROM c)
+        SELECT run_id, sensor, segment, cut_t, CAST(format('{:.6e}', gain) AS DOUBLE) AS gain FROM p WHERE place = 1"""
     ),
     "gain",
 )
 def stat_best_split(spark, d):
     g = grid(spark, d).where("v is not null").withColumn("segment", F.col("episode").cast("string"))
-    return k.best_splits(g, 12).withColumn("gain", F.round("gain", 3))
+    return k.best_splits(g, 12).withColumn("gain", k.round_sig(F.col("gain"), 7))
 
 
 @query("stat_change_points")

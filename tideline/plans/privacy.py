@@ -41,9 +41,17 @@ def leak_scan(spark, d):
     return p.leak_scan(payloads, index(spark, d))
 
 
-@query("name_scan", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS name FROM documents) SELECT doc_id, name, count(*) AS n FROM w WHERE name IN ('license', 'password', 'token', 'clown') GROUP BY ALL")
+NAMES = ("license", "password", "token", "clown", "MIT License", "the Apache License")
+
+
+@query(
+    "name_scan",
+    r"WITH b AS (SELECT doc_id, regexp_replace(text, '\bev-[0-9a-f]{8}-[0-9]{5}\b|\bS[0-9]{2,4}\b', ' ', 'g') AS bare FROM documents), n AS (SELECT unnest(["
+    + ", ".join(f"'{n}'" for n in NAMES)
+    + r"]) AS name) SELECT doc_id, name, CAST(len(regexp_extract_all(bare, '(?i)\b' || name || '\b')) AS BIGINT) AS n FROM b, n WHERE regexp_matches(bare, '(?i)\b' || name || '\b')",
+)
 def name_scan(spark, d):
-    names = spark.createDataFrame([("license",), ("password",), ("token",), ("clown",)], "name string")
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
     return p.name_scan(table(spark, d, "documents"), names)
 
 

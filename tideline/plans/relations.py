@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import kernels as k
 from tideline.operators import relations as r
 from tideline.operators import signals as s
 from tideline.plans.fixtures import grid, with_grid
-from tideline.plans.kernels import ACF, RANKS, held
+from tideline.plans.kernels import RANKS, held
 from tideline.plans.registry import query
 from tideline.plans.signals import FINGER
+from tideline.session import durable
 
 LEAST = 0.1
 #: A delayed copy of ``rows`` and a nearly equal one of ``price`` are planted.
@@ -33,7 +33,7 @@ EDGES = (
   SELECT x.run_id, w.a, w.b, CAST(l.lag AS INTEGER) AS lag, CASE WHEN stddev_pop(x.v) > 1e-12 AND stddev_pop(y.v) > 1e-12 THEN corr(x.v, y.v) ELSE 0 END AS rho
   FROM want w JOIN planted x ON x.sensor = w.a CROSS JOIN range(-6, 7) l(lag) JOIN planted y ON y.sensor = w.b AND y.episode = x.episode AND y.t = x.t + l.lag WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY ALL
 ), best AS (SELECT *, row_number() OVER (PARTITION BY run_id, a, b ORDER BY round(abs(rho), 9) DESC, abs(lag), lag) AS place, max(rho) FILTER (WHERE lag = 0) OVER (PARTITION BY run_id, a, b) AS at_zero FROM lags
-), edges AS (SELECT run_id, CASE WHEN lag > 0 THEN a ELSE b END AS source, CASE WHEN lag > 0 THEN b ELSE a END AS target, abs(lag) AS lag, rho FROM best WHERE place = 1 AND abs(rho) > abs(at_zero) + 0.02)"""
+), edges AS (SELECT run_id, CASE WHEN lag > 0 THEN a ELSE b END AS source, CASE WHEN lag > 0 THEN b ELSE a END AS target, abs(lag) AS lag, rho, at_zero FROM best WHERE place = 1 AND abs(rho) > abs(at_zero) + 0.02)"""
 )
 GROUPS = """, strong AS (SELECT a, b FROM pairs WHERE abs(rho) >= 0.95 UNION ALL SELECT b, a FROM pairs WHERE abs(rho) >= 0.95
 ), reach AS (SELECT a AS sensor, a AS other FROM strong UNION SELECT r.sensor, s.b FROM reach r JOIN strong s ON s.a = r.other
@@ -64,7 +64,7 @@ def relation_pairs(spark, d):
     return r.rank_pairs(planted(spark, d), LEAST)
 
 
-@query("relation_lag_edges", with_grid(EDGES + " SELECT * FROM edges"), "rho")
+@query("relation_lag_edges", with_grid(EDGES + " SELECT * FROM edges"), "rho at_zero")
 def relation_lag_edges(spark, d):
     return edges(spark, d)
 
@@ -95,27 +95,54 @@ def peers_top5(spark, d):
     return r.peers(r.rank_pairs(g, LEAST), g.where("sensor like 'discount%'").select("run_id", "sensor").distinct())
 
 
+BASE_END = 240
 SCORES = (
-    (FINGER + ACF + EDGES.replace("held AS", "held0 AS") + PAIRS.replace(PLANT, "").replace("ranks AS", "pranks AS").replace("FROM ranks a JOIN ranks b", "FROM pranks a JOIN pranks b") + GROUPS)
-    + """, act AS (SELECT run_id, sensor, coalesce(min(lag) FILTER (WHERE acf < exp(-1)), max(lag)) AS acf_time FROM acf GROUP BY ALL
-), lo AS (SELECT source AS sensor, count(*) AS leads FROM edges GROUP BY source), li AS (SELECT target AS sensor, count(*) AS follows FROM edges GROUP BY target
-), x AS (SELECT q.*, noise, flat_share, monotonic_share, coalesce(leads, 0) AS leads, coalesce(follows, 0) AS follows, CASE WHEN groups.sensor IS NULL THEN 0 ELSE 1 END AS grouped, acf_time
-  FROM q JOIN noise USING (run_id, sensor) JOIN r USING (run_id, sensor) JOIN m USING (run_id, sensor) LEFT JOIN lo USING (sensor) LEFT JOIN li USING (sensor) LEFT JOIN groups ON groups.sensor = q.sensor LEFT JOIN act ON act.sensor = q.sensor
-), scores AS (SELECT run_id, sensor, missing_rate, CAST(CASE WHEN n_distinct <= 8 THEN flat_share ELSE 0 END AS DOUBLE) AS state, CAST(monotonic_share AS DOUBLE) AS counter, CAST(CASE WHEN n_distinct <= 20 THEN flat_share ELSE 0 END * 0.9 AS DOUBLE) AS setpoint,
-  CAST(least(1, 4 / greatest((p99 - p1) / greatest(noise, 1e-12), 1e-12)) * 0.5 AS DOUBLE) AS controlled, CAST(grouped AS DOUBLE) AS redundant, CAST(leads / greatest(leads + follows, 1) * 0.8 AS DOUBLE) AS upstream,
-  CAST(follows / greatest(leads + follows, 1) * 0.8 AS DOUBLE) AS downstream, CAST(least(1, coalesce(acf_time, 0) / 40) * 0.4 AS DOUBLE) AS actuator FROM x)"""
+    (EDGES + FINGER.replace("FROM grid", "FROM planted") + PAIRS.replace(PLANT, "") + GROUPS)
+    + f""", bq AS (SELECT run_id, sensor, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS spread, median(v) AS med FROM planted WHERE t < {BASE_END} GROUP BY ALL
+), bm AS (SELECT run_id, sensor, spread, 1.4826 * median(abs(v - med)) AS mad FROM planted JOIN bq USING (run_id, sensor) WHERE t < {BASE_END} GROUP BY ALL
+), bs AS (SELECT run_id, sensor, coalesce(min(gap) FILTER (WHERE gap > 1e-9 * abs(v)), 0) AS step FROM (SELECT *, v - lag(v) OVER (PARTITION BY run_id, sensor ORDER BY v) AS gap FROM (SELECT DISTINCT run_id, sensor, v FROM planted WHERE v IS NOT NULL AND t < {BASE_END})) GROUP BY ALL
+), f AS (SELECT q.*, flat_share, monotonic_share, flat_share / (1 + greatest(0, n_distinct - 2) / 8) AS step_like, CASE WHEN mad > 0 THEN spread / mad WHEN step > 0 THEN spread / step ELSE 0 END AS rpm
+  FROM q JOIN r USING (run_id, sensor) JOIN m USING (run_id, sensor) JOIN bm USING (run_id, sensor) JOIN bs USING (run_id, sensor)
+), i AS (SELECT e.target AS sensor, count(*) AS n_in, max(step_like * e.rho * e.rho) AS tracks, max(step_like * abs(e.rho)) AS follows FROM edges e JOIN f ON f.sensor = e.source GROUP BY e.target
+), o AS (SELECT e.source AS sensor, count(*) AS n_out, max(abs(e.rho) * coalesce(tracks, 0)) AS leads, max(abs(e.rho)) AS tracked, bool_or(abs(e.at_zero) >= 0.5) AS led FROM edges e LEFT JOIN i ON i.sensor = e.target GROUP BY e.source
+), ways AS (SELECT a, b, rho FROM pairs UNION ALL SELECT b, a, rho FROM pairs
+), flat AS (SELECT * FROM ways WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.source = a AND e.target = b) OR (e.source = b AND e.target = a))
+), act AS (SELECT * FROM (SELECT flat.a, flat.b, abs(flat.rho) AS score, row_number() OVER (PARTITION BY flat.a ORDER BY round(abs(flat.rho), 9) DESC, flat.b) AS place
+  FROM flat JOIN f x ON x.sensor = flat.a JOIN f y ON y.sensor = flat.b JOIN o ON o.sensor = flat.a WHERE o.led AND abs(flat.rho) >= 0.95 AND y.rpm < x.rpm) WHERE place = 1
+), con AS (SELECT b AS sensor, max(score) AS score FROM act GROUP BY b
+), agr AS (SELECT ways.a AS sensor, max(abs(ways.rho) * sqrt(CASE WHEN greatest(x.rpm, y.rpm) > 0 THEN least(x.rpm, y.rpm) / greatest(x.rpm, y.rpm) ELSE 1 END)) AS score
+  FROM ways JOIN groups ga ON ga.sensor = ways.a JOIN groups gb ON gb.sensor = ways.b AND gb.label = ga.label JOIN f x ON x.sensor = ways.a JOIN f y ON y.sensor = ways.b GROUP BY ways.a
+), y AS (SELECT f.*, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(tracks, 0) AS tracks, coalesce(follows, 0) AS follows, coalesce(leads, 0) AS leads, coalesce(tracked, 0) AS tracked, coalesce(con.score, 0) AS rc, coalesce(act.score, 0) AS ra, coalesce(agr.score, 0) AS agrees
+  FROM f LEFT JOIN i USING (sensor) LEFT JOIN o USING (sensor) LEFT JOIN con USING (sensor) LEFT JOIN act ON act.a = f.sensor LEFT JOIN agr ON agr.sensor = f.sensor
+), scores AS (SELECT run_id, sensor, missing_rate, {{}} FROM y)"""
 )
-ROLES = """, long AS (UNPIVOT scores ON state, counter, setpoint, controlled, redundant, upstream, downstream, actuator INTO NAME role VALUE score
-), placed AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM long WINDOW w AS (PARTITION BY run_id, sensor ORDER BY round(score, 9) DESC, role)
-), roles AS (SELECT run_id, sensor, CASE WHEN score >= 0.3 THEN role ELSE 'unknown' END AS role, CASE WHEN score >= 0.3 THEN (score - nxt) * (1 - missing_rate) ELSE 0 END AS confidence FROM placed WHERE place = 1)"""
+SCORES = SCORES.format(
+    ", ".join(
+        f"CAST(CASE WHEN n_distinct <= 1 THEN 0 ELSE {formula} END AS DOUBLE) AS {role}"
+        for role, formula in {
+            "setpoint": "step_like * tracked",
+            "controlled": "greatest(tracks * (1 - leads), rc)",
+            "actuator": "greatest(leads * (0.6 + 0.4 * follows) * (1 - step_like), ra)",
+            "redundant": "agrees",
+            "upstream": "CASE WHEN n_in + n_out > 0 THEN n_out / (n_in + n_out) * least(1, n_out / 3) * (1 - step_like) ELSE 0 END",
+            "downstream": "CASE WHEN n_in + n_out > 0 THEN n_in / (n_in + n_out) * least(1, n_in / 3) * (1 - tracks) ELSE 0 END",
+            "counter": "least(1, greatest(0, (monotonic_share - 0.5) / 0.5))",
+            "state": "CASE WHEN n_distinct = 2 THEN 1 WHEN n_distinct <= 8 THEN step_like ELSE 0 END * (1 - tracked)",
+        }.items()
+    )
+)
+ROLES = """, long AS (UNPIVOT scores ON setpoint, controlled, actuator, redundant, upstream, downstream, counter, state INTO NAME role VALUE score
+), placed AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM long WINDOW w AS (PARTITION BY run_id, sensor ORDER BY round(score, 9) DESC, list_position(['setpoint', 'controlled', 'actuator', 'redundant', 'upstream', 'downstream', 'counter', 'state'], role))
+), roles AS (SELECT run_id, sensor, CASE WHEN score >= 0.3 THEN role ELSE 'unknown' END AS role, least(1, greatest(0, (score - nxt) * (1 - missing_rate))) AS confidence FROM placed WHERE place = 1)"""
 
 
 def scores(spark, d):
-    g, base = planted(spark, d), grid(spark, d)
-    return r.role_scores(s.fingerprint(base, held(base)), s.flat_share(held(base)), edges(spark, d), r.redundancy_groups(r.rank_pairs(g, LEAST), 0.95), k.acf_time(k.autocorrelation(base, 40)))
+    g = durable(planted(spark, d))
+    pairs = durable(r.rank_pairs(g, LEAST))
+    return r.role_scores(s.fingerprint(g, held(g)), r.range_per_mad(g.where(F.col("t") < BASE_END)), durable(r.lag_edges(g, wanted(g), 6)), pairs, r.redundancy_groups(pairs, 0.95))
 
 
-@query("role_scores", with_grid(SCORES + " SELECT * FROM scores").replace("WITH ", "WITH RECURSIVE ", 1), "missing_rate state counter setpoint controlled redundant upstream downstream actuator")
+@query("role_scores", with_grid(SCORES + " SELECT * FROM scores").replace("WITH ", "WITH RECURSIVE ", 1), "missing_rate setpoint controlled actuator redundant upstream downstream counter state")
 def role_scores(spark, d):
     return scores(spark, d)
 
