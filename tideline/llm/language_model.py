@@ -38,6 +38,8 @@ ROOM, PROBES = 12, 4
 BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 1_000_000, 200_000, 32_000_000, 16_000_000
 LEAST_SHARDS = 32
 WORD_SEED = 42
+#: Bits of a pair's hash that are left out; the others tell 10^12 pairs apart but for one in 300.
+SPARE = 16
 #: What a shard says of itself, in one of its rows: tokens and distinct words of training, distinct pairs asked for, those with a wrong level, bits.
 TOTALS = ("n_tokens", "n_words", "n_pairs", "n_wrong", "bits")
 END, BEGIN = b"", b" "
@@ -135,7 +137,8 @@ def pairs_of(words: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np
     before[starts] = np.searchsorted(words, end)
     hashes = words[before]
     hashes[starts] = begin
-    keys, at, pair = np.unique(mixed(mixed(hashes, 1) + words[word], 2), return_index=True, return_inverse=True)
+    whole = mixed(mixed(hashes, 1) + words[word], 2) >> np.uint64(SPARE) << np.uint64(SPARE)
+    keys, at, pair = np.unique(whole, return_index=True, return_inverse=True)
     return keys, before[at], word[at], pair
 
 
@@ -250,14 +253,16 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     others = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text])
     kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "own_words", "word", "sizes")], ("rest", T.ArrayType(others))]
     blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot), fields(*kinds)))  # written once, so that a block keeps its texts
-    asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen")
+    # as many partitions as data, so that a task sees a few shards or blocks, one after another
+    asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen").repartition(shards, "shard")
     answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, " + ", ".join(f"{n} long" for n in TOTALS)))
     total, distinct, pairs, wrong, bits = answers.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
     LOG.info("%d bits of filters; %d of %d distinct pairs have a wrong level", bits, wrong, pairs)
     own = blocks.where("shard < 0").select("block", "own_words", "word", "sizes", "rest")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     schema = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)])
-    scored = own.groupBy("block").cogroup(answers.select("block", "shard", "levels", "counts").groupBy("block")).applyInArrow(score_block(kept, total, distinct), schema)
+    told = answers.select("block", "shard", "levels", "counts").repartition(shards, "block")
+    scored = own.repartition(shards, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block(kept, total, distinct), schema)
     return scored.withColumnRenamed("scored_", free_name(docs, into))
 
 
