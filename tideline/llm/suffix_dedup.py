@@ -37,9 +37,9 @@ from tideline.llm.common import cut, documents, free_name, small_batches, stored
 LENGTH, GRAM = 200, 32
 FILTER_BITS, FILTER_SHARDS = 1 << 28, 256
 #: An anchor with more occurrences than this, and than one of so many parts of all anchors, is a crowd.
-CROWD, CROWD_PARTS = 1 << 12, 1 << 20
+CROWD, CROWD_PARTS = 1 << 14, 1 << 20
 #: Distinct stretches of a crowd in one suffix array.
-CHUNK = 1 << 11
+CHUNK = 1 << 13
 #: A stretch in more rows than this, and than one of so many parts of all rows, is told to its places by a broadcast.
 HOT, HOT_PARTS = 1 << 10, 1 << 16
 #: A text with more copies than this, and than one of so many parts of all texts, is read in one of its copies only.
