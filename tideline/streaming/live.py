@@ -5,15 +5,13 @@ Late rows beyond the watermark are dropped; a batch run over all files is what c
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import ship
+from tideline.session import shared_path, ship
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +24,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that has landed, and returns what it put out, stored in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     if mode == "append":
         run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     else:
