@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: The SimHash, the mix's draws and the packing have no SQL form; the tests hold the pipeline against brute force.
+#: The SimHash, the mix's draws and the packing have no SQL form; the tests hold each stage against its operator, and the operators against brute force.
 ORACLE_SQL = None
 
 
