@@ -94,9 +94,9 @@ def driver_groups(found: DataFrame, relations: DataFrame, n: int, n_sensors: int
     group = Window.partitionBy("run_id", "label")
     mixed = F.bool_or("source").over(group) & F.bool_or(~F.col("source")).over(group)
     split = grouped.withColumn("apart", mixed & F.col("source"))
-    out = split.groupBy("run_id", "label", "apart").agg(F.array_join(F.sort_array(F.collect_list("sensor")), ",").alias("drivers"), F.min("onset").alias("onset"))
+    out = split.groupBy("run_id", "label", "apart").agg(F.sort_array(F.collect_list("sensor")).alias("members"), F.min("onset").alias("onset")).withColumn("drivers", F.array_join("members", ","))
     order = Window.partitionBy("run_id").orderBy("onset", "drivers")
-    return out.withColumn("until", F.coalesce(F.lead("onset").over(order), F.lit(n))).select("run_id", "drivers", "onset", "until")
+    return out.withColumn("until", F.coalesce(F.lead("onset").over(order), F.lit(n))).select("run_id", "members", "drivers", "onset", "until")
 
 
 def level_dependence(dev: DataFrame, start: int) -> DataFrame:

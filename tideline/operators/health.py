@@ -19,7 +19,7 @@ def block_size(n: Column) -> Column:
     return F.greatest(F.lit(64), F.least(F.lit(1024), F.expr("n div 64")))
 
 
-def with_blocks(g: DataFrame, size: int, baseline_end: int) -> DataFrame:
+def with_blocks(g: DataFrame, size: int, baseline_end: int | Column) -> DataFrame:
     """Blocks tile each episode, split where the baseline ends; the last tile of a part takes the rest."""
     part = F.when(F.col("t") < baseline_end, 0).otherwise(1)
     own = Window.partitionBy(*KEYS, "episode", "part")

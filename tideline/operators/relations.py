@@ -45,6 +45,47 @@ def rank_pairs(g: DataFrame, least: float) -> DataFrame:
     return total.withColumn("rho", rho).where(F.abs("rho") >= least).select("run_id", "a", "b", F.col("n").cast("long").alias("n"), "rho")
 
 
+#: Time steps that one task takes for lagged sums.
+SPAN = 2048
+
+
+def lagged_pairs(g: DataFrame, most: int) -> DataFrame:
+    """``run_id, a, b, lag, rho_at_lag, at_zero``: the best lag of b behind a for every pair of sensors of a run, as ``cross_correlation`` finds it, from block sums.
+
+    Steps are dealt in spans, and a span takes the ``most`` steps after it too, so a task holds ``SPAN + most`` steps of a run's sensors. It gives
+    sums by pair and lag as matrix products; only those are shuffled.
+    """
+    ship(g.sparkSession)
+    span = F.floor(F.col("t") / SPAN)
+    spans = F.when(F.pmod(F.col("t"), F.lit(SPAN)) < most, F.array(span, span - 1)).otherwise(F.array(span))
+    dealt = k.standardised(g.where("v is not null")).select("run_id", "episode", "sensor", "t", "v", F.explode(spans).alias("span"))
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        sensors, column = np.unique(rows["sensor"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        here, x = np.zeros((2, SPAN + most, len(sensors)))
+        step = rows["t"].to_numpy() - rows["span"].iloc[0] * SPAN
+        here[step, column], x[step, column] = 1.0, rows["v"].to_numpy()
+        parts = []
+        for lag in range(most + 1):
+            u, hu, w, hw = x[:SPAN], here[:SPAN], x[lag : SPAN + lag], here[lag : SPAN + lag]
+            n = hu.T @ hw
+            i, j = np.nonzero(np.triu(n, 1) if lag == 0 else n - np.diag(np.diag(n)))
+            found = {"n": n, "su": u.T @ hw, "sw": hu.T @ w, "suu": (u * u).T @ hw, "sww": hu.T @ (w * w), "suw": u.T @ w}
+            flip = i > j
+            parts.append(pd.DataFrame({"a": sensors[np.where(flip, j, i)], "b": sensors[np.where(flip, i, j)], "lag": np.where(flip, -lag, lag), **{c: m[i, j] for c, m in found.items()}}))
+        return pd.concat(parts).assign(run_id=rows["run_id"].iloc[0])[["run_id", "a", "b", "lag", *LAG_SUMS]]
+
+    part = dealt.groupBy("run_id", "episode", "span").applyInPandas(sums, "run_id string, a string, b string, lag int, " + ", ".join(f"{c} double" for c in LAG_SUMS))
+    total = part.groupBy("run_id", "a", "b", "lag").agg(*[F.sum(c).alias(c) for c in LAG_SUMS])
+    vu, vw = F.col("suu") - F.col("su") * F.col("su") / F.col("n"), F.col("sww") - F.col("sw") * F.col("sw") / F.col("n")
+    rho = F.when((vu > 1e-9) & (vw > 1e-9), (F.col("suw") - F.col("su") * F.col("sw") / F.col("n")) / F.sqrt(vu * vw)).otherwise(0.0)
+    best = F.struct(F.round(F.abs("rho"), 9), -F.abs("lag"), -F.col("lag"))
+    return total.withColumn("rho", rho).groupBy("run_id", "a", "b").agg(F.max_by("lag", best).alias("lag"), F.max_by("rho", best).alias("rho_at_lag"), F.coalesce(F.max(F.when(F.col("lag") == 0, F.col("rho"))), F.lit(0.0)).alias("at_zero"))
+
+
+LAG_SUMS = ("n", "su", "sw", "suu", "sww", "suw")
+
+
 def lag_edges(g: DataFrame, pairs: DataFrame, most: int, gain: float = 0.02) -> DataFrame:
     """Pairs whose best lag beats lag 0; the edge goes from the leading sensor to the following one."""
     best = k.cross_correlation(g, pairs, most).withColumnRenamed("rho", "best")
@@ -103,11 +144,13 @@ def _cycle(links: list[tuple]) -> list[tuple]:
 
 
 def peers(pairs: DataFrame, failed: DataFrame, most: int = 5) -> DataFrame:
-    """The strongest neighbours of each sensor, failed sensors left out."""
-    both = pairs.select("run_id", F.col("a").alias("sensor"), F.col("b").alias("peer"), "rho").unionByName(pairs.select("run_id", F.col("b").alias("sensor"), F.col("a").alias("peer"), "rho"))
+    """The strongest neighbours of each sensor, failed sensors left out; where ``pairs`` has a lag (of b behind a), it is that of the sensor behind its peer."""
+    lag = ["lag"] if "lag" in pairs.columns else []
+    sides = (pairs.select("run_id", F.col(x).alias("sensor"), F.col(y).alias("peer"), "rho", *[(sign * F.col(c)).alias(c) for c in lag]) for x, y, sign in (("a", "b", -1), ("b", "a", 1)))
+    both = next(sides).unionByName(next(sides))
     sound = both.join(failed.select("run_id", F.col("sensor").alias("peer")), ["run_id", "peer"], "left_anti")
     place = F.row_number().over(Window.partitionBy("run_id", "sensor").orderBy(F.desc(F.round(F.abs("rho"), 9)), "peer"))
-    return sound.withColumn("place", place).where(F.col("place") <= most).select("run_id", "sensor", "peer", "rho", "place")
+    return sound.withColumn("place", place).where(F.col("place") <= most).select("run_id", "sensor", "peer", "rho", *lag, "place")
 
 
 ROLES = ("setpoint", "controlled", "actuator", "redundant", "upstream", "downstream", "counter", "state")

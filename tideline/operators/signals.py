@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import health, kernels as k
@@ -95,14 +95,13 @@ def override_baseline(chosen: DataFrame, wanted: DataFrame, lo: int, hi: int) ->
     return chosen.join(wanted, "run_id", "left").select("run_id", F.greatest(F.lit(lo), F.coalesce("a", "from")).alias("from"), F.least(F.lit(hi), F.coalesce("b", "to")).alias("to"))
 
 
-def bound_by_health(g: DataFrame, end: int, size: int) -> DataFrame:
-    """A baseline ends before a sensor that fails a check from inside it to the end of the grid."""
-    early = F.lit(end) - (end // 2)
-    blocks = health.with_blocks(g, size, end // 2)
+def bound_by_health(g: DataFrame, end: int | Column, size: int) -> DataFrame:
+    """A baseline from 0 to ``end`` (a number, or a column of ``g`` with one value for each run) ends before a sensor that fails a check from inside it to the end of the grid."""
+    ends = g.groupBy("run_id").agg(F.max(F.lit(end).cast("long")).alias("end"))
+    blocks = health.with_blocks(g, size, F.floor(F.lit(end) / 2))
     stats = health.block_stats(blocks)
     failed = health.checked(stats, health.reference(blocks, stats)).where("part = 1").groupBy(*KEYS, "block").agg(F.bool_or("failed").alias("bad"))
     w = Window.partitionBy(*KEYS).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
     tail = failed.withColumn("all_bad", F.bool_and("bad").over(w)).where("all_bad").groupBy(*KEYS).agg(F.min("block").alias("from_block"))
-    cut = tail.where((F.col("from_block") >= early) & (F.col("from_block") < end))
-    runs = g.select("run_id").distinct()
-    return runs.join(cut.groupBy("run_id").agg(F.min("from_block").alias("cut")), "run_id", "left").select("run_id", F.coalesce("cut", F.lit(end).cast("long")).alias("to"))
+    cut = tail.join(ends, "run_id").where("from_block >= end - end div 2 and from_block < end")
+    return ends.join(cut.groupBy("run_id").agg(F.min("from_block").alias("cut")), "run_id", "left").select("run_id", F.coalesce("cut", "end").alias("to"))

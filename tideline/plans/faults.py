@@ -51,7 +51,7 @@ def drivers_and_sources(spark, d):
 @query("driver_groups", with_grid(MOVING + REL_SQL + GROUPED + f" SELECT run_id, drivers, onset, coalesce(lead(onset) OVER (PARTITION BY run_id ORDER BY onset, drivers), {N}) AS until FROM gr").replace("WITH ", "WITH RECURSIVE ", 1))
 def driver_groups(spark, d):
     m = moving(spark, d)
-    return f.driver_groups(f.drivers(m).where("driver").withColumn("reach", F.lit(REACH)), relations(m), N, N_SENSORS)
+    return f.driver_groups(f.drivers(m).where("driver").withColumn("reach", F.lit(REACH)), relations(m), N, N_SENSORS).drop("members")
 
 
 @query("control_loop", with_grid(MOVING + REL_SQL + ROLE_SQL + """, held AS (SELECT f.run_id, f.sensor AS actuator, min(e.target) AS controlled FROM found f JOIN roles r ON r.sensor = f.sensor AND r.role = 'actuator' JOIN lead_to e ON e.source = f.sensor JOIN roles c ON c.sensor = e.target AND c.role = 'controlled' JOIN mv ON mv.sensor = e.target AND NOT mv.drifting WHERE f.driver GROUP BY ALL
