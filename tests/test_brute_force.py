@@ -11,6 +11,7 @@ import pytest
 from tideline.operators import corpus, privacy, relations
 from tideline.operators.corpus import best_dice
 from tideline.plans import fixtures, registry
+from tideline.streaming import live
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
@@ -144,14 +145,39 @@ def test_log_chain_links_every_row(spark):
             before = own
 
 
-def test_stream_cusum_equals_the_fold(spark):
+def fold(rows, slack=0.5):
+    """The plain CUSUM, begun anew with each week."""
+    up = down = 0.0
+    week = None
+    for r in rows.itertuples():
+        if r.episode != week:
+            up, down, week = 0.0, 0.0, r.episode
+        if r.z == r.z:
+            up, down = max(0.0, up + r.z - slack), max(0.0, down - r.z - slack)
+    return up, down
+
+
+def test_stream_cusum_equals_the_fold(spark, tmp_path):
+    events = read("events").sort_values(["ts", "event_id"])
+    events["episode"] = events["ts"].astype("datetime64[us]").astype("int64") // 604_800_000_000
+    events["z"] = (events["value"] - 50) / 25
     ours = QUERIES["stream_cusum"](spark, DATA).toPandas().set_index("event_type")
-    for kind, rows in read("events").sort_values(["ts", "event_id"]).groupby("event_type"):
-        up = down = 0.0
-        for v in (rows["value"] - 50) / 25:
-            up, down = max(0.0, up + v - 0.5), max(0.0, down - v - 0.5)
+    for kind, rows in events.groupby("event_type"):
+        up, down = fold(rows)
         assert ours.loc[kind, "n"] == len(rows)
         assert ours.loc[kind, "up"] == pytest.approx(up, abs=1e-5) and ours.loc[kind, "down"] == pytest.approx(down, abs=1e-5)
+    # the same in five batches that land one after the other, with a missing value and a null
+    rows = events[["event_type", "episode", "event_id", "ts", "z"]].copy()
+    rows.iloc[7, 4], rows.iloc[9, 4] = float("nan"), None
+    for k in range(5):
+        part = rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5]
+        frame = spark.createDataFrame(part)
+        frame.withColumn("ts", frame["ts"].cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+    schema = spark.read.parquet(f"{tmp_path}/landed").schema
+    many = live.cusum_states(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landed"), 0.5).toPandas().set_index("event_type")
+    for kind, part in rows.groupby("event_type"):
+        up, down = fold(part)
+        assert many.loc[kind, "n"] == len(part) and many.loc[kind, "up"] == pytest.approx(up, abs=1e-5) and many.loc[kind, "down"] == pytest.approx(down, abs=1e-5)
 
 
 def test_embeddings_are_hashed_trigrams_of_unit_length(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans.fixtures import table
 from tideline.plans.registry import query
+from tideline.session import shared_path
 from tideline.streaming import live
 
 
@@ -14,32 +15,44 @@ def events(spark, d):
     return stream.withColumns({"ts": F.col("ts").cast("timestamp"), "cents": F.round(F.col("value") * 100).cast("long")})
 
 
-@query("stream_tumbling", "SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL")
+#: Windows come out when the newest event is this far past their end.
+LATE = "2 hours"
+DONE = "(SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+
+
+@query("stream_tumbling", f"SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events WHERE time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE <= {DONE} GROUP BY ALL")
 def stream_tumbling(spark, d):
-    return live.to_table(live.tumbling(events(spark, d), 60, "2 hours"), "complete")
+    return live.to_table(live.tumbling(events(spark, d), 60, LATE))
 
 
 @query(
     "stream_sliding",
-    "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k.k * INTERVAL 15 MINUTE AS start, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events CROSS JOIN range(4) k(k) GROUP BY ALL",
+    f"SELECT * FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k.k * INTERVAL 15 MINUTE AS start, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events CROSS JOIN range(4) k(k) GROUP BY ALL) WHERE start + INTERVAL 60 MINUTE <= {DONE}",
 )
 def stream_sliding(spark, d):
-    return live.to_table(live.sliding(events(spark, d), 60, 15, "2 hours"), "complete")
+    return live.to_table(live.sliding(events(spark, d), 60, 15, LATE))
 
 
 @query(
     "stream_sessions",
-    """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m)
-    SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, k""",
+    f"""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= {DONE}""",
 )
 def stream_sessions(spark, d):
-    return live.to_table(live.user_sessions(events(spark, d), "30 minutes", "2 hours"), "complete")
+    return live.to_table(live.user_sessions(events(spark, d), "30 minutes", LATE))
 
 
-@query("stream_cusum")
+@query(
+    "stream_cusum",
+    """WITH e AS (SELECT event_type, ts, event_id, (value - 50) / 25 AS z, epoch_us(ts) // 604800000000 AS week FROM events), l AS (SELECT *, max(week) OVER (PARTITION BY event_type) AS last FROM e
+    ), s AS (SELECT event_type, week = last AS own, sum(coalesce(z - 0.5, 0)) OVER w AS up, sum(coalesce(-z - 0.5, 0)) OVER w AS down FROM l WINDOW w AS (PARTITION BY event_type, week ORDER BY ts DESC, event_id DESC))
+    SELECT event_type, greatest(0, max(up) FILTER (WHERE own)) AS up, greatest(0, max(down) FILTER (WHERE own)) AS down, count(*) AS n FROM s GROUP BY event_type""",
+    "up down",
+)
 def stream_cusum(spark, d):
-    z = events(spark, d).withColumn("z", (F.col("value") - 50) / 25).select("event_type", "event_id", "ts", "z")
-    return live.to_table(live.cusum_states(z, 0.5), "update")
+    """The sums begin anew with each week."""
+    z = events(spark, d).select("event_type", F.expr("unix_micros(ts) div 604800000000").alias("episode"), "event_id", "ts", ((F.col("value") - 50) / 25).alias("z"))
+    return live.cusum_states(z, 0.5)
 
 
 @query(
@@ -56,3 +69,29 @@ def stream_scored(spark, d):
 def stream_deduplicated(spark, d):
     again = events(spark, d)
     return live.to_table(live.deduplicated(again.unionByName(again), ["event_id"], "40 days").select("event_id", "user_id", "event_type"))
+
+
+def fed(spark, d, run):
+    """Messages land in two parts, the second with older ones among them; ``run`` takes the stream after each part."""
+    path = shared_path(spark, "feed")
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("channel"), F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("body"), (F.col("event_id") % 5 == 0).alias("deleted"), "ts")
+    for part in (F.col("version") % 3 != 0, F.col("version") % 3 == 0):
+        rows.where(part).write.mode("append").parquet(f"{path}/landed")
+        run(spark.readStream.schema(rows.schema).parquet(f"{path}/landed"), path)
+    return path
+
+
+@query("stream_feed", "SELECT id, channel, version, body FROM (SELECT user_id AS id, user_id % 4 AS channel, max(event_id) AS version, arg_max(event_type, event_id) AS body FROM events GROUP BY user_id) WHERE version % 5 <> 0")
+def stream_feed(spark, d):
+    """What two arrivals leave: the newest version of each message, without the deleted ones."""
+    return live.newest(spark, f"{fed(spark, d, live.feed)}/messages").where("not deleted").select("id", "channel", "version", "body")
+
+
+@query(
+    "stream_feed_cursors",
+    """WITH e AS (SELECT user_id % 4 AS channel, ts, event_id % 3 <> 0 AS early FROM events), c AS (SELECT channel, max(ts) AS first FROM e WHERE early GROUP BY channel)
+    SELECT channel, max(ts) AS "cursor", count(*) AS n, count(*) FILTER (WHERE NOT early AND ts < first - INTERVAL 2 HOUR) AS late FROM e LEFT JOIN c USING (channel) GROUP BY channel""",
+)
+def stream_feed_cursors(spark, d):
+    """The cursor of each channel after two arrivals, and how many rows came late."""
+    return live.newest(spark, f"{fed(spark, d, lambda stream, path: live.cursors(stream, path, 7200))}/cursors")

@@ -1,17 +1,16 @@
 """Structured Streaming forms of the batch operators, over files as they land.
 
-Late rows beyond the watermark are dropped; a batch run over all files is what counts.
+Windows come out once the watermark has passed them; rows that come later are dropped, and ``cursors`` counts them. A batch run over all files is what counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.session import shared_path, ship
+from tideline.session import shared_path
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +50,75 @@ def user_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return by.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+#: Minutes of events that one window takes when CUSUM sums are computed.
+STRETCH = 60
+
+
+def stretches(events: DataFrame, slack: float) -> DataFrame:
+    """``event_type, episode, ts, event_id, z`` to the total of either CUSUM side and its largest tail, for each stretch of time; missing values add nothing.
+
+    S = max(0, S + z - slack) over a stretch is max(S + total, tail), so stretches are computed apart and a hot key is spread over them.
+    """
+    by = ["event_type", "episode", "stretch"]
+    own = Window.partitionBy(*by).orderBy("ts", "event_id")
+    rows, totals = events.withColumn("stretch", F.expr(f"unix_micros(ts) div {STRETCH * 60_000_000}")), [F.count("*").alias("n")]
+    for side, sign in (("up", 1), ("down", -1)):
+        rows = rows.withColumn(side, F.coalesce(F.when(~F.isnan("z"), sign * F.col("z") - slack), F.lit(0.0)))
+        # a tail is the total less the running sum before it; the empty tail is 0
+        rows = rows.withColumn(f"{side}_before", F.sum(side).over(own) - F.col(side))
+        totals += [F.sum(side).alias(f"{side}_total"), F.greatest(F.lit(0.0), F.sum(side) - F.min(f"{side}_before")).alias(f"{side}_tail")]
+    return rows.groupBy(*by).agg(*totals)
+
+
+def joined_stretches(parts: DataFrame) -> DataFrame:
+    """One row for each key: the stretches of its last episode put together, and the number of all rows."""
+    last = F.max("episode").over(Window.partitionBy("event_type"))
+    marked = parts.withColumns({"last": last, "rows": F.sum("n").over(Window.partitionBy("event_type"))}).where(F.col("episode") == F.col("last"))
+    after = Window.partitionBy("event_type").orderBy(F.desc("stretch"))
+    sums = [F.max("rows").alias("n"), F.max("episode").alias("episode")]
+    for side in ("up", "down"):
+        marked = marked.withColumn(f"{side}_ends", F.col(f"{side}_tail") + F.sum(f"{side}_total").over(after) - F.col(f"{side}_total"))
+        sums += [F.sum(f"{side}_total").alias(f"{side}_total"), F.max(f"{side}_ends").alias(f"{side}_tail")]
+    return marked.groupBy("event_type").agg(*sums)
+
+
+def versions(spark: SparkSession, stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
+    """Runs a stream over what has landed; ``step`` makes the next version of a table from a micro-batch and the version before.
+
+    A batch that is repeated after a failure writes its version again, from the same version before.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+        step(batch, before).write.mode("overwrite").parquet(f"{path}/version={number}")
+        (spark.createDataFrame([(number,)], "number long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/newest")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/newest').head()[0]}")
+
+
 def cusum_states(events: DataFrame, slack: float) -> DataFrame:
-    """The two CUSUM sums of each key, carried from batch to batch; rows of a batch are taken in order of time."""
-    ship(events.sparkSession)
+    """The two CUSUM sums of each key after all that has landed, carried from batch to batch; an ``episode`` begins anew.
 
-    def update(key: tuple, batches, state):
-        up, down, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for v in rows["z"]:
-            if v == v:
-                up, down = max(0.0, up + v - slack), max(0.0, down - v - slack)
-            n += 1
-        state.update((up, down, n))
-        yield pd.DataFrame({"event_type": [key[0]], "up": [up], "down": [down], "n": [n]})
+    Batches are taken in the order in which they land, rows of a batch in order of time.
+    """
+    spark = events.sparkSession
+    path = shared_path(spark, "cusum")
 
-    return events.groupBy("event_type").applyInPandasWithState(update, "event_type string, up double, down double, n long", "up double, down double, n long", "update", "NoTimeout")
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        part = joined_stretches(stretches(batch, slack))
+        if before is None:
+            return part.select("event_type", "episode", F.col("up_tail").alias("up"), F.col("down_tail").alias("down"), "n")
+        old = before.select("event_type", F.col("episode").alias("old"), F.col("up").alias("old_up"), F.col("down").alias("old_down"), F.col("n").alias("old_n"))
+        met = part.join(old, "event_type", "full")
+        carried = lambda side: F.when(F.col("episode").isNull(), F.col(f"old_{side}")).when(F.col("episode") == F.col("old"), F.greatest(F.col(f"old_{side}") + F.col(f"{side}_total"), f"{side}_tail")).otherwise(F.col(f"{side}_tail"))
+        return met.select("event_type", F.coalesce("episode", "old").alias("episode"), carried("up").alias("up"), carried("down").alias("down"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
+
+    versions(spark, events, path, step)
+    return newest(spark, path).select("event_type", "up", "down", "n")
 
 
 def scored(events: DataFrame, model: DataFrame) -> DataFrame:
@@ -78,6 +131,27 @@ def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def feed(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str) -> None:
-    """Gives every new micro-batch to ``merge``, once each."""
-    stream.writeStream.foreachBatch(lambda batch, number: merge(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def feed(stream: DataFrame, path: str) -> None:
+    """``channel, id, version, body, deleted, ts``: merges messages as they land. The newest version of an id stays, a delete marker too, so that older versions don't return.
+
+    Each version of the table is a file set of its own; a batch reads the one before.
+    """
+
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        rows = batch if before is None else before.unionByName(batch)
+        return rows.groupBy("id").agg(F.max_by(F.struct("channel", "body", "deleted", "ts", "version"), "version").alias("m")).select("id", "m.*").select(batch.columns)
+
+    versions(stream.sparkSession, stream, f"{path}/messages", step)
+
+
+def cursors(stream: DataFrame, path: str, late_seconds: int) -> None:
+    """``channel, ts``: the newest time of each channel, and how many rows came more than ``late_seconds`` behind the newest of the batches before."""
+
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        if before is None:
+            return batch.groupBy("channel").agg(F.max("ts").alias("cursor"), F.count("*").alias("n"), F.lit(0).cast("long").alias("late"))
+        behind = F.col("ts") < F.col("cursor") - F.make_dt_interval(secs=F.lit(late_seconds))
+        part = batch.join(before.select("channel", "cursor"), "channel", "left").groupBy("channel").agg(F.max("ts").alias("cursor"), F.count("*").alias("n"), F.count_if(behind).alias("late"))
+        return before.unionByName(part).groupBy("channel").agg(F.max("cursor").alias("cursor"), F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+    versions(stream.sparkSession, stream, f"{path}/cursors", step)
