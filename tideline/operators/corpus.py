@@ -14,33 +14,114 @@ from tideline.functions.cleaning import normalize
 from tideline.session import durable, ship
 
 
-def sessions(messages: DataFrame, keys: list[str], time: str, gap_seconds: int) -> DataFrame:
-    """Messages of a key that follow each other within a gap, one row for each session."""
-    w = Window.partitionBy(*keys).orderBy(time, "id")
-    start = F.when(F.unix_seconds(time) - F.lag(F.unix_seconds(time)).over(w) <= gap_seconds, 0).otherwise(1)
-    marked = messages.withColumn("start", start).withColumn("session", F.sum("start").over(w))
-    return marked.groupBy(*keys, "session").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+def sessions(messages: DataFrame, channel: str, gap_seconds: int) -> DataFrame:
+    """``channel, id, ts, root, replies``: one row for each thread (by its root, there or not) and for each run of loose messages within a gap.
 
-
-def turns(segments: DataFrame) -> DataFrame:
-    """Neighbouring segments of one speaker are one turn."""
+    A loose message opens a group after a thread. ``root`` is null outside of threads and for a root itself, which has ``replies``.
+    """
+    w = Window.partitionBy(channel).orderBy("ts", "id")
+    reply, head = F.col("root").isNotNull(), F.coalesce(F.col("replies") > 0, F.lit(False))
+    told = messages.select(channel, "id", "ts", F.when(reply, F.col("root")).when(head, F.col("id")).alias("thread"))
+    # of a thread only its first message stands between loose ones
+    first = F.row_number().over(Window.partitionBy(channel, "thread").orderBy("ts", "id")) == 1
+    placed = told.withColumn("stands", F.col("thread").isNull() | first).where("stands")
+    near = F.col("thread").isNull() & F.lag(F.col("thread").isNull()).over(w) & (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) <= gap_seconds * 1_000_000)
+    loose = placed.withColumn("island", F.sum(F.when(near, 0).otherwise(1)).over(w)).where("thread is null")
+    size = [F.count("*").alias("n"), F.min(F.struct("ts", "id"))["id"].alias("first_id"), F.max(F.struct("ts", "id"))["id"].alias("last_id")]
+    runs = loose.groupBy(channel, "island").agg(*size).select(channel, F.col("first_id").alias("group_id"), "n", "first_id", "last_id")
+    return runs.unionByName(told.where("thread is not null").groupBy(channel, F.col("thread").alias("group_id")).agg(*size))
+
+
+def turns(segments: DataFrame, gap: float) -> DataFrame:
+    """``source_id, seq, speaker, start, stop, text``: neighbouring segments of one speaker, at most ``gap`` seconds apart, are one turn."""
     w = Window.partitionBy("source_id").orderBy("seq")
-    change = F.when(F.col("speaker") == F.lag("speaker").over(w), 0).otherwise(1)
-    marked = segments.withColumn("change", change).withColumn("turn", F.sum("change").over(w))
-    return marked.groupBy("source_id", "turn", "speaker").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
+    same = (F.col("speaker") == F.lag("speaker").over(w)) & (F.col("start") - F.lag("stop").over(w) <= gap)
+    marked = segments.withColumn("turn", F.sum(F.when(same, 0).otherwise(1)).over(w))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
+    return marked.groupBy("source_id", "turn", "speaker").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.min("start").alias("start"), F.max_by("stop", "seq").alias("stop"), text.alias("text"))
+
+
+# What makes a line of a table, a line of a list and a heading.
+TABLE_LINE, LIST_LINE, HEADING = r"^\s*\|.*\|\s*$", r"^\s*([-*+]|[0-9]+[.)])\s+\S", r"^#{1,6}\s"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """Non-blank lines of a text with their number."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.trim("text") != "")
+    """Paragraphs of a text, which blank lines part, with their number and the number of headings up to them.
+
+    Lines of a paragraph that is all table or all list stay lines; others are joined by spaces.
+    """
+    clean = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "^\n+|\n+$", "")
+    single = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", "")
+    line = lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"^\s+|\s+$", "")
+    split = docs.select("doc_id", F.posexplode(F.split(clean, r"\n\s*\n")).alias("at", "raw")).withColumn("lines", F.split("raw", "\n"))
+    every = lambda pattern: F.forall("lines", lambda x: x.rlike(pattern))
+    structured = (F.size("lines") > 1) & (every(TABLE_LINE) | every(LIST_LINE))
+    told = split.withColumn("text", F.when(structured, F.array_join(F.transform("lines", line), "\n")).otherwise(single(F.col("raw")))).where("text <> ''")
+    w = Window.partitionBy("doc_id").orderBy("at")
+    block = F.sum(F.col("raw").rlike(HEADING).cast("int")).over(w)
+    return told.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), block.alias("block"), F.regexp_replace("text", r"^#{1,6}\s+", "").alias("text"))
+
+
+# Lines that begin a quoted message, and lines that begin a signature.
+QUOTE_STARTS = (
+    r"^>",
+    r"(?i)^-{2,}\s*(Original Message|Alkuperäinen viesti|Forwarded message|Välitetty viesti)\s*-{2,}",
+    r"(?i)^(On|Le|Am)\s.+\s(wrote|a écrit|schrieb):\s*$",
+    r"(?i)^.+\s+kirjoitti( klo .+)?:\s*$",
+    r"(?i)^(From|Lähettäjä|Von|De):\s.+$",
+    r"^_{5,}\s*$",
+)
+SIGNATURE_STARTS = (
+    r"^--\s*$",
+    r"(?i)^(Best regards|Kind regards|Regards|Br|BR|Thanks|Cheers|Ystävällisin terveisin|Terveisin|Yst\. terv\.|Mit freundlichen Grüßen),?\s*$",
+    r"(?i)^Sent from my (iPhone|iPad|Android|Galaxy)",
+    r"(?i)^Lähetetty (iPhonesta|iPadista|Outlook)",
+)
 
 
 def strip_quotes(docs: DataFrame) -> DataFrame:
-    """A text up to its first quoted line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    cut = lines.groupBy("doc_id").agg(F.min(F.when(F.col("line").rlike(r"^\s*>|(?i)^on .* wrote:"), F.col("pos"))).alias("cut"))
-    kept = lines.join(cut, "doc_id").where(F.col("cut").isNull() | (F.col("pos") < F.col("cut")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("n_lines"))
+    """A text up to its first quoted line, and of that the part before the first signature."""
+
+    def before(lines: Column, patterns: tuple[str, ...]) -> Column:
+        trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+        at = F.array_position(F.transform(lines, lambda x: F.exists(F.array(*map(F.lit, patterns)), lambda p: F.rlike(trimmed(x), p))), True)
+        return F.when(at > 0, F.slice(lines, 1, at.cast("int") - 1)).otherwise(lines)
+
+    kept = docs.withColumn("kept", before(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), QUOTE_STARTS)).withColumn("kept", before(F.col("kept"), SIGNATURE_STARTS))
+    text = F.regexp_replace(F.regexp_replace(F.array_join("kept", "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return kept.select("doc_id", text.alias("text"), F.size("kept").alias("n_lines"))
+
+
+def email_threads(mails: DataFrame, mailbox: str) -> DataFrame:
+    """``thread, ts, id, sender, recipients, subject``: one row for each conversation, in order of time, with the domains of senders outside and the tag that the mailbox was written to with.
+
+    Of several tags the first by time counts.
+    """
+    local, own = mailbox.lower().split("@")
+    domain = F.lower(F.regexp_extract("sender", "@(.+)$", 1))
+    tags = F.filter(F.transform("recipients", lambda r: F.when(F.regexp_extract(F.lower(r), r"^([^+@]+)\+([^@]+)@(.+)$", 1) == local, F.when(F.regexp_extract(F.lower(r), "@(.+)$", 1) == own, F.regexp_extract(F.lower(r), r"^[^+@]+\+([^@]+)@", 1)))), lambda x: x.isNotNull())
+    told = mails.withColumns({"domain": F.when((domain != own) & (domain != ""), domain), "tag": F.get(tags, 0)})
+    return told.groupBy("thread").agg(
+        F.count("*").alias("n"), F.min_by("subject", F.struct("ts", "id")).alias("title"), F.max("ts").alias("occurred_at"), F.array_join(F.sort_array(F.collect_set("domain")), ",").alias("domains"),
+        F.min(F.when(F.col("tag").isNotNull(), F.struct("ts", "id", "tag")))["tag"].alias("plus_tag"),
+    )
+
+
+#: A sheet with a larger share of numeric cells is sensor data.
+NUMERIC_SHARE = 0.5
+NUMERIC = r"^[-+]?([0-9]+([.,][0-9]+)?|[.,][0-9]+)([eE][-+]?[0-9]+)?$"
+
+
+def tabular_to_text(rows: DataFrame, sheet: str, row: str, headers: dict[str, str]) -> DataFrame:
+    """``sheet, row, text``: each row as ``header: cell; ...`` without empty cells; of a sheet of numbers only the headers, as row 0. ``headers`` maps columns to names."""
+    cells = [F.trim(F.col(c).cast("string")) for c in headers]
+    filled, numeric = [F.coalesce((c != "").cast("long"), F.lit(0)) for c in cells], [F.coalesce(c.rlike(NUMERIC).cast("long"), F.lit(0)) for c in cells]
+    share = rows.agg((F.sum(sum(numeric[1:], numeric[0])) / F.greatest(F.sum(sum(filled[1:], filled[0])), F.lit(1))).alias("share"))  # one row
+    text = F.concat_ws("; ", *[F.when(c != "", F.concat(F.lit(f"{name}: "), c)) for c, name in zip(cells, headers.values())])
+    told = rows.select(F.col(row).cast("long").alias("row"), text.alias("text")).where("text <> ''").join(F.broadcast(share), F.col("share") <= NUMERIC_SHARE).select("row", "text")
+    note = f"Sensor data file with {len(set(headers.values()))} columns: {', '.join(dict.fromkeys(headers.values()))}"
+    only = share.where(F.col("share") > NUMERIC_SHARE).select(F.lit(0).cast("long").alias("row"), F.lit(note).alias("text"))
+    return told.unionByName(only).select(F.lit(sheet).alias("sheet"), "row", "text")
 
 
 def html_to_text(html: Column) -> Column:

@@ -50,36 +50,64 @@ def upsert_by_external_id(spark, d):
 
 @query(
     "message_sessions",
-    """WITH m AS (SELECT user_id, event_id AS id, CASE WHEN epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER w <= 1800 THEN 0 ELSE 1 END AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-    ), s AS (SELECT *, CAST(sum(start) OVER (PARTITION BY user_id ORDER BY id) AS BIGINT) AS session FROM m) SELECT user_id, session, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM s GROUP BY ALL""",
+    """WITH e AS (SELECT CAST(event_id // 6 % 20 AS INTEGER) AS channel, event_id AS id, ts, CASE WHEN event_id % 12 = 5 THEN event_id - 5 WHEN event_id % 12 = 0 THEN event_id END AS thread FROM events WHERE event_id % 60 <> 0
+    ), p AS (SELECT * FROM e WHERE thread IS NULL UNION ALL SELECT * FROM (SELECT * FROM e WHERE thread IS NOT NULL QUALIFY row_number() OVER (PARTITION BY channel, thread ORDER BY ts, id) = 1)
+    ), s AS (SELECT *, CASE WHEN thread IS NULL AND lag(thread IS NULL) OVER w AND epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 1800000000 THEN 0 ELSE 1 END AS start FROM p WINDOW w AS (PARTITION BY channel ORDER BY ts, id)
+    ), i AS (SELECT *, sum(start) OVER (PARTITION BY channel ORDER BY ts, id) AS island FROM s), l AS (SELECT channel, min(id) AS group_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM i WHERE thread IS NULL GROUP BY channel, island)
+    SELECT * FROM l UNION ALL SELECT channel, thread, count(*), min(id), max(id) FROM e WHERE thread IS NOT NULL GROUP BY channel, thread""",
 )
 def message_sessions(spark, d):
-    return c.sessions(table(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "ts"), ["user_id"], "ts", 1800)
+    """Events as messages of 20 channels; every twelfth is the root of a thread with a reply, and some roots are missing."""
+    e = table(spark, d, "events").where("event_id % 60 <> 0")
+    return c.sessions(e.select(F.expr("cast(event_id div 6 % 20 as int)").alias("channel"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 12 == 5, F.col("event_id") - 5).alias("root"), F.when(F.col("event_id") % 12 == 0, 1).alias("replies")), "channel", 1800)
+
+
+SPOKEN = "SELECT conv_id AS source_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'user' ELSE role END AS speaker, text, turn * 5.0 + turn // 3 AS start, turn * 5.0 + turn // 3 + 3 + turn % 3 AS stop FROM conversations"
 
 
 @query(
     "speaker_turns",
-    """WITH m AS (SELECT conv_id AS source_id, turn AS seq, role AS speaker, text, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS change FROM conversations
-    ), s AS (SELECT *, CAST(sum(change) OVER (PARTITION BY source_id ORDER BY seq) AS BIGINT) AS turn FROM m) SELECT source_id, turn, speaker, min(seq) AS from_seq, max(seq) AS to_seq, string_agg(text, ' ' ORDER BY seq) AS text FROM s GROUP BY source_id, turn, speaker""",
+    f"""WITH c AS ({SPOKEN}), m AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER w AND start - lag(stop) OVER w <= 2 THEN 0 ELSE 1 END AS change FROM c WINDOW w AS (PARTITION BY source_id ORDER BY seq)
+    ), s AS (SELECT *, CAST(sum(change) OVER (PARTITION BY source_id ORDER BY seq) AS BIGINT) AS turn FROM m) SELECT source_id, turn, speaker, min(seq) AS from_seq, max(seq) AS to_seq, min(start) AS start, arg_max(stop, seq) AS stop, string_agg(text, ' ' ORDER BY seq) AS text FROM s GROUP BY source_id, turn, speaker""",
+    "start stop",
 )
 def speaker_turns(spark, d):
-    return c.turns(table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), "text"))
+    start = F.col("turn") * 5.0 + F.expr("turn div 3")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 4 == 3, "user").otherwise(F.col("role")).alias("speaker"), "text", start.alias("start"), (start + 3 + F.col("turn") % 3).alias("stop"))
+    return c.turns(rows, 2.0)
 
 
-@query("paragraph_segments", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS INTEGER) AS pos, text FROM l WHERE trim(text) <> ''")
+@query(
+    "paragraph_segments",
+    r"""WITH x AS (SELECT doc_id, trim('# Of ' || source || chr(10) || chr(10) || text || chr(10) || ' ' || chr(10) || '- one' || chr(10) || '-   two' || chr(10) || chr(10) || '## More' || chr(10) || 'and  more', chr(10)) AS text FROM documents WHERE text IS NOT NULL
+    ), p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS k FROM x
+    ), l AS (SELECT *, string_split(raw, chr(10)) AS lines FROM p
+    ), t AS (SELECT *, CASE WHEN len(lines) > 1 AND (list_bool_and(list_transform(lines, lambda q: regexp_matches(q, '^\s*\|.*\|\s*$'))) OR list_bool_and(list_transform(lines, lambda q: regexp_matches(q, '^\s*([-*+]|[0-9]+[.)])\s+\S'))))
+      THEN array_to_string(list_transform(lines, lambda q: regexp_replace(regexp_replace(q, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)) ELSE regexp_replace(regexp_replace(raw, '\s+', ' ', 'g'), '^ | $', '', 'g') END AS text FROM l)
+    SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, CAST(sum(CASE WHEN regexp_matches(raw, '^#{1,6}\s') THEN 1 ELSE 0 END) OVER w AS BIGINT) AS block, regexp_replace(text, '^#{1,6}\s+', '') AS text FROM t WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY k)""",
+)
 def paragraph_segments(spark, d):
-    return c.paragraphs(docs(spark, d))
+    """Documents with a heading before and a list and another heading behind."""
+    text = F.concat(F.lit("# Of "), "source", F.lit("\n\n"), "text", F.lit("\n \n- one\n-   two\n\n## More\nand  more"))
+    return c.paragraphs(docs(spark, d).where("text is not null").select("doc_id", text.alias("text")))
+
+
+TAILS = ["", "\n\n\n\nBest regards,\nSomeone", "\n> quoted\ntail", "\nOn Monday Ann wrote:\ntail", "\n-- \nname\n-----Original Message-----\ntail", "\nFrom: Ann\ntail"]
+QUOTES, SIGNATURES = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (c.QUOTE_STARTS, c.SIGNATURE_STARTS))
+BEFORE = r"CASE WHEN {at} > 0 THEN list_slice({lines}, 1, {at} - 1) ELSE {lines} END"
+FIRST = r"coalesce(list_position(list_transform({lines}, lambda q: list_bool_or(list_transform({patterns}, lambda p: regexp_matches(regexp_replace(q, '^\s+|\s+$', '', 'g'), p)))), true), 0)"
 
 
 @query(
     "strip_quotes",
-    r"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, CASE WHEN turn % 3 = 1 THEN text || chr(10) || '> quoted' || chr(10) || 'tail' ELSE text END AS text FROM conversations
-    ), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t), k AS (SELECT doc_id, min(pos) AS cut FROM l WHERE regexp_matches(line, '^\s*>') OR regexp_matches(line, '(?i)^on .* wrote:') GROUP BY doc_id)
-    SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n_lines FROM l LEFT JOIN k ON k.doc_id = l.doc_id WHERE cut IS NULL OR pos < cut GROUP BY l.doc_id""",
+    "WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, text || [" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in TAILS) + "][CAST((conv_id + turn) % 6 AS INTEGER) + 1] AS text FROM conversations), l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM t"
+    + f"), q AS (SELECT doc_id, {BEFORE.format(at='cut', lines='lines')} AS lines FROM (SELECT *, {FIRST.format(lines='lines', patterns=QUOTES)} AS cut FROM l)), s AS (SELECT doc_id, {BEFORE.format(at='cut', lines='lines')} AS lines FROM (SELECT *, {FIRST.format(lines='lines', patterns=SIGNATURES)} AS cut FROM q))"
+    + r" SELECT doc_id, regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text, CAST(len(lines) AS INTEGER) AS n_lines FROM s",
 )
 def strip_quotes(spark, d):
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit("\n> quoted\ntail"))).otherwise(F.col("text")).alias("text"))
-    return c.strip_quotes(t)
+    """Turns as mails with signatures and quotes of several forms behind."""
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    return c.strip_quotes(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat("text", tail).alias("text")))
 
 
 @query(
@@ -232,17 +260,27 @@ def chunk_speaker(spark, d):
     return rows.join(spans, ["source_id", "seq"]).groupBy("source_id", "chunk").agg(F.when(F.count_distinct("role") == 1, F.min("role")).alias("speaker"))
 
 
-@query("tabular_to_text", "SELECT c_custkey, 'name: ' || c_name || '; segment: ' || c_mktsegment || '; nation: ' || c_nationkey AS text FROM customer")
+@query(
+    "tabular_to_text",
+    "SELECT 'customer' AS sheet, c_custkey AS row, 'name: ' || c_name || '; segment: ' || c_mktsegment || '; nation: ' || c_nationkey AS text FROM customer UNION ALL SELECT 'lineitem', 0, 'Sensor data file with 3 columns: quantity, price, tax' FROM lineitem HAVING count(*) > 0",
+)
 def tabular_to_text(spark, d):
-    rows = table(spark, d, "customer")
-    named = (("name", "c_name"), ("segment", "c_mktsegment"), ("nation", "c_nationkey"))
-    return rows.select("c_custkey", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.col(c_)) for n, c_ in named]).alias("text"))
+    """A sheet of words, whose rows become texts, and one of numbers."""
+    words = c.tabular_to_text(table(spark, d, "customer"), "customer", "c_custkey", {"c_name": "name", "c_mktsegment": "segment", "c_nationkey": "nation"})
+    return words.unionByName(c.tabular_to_text(table(spark, d, "lineitem"), "lineitem", "l_orderkey", {"l_quantity": "quantity", "l_extendedprice": "price", "l_tax": "tax"}))
 
 
-@query("email_threads", "SELECT conv_id AS thread, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, arg_min(text, turn) AS first_text, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+@query(
+    "email_threads",
+    """WITH m AS (SELECT conv_id AS thread, turn AS ts, CASE WHEN role = 'user' THEN 'acme' || conv_id % 7 || '.com' END AS domain, CASE WHEN turn % 2 = 1 THEN 't' || (conv_id + turn) % 3 END AS tag, left(text, 20) AS subject FROM conversations)
+    SELECT thread, count(*) AS n, arg_min(subject, ts) AS title, max(ts) AS occurred_at, coalesce(string_agg(DISTINCT domain, ',' ORDER BY domain), '') AS domains, arg_min(tag, ts) FILTER (WHERE tag IS NOT NULL) AS plus_tag FROM m GROUP BY thread""",
+)
 def email_threads(spark, d):
-    rows = table(spark, d, "conversations")
-    return rows.groupBy(F.col("conv_id").alias("thread")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.min_by("text", "turn").alias("first_text"), F.max("turn").alias("last_turn"))
+    """Turns as mails: users write from outside, every other one to a tagged address."""
+    sender = F.when(F.col("role") == "user", F.concat(F.lit("U@Acme"), F.col("conv_id") % 7, F.lit(".com"))).otherwise("a@desk.example")
+    to = F.when(F.col("turn") % 2 == 1, F.array(F.lit("x+y@else.where"), F.concat(F.lit("Team+T"), (F.col("conv_id") + F.col("turn")) % 3, F.lit("@desk.example")))).otherwise(F.array(F.lit("team@desk.example")))
+    mails = table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("ts"), F.col("turn").alias("id"), sender.alias("sender"), to.alias("recipients"), F.left("text", F.lit(20)).alias("subject"))
+    return c.email_threads(mails, "team@desk.example")
 
 
 WORDS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
