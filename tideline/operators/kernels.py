@@ -260,7 +260,7 @@ def block_medians(g: DataFrame, size: int) -> DataFrame:
     return keyed.groupBy(*KEYS, "block").agg(F.avg("t").alias("center"), F.expr("percentile(v, 0.5)").alias("median"))
 
 
-def best_splits(segments: DataFrame, least: int) -> DataFrame:
+def best_splits(segments: DataFrame, least: int | Column) -> DataFrame:
     """``run_id, sensor, segment, t, v`` (complete) to the cut of each segment that lowers the squared error most.
 
     Costs of all cuts of all segments come from running sums, in one pass.
@@ -275,24 +275,36 @@ def best_splits(segments: DataFrame, least: int) -> DataFrame:
     return cut.withColumn("place", F.row_number().over(order)).where("place = 1").select(*KEYS, "segment", "cut_t", "gain")
 
 
-def change_points(g: DataFrame, least: int = 12) -> DataFrame:
-    """Binary segmentation, level by level: in every round all segments of all sensors split at once where the gain pays, until none does.
+#: Bucket means of a run that a segmentation works on.
+MOST_POINTS = 4096
 
-    A segment of fewer than twice ``least`` samples can't split, so rounds end.
+
+def change_points(g: DataFrame, least: int | None = None) -> DataFrame:
+    """Binary segmentation on bucket means, level by level: in every round all segments of all sensors split at once where the gain pays, until none does.
+
+    A split pays if it lowers the squared error by more than 2 ln(points) squared scales; the scale is the larger of MAD and noise, or the deviation where
+    both are 0. Segments keep ``least`` points (default: a hundredth of the run), so rounds end. Cuts at the ends of episodes don't count.
     """
-    whole = g.where("v is not null")
-    scale = noise_level(whole)
-    size = whole.groupBy(*KEYS).agg(F.count("*").alias("m"))
-    price = scale.join(size, KEYS).select(*KEYS, (2 * F.log(F.col("m").cast("double")) * F.greatest(F.col("noise") * F.col("noise"), F.lit(1e-18))).alias("price"))
-    segments, price, found = whole.withColumn("segment", F.col("episode").cast("string")), durable(price), None
+    c = F.col
+    runs = durable(g.groupBy("run_id").agg(F.min("t").alias("lo"), (F.max("t") - F.min("t") + 1).alias("span")).withColumn("bucket", F.ceil(c("span") / MOST_POINTS).cast("long")))
+    small = F.broadcast(runs)  # one row for each run
+    center = g.groupBy(*KEYS).agg(F.expr("percentile(v, 0.5)").alias("center"))
+    spread = g.join(center, KEYS).groupBy(*KEYS).agg(F.sqrt(F.avg((c("v") - c("center")) * (c("v") - c("center")))).alias("spread"))
+    scale = F.when(F.greatest("mad", "noise") > 0, F.greatest("mad", "noise")).otherwise(F.coalesce("spread", F.lit(0.0)))
+    price = mad(g).join(noise_level(g), KEYS).join(spread, KEYS).join(small, "run_id").select(*KEYS, (2 * F.log(F.ceil(c("span") / c("bucket")).cast("double")) * F.greatest(scale * scale, F.lit(1e-18))).alias("price"))
+    points = g.where("v is not null").join(small, "run_id").groupBy(*KEYS, c("episode").cast("string").alias("segment"), F.expr("(t - lo) div bucket").alias("t"), "span", "bucket").agg(F.avg("v").alias("v"))
+    fewest = F.greatest(F.lit(2), F.ceil(F.greatest(2 * c("bucket"), F.expr("span div 100")) / c("bucket"))) if least is None else F.lit(least)
+    segments, price, found = durable(points.withColumn("least", fewest).drop("span", "bucket")), durable(price), None
     while True:
-        paid = durable(best_splits(segments, least).join(price, KEYS).where("gain > price").select(*KEYS, "segment", "cut_t", "gain"))
+        paid = durable(best_splits(segments, c("least")).join(price, KEYS).where("gain > price").select(*KEYS, "segment", "cut_t", "gain"))
         found = paid if found is None else found.unionByName(paid)
         if paid.isEmpty():
             break
         cuts = paid.drop("gain")
-        segments = segments.join(cuts, [*KEYS, "segment"], "inner").withColumn("segment", F.concat("segment", F.when(F.col("t") < F.col("cut_t"), "l").otherwise("r"))).drop("cut_t")
-    return found.select(*KEYS, "cut_t", "gain")
+        segments = durable(segments.join(cuts, [*KEYS, "segment"], "inner").withColumn("segment", F.concat("segment", F.when(c("t") < c("cut_t"), "l").otherwise("r"))).drop("cut_t"))
+    placed = found.join(small, "run_id").select(*KEYS, (c("lo") + c("cut_t") * c("bucket")).alias("cut_t"), "gain", F.greatest(F.lit(2), F.expr("span div 1000")).alias("slack"))
+    ends = g.groupBy("run_id", "episode").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b")).select(F.col("run_id").alias("of"), F.explode(F.array("a", "b")).alias("end"))
+    return placed.join(ends, (c("of") == c("run_id")) & (F.abs(c("cut_t") - c("end")) <= c("slack")), "left_anti").select(*KEYS, "cut_t", "gain")
 
 
 def round_sig(value: Column, digits: int = 3) -> Column:

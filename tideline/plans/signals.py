@@ -57,14 +57,14 @@ CHANGES = """, injected AS (SELECT run_id, sensor, episode, t, CASE WHEN t >= 25
 def baseline_changes(spark, d):
     g = grid(spark, d)
     moved = g.withColumn("v", F.when((F.col("t") >= 250) & F.col("sensor").like("quantity%"), F.col("v") + 10).otherwise(F.col("v")))
-    return s.changes(moved, k.change_points(moved, rounds=3))
+    return s.changes(moved, k.change_points(moved))
 
 
 @query("baseline_change_groups")
 def baseline_change_groups(spark, d):
     g = grid(spark, d)
     moved = g.withColumn("v", F.when((F.col("t") >= 250) & F.col("sensor").like("quantity%"), F.col("v") + 10).otherwise(F.col("v")))
-    return s.change_groups(s.changes(moved, k.change_points(moved, rounds=3)), n=360, n_sensors=20)
+    return s.change_groups(s.changes(moved, k.change_points(moved)), n=360, n_sensors=20)
 
 
 @query(
