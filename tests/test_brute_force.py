@@ -228,6 +228,33 @@ def test_change_points_pay_and_leave_nothing_that_pays_more(spark, grid):
         assert sorted(ours[ours["sensor"] == sensor]["cut_t"]) == sorted(c for c in want if min(abs(c - e) for e in ends) > slack), sensor
 
 
+def test_flow_order_drops_the_weakest_link_of_a_ring(spark):
+    links = [("r", "a", "b", 0.9), ("r", "b", "c", -0.8), ("r", "c", "a", 0.3), ("r", "c", "d", 0.5), ("q", "y", "x", 0.4)]
+    got = relations.flow_order(spark.createDataFrame(links, "run_id string, source string, target string, rho double")).orderBy("run_id", "place").collect()
+    assert [(r.run_id, r.sensor, r.place) for r in got] == [("q", "y", 0), ("q", "x", 1), ("r", "a", 0), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3)]
+
+
+def test_peer_models_are_robust_fits_of_the_aligned_peers(spark, grid):
+    from tideline.plans.drift import END, PEERS
+
+    ours = QUERIES["peer_model_fit"](spark, DATA).toPandas()
+    wide = grid.pivot_table(index=["episode", "t"], columns="sensor", values="v").reset_index()
+    for sensor in ("price", "price[R]", "quantity"):
+        columns = []
+        for _, peer, lag in sorted(p for p in PEERS if p[0] == sensor):
+            columns.append((peer, wide.groupby("episode")[peer].shift(lag)))  # the weeks of an episode have no gap
+        both = pd.concat([wide[sensor].rename("y"), *[c.rename(n) for n, c in columns]], axis=1)[wide["t"] < END].dropna()
+        a, y, w = np.column_stack([np.ones(len(both)), *[both[n] for n, _ in columns]]), both["y"].to_numpy(), np.ones(len(both))
+        for _ in range(5):
+            beta = np.linalg.solve((a * w[:, None]).T @ a + 1e-8 * np.eye(a.shape[1]), (a * w[:, None]).T @ y)
+            rest = y - a @ beta
+            w = np.minimum(1, 1.345 * 1.4826 * np.median(np.abs(rest - np.median(rest))) / np.maximum(np.abs(rest), 1e-300))
+        got = ours[ours["sensor"] == sensor].set_index("peer")["coef"]
+        assert set(got.index) == {"", *[n for n, _ in columns]}
+        for name, want in zip(["", *[n for n, _ in columns]], beta):
+            assert got[name] == pytest.approx(want, rel=1e-3, abs=1e-4), (sensor, name)
+
+
 def test_process_kind_follows_its_measures(spark):
     ours = QUERIES["process_kind"](spark, DATA).toPandas().set_index("sensor")
     for row in ours.itertuples():
