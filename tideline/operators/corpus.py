@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -239,35 +240,83 @@ def bm25(docs: DataFrame, terms: list[str], most: int, k1: float = 1.2, b: float
 QUERY_BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+def keep_nearest(batches, ids: np.ndarray, queries: np.ndarray, most: int):
+    """Of the vectors in ``batches`` the ``most`` nearest of each query by distance to 9 digits, then id; ties at the border are settled by id.
+
+    A product gives all distances about; only vectors that may be within the border, by a margin above its rounding, are measured exactly.
+    """
+    held_ids = [np.zeros(0, np.int64)] * len(ids)
+    held = [np.zeros(0)] * len(ids)
+    lengths = (queries**2).sum(1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, names = np.array(batch["embedding"].to_pylist(), float).reshape(batch.num_rows, -1), batch["vec_id"].to_numpy()
+        sizes = (own**2).sum(1)
+        margin = 4e-9 * (1 + sizes.max())
+        for at in range(0, len(ids), 256):
+            about = sizes[None] - 2 * queries[at : at + 256] @ own.T + lengths[at : at + 256, None]
+            for i, row in enumerate(about, at):
+                if len(held[i]) == most:
+                    border = held[i][-1] ** 2
+                else:
+                    last = min(most, len(row)) - 1
+                    border = np.partition(row, last)[last]
+                pick = np.flatnonzero(row <= border + margin * (1 + lengths[i]))
+                if not len(pick):
+                    continue
+                exact = np.round(np.sqrt(((own[pick] - queries[i]) ** 2).sum(1)), 9)
+                distance, name = np.concatenate((held[i], exact)), np.concatenate((held_ids[i], names[pick]))
+                order = np.lexsort((name, distance))[:most]
+                held[i], held_ids[i] = distance[order], name[order]
+    if any(map(len, held)):
+        yield pa.record_batch({"query_id": np.repeat(ids, [len(x) for x in held]), "vec_id": np.concatenate(held_ids), "distance": np.concatenate(held)})
+
+
+def nearest(vectors: DataFrame, wanted: DataFrame, most: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, query`` to ``query_id, vec_id, distance, place``: the nearest vectors of each query by Euclidean distance, ties to the smaller id.
 
-    Queries are taken in blocks; a block goes to every task, whose vectors meet it as matrix products, and only the best of each task are shuffled.
+    Queries are taken in blocks of about ``block``; a block goes to every task, whose vectors meet it as matrix products, and only the best of each task are
+    shuffled. The hits of each block are written before the next one is sent, so tasks hold one block at a time.
     """
     spark = vectors.sparkSession
     ship(spark)
-    count = wanted.count()
-    blocks, out = max(1, -(-count // QUERY_BLOCK)), None
+    blocks, parts = max(1, -(-wanted.count() // block)), []
     for k in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "query").toArrow()  # QUERY_BLOCK rows, about
-        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["query"].to_pylist(), float).reshape(rows.num_rows, -1)))
-
-        def best(batches, held=held):
-            ids, queries = held.value
-            for batch in batches:
-                own, found = np.array(batch["embedding"].to_pylist(), float).reshape(batch.num_rows, -1), batch["vec_id"].to_numpy()
-                for at in range(0, len(ids) if len(found) else 0, 256):
-                    part = queries[at : at + 256]
-                    near = (own**2).sum(1)[None] - 2 * part @ own.T
-                    few = min(most + 16, len(found))  # some more, since exact distances decide
-                    pick = np.argpartition(near, few - 1, axis=1)[:, :few]
-                    exact = np.sqrt(((own[pick] - part[:, None]) ** 2).sum(2))
-                    yield pa.record_batch({"query_id": np.repeat(ids[at : at + 256], few), "vec_id": found[pick].ravel(), "distance": exact.ravel()})
-
-        hits = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, distance double")
-        out = hits if out is None else out.unionByName(hits)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
-    return out.withColumn("place", place).where(F.col("place") <= most)
+        rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "query").toArrow()  # ``block`` rows, about
+        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["query"].to_pylist(), float).reshape(rows.num_rows, -1 if rows.num_rows else 0)))
+        found = vectors.select("vec_id", "embedding").mapInArrow(lambda batches, held=held: keep_nearest(batches, *held.value, most), "query_id long, vec_id long, distance double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+        found = found.withColumn("place", place).where(F.col("place") <= most)
+        if blocks > 1:
+            found = durable(found)
+            held.destroy()
+        parts.append(found)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def hybrid(docs: DataFrame, questions: DataFrame, most: int, deep: int = 50) -> DataFrame:
+    """``query_id, text`` to the best texts of each question by both lists, BM25 and hashed trigrams, fused: ``query_id, doc_id, score, place``."""
+    lexical = lexical_top(docs, questions, deep).select("query_id", "doc_id", F.col("place").alias("rank_a"))
+    vectors = hash_embedding(docs.select(F.col("doc_id").alias("vec_id"), "text")).select("vec_id", "embedding")
+    asked = hash_embedding(questions.select("query_id", "text")).select("query_id", F.col("embedding").alias("query"))
+    near = nearest(vectors, asked, deep).select("query_id", F.col("vec_id").alias("doc_id"), F.col("place").alias("rank_b"))
+    met = fuse(lexical, near, ["query_id", "doc_id"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    return met.withColumn("place", place).where(F.col("place") <= most).select("query_id", "doc_id", "score", "place")
+
+
+def golden_hits(top: DataFrame, questions: DataFrame, docs: DataFrame, most: int = 400) -> DataFrame:
+    """``query_id, place``: the first of a question's results that comes from its ``title``, or whose excerpt holds what it ``contains``; null without one.
+
+    ``questions`` has ``query_id, title, contains``, one of which may be null; ``docs`` has ``doc_id, title, text``. The excerpt is where the text was found, else its start.
+    """
+    asked = questions.select("query_id", F.col("title").alias("want_title"), F.lower("contains").alias("want"))
+    read = top.join(asked, "query_id").join(docs.select("doc_id", "title", F.lower("text").alias("body")), "doc_id")
+    excerpt = F.substring("body", F.greatest(F.instr(F.col("body"), F.col("want")) - 30, F.lit(1)), F.lit(most))
+    hit = (F.col("title") == F.col("want_title")) | F.contains(excerpt, F.col("want"))
+    found = read.groupBy("query_id").agg(F.min(F.when(hit, F.col("place"))).alias("place"))
+    return questions.select("query_id").join(found, "query_id", "left")
 
 
 def ranked(hits: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
@@ -329,9 +378,9 @@ def quotes_exact(quotes: DataFrame, docs: DataFrame, words_in: int = 8) -> DataF
     sizes = [r["size"] for r in asked.where("size > 0").select("size").distinct().collect()]  # up to ``words_in``
     hits = None
     if sizes:
-        words = F.split("body", " ")
-        runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))
-        keys = F.array_distinct(F.concat(*map(runs, sorted(sizes))))
+        # the words are split once: each element of the outer array is bound to a variable
+        runs = lambda words, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))
+        keys = F.flatten(F.transform(F.array(F.split("body", " ")), lambda words: F.array_distinct(F.concat(*[runs(words, k) for k in sorted(sizes)]))))
         met = bodies.select("doc_id", F.explode(keys).alias("key")).join(small(asked.where("size > 0").select("key", "item_id")), "key").select("doc_id", "item_id")
         met = durable(met)
         hits = bodies.join(small(met), "doc_id").join(small(asked.select("item_id", "quote")), "item_id").where(F.contains("body", "quote")).select("item_id", "doc_id")

@@ -307,3 +307,12 @@ def golden_hit_rate(spark, d):
 def catalog_refresh(spark, d):
     counts = c.claims(docs(spark, d), phrases(spark)).groupBy("column_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
     return counts.withColumn("confidence", 0.5 + 0.5 * F.col("docs") / F.col("n"))
+
+
+@query("golden_hybrid")
+def golden_hybrid(spark, d):
+    """Starts of benchmark passages as questions (ids divisible by 50) to both lists, fused: whether one of the three best texts shows the passage's next words."""
+    passages = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.split(F.lower("text"), r"\s+").alias("w"))
+    asked = passages.select("query_id", F.array_join(F.slice("w", 1, 12), " ").alias("text"), F.lit(None).cast("string").alias("title"), F.array_join(F.slice("w", 4, 6), " ").alias("contains"))
+    titled = docs(spark, d).select("doc_id", "text", F.col("source").alias("title"))
+    return c.golden_hits(c.hybrid(titled, asked, 3), asked, titled)
