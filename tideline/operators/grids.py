@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.cleaning import shape
+from tideline.operators.ordered import previous, running_count
 
 
 def bucket_rows(df: DataFrame, index: str, columns: list[str], most: int) -> DataFrame:
@@ -18,10 +19,9 @@ def bucket_rows(df: DataFrame, index: str, columns: list[str], most: int) -> Dat
 
 
 def episodes(df: DataFrame, keys: list[str], order: str, counter: str) -> DataFrame:
-    """A counter that isn't above its predecessor starts an episode."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    start = F.when(F.col(counter) <= F.lag(counter).over(w), 1).otherwise(0)
-    return df.withColumn("starts", start).withColumn("episode", F.sum("starts").over(w)).drop("starts")
+    """A counter that isn't above its predecessor starts an episode; ``order`` is a whole number, distinct within ``keys``."""
+    seen = previous(df, keys, order, [counter])
+    return running_count(seen, keys, order, F.col(counter) <= F.col(f"before_{counter}"), "episode").drop(f"before_{counter}")
 
 
 def merge_short(df: DataFrame, keys: list[str], least: int) -> DataFrame:

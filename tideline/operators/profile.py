@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.cleaning import clean_number, clean_time, shape
+from tideline.operators.ordered import previous
 
 ROW = "row"
 
@@ -36,9 +37,8 @@ def profiles(c: DataFrame, levels: int = 12) -> DataFrame:
 
 def time_units(c: DataFrame) -> DataFrame:
     """iso, s, ms or none for each column: most cells parse, or lie in the epoch's range and mostly go forward."""
-    order = Window.partitionBy("idx", "col").orderBy(ROW)
-    value = c.where("cell <> ''").withColumns({"number": clean_number(F.col("cell")), "iso": clean_time(F.col("cell"), "iso")})
-    step = value.withColumn("forward", (F.col("number") >= F.lag("number").over(order)).cast("int"))
+    value = c.where("cell <> ''").select("idx", "col", ROW, clean_number(F.col("cell")).alias("number"), clean_time(F.col("cell"), "iso").alias("iso"))
+    step = previous(value, ["idx", "col"], ROW, ["number"]).withColumn("forward", (F.col("number") >= F.col("before_number")).cast("int"))
     stats = step.groupBy("idx", "col").agg(
         F.avg(F.col("iso").isNotNull().cast("int")).alias("iso"),
         F.avg(F.coalesce(F.col("number").between(3e8, 4e9), F.lit(False)).cast("int")).alias("s"),
@@ -51,8 +51,8 @@ def time_units(c: DataFrame) -> DataFrame:
 
 def regularity(c: DataFrame, unit: str) -> DataFrame:
     """Median step in milliseconds, and whether four fifths of the steps are within half of it."""
-    order = Window.partitionBy("idx", "col").orderBy(ROW)
-    step = c.where("cell <> ''").withColumn("ms", clean_time(F.col("cell"), unit)).withColumn("step", F.col("ms") - F.lag("ms").over(order))
+    value = c.where("cell <> ''").select("idx", "col", ROW, clean_time(F.col("cell"), unit).alias("ms"))
+    step = previous(value, ["idx", "col"], ROW, ["ms"]).withColumn("step", F.col("ms") - F.col("before_ms"))
     middle = step.groupBy("idx", "col").agg(F.expr("percentile(step, 0.5)").alias("median_step"))
     near = step.join(middle, ["idx", "col"]).groupBy("idx", "col", "median_step").agg(F.avg((F.abs(F.col("step") - F.col("median_step")) <= 0.5 * F.col("median_step")).cast("int")).alias("near"))
     return near.select("idx", "col", "median_step", (F.coalesce("near", F.lit(0.0)) >= 0.8).alias("regular"))
@@ -60,9 +60,8 @@ def regularity(c: DataFrame, unit: str) -> DataFrame:
 
 def counters(c: DataFrame) -> DataFrame:
     """Columns that mostly go up by one, and otherwise start anew."""
-    order = Window.partitionBy("idx", "col").orderBy(ROW)
-    value = c.withColumn("number", clean_number(F.col("cell")))
-    step = value.withColumns({"delta": F.col("number") - F.lag("number").over(order), "number": F.col("number")}).where("delta is not null")
+    value = c.select("idx", "col", ROW, clean_number(F.col("cell")).alias("number"))
+    step = previous(value, ["idx", "col"], ROW, ["number"]).withColumn("delta", F.col("number") - F.col("before_number")).where("delta is not null")
     reset = (F.col("delta") < 0) & (F.col("number") <= 1)
     stats = step.groupBy("idx", "col").agg(F.avg((F.col("delta") == 1).cast("int")).alias("ones"), F.avg(((F.col("delta") == 1) | reset).cast("int")).alias("ones_or_reset"))
     return stats.select("idx", "col", "ones", ((F.col("ones") >= 0.9) & (F.col("ones_or_reset") >= 0.99)).alias("is_counter"))
