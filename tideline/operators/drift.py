@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as k
+from tideline.operators import trends
 from tideline.operators.kernels import KEYS
 from tideline.session import durable, ship
 
@@ -56,7 +57,7 @@ def block_stats(dev: DataFrame, start: int, size: int, fine: int) -> DataFrame:
     after = dev.where(F.col("t") >= start).select(*KEYS, F.lit(0).alias("episode"), "t", F.col("deviation").alias("v"))
     blocks = k.block_medians(after, size).select(*KEYS, F.lit(0).alias("episode"), F.col("block").alias("t"), F.col("median").alias("v"))
     peak = k.block_medians(after, fine).groupBy(*KEYS).agg(F.max(F.abs("median")).alias("max_deviation"))
-    return peak.join(k.theil_sen(blocks).select(*KEYS, "slope"), KEYS, "left").join(k.mann_kendall(blocks).select(*KEYS, "z", "p"), KEYS, "left")
+    return peak.join(trends.theil_sen(blocks).select(*KEYS, "slope"), KEYS, "left").join(trends.mann_kendall(blocks).select(*KEYS, "z", "p"), KEYS, "left")
 
 
 def decide(stats: DataFrame, alarms: DataFrame, limit: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as k
+from tideline.operators import trends
 from tideline.operators.kernels import KEYS
 from tideline.operators.relations import redundancy_groups
 from tideline.session import durable
@@ -128,7 +129,7 @@ def process_kind(dev: DataFrame, start: int, n: int, reach: int) -> DataFrame:
     jump = series.groupBy(*KEYS).agg(*[F.expr(f"percentile(CASE WHEN t >= {lo} AND t < {hi} THEN v END, 0.5)").alias(s) for s, (lo, hi) in sides.items()]).select(*KEYS, F.abs(F.col("after") - F.col("before")).alias("jump"))
     period = k.dominant_period(k.autocorrelation(after, 40), 0.5)
     counts = blocks.where("v is not null").groupBy(*KEYS).agg(F.count("*").alias("blocks"))
-    met = counts.join(k.theil_sen(blocks).select(*KEYS, "slope"), KEYS, "left").join(k.mann_kendall(blocks).select(*KEYS, "p"), KEYS, "left").join(jump, KEYS, "left").join(period, KEYS, "left")
+    met = counts.join(trends.theil_sen(blocks).select(*KEYS, "slope"), KEYS, "left").join(trends.mann_kendall(blocks).select(*KEYS, "p"), KEYS, "left").join(jump, KEYS, "left").join(period, KEYS, "left")
     trend = (F.col("blocks") >= 4) & (F.col("p") < 0.01) & (F.col("slope") > 0)
     kind = F.when(trend, "process-slow-degradation").when(F.col("jump") > 2, "process-step").when(F.col("period") > 0, "process-oscillation").otherwise("process-degradation")
     return met.withColumn("fault", kind)

@@ -181,40 +181,6 @@ def standardised(g: DataFrame) -> DataFrame:
     return g.join(center, KEYS).join(mad(g), KEYS).withColumn("v", (F.col("v") - F.col("center")) / F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0)).drop("center", "mad")
 
 
-def pairs_in_order(g: DataFrame) -> DataFrame:
-    """All pairs of samples of a sensor in order of time, for bounded series."""
-    left = g.where("v is not null").select(*KEYS, F.col("t").alias("t1"), F.col("v").alias("v1"))
-    right = g.where("v is not null").select(*KEYS, F.col("t").alias("t2"), F.col("v").alias("v2"))
-    return left.join(right, KEYS).where("t1 < t2")
-
-
-def theil_sen(g: DataFrame) -> DataFrame:
-    slope = pairs_in_order(g).groupBy(*KEYS).agg(F.expr("percentile((v2 - v1) / (t2 - t1), 0.5)").alias("slope"))
-    rest = g.join(slope, KEYS).groupBy(*KEYS, "slope").agg(F.expr("percentile(v - slope * t, 0.5)").alias("intercept"))
-    return rest.select(*KEYS, "slope", "intercept")
-
-
-def erfc(x: Column) -> Column:
-    """Complementary error function of a non-negative number, by the five-term rational approximation 7.1.26 of Abramowitz and Stegun."""
-    # The published coefficients.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    u = 1 / (1 + p * x)
-    poly = F.lit(0.0)
-    for c in reversed(a):
-        poly = (poly + c) * u
-    return poly * F.exp(-x * x)
-
-
-def mann_kendall(g: DataFrame) -> DataFrame:
-    """S, its variance corrected for ties, z with continuity correction and the two-sided p."""
-    s = pairs_in_order(g).groupBy(*KEYS).agg(F.sum(F.signum(F.col("v2") - F.col("v1"))).alias("s"))
-    ties = g.where("v is not null").groupBy(*KEYS, "v").agg(F.count("*").alias("k"))
-    n = ties.groupBy(*KEYS).agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) * (2 * k + 5)")).alias("tied"))
-    var = s.join(n, KEYS).withColumn("var", F.expr("(n * (n - 1) * (2 * n + 5) - tied) / 18D"))
-    z = var.withColumn("z", F.when(F.col("var") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var")).otherwise(0.0))
-    return z.select(*KEYS, "s", "var", "z", erfc(F.abs("z") / math.sqrt(2)).alias("p"))
-
-
 def mid_quantiles(value: Column | str, count: int) -> Column:
     probs = ", ".join(f"{(k + 0.5) / count}D" for k in range(count))
     return F.expr(f"percentile({value}, array({probs}))")

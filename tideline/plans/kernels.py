@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as k
+from tideline.operators import trends
 from tideline.plans.fixtures import grid, with_grid
 from tideline.plans.registry import query
 
@@ -225,7 +226,7 @@ def stat_cusum(spark, d):
     "slope intercept",
 )
 def stat_theil_sen(spark, d):
-    return k.theil_sen(grid(spark, d))
+    return trends.theil_sen(grid(spark, d))
 
 
 @query(
@@ -241,7 +242,7 @@ def stat_theil_sen(spark, d):
     "s var z p",
 )
 def stat_mann_kendall(spark, d):
-    return k.mann_kendall(grid(spark, d))
+    return trends.mann_kendall(grid(spark, d))
 
 
 @query(
