@@ -8,14 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators import drift, faults, health, kernels as k, relations, signals
+from tideline.operators import drift, faults, health, packed as p, relations, signals
 from tideline.operators.kernels import KEYS
 from tideline.session import durable
 
 #: Least correlation of a relation, and of sensors that measure the same; CUSUM slack; limit of the largest deviation, in sigmas.
 RELATION_RHO, SAME_RHO, SLACK, FAR = 0.5, 0.95, 0.5, 3.0
-#: CUSUM limits that the calibration chooses from, and the share of clean segments that may raise an alarm.
-CUSUM_LIMITS, FALSE_ALARMS = (10.0, 20.0, 40.0, 80.0), 0.02
 #: A deviation that follows the level this closely is a gain.
 GAIN_RHO = 0.5
 
@@ -25,20 +23,21 @@ def block_size(n: int, day: int = 0) -> int:
     return day if day >= 20 else max(1, n // 200)
 
 
-def baselines(g: DataFrame, points: DataFrame, n: int, sensors: int, size: int) -> DataFrame:
+def baselines(ends: DataFrame, packed: DataFrame, points: DataFrame, n: int, sensors: int, size: int) -> DataFrame:
     """``run_id, from, to``: up to the first change that counts, and before a sensor that fails from inside it to the end."""
-    chosen = durable(signals.select_baseline(g, signals.change_groups(signals.changes(g, points), n, sensors)))
-    since = g.join(chosen, "run_id").withColumns({"t": F.col("t") - F.col("from"), "end": F.col("to") - F.col("from")})
-    bound = signals.bound_by_health(since, F.col("end"), size).select("run_id", F.col("to").alias("length"))
+    outer = ends.select("run_id", "episode", F.explode(F.array("a", F.col("b") - 1)).alias("t"))  # first and last steps stand for all
+    chosen = durable(signals.select_baseline(outer, signals.change_groups(p.changes(packed, points), n, sensors)))
+    since = p.shifted(packed.join(F.broadcast(chosen), "run_id"), "from", "from").withColumn("length", F.col("to") - F.col("from"))  # a row for each run
+    stats = durable(p.health_blocks(since.select(*KEYS, "s", F.floor(F.col("length") / 2).alias("end")), size))
+    lengths = chosen.select("run_id", (F.col("to") - F.col("from")).alias("end"))
+    bound = signals.bound_by_checks(health.checked(stats, p.health_reference(stats)), lengths).select("run_id", F.col("to").alias("length"))
     return durable(chosen.join(bound, "run_id").select("run_id", "from", (F.col("from") + F.col("length")).alias("to")))
 
 
-def learned_relations(base: DataFrame, least: float, most_lag: int) -> DataFrame:
-    """``run_id, a, b, rho, lag, rho_at_lag``: rank correlation at lag 0 of at least ``least``; the lag is 0 unless it correlates clearly better."""
-    pairs = relations.rank_pairs(base, least)
-    met = pairs.join(relations.lagged_pairs(base, most_lag), ["run_id", "a", "b"])
+def learned_relations(found: DataFrame) -> DataFrame:
+    """``run_id, a, b, rho, lag, rho_at_lag``: the lag is 0 unless it correlates clearly better."""
     leads = (F.col("lag") != 0) & (F.abs("rho_at_lag") > F.abs("at_zero") + 0.02)
-    return met.select("run_id", "a", "b", "rho", F.when(leads, F.col("lag")).otherwise(0).alias("lag"), F.when(leads, F.col("rho_at_lag")).otherwise(F.col("rho")).alias("rho_at_lag"), "at_zero")
+    return found.select("run_id", "a", "b", "rho", F.when(leads, F.col("lag")).otherwise(0).alias("lag"), F.when(leads, F.col("rho_at_lag")).otherwise(F.col("rho")).alias("rho_at_lag"), "at_zero")
 
 
 def edges_of(found: DataFrame) -> DataFrame:
@@ -47,76 +46,59 @@ def edges_of(found: DataFrame) -> DataFrame:
     return found.where("lag <> 0").select("run_id", pick("a", "b").alias("source"), pick("b", "a").alias("target"), F.abs("lag").alias("lag"), F.col("rho_at_lag").alias("rho"), "at_zero")
 
 
-def all_deviations(x: DataFrame, aligned: DataFrame, models: DataFrame) -> DataFrame:
-    """Against the peers where a sensor has a model, else against its own baseline."""
-    against_peers = drift.deviations(aligned, models)
-    base = x.where("t < 0")
-    center = base.groupBy(*KEYS).agg(F.expr("percentile(v, 0.5)").alias("expected"))
-    alone = x.join(models.select(*KEYS).distinct(), KEYS, "left_anti").join(center, KEYS).join(k.mad(base), KEYS)
-    own = alone.select(*KEYS, "episode", "t", "v", "expected", ((F.col("v") - F.col("expected")) / F.greatest("mad", F.lit(1e-12))).alias("deviation"))
-    return against_peers.unionByName(own)
-
-
-def alarm_limit(dev: DataFrame, segment: int) -> float:
-    """The smallest CUSUM limit with few false alarms on segments of the baseline; the largest if none has."""
-    clean = drift.calibrate(dev, 0, [SLACK], list(CUSUM_LIMITS), segment).where((F.col("bias") == 0) & (F.col("rate") <= FALSE_ALARMS))
-    return clean.agg(F.min("limit")).head()[0] or CUSUM_LIMITS[-1]  # one number
-
-
 def analyse(grid: DataFrame, family: Column, most_lag: int = 32, day: int = 0) -> dict[str, DataFrame]:
     """``run_id, sensor, episode, t, v`` to the tables of every stage; ``family`` (of ``sensor``) groups siblings, ``day`` is a day in steps.
 
     Runs are bucketed to grids of one size; block sizes follow the longest. Nulls are missing samples. Repeated samples of a step, and a
     run without samples after its baseline, give no incident of their own.
     """
-    g = durable(grid.select(*KEYS, "episode", "t", "v"))
-    n, sensors = (int(x or 1) for x in g.groupBy("run_id").agg((F.max("t") - F.min("t") + 1).alias("n"), F.count_distinct("sensor").alias("sensors")).agg(F.max("n"), F.max("sensors")).head())  # two numbers
-    size, block = max(64, min(1024, n // 64)), block_size(n, day)
+    packed = durable(p.pack(grid.select(*KEYS, "episode", "t", "v")))
+    ends = durable(p.episode_ends(packed))
+    n, sensors = (int(x or 1) for x in ends.groupBy("run_id").agg((F.max("b") - F.min("a")).alias("n"), F.count_distinct("sensor").alias("sensors")).agg(F.max("n"), F.max("sensors")).head())  # two numbers
+    size, block, fine = max(64, min(1024, n // 64)), block_size(n, day), max(1, n // 200)
 
-    points = durable(k.change_points(g))
-    baseline = baselines(g, points, n, sensors, size)
-    x = durable(g.join(F.broadcast(baseline), "run_id").where(F.col("t") >= F.col("from")).withColumn("t", F.col("t") - F.col("to")).drop("from", "to"))  # one row for each run
+    points = durable(p.change_points(packed, durable(p.run_spans(ends))))
+    baseline = baselines(ends, packed, points, n, sensors, size)
+    x = p.shifted(packed.join(F.broadcast(baseline), "run_id"), "from", "to").select(*KEYS, "s", F.lit(0).alias("end"))  # a row for each run
 
-    blocks = durable(health.with_blocks(x, size, 0))
-    stats = durable(health.block_stats(blocks))
-    checks = durable(health.suppressed(health.checked(stats, health.reference(blocks, stats))))
+    stats = durable(p.health_blocks(x, size))
+    checks = durable(health.suppressed(health.checked(stats, p.health_reference(stats))))
     gates = durable(health.gate(checks))
     failed = gates.where("health <> 'healthy'")
-    bad = checks.where("failed and part = 1").select(*KEYS, "part", "block").distinct().withColumn("bad", F.lit(True))
-    x = durable(blocks.join(bad, [*KEYS, "part", "block"], "left").select(*KEYS, "episode", "t", F.when(F.col("bad"), None).otherwise(F.col("v")).alias("v")))
+    x = durable(p.masked(x, checks.where("failed and part = 1").select(*KEYS, "part", "block").distinct(), size))
 
-    base = durable(x.where("t < 0"))
-    found = durable(learned_relations(base, RELATION_RHO, most_lag))
+    found = durable(learned_relations(p.relations(x, RELATION_RHO, most_lag)))
     edges, level = durable(edges_of(found)), durable(found.where("lag = 0").select("run_id", "a", "b", "rho"))
-    groups = relations.redundancy_groups(level, SAME_RHO)
-    scores = relations.role_scores(signals.fingerprint(base, base), relations.range_per_mad(base), edges, found, groups)
+    groups = durable(relations.redundancy_groups(level, SAME_RHO))
+    prints = durable(p.fingerprints(x, until=0).where("n > 0"))
+    scores = relations.role_scores(prints.drop("range_per_mad", "step"), prints.select(*KEYS, "range_per_mad"), edges, found, groups)
     roles = durable(relations.assign_roles(scores))
 
     peers = durable(relations.peers(found, failed))
-    aligned = durable(drift.align_peers(x, peers))
-    models = durable(drift.fit_models(aligned, 0))
-    dev = durable(all_deviations(x, aligned, models))
-    limit = alarm_limit(dev, max(20, n // 12))
-    alarms = k.cusum(dev.where("t >= 0").withColumn("v", F.col("deviation")), SLACK, limit)
-    decided = durable(drift.decide(drift.block_stats(dev, 0, block, max(1, n // 200)), alarms, FAR).where(F.col("max_deviation").isNotNull()))
-    suspects = decided.where("drifting").join(models.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS)
-    refit = drift.refits(aligned, suspects, 0, FAR / 2)
+    moved = durable(p.deviations(x, peers))
+    models = moved.where("model is not null").select(*KEYS, "sigma", F.inline("model"))
+    sweep = p.choose_drift(p.drift_sweep(moved, n, block, fine, FAR))
+    slack, limit = sweep.where("chosen").select("slack", "limit").head() or (SLACK, p.LIMITS[-1])  # two numbers
+    trends = p.block_trends(moved, slack, limit, block, fine).where(F.col("max_deviation").isNotNull())
+    decided = durable(trends.withColumn("drifting", (F.col("max_deviation") >= FAR) & ((F.col("p") < 0.01) | F.col("alarm").isNotNull())))
+    suspects = durable(decided.where("drifting").join(models.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS))
+    refit = p.refits(x, peers, suspects, FAR / 2)
     blamed = durable(drift.responsible(peers, refit))
     # a victim's deviation halves at least without the one that explains it
-    before = dev.where("t >= 0").groupBy("run_id", F.col("sensor").alias("peer")).agg(F.expr("percentile(abs(deviation), 0.5)").alias("before"))
+    before = p.median_deviation(moved).select("run_id", F.col("sensor").alias("peer"), "before")
     eased = refit.join(before, ["run_id", "peer"]).withColumn("flat", F.col("flat") & (F.col("typical") < F.col("before") / 2)).drop("before")
     victims = durable(drift.victims(decided, eased, blamed))
-    incidents = separate(x, dev, decided, victims, models, found, groups, roles, points.join(baseline, "run_id").select(*KEYS, (F.col("cut_t") - F.col("to")).alias("cut_t")), family, n, sensors, block)
+    incidents = separate(x, moved, decided, victims, models, found, groups, roles, points.join(baseline, "run_id").select(*KEYS, (F.col("cut_t") - F.col("to")).alias("cut_t")), family, n, sensors, block)
     # times of incidents are counted from the start of the run again
     incidents = incidents.join(baseline, "run_id").withColumn("onset", F.col("onset") + F.col("to")).drop("from", "to")
     sick = failed.join(baseline, "run_id").select(
         "run_id", F.array("sensor").alias("drivers"), faults.fault_of_health(F.col("health")).alias("fault"), (F.col("from_block") + F.col("to")).alias("onset"), F.lit(0).cast("long").alias("n_victims"), "confidence"
     )
     both = incidents.unionByName(sick).withColumns({"label": faults.label_of(F.col("fault")), "family": faults.family_of(F.col("fault"))})
-    return {"baseline": baseline, "health": gates, "relations": found, "roles": roles, "peers": peers, "models": models, "drift": decided, "victims": victims, "incidents": durable(both)}
+    return {"sweep": sweep, "baseline": baseline, "health": gates, "relations": found, "roles": roles, "peers": peers, "models": models, "drift": decided, "victims": victims, "incidents": durable(both)}
 
 
-def separate(x: DataFrame, dev: DataFrame, decided: DataFrame, victims: DataFrame, models: DataFrame, found: DataFrame, groups: DataFrame, roles: DataFrame, points: DataFrame, family: Column, n: int, sensors: int, block: int) -> DataFrame:
+def separate(x: DataFrame, moved: DataFrame, decided: DataFrame, victims: DataFrame, models: DataFrame, found: DataFrame, groups: DataFrame, roles: DataFrame, points: DataFrame, family: Column, n: int, sensors: int, block: int) -> DataFrame:
     """One row for each group of drivers: its members, fault, onset, number of victims and confidence."""
     blame = victims.select("run_id", F.col("victim").alias("sensor"), F.col("driver").alias("victim_of"))
     moving = durable(decided.join(blame, KEYS, "left").select(*KEYS, family.alias("family"), "drifting", F.coalesce("onset", F.lit(0)).cast("long").alias("onset"), "max_deviation", "victim_of"))
@@ -125,16 +107,12 @@ def separate(x: DataFrame, dev: DataFrame, decided: DataFrame, victims: DataFram
     grouped = faults.driver_groups(leading.withColumn("reach", F.lit(block)), found, n, sensors)
     member = durable(grouped.select("run_id", "drivers", F.col("onset").alias("first"), F.explode("members").alias("sensor")))
 
-    since = lambda df: df.join(leading.select(*KEYS, "onset"), KEYS).withColumn("t", F.col("t") - F.col("onset")).drop("onset")  # noqa: E731  t counted from the onset
-    moved = durable(since(dev.select(*KEYS, "episode", "t", "v", "expected", "deviation")))
-    scale = faults.scale_change(since(x), 0).select(*KEYS, "gain")
-    follows = faults.level_dependence(moved, 0).select(*KEYS, (F.abs("rho") > GAIN_RHO).alias("follows"))
-    kind = faults.process_kind(moved, 0, n, max(block, n // 50)).select(*KEYS, F.col("fault").alias("kind"))
+    marks = p.fault_marks(moved.join(leading.select(*KEYS, "onset"), KEYS), n, max(block, n // 50)).select(*KEYS, "gain", (F.abs("rho") > GAIN_RHO).alias("follows"), "kind")
     loops = faults.control_loops(marked, moving, roles, found).select("run_id", F.col("actuator").alias("sensor"), "shifted")
     modelled = models.select(*KEYS).distinct().withColumn("modelled", F.lit(True))
     same = groups.select(*KEYS, F.col("label").alias("same"))
     rows = member.join(leading.select(*KEYS, "source", "max_deviation"), KEYS)
-    for part in (scale, follows, kind, loops, modelled, same):
+    for part in (marks, loops, modelled, same):
         rows = rows.join(part, KEYS, "left")
     rows = durable(rows)
     # a lone driver of a redundancy group is a sensor fault only if no other member of the group drives

@@ -305,11 +305,23 @@ def inject_fault(g: DataFrame, kind: str, start: int, size: float, scale: DataFr
     return g.join(scale, KEYS).withColumn("v", F.when(F.col("t") >= start, changed).otherwise(F.col("v"))).drop("scale")
 
 
-def huber_fit(rows: DataFrame, regressors: list[str], rounds: int = 5) -> DataFrame:
-    """``run_id, sensor, y`` and regressors to the coefficients of a robust fit, one small fit per sensor, many in parallel.
+def huber(x, y, rounds: int = 5):
+    """Coefficients and scale of a robust fit: weights fall off beyond 1.345 scaled residuals, a small ridge keeps the normal equations solvable."""
+    import numpy as np
 
-    Weights fall off beyond 1.345 scaled residuals; a small ridge keeps the normal equations solvable.
-    """
+    w, beta, sigma = np.ones(len(y)), np.zeros(x.shape[1]), 0.0
+    for _ in range(rounds if len(y) > x.shape[1] else 0):
+        beta = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-8 * np.eye(x.shape[1]), x.T @ (w * y))
+        rest = y - x @ beta
+        sigma = MAD_SCALE * float(np.median(np.abs(rest - np.median(rest))))
+        if sigma <= 0:
+            break
+        w = 1 / np.maximum(1, np.abs(rest) / (1.345 * sigma))
+    return beta, sigma
+
+
+def huber_fit(rows: DataFrame, regressors: list[str], rounds: int = 5) -> DataFrame:
+    """``run_id, sensor, y`` and regressors to the coefficients of a robust fit, one small fit per sensor, many in parallel."""
     import numpy as np
     import pandas as pd
 
@@ -321,17 +333,8 @@ def huber_fit(rows: DataFrame, regressors: list[str], rounds: int = 5) -> DataFr
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         complete = pdf.dropna(subset=["y", *regressors])
         x = np.column_stack([np.ones(len(complete)), complete[regressors].to_numpy(float)])
-        y, w = complete["y"].to_numpy(float), np.ones(len(complete))
-        beta, sigma = np.zeros(x.shape[1]), 0.0
-        for _ in range(rounds if len(y) > x.shape[1] else 0):
-            beta = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-8 * np.eye(x.shape[1]), x.T @ (w * y))
-            rest = y - x @ beta
-            sigma = MAD_SCALE * float(np.median(np.abs(rest - np.median(rest))))
-            if sigma <= 0:
-                break
-            far = np.abs(rest) / (1.345 * sigma)
-            w = 1 / np.maximum(1, far)
-        return pd.DataFrame([[*pdf[KEYS].iloc[0], len(y), sigma, *beta]], columns=[*KEYS, "n", "sigma", *names])
+        beta, sigma = huber(x, complete["y"].to_numpy(float), rounds)
+        return pd.DataFrame([[*pdf[KEYS].iloc[0], len(x), sigma, *beta]], columns=[*KEYS, "n", "sigma", *names])
 
     schema = "run_id string, sensor string, n long, sigma double, " + ", ".join(f"{n} double" for n in names)
     return rows.groupBy(*KEYS).applyInPandas(fit, schema)

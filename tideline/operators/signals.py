@@ -100,7 +100,12 @@ def bound_by_health(g: DataFrame, end: int | Column, size: int) -> DataFrame:
     ends = g.groupBy("run_id").agg(F.max(F.lit(end).cast("long")).alias("end"))
     blocks = health.with_blocks(g, size, F.floor(F.lit(end) / 2))
     stats = health.block_stats(blocks)
-    failed = health.checked(stats, health.reference(blocks, stats)).where("part = 1").groupBy(*KEYS, "block").agg(F.bool_or("failed").alias("bad"))
+    return bound_by_checks(health.checked(stats, health.reference(blocks, stats)), ends)
+
+
+def bound_by_checks(checks: DataFrame, ends: DataFrame) -> DataFrame:
+    """``run_id, end`` of baselines from 0 on, and checks with the first half as reference, to where the baselines end."""
+    failed = checks.where("part = 1").groupBy(*KEYS, "block").agg(F.bool_or("failed").alias("bad"))
     w = Window.partitionBy(*KEYS).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
     tail = failed.withColumn("all_bad", F.bool_and("bad").over(w)).where("all_bad").groupBy(*KEYS).agg(F.min("block").alias("from_block"))
     cut = tail.join(ends, "run_id").where("from_block >= end - end div 2 and from_block < end")
