@@ -10,7 +10,7 @@ from tideline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-SLOW = {"drift_responsible", "drift_victims", "drift_report", "calibrate_drift", "calibrate_health"}
+LARGER = {"drift_responsible", "drift_victims", "drift_report"}  # weeks have too few rows for a drift at the smallest size
 ELSEWHERE = {"analysis_incidents", "analysis_without_sensor"}  # held in test_analysis.py
 
 
@@ -37,7 +37,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ORACLES)))
 def test_equals_sql(spark, duck, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
@@ -47,6 +47,6 @@ def test_equals_sql(spark, duck, name):
     assert len(different) <= 0.005 * len(a), different[:3]  # a last digit may be rounded either way
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW - ELSEWHERE))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - ELSEWHERE))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, "/root/testdata/sf0.01" if name in LARGER else DATA).count() > 0

@@ -88,7 +88,7 @@ def analyse(grid: DataFrame, family: Column, most_lag: int = 32, day: int = 0) -
     before = p.median_deviation(moved).select("run_id", F.col("sensor").alias("peer"), "before")
     eased = refit.join(before, ["run_id", "peer"]).withColumn("flat", F.col("flat") & (F.col("typical") < F.col("before") / 2)).drop("before")
     victims = durable(drift.victims(decided, eased, blamed))
-    incidents = separate(x, moved, decided, victims, models, found, groups, roles, points.join(baseline, "run_id").select(*KEYS, (F.col("cut_t") - F.col("to")).alias("cut_t")), family, n, sensors, block)
+    incidents = separate(x, moved, decided, victims, models, found, groups, roles, points.join(baseline, "run_id").select(*KEYS, (F.col("cut_t") - F.col("to")).alias("cut_t")), family, n, sensors, block, p.components(x.join(failed.select(*KEYS), KEYS, "left_anti"), 0))
     # times of incidents are counted from the start of the run again
     incidents = incidents.join(baseline, "run_id").withColumn("onset", F.col("onset") + F.col("to")).drop("from", "to")
     sick = failed.join(baseline, "run_id").select(
@@ -98,8 +98,12 @@ def analyse(grid: DataFrame, family: Column, most_lag: int = 32, day: int = 0) -
     return {"sweep": sweep, "baseline": baseline, "health": gates, "relations": found, "roles": roles, "peers": peers, "models": models, "drift": decided, "victims": victims, "incidents": durable(both)}
 
 
-def separate(x: DataFrame, moved: DataFrame, decided: DataFrame, victims: DataFrame, models: DataFrame, found: DataFrame, groups: DataFrame, roles: DataFrame, points: DataFrame, family: Column, n: int, sensors: int, block: int) -> DataFrame:
-    """One row for each group of drivers: its members, fault, onset, number of victims and confidence."""
+def separate(x: DataFrame, moved: DataFrame, decided: DataFrame, victims: DataFrame, models: DataFrame, found: DataFrame, groups: DataFrame, roles: DataFrame, points: DataFrame, family: Column, n: int, sensors: int, block: int, model: DataFrame) -> DataFrame:
+    """One row for each group of drivers: its members, fault, onset, number of victims and confidence.
+
+    A lone member of a redundancy group is certain to 0.9; else the confidence is how far the squared error and T2 of the run's principal components, each by its
+    limit, lie apart while the group lasts; 0.5 without components.
+    """
     blame = victims.select("run_id", F.col("victim").alias("sensor"), F.col("driver").alias("victim_of"))
     moving = durable(decided.join(blame, KEYS, "left").select(*KEYS, family.alias("family"), "drifting", F.coalesce("onset", F.lit(0)).cast("long").alias("onset"), "max_deviation", "victim_of"))
     marked = durable(faults.drivers(moving))
@@ -129,5 +133,8 @@ def separate(x: DataFrame, moved: DataFrame, decided: DataFrame, victims: DataFr
     told = cases.join(shared, ["run_id", "drivers"], "left").withColumns({"shared_share": F.coalesce("shared_share", F.lit(0.0)), "shared_at": F.coalesce("shared_at", "onset"), "slack": F.lit(slack)})
     hit = member.join(marked.where("victim_of is not null").select("run_id", F.col("victim_of").alias("sensor"), F.col("sensor").alias("victim")), KEYS).groupBy("run_id", "drivers").agg(F.count_distinct("victim").alias("n_victims"))
     agreed = ~F.col("all_sources") & (F.col("n_drivers") == 1) & F.col("redundant") & (F.col("fault") == "sensor-drift")
-    out = faults.verdict(told).join(hit, ["run_id", "drivers"], "left")
-    return out.select("run_id", F.col("members").alias("drivers"), "fault", "onset", F.coalesce("n_victims", F.lit(0)).alias("n_victims"), F.when(agreed, 0.9).otherwise(0.5).alias("confidence"))
+    spans = grouped.select("run_id", F.col("drivers").alias("name"), F.greatest(F.lit(0), "onset").cast("long").alias("from"), F.col("until").cast("long").alias("to"))
+    parts = p.component_statistics(x.select(*KEYS, "s"), model, spans).groupBy("run_id", F.col("name").alias("drivers")).agg(F.first(F.abs(F.col("spe") / F.col("spe_limit") - F.col("t2") / F.col("t2_limit"))).alias("apart"))
+    out = faults.verdict(told).join(hit, ["run_id", "drivers"], "left").join(parts, ["run_id", "drivers"], "left")
+    sure = F.when(agreed, 0.9).otherwise(F.coalesce(F.least(F.lit(1.0), "apart"), F.lit(0.5)))
+    return out.select("run_id", F.col("members").alias("drivers"), "fault", "onset", F.coalesce("n_victims", F.lit(0)).alias("n_victims"), sure.alias("confidence"))

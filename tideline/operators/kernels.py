@@ -136,7 +136,7 @@ def average_ranks(g: DataFrame) -> DataFrame:
 
 def correlation(u: str, w: str) -> Column:
     """Pearson from complete pairs; 0 without variance."""
-    return F.coalesce(F.when((F.stddev_pop(u) > 1e-12) & (F.stddev_pop(w) > 1e-12), F.corr(u, w)), F.lit(0.0))
+    return F.coalesce(F.when((F.stddev_pop(u) > 1e-12) & (F.stddev_pop(w) > 1e-12), F.try_divide(F.covar_pop(u, w), F.stddev_pop(u) * F.stddev_pop(w))), F.lit(0.0))
 
 
 def spearman(g: DataFrame) -> DataFrame:

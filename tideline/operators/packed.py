@@ -504,6 +504,7 @@ def deviations(packed: DataFrame, peers: DataFrame) -> DataFrame:
         if not rows.num_rows:
             return pa.Table.from_batches([as_table([], schema)])
         sensors, lo, episode, v = matrix(rows)
+        steps = [samples(x.values)[0].astype(np.int64) for x in rows.sort_by("sensor")["s"]]
         t, out = np.arange(lo, lo + len(v)), []
         known = peer_lists(links, sensors)
         for k, name in enumerate(sensors):
@@ -514,7 +515,8 @@ def deviations(packed: DataFrame, peers: DataFrame) -> DataFrame:
             else:
                 center, sigma, model = median(v[t < 0, k]), mad(v[t < 0, k]), None
                 expected = np.full(len(v), center)
-            moved = struct_of(t=t, episode=episode.astype(np.int32), v=v[:, k], expected=expected, deviation=(v[:, k] - expected) / max(sigma, 1e-12))
+            own = steps[k] - lo  # the steps that the series has
+            moved = struct_of(t=t[own], episode=episode[own].astype(np.int32), v=v[own, k], expected=expected[own], deviation=(v[own, k] - expected[own]) / max(sigma, 1e-12))
             out.append({"run_id": rows["run_id"][0].as_py(), "sensor": name, "sigma": sigma, "model": model, "d": moved})
         return pa.Table.from_batches([as_table(out, schema)])
 

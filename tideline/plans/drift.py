@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import drift as x
 from tideline.operators import kernels as k
+from tideline.operators import packed as pk
 from tideline.plans.fixtures import grid, with_grid
 from tideline.plans.registry import query
 from tideline.session import durable
@@ -151,11 +152,20 @@ def drift_in_range(spark, d):
     return x.in_range(g, own_decided(spark, d), k.quantiles(g.where(F.col("t") < END), {"p1": 0.01, "p99": 0.99}), 16)
 
 
+def moved(spark, d):
+    """The series, week 240 as 0, and each with its deviation from what its peers tell, as rows."""
+    own = ramp(spark, d).withColumn("t", F.col("t") - END)
+    packed = durable(pk.pack(own))
+    return packed, peers(packed), durable(pk.deviations(packed, peers(packed)))
+
+
 def judged(spark, d):
     """Decisions, refits without each drifting sensor, and who is responsible."""
-    a, found = durable(aligned(spark, d)), decided(spark, d)
-    refit = x.refits(a, found.where("drifting").select("run_id", "sensor"), END, 1.5)
-    return found, refit, x.responsible(peers(a), refit)
+    packed, links, dev = moved(spark, d)
+    found = pk.block_trends(dev.where("model is not null"), 0.5, 20.0, 16, 4)
+    found = durable(found.withColumns({"drifting": (F.col("max_deviation") >= 3) & ((F.col("p") < 0.01) | F.col("alarm").isNotNull()), "alarm": F.col("alarm") + END, "onset": F.col("onset") + END}))
+    refit = pk.refits(packed, links, found.where("drifting").select("run_id", "sensor"), 1.5)
+    return found, refit, x.responsible(links, refit)
 
 
 @query("drift_responsible")
@@ -176,4 +186,5 @@ def drift_report(spark, d):
 
 @query("calibrate_drift")
 def calibrate_drift(spark, d):
-    return x.calibrate(own_deviation(spark, d), END, [0.5, 1.0], [5.0, 10.0, 20.0], 60)
+    """Alarms of every slack and limit on clean and drifting segments of the baseline, and the choice."""
+    return pk.choose_drift(pk.drift_sweep(moved(spark, d)[2], 358, 16, 4, 3.0))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.cleaning import clean_number
-from tideline.operators import components as pc
 from tideline.operators import corpus as c
+from tideline.operators import packed as pk
 from tideline.plans.corpus import CLAIMS, PHRASES, docs, phrases
+from tideline.plans.drift import ramp
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
 from tideline.session import shared_path
@@ -39,18 +40,27 @@ def alias_import(spark, d):
     return tables.import_aliases(rows, nation.select(F.col("n_name").alias("name")))
 
 
+def component_grid(spark, d):
+    return pk.pack(ramp(spark, d).where(F.col("sensor").isin(SENSORS)))
+
+
 @query("pca_fit")
 def pca_fit(spark, d):
-    steps = pc.wide(grid(spark, d).where("t < 240"), SENSORS)
-    _, pca, k = pc.fit(steps, len(SENSORS))
-    shares = [float(v) for v in pca.explainedVariance.toArray()]  # one number for each sensor
-    return steps.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", "n", F.posexplode(F.array(*[F.lit(v) for v in shares])).alias("component", "share")).withColumn("used", F.col("component") < k)
+    """The components of the complete weeks before week 240, a row for each sensor and component."""
+    model = pk.components(component_grid(spark, d), 240)
+    wide = model.select("run_id", "n", "k", "t2_limit", "spe_limit", F.inline(F.arrays_zip("sensors", "means", "stdevs", F.sequence(F.lit(0), F.size("sensors") - 1).alias("at"))), "loadings", "variances")
+    names = {"sensors": "sensor", "means": "mean", "stdevs": "stdev"}
+    return wide.withColumnsRenamed(names).select("run_id", "n", "k", "t2_limit", "spe_limit", "sensor", "mean", "stdev", "at", "variances", F.posexplode("loadings").alias("component", "row")).select(
+        "run_id", "n", "k", "t2_limit", "spe_limit", "sensor", "mean", "stdev", "component", F.get("row", F.col("at")).alias("loading"), F.get("variances", F.col("component")).alias("variance")
+    )
 
 
 @query("pca_statistics")
 def pca_statistics(spark, d):
-    steps = pc.wide(grid(spark, d), SENSORS)
-    return pc.statistics(steps, pc.fit(steps.where("t < 240"), len(SENSORS)), len(SENSORS))
+    """T2, squared error and what each sensor contributes, for the weeks before and after ``price[A]`` drifts."""
+    packed = component_grid(spark, d)
+    windows = packed.select("run_id").distinct().select("run_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("long").alias("from"), F.lit(b).cast("long").alias("to")) for n, a, b in (("baseline", 0, 240), ("clean", 240, 300), ("drifting", 300, 400))])))
+    return pk.component_statistics(packed, pk.components(packed, 240), windows)
 
 
 CUES = r"""cues AS (

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tideline.operators import health as h
 from tideline.operators import kernels as k
+from tideline.operators import packed as pk
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
+from tideline.session import durable
 
 END, SIZE = 240, 32
 
@@ -157,25 +159,21 @@ def mask_windows(spark, d):
     return h.merged_windows(grid(spark, d).withColumn("flag", F.coalesce(F.col("v") > 52000, F.lit(False))))
 
 
+def health_choices(spark, d):
+    own = grid(spark, d).select("run_id", "sensor", "episode", (F.col("t") - END).alias("t"), "v")
+    return pk.choose_health(durable(pk.health_sweep(pk.pack(own), SIZE)))
+
+
 @query("calibrate_health")
 def calibrate_health(spark, d):
-    """False alarms of clean segments and detections of planted faults for several limits, all as rows of one job."""
-    g = grid(spark, d)
-    scale = k.noise_level(g).withColumnRenamed("noise", "scale")
-    copies = None
-    for fault in ("none", "dead", "noise", "dropout"):
-        part = g if fault == "none" else k.inject_fault(g, fault, 300, 6.0, scale)
-        part = part.withColumn("run_id", F.lit(fault))
-        copies = part if copies is None else copies.unionByName(part)
-    blocks = h.with_blocks(copies, SIZE, END)
-    stats = h.block_stats(blocks)
-    ref = h.reference(blocks, stats)
-    out = None
-    for factor in (1.0, 1.5, 2.0):
-        limits = {n: (v * factor if n not in ("stuck", "resolution") else v / factor) for n, v in h.LIMITS.items()}
-        part = h.checked(stats, ref, limits).where("part = 1").groupBy(F.col("run_id").alias("fault"), "check").agg(F.avg(F.col("failed").cast("int")).alias("alarm_rate")).withColumn("factor", F.lit(factor))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """False alarms of every candidate of each limit over the baseline's segments, and the choice."""
+    return health_choices(spark, d)[0]
+
+
+@query("calibrate_health_detection")
+def calibrate_health_detection(spark, d):
+    """Which planted faults the chosen limits find, and in which block."""
+    return health_choices(spark, d)[1]
 
 
 # -- rules

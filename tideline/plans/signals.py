@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as k
+from tideline.operators import packed as pk
 from tideline.operators import signals as s
 from tideline.plans.fixtures import grid, with_grid
 from tideline.plans.kernels import ACF, HELD, NOISE, RUNS, held
@@ -94,3 +95,9 @@ def baseline_bound_by_health(spark, d):
     g = grid(spark, d)
     dying = g.withColumn("v", F.when((F.col("sensor") == "price") & (F.col("t") >= 300), 1.0).otherwise(F.col("v")))
     return s.bound_by_health(dying, 330, 64)
+
+
+@query("fingerprint_full")
+def fingerprint_full(spark, d):
+    """All statistics of a series in one row: shares, quantiles, spread, histogram, hold, step, noise, autocorrelation time and period."""
+    return pk.fingerprints(pk.pack(grid(spark, d)))
