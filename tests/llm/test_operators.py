@@ -312,7 +312,7 @@ def pair_model(rows, seen):
     return words, total, distinct, score
 
 
-@pytest.mark.parametrize("options", [{}, {"HOT": 300, "BLOCK_TOKENS": 2000, "LEAST_SHARDS": 200}])
+@pytest.mark.parametrize("options", [{}, {"HOT": 300, "BLOCK_TOKENS": 2000, "LEAST_SHARDS": 200}, {"BROADCAST_BYTES": 0, "BLOCK_TOKENS": 5000}])
 def test_language_model(spark, docs, monkeypatch, options):
     for name, value in options.items():
         monkeypatch.setattr(language_model, name, value)
@@ -330,6 +330,19 @@ def test_language_model(spark, docs, monkeypatch, options):
     assert sum(got[i].score for i in seen) > sum(got[i].base_score for i in seen)
 
 
+def test_filters_sent_and_filters_in_place_give_the_same(spark, docs, monkeypatch):
+    """Blocks are alike, so scores are equal to the last bit; neither way sees counts of pairs after the filters are built."""
+    train, found = ~language_model.held_out(F.col("doc_id"), 7, 2), []
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 3000)
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(language_model, "BROADCAST_BYTES", most)
+        frame = language_model.score_language(docs, train)
+        plan = frame._jdf.queryExecution().toString()
+        assert ("CoGroup" in plan) == (most == 0) and "seen" not in plan.split("== Physical Plan ==")[1]
+        found.append(sorted((r.doc_id, *r.lm) for r in frame.select("doc_id", "lm").collect()))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_filter_errs_as_stated():
     random = np.random.default_rng(4)
     keys, counts = random.integers(0, 1 << 63, 60_000).astype(np.uint64), np.floor(1 / random.random(60_000)).astype(np.int64).clip(1, 1 << 40)

@@ -1,14 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
 1. One pass over the texts cuts them into blocks of BLOCK_TOKENS. A block knows its distinct words and its distinct pairs of neighbouring
-   words by 64-bit hashes, with how often its training texts have them, and for each text the numbers of its words.
-2. The hashes of a block go to shards in ranges of the hash, as many as the bytes of the texts ask for. A shard adds counts up over all
-   blocks. It turns the counts of pairs into levels (the logarithm of the count), enters (pair, 1), ..., (pair, level) into its filter,
-   and answers every block that asked: a pair's level is the number of membership probes that succeed in a row; counts of words are exact.
-   A block asks once for a hash, however often its texts have it, so no hash is crowded.
-3. A filter has ROOM bits for each entry, so filters follow the counted pairs and err equally often at any size; they stay in their shards.
-4. Answers return to their block, and its texts are scored: p(w | h) = (count(h, w) + PRIOR * p(w)) / (count(h) + PRIOR), with p(w) the
-   add-one unigram probability. All words and all pairs take part.
+   words by hashes, with how often its training texts have them, and for each text the numbers of its words.
+2. Training counts of a block go to shards in ranges of the hash, as many as the bytes of the texts ask for. A shard adds them up over all blocks, turns the
+   counts of pairs into levels (the logarithm of the count) and enters (pair, 1), ..., (pair, level) into its filter. Filters and counts of words are written once;
+   exact counts of pairs end here.
+3. A filter has ROOM bits for each entry, so filters follow the counted pairs and err equally often at any size.
+4. Texts are scored by membership probes alone: a pair's level is the number of probes that succeed in a row. Filters that together fit BROADCAST_BYTES go to every
+   worker; larger ones stay in place, and blocks send their distinct hashes past them, each once, however often the texts have it, so no hash is crowded. Both ways give the same.
+5. p(w | h) = (count(h, w) + PRIOR * p(w)) / (count(h) + PRIOR), with p(w) the add-one unigram probability. All words and all pairs take part.
+
+A block has a row for each shard that it asks, so rows grow with blocks times shards until a row holds one pair, and never beyond the distinct pairs of the blocks.
 
 Defined cases: a null or empty text is the end token alone; rows with equal ids or texts are scored on their own; a null id
 counts as the text '' for the folds; without training rows all counts are 0; all columns but the text stay; an empty table gives an empty table.
@@ -37,10 +39,12 @@ ROOM, PROBES = 12, 4
 #: A block ends after so many tokens, texts, or bytes of other columns; bytes of text for each shard.
 BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 1_000_000, 200_000, 32_000_000, 16_000_000
 LEAST_SHARDS = 32
+#: Filters and counts of words of all shards that are sent to every worker, at most; they are measured first.
+BROADCAST_BYTES = 4_000_000
 WORD_SEED = 42
-#: Bits of a pair's hash that are left out; the others tell 10^12 pairs apart but for one in 300.
-SPARE = 16
-#: What a shard says of itself, in one of its rows: tokens and distinct words of training, distinct pairs asked for, those with a wrong level, bits.
+#: A pair's hash has so many bits more than the tokens need to be told apart, so that of pairs one in 1,000 at most shares its hash.
+SPACIOUS = 10
+#: What a shard says of itself: tokens and distinct words of training, distinct training pairs, those with a wrong level, bits.
 TOTALS = ("n_tokens", "n_words", "n_pairs", "n_wrong", "bits")
 END, BEGIN = b"", b" "
 
@@ -125,8 +129,13 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pairs_of(words: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of texts, given by the numbers of their words: hashes in order, first and second word, and the pair of each token.
+def spare_bits(tokens: int) -> int:
+    """Low bits of a pair's hash that are left out; 32 bits stay at least, since they name the shard."""
+    return 64 - min(64, max(32, int(tokens).bit_length() + SPACIOUS))
+
+
+def pairs_of(words: np.ndarray, word: np.ndarray, sizes: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of texts, given by the numbers of their words: hashes in order, and of each token the word before it and its pair.
 
     Before a text stands a word of its own, which is as frequent as the end.
     """
@@ -137,12 +146,12 @@ def pairs_of(words: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np
     before[starts] = np.searchsorted(words, end)
     hashes = words[before]
     hashes[starts] = begin
-    whole = mixed(mixed(hashes, 1) + words[word], 2) >> np.uint64(SPARE) << np.uint64(SPARE)
-    keys, at, pair = np.unique(whole, return_index=True, return_inverse=True)
-    return keys, before[at], word[at], pair
+    whole = mixed(mixed(hashes, 1) + words[word], 2) >> np.uint64(spare) << np.uint64(spare)
+    keys, pair = np.unique(whole, return_inverse=True)
+    return keys, before, pair
 
 
-def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, shards: int, hot: int):
+def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, shards: int, hot: int, spare: int):
     """Of each block a row for each shard that it asks (never more rows than it has pairs and words), and one row of its own (shard -1) with its texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -150,7 +159,7 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
 
     def rows(block: str, parts: list[np.ndarray], sizes: np.ndarray, learned: np.ndarray, rest: pa.Table):
         words, word = np.unique(np.concatenate(parts), return_inverse=True)
-        keys, _, _, pair = pairs_of(words, word, sizes)
+        keys, _, pair = pairs_of(words, word, sizes, spare)
         training = np.repeat(learned, sizes)
         seen, word_seen = np.bincount(pair[training], minlength=len(keys)), np.bincount(word[training], minlength=len(words))
         which, named_in = shard_of(keys, shards), shard_of(words, shards)
@@ -203,41 +212,98 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
     return run
 
 
-def answer_blocks(rows: pa.Table) -> pa.Table:
-    """Of one shard: the filter of its pairs and the counts of its words, and what these say to each block that asks."""
-
-    def added(hashes: str, counts: str):
-        asked = [np.cumsum(unpack(x, "<u8")) for x in rows[hashes].to_pylist()]
-        keys, which = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(which, np.concatenate([unpack(x, "<u4") for x in rows[counts].to_pylist()]), len(keys)).astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        return keys, total, lambda values, kind: [pack(x, kind) for x in np.split(values[which], ends[:-1])]
+def added(rows: pa.Table, hashes: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of all rows with a training count, ascending, and their sums."""
+    keys, which = np.unique(np.concatenate([np.cumsum(unpack(x, "<u8")) for x in rows[hashes].to_pylist()]), return_inverse=True)
+    total = np.bincount(which, np.concatenate([unpack(x, "<u4") for x in rows[counts].to_pylist()]), len(keys)).astype(np.int64)
+    return keys[total > 0], total[total > 0]
+
+
+def build_shard(rows: pa.Table) -> pa.Table:
+    """Of one shard's training counts: the filter of its pairs, and its words with their counts."""
+    keys, counts = added(rows, "keys", "seen")
+    room = room_for(counts)
+    bits = build_filter(keys, counts, room)
+    wrong = int((probe_levels(keys, bits, room) != levels_of(counts)).sum())
+    words, word_counts = added(rows, "words", "word_seen")
+    packed = [pack(np.diff(words, prepend=np.uint64(0)), "<u8"), pack(word_counts, "<u8")]
+    totals = [int(word_counts.sum()), len(words), len(keys), wrong, room]
+    return pa.table([rows["shard"].slice(0, 1), pa.array([bits.tobytes()], pa.binary()), *[pa.array([x], pa.binary()) for x in packed], *[pa.array([x], pa.int64()) for x in totals]], names=["of", "filter", "known", "known_counts", *TOTALS])
+
+
+class Shard:
+    """A shard's filter and counts of words, ready for probes."""
+
+    def __init__(self, row: dict):
+        self.bits, self.room = np.frombuffer(row["filter"], np.uint8), row["bits"]
+        self.words, self.counts = np.cumsum(unpack(row["known"], "<u8")), unpack(row["known_counts"], "<u8").astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return probe_levels(keys, self.bits, self.room)
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+
+def probe_shard(rows: pa.Table, told: pa.Table) -> pa.Table:
+    """What a shard says to each block that asks; nothing is known of a shard without training counts."""
+    shard = Shard(told.to_pylist()[0]) if told.num_rows else None
+    answers = {"levels": [], "counts": []}
+    for keys, words in zip(rows["keys"].to_pylist(), rows["words"].to_pylist()):
+        keys, words = np.cumsum(unpack(keys, "<u8")), np.cumsum(unpack(words, "<u8"))
+        answers["levels"].append(pack(shard.levels(keys) if shard else np.zeros(len(keys)), "u1"))
+        answers["counts"].append(pack(shard.count(words) if shard else np.zeros(len(words)), "<i8"))
+    return pa.table([rows["block"], rows["shard"], *[pa.array(answers[n], pa.binary()) for n in answers]], names=["block", "shard", *answers])
+
+
+def scored(own: pa.RecordBatch, row: int, kept: list[str], total: int, distinct: int, spare: int, ask) -> pa.Table:
+    """The texts of one block with their scores; ``ask`` gives levels of ascending pair hashes and counts of ascending word hashes."""
+    words = np.cumsum(unpack(own["own_words"][row].as_py(), "<u8"))
+    word, sizes = (unpack(own[n][row].as_py(), "<u4").astype(np.int64) for n in ("word", "sizes"))
+    keys, before, pair = pairs_of(words, word, sizes, spare)
+    levels, counts = ask(keys, words)
+    context, share = counts[before].astype(np.float64), ((counts + 1) / (total + distinct + 1))[word]
+    chance = (np.minimum(level_value(levels.astype(np.float64))[pair], context) + PRIOR * share) / (context + PRIOR)
+    starts = np.cumsum(sizes) - sizes
+    known, base, score = (np.add.reduceat(x, starts) for x in ((counts > 0)[word].astype(np.int64), np.log10(share), np.log10(chance)))
+    result = pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    rest = own["rest"][row].values
+    return pa.table([*[x for n, x in zip(rest.type, rest.flatten()) if n.name in kept], result], names=[*kept, "scored_"])
 
-    keys, counts, deal = added("keys", "seen")
-    learned = counts > 0
-    room = room_for(counts[learned])
-    found = probe_levels(keys, build_filter(keys[learned], counts[learned], room), room)
-    wrong, levels = found != levels_of(counts), deal(found, "u1")
-    words, word_counts, deal = added("words", "word_seen")
-    once = np.arange(rows.num_rows) == 0
-    totals = [pa.array(np.where(once, x, 0), pa.int64()) for x in (word_counts.sum(), (word_counts > 0).sum(), len(keys), wrong.sum(), room)]
-    return pa.table([rows["block"], rows["shard"], pa.array(levels, pa.binary()), pa.array(deal(word_counts, "<i8"), pa.binary()), *totals], names=["block", "shard", "levels", "counts", *TOTALS])
 
+def score_block(*known):
+    """Scores a block by the answers that its shards sent."""
 
-def score_block(kept: list[str], total: int, distinct: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        own = block.to_batches()[0]
-        words = np.cumsum(unpack(own["own_words"][0].as_py(), "<u8"))
-        word, sizes = (unpack(own[n][0].as_py(), "<u4").astype(np.int64) for n in ("word", "sizes"))
-        _, first, second, pairs = pairs_of(words, word, sizes)
         answers = answers.sort_by("shard")
-        levels, counts = (np.concatenate([unpack(x, kind) for x in answers[n].to_pylist()]) for n, kind in (("levels", "u1"), ("counts", "<i8")))
-        context, share = counts[first].astype(np.float64), (counts[second] + 1) / (total + distinct + 1)
-        chance = (np.minimum(level_value(levels.astype(np.float64)), context) + PRIOR * share) / (context + PRIOR)
-        starts = np.cumsum(sizes) - sizes
-        known, base, score = (np.add.reduceat(x[pairs], starts) for x in ((counts[second] > 0).astype(np.int64), np.log10(share), np.log10(chance)))
-        result = pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return pa.table([*[x for n, x in zip(own["rest"].type.value_type, own["rest"].flatten().flatten()) if n.name in kept], result], names=[*kept, "scored_"])
+        told = [np.concatenate([unpack(x, kind) for x in answers[n].to_pylist()]) for n, kind in (("levels", "u1"), ("counts", "<i8"))]
+        return scored(block.combine_chunks().to_batches()[0], 0, *known, lambda keys, words: told)
+
+    return run
+
+
+def score_at_hand(held, shards: int, *known):
+    """Scores blocks where they are, with all filters at hand."""
+
+    def run(batches):
+        filters = {k: Shard(row) for k, row in held.value.items()}
+
+        def ask(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            levels, counts = np.zeros(len(keys), np.int64), np.zeros(len(words), np.int64)
+            for out, hashes, method in ((levels, keys, Shard.levels), (counts, words, Shard.count)):
+                which = shard_of(hashes, shards)
+                for k in np.unique(which):
+                    a, b = np.searchsorted(which, [k, k + 1])
+                    if k in filters:
+                        out[a:b] = method(filters[k], hashes[a:b])
+            return levels, counts
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from scored(batch, row, *known, ask).to_batches()
 
     return run
 
@@ -250,20 +316,27 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     kept, flag = [c for c in docs.columns if c != text], free_name(docs, "train_")
     ready = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(text), F.coalesce(train, F.lit(False)).alias(flag))
     # the flag stays with the other columns, so that there is always one
-    others = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text])
+    others, spare = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text]), spare_bits(size)
     kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "own_words", "word", "sizes")], ("rest", T.ArrayType(others))]
-    blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot), fields(*kinds)))  # written once, so that a block keeps its texts
+    blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot, spare), fields(*kinds)))  # written once, so that a block keeps its texts
     # as many partitions as data, so that a task sees a few shards or blocks, one after another
-    asked = blocks.where("shard >= 0").select("block", "shard", "keys", "seen", "words", "word_seen").repartition(shards, "shard")
-    answers = stored(asked.groupBy("shard").applyInArrow(answer_blocks, "block string, shard long, levels binary, counts binary, " + ", ".join(f"{n} long" for n in TOTALS)))
-    total, distinct, pairs, wrong, bits = answers.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
-    LOG.info("%d bits of filters; %d of %d distinct pairs have a wrong level", bits, wrong, pairs)
+    asked = blocks.where("shard >= 0")
+    filters = stored(asked.select("shard", "keys", "seen", "words", "word_seen").repartition(shards, "shard").groupBy("shard").applyInArrow(build_shard, "of long, filter binary, known binary, known_counts binary, " + ", ".join(f"{n} long" for n in TOTALS)))
+    weight = F.octet_length("filter") + F.octet_length("known") + F.octet_length("known_counts")
+    held, total, distinct, pairs, wrong, bits = filters.agg(F.coalesce(F.sum(weight), F.lit(0)), *[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
+    LOG.info("%d bits of filters; %d of %d training pairs have a wrong level", bits, wrong, pairs)
     own = blocks.where("shard < 0").select("block", "own_words", "word", "sizes", "rest")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
-    schema = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)])
-    told = answers.select("block", "shard", "levels", "counts").repartition(shards, "block")
-    scored = own.repartition(shards, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block(kept, total, distinct), schema)
-    return scored.withColumnRenamed("scored_", free_name(docs, into))
+    schema, known = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)]), (kept, total, distinct, spare)
+    if held <= BROADCAST_BYTES:
+        told = docs.sparkSession.sparkContext.broadcast({r["of"]: r.asDict() for r in filters.collect()})  # ``held`` bytes
+        out = own.mapInArrow(score_at_hand(told, shards, *known), schema)
+    else:
+        probes = asked.select("block", "shard", "keys", "words").repartition(shards, "shard").groupBy("shard")
+        answers = probes.cogroup(filters.select("of", "filter", "known", "known_counts", "bits").repartition(shards, "of").groupBy("of")).applyInArrow(probe_shard, "block string, shard long, levels binary, counts binary")
+        answers = answers.select(F.col("block").alias("to"), "shard", "levels", "counts").repartition(shards, "to")
+        out = own.repartition(shards, "block").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(score_block(*known), schema)
+    return out.withColumnRenamed("scored_", free_name(docs, into))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
