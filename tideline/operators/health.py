@@ -132,10 +132,15 @@ def rate_violations(g: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def relation_violations(g: DataFrame, rules: DataFrame) -> DataFrame:
-    """``sensor`` follows ``other`` by ``lag`` samples within ``tolerance``, as a share of the other's value."""
-    own, other = g.select("run_id", "sensor", "episode", "t", "v"), g.select("run_id", F.col("sensor").alias("other"), "episode", F.col("t").alias("t0"), F.col("v").alias("u"))
-    met = own.join(rules, "sensor").withColumn("t0", F.col("t") - F.col("lag")).join(other, ["run_id", "other", "episode", "t0"])
-    return met.groupBy("rule_id").agg(F.count_if(F.abs(F.col("v") - F.col("u")) > F.col("tolerance") * F.abs("u")).alias("violations"))
+    """How often ``sensor`` and ``other`` differ by more than ``tolerance``; across episodes, where both have values.
+
+    ``relation`` is equals or tracks (the sensor against the other ``lag`` samples before) or leads (the other against the sensor ``lag`` samples before).
+    """
+    own, other = g.select("run_id", "sensor", "t", "v"), g.select("run_id", F.col("sensor").alias("other"), F.col("t").alias("t0"), F.col("v").alias("u"))
+    behind = F.when(F.col("relation") == "leads", F.col("lag")).otherwise(-F.col("lag"))
+    met = own.join(rules, "sensor").withColumn("t0", F.col("t") + behind).join(other, ["run_id", "other", "t0"])
+    found = met.groupBy("rule_id").agg(F.count_if(F.abs(F.col("v") - F.col("u")) > F.col("tolerance")).alias("violations"))
+    return rules.select("rule_id").join(found, "rule_id", "left").select("rule_id", F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
 def block_violations(g: DataFrame, rules: DataFrame, size: int) -> DataFrame:

@@ -126,7 +126,9 @@ def sentence_split(spark, d):
 
 @query("normalize_text", f"SELECT doc_id, {NORM.format(x='text')} AS text FROM documents")
 def normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", normalize(F.col("text")).alias("text"))
+    """Texts written with ligatures and full-width letters, which the compatibility form takes back."""
+    wide = F.translate(F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01")), "ae", "\uff41\uff45")
+    return docs(spark, d).select("doc_id", normalize(wide).alias("text"))
 
 
 @query("chunk_segments")

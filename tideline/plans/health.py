@@ -191,7 +191,7 @@ def _values(rows: list[tuple], names: str) -> str:
 RANGE = [(1, "price", 48000.0, 58000.0), (2, "quantity", 24.0, 27.0), (3, "rows", 0.0, 1e9)]
 FLAT = [(1, "rows", 1), (2, "rows[A]", 2), (3, "price", 3)]
 RATE = [(1, "rows", 20.0), (2, "price", 5000.0)]
-RELATION = [(1, "quantity", "quantity[A]", 0, 0.1), (2, "price", "quantity", 1, 0.5), (3, "price[A]", "price", 2, 0.1)]
+RELATION = [(1, "quantity", "quantity[A]", "equals", 0, 1.0), (2, "price", "quantity", "tracks", 1, 52000.0), (3, "price[A]", "price", "leads", 2, 2000.0), (4, "price", "price[A]", "tracks", 2, 2000.0), (5, "no such", "price", "equals", 0, 1.0)]
 AGGREGATE = [(1, "price", "mean", 50000.0, 55000.0), (2, "price", "median", 52000.0, 54000.0), (3, "quantity", "std", 0.0, 1.0), (4, "rows", "min", 100.0, 900.0), (5, "rows", "max", 0.0, 200.0), (6, "tax", "missing", 0.0, 0.05)]
 
 
@@ -222,10 +222,10 @@ def rule_rate(spark, d):
 
 @query(
     "rule_relation",
-    with_grid(f" SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) FILTER (WHERE abs(g.v - o.v) > tolerance * abs(o.v)) AS violations FROM {_values(RELATION, 'rule_id, sensor, other, lag, tolerance')} JOIN grid g ON g.sensor = r.sensor JOIN grid o ON o.sensor = r.other AND o.episode = g.episode AND o.t = g.t - r.lag GROUP BY rule_id"),
+    with_grid(f" SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) FILTER (WHERE abs(g.v - o.v) > tolerance) AS violations FROM {_values(RELATION, 'rule_id, sensor, other, relation, lag, tolerance')} LEFT JOIN grid g ON g.sensor = r.sensor LEFT JOIN grid o ON o.sensor = r.other AND o.t = CASE WHEN relation = 'leads' THEN g.t + r.lag ELSE g.t - r.lag END GROUP BY rule_id"),
 )
 def rule_relation(spark, d):
-    return h.relation_violations(grid(spark, d), rules(spark, "rule_id long, sensor string, other string, lag int, tolerance double", RELATION))
+    return h.relation_violations(grid(spark, d), rules(spark, "rule_id long, sensor string, other string, relation string, lag int, tolerance double", RELATION))
 
 
 AGG_SQL = f""", b AS (SELECT sensor, t // 16 AS block, count(*) AS n, avg(CAST(v IS NULL AS INT)) AS missing, avg(v) AS mean, median(v) AS median, min(v) AS min, max(v) AS max, stddev_pop(v) AS std FROM grid GROUP BY ALL

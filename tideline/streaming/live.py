@@ -103,7 +103,8 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
 def cusum_states(events: DataFrame, slack: float) -> DataFrame:
     """The two CUSUM sums of each key after all that has landed, carried from batch to batch; an ``episode`` begins anew.
 
-    Batches are taken in the order in which they land, rows of a batch in order of time.
+    Batches are taken in the order in which they land, rows of a batch in order of time. Rows of an episode before the one that a key is in come too late: they
+    change nothing but ``late``, their number.
     """
     spark = events.sparkSession
     path = shared_path(spark, "cusum")
@@ -111,11 +112,13 @@ def cusum_states(events: DataFrame, slack: float) -> DataFrame:
     def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
         part = joined_stretches(stretches(batch, slack))
         if before is None:
-            return part.select("event_type", "episode", F.col("up_tail").alias("up"), F.col("down_tail").alias("down"), "n")
-        old = before.select("event_type", F.col("episode").alias("old"), F.col("up").alias("old_up"), F.col("down").alias("old_down"), F.col("n").alias("old_n"))
+            return part.select("event_type", "episode", F.col("up_tail").alias("up"), F.col("down_tail").alias("down"), "n", F.lit(0).cast("long").alias("late"))
+        old = before.select("event_type", F.col("episode").alias("old"), F.col("up").alias("old_up"), F.col("down").alias("old_down"), F.col("n").alias("old_n"), F.col("late").alias("old_late"))
         met = part.join(old, "event_type", "full")
-        carried = lambda side: F.when(F.col("episode").isNull(), F.col(f"old_{side}")).when(F.col("episode") == F.col("old"), F.greatest(F.col(f"old_{side}") + F.col(f"{side}_total"), f"{side}_tail")).otherwise(F.col(f"{side}_tail"))
-        return met.select("event_type", F.coalesce("episode", "old").alias("episode"), carried("up").alias("up"), carried("down").alias("down"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"))
+        behind = F.col("episode") < F.col("old")  # of rows before the key's episode
+        carried = lambda side: F.when(F.col("episode").isNull() | F.coalesce(behind, F.lit(False)), F.col(f"old_{side}")).when(F.col("episode") == F.col("old"), F.greatest(F.col(f"old_{side}") + F.col(f"{side}_total"), f"{side}_tail")).otherwise(F.col(f"{side}_tail"))
+        late = F.coalesce("old_late", F.lit(0)) + F.when(behind, F.col("n")).otherwise(0)
+        return met.select("event_type", F.greatest("episode", "old").alias("episode"), carried("up").alias("up"), carried("down").alias("down"), (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"), late.cast("long").alias("late"))
 
     versions(spark, events, path, step)
     return newest(spark, path).select("event_type", "up", "down", "n")
