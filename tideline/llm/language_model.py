@@ -37,13 +37,13 @@ PAIR_MIN, PRIOR = 1, 500.0
 #: Bits for each entry of a filter, and probes: a false level in 150 probed.
 ROOM, PROBES = 12, 4
 #: A block ends after so many tokens, texts, or bytes of other columns; bytes of text for each shard.
-BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 1_000_000, 200_000, 32_000_000, 16_000_000
+BLOCK_TOKENS, BLOCK_TEXTS, BLOCK_BYTES, SHARD_BYTES = 1_500_000, 200_000, 32_000_000, 16_000_000
 LEAST_SHARDS = 32
 #: Filters and counts of words of all shards that are sent to every worker, at most; they are measured first.
 BROADCAST_BYTES = 4_000_000
 WORD_SEED = 42
-#: A pair's hash has so many bits more than the tokens need to be told apart, so that of pairs one in 1,000 at most shares its hash.
-SPACIOUS = 10
+#: A pair's hash has so many bits more than the tokens need to be told apart, so that of pairs one in 256 at most shares its hash.
+SPACIOUS = 8
 #: What a shard says of itself: tokens and distinct words of training, distinct training pairs, those with a wrong level, bits.
 TOTALS = ("n_tokens", "n_words", "n_pairs", "n_wrong", "bits")
 END, BEGIN = b"", b" "
