@@ -3,13 +3,15 @@
 High-recall generators propose spans: the four stated forms (whether or not they are valid) and looser ones, such as spelled-out
 addresses, national telephone numbers and shorter or otherwise separated card numbers. Valid stated forms are always kept.
 
-The trees judge by format and context; checks such as the Luhn sum, octet limits and counts of digits give the labels, and are
-no features, so that no feature decides a label. They learn from a bounded sample of three sorts of candidates: stated ones, loose ones
-as the texts have them, and stated ones rewritten into a loose form where they stand. Texts of one fold are held out; their
-candidates in loose form, found or rewritten, give each kind its threshold: the lowest score at which PRECISION of those accepted pass the
-checks. A kind that no score serves so well, or without such candidates, adds nothing. Looser candidates that reach
-their kind's threshold and touch no kept span are added. The trees are applied as one SQL expression inside the span arrays, so
-finding spans is one pass over the texts without a shuffle.
+The checks (octets at most 255, a Luhn sum, counts of digits, a host that ends in letters) are part of the generators of loose forms, so what is left
+to the trees is what no check tells: whether a run of digits is a card or an order number, four octets an address or a section. Texts have no labels for that, so
+examples are made from the texts themselves: a valid stated span that is written in a loose form where it stands, as it is or behind words that announce its kind, is
+a positive; a decoy in its place is a negative, a string that passes the same checks and means something else: versions and sections, times, order, part and serial
+numbers with a right check digit, and prose with "at" and "dot". They come with the words that announce such things.
+
+Boosted trees learn from format and context. Texts of one share are held out; on their examples each kind gets its threshold: half way below the lowest score from which on
+PRECISION of the accepted ones are positives. A kind that no score serves so well, or without examples, adds nothing. Looser candidates that reach their kind's threshold and
+touch no kept span are added. The trees are applied as one SQL expression inside the span arrays, so finding spans is one pass over the texts without a shuffle.
 
 Patterns that the rules state are written here with possessive parts and look-behinds: they match the same, but neither
 recurse nor restart inside a run, however long a text is.
@@ -54,14 +56,20 @@ NEEDS = {
     ("card", False): r"[0-9][\x20./-]?[0-9][\x20./-]?[0-9][\x20./-]?[0-9][\x20./-]?[0-9][\x20./-]?[0-9]",
     ("phone", False): r"[0-9]{3}[\x20.-][0-9]{4}|00[1-9]",
 }
-#: Words before a span that speak for a kind.
-CONTEXT = {"email": r"(?i)mail|contact|write|@", "ip": r"(?i)\bip\b|host|server|addr", "card": r"(?i)card|visa|credit|pay", "phone": r"(?i)phone|call|tel|fax|mobile|dial"}
+#: Words before a span that speak for a kind, and such as speak for something else.
+CONTEXT = {"email": r"(?i)mail|contact|write|reach", "ip": r"(?i)\bip\b|host|server|addr|ping", "card": r"(?i)card|visa|credit|pay|debit", "phone": r"(?i)phone|call|tel|fax|mobile|dial"}
+AGAINST = {"thing": r"(?i)order|part|item|serial|ticket|invoice|parcel|track|isbn|ref\b|case|lot\b", "place": r"(?i)version|release|section|chapter|clause|time|log\b|from", "count": r"(?i)total|sum\b|about|pages|no\.|nr\.|#"}
+#: What announces a positive of each kind, and a decoy; an empty one leaves the text's own words before it.
+LEADS = {"email": ("mail ", "contact: ", "write to ", "", ""), "ip": ("ip ", "server ", "host: ", "", ""), "card": ("card ", "visa: ", "paid by ", "", ""), "phone": ("call ", "phone: ", "fax ", "", "")}
+DECOY_LEADS = {"email": ("", "", "look "), "ip": ("version ", "section ", "chapter "), "card": ("order ", "serial no. ", "parcel ", "isbn "), "phone": ("order ", "part no. ", "ticket ", "invoice ")}
+TLD = r"(?i)^(com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|us|example)$"
 WINDOW = 24
-#: Candidates that the trees are trained and calibrated on; share for calibration; trees and their depth.
-SAMPLE, HELD_SHARE, TREES, DEPTH, PRECISION, SEED = 20_000, 0.3, 12, 4, 0.98, 11
-FEATURES = ("n_letters", "n_marks", "n_groups", "n_blanks", "opens", "plus", "at", "stuck_before", "stuck_after", "colon_before", "line_start", "sentence_end", *(f"is_{k}" for k in KINDS), *(f"near_{k}" for k in KINDS))
-#: Where a candidate of the sample comes from.
-FOUND, LOOSELY_FOUND, REWRITTEN = 0, 1, 2
+#: Examples that the trees are trained and calibrated on, and how many of each outcome a span gives; share for calibration; trees and their depth.
+SAMPLE, VARIANTS, HELD_SHARE, TREES, DEPTH, PRECISION, SEED = 20_000, 4, 0.3, 20, 5, 0.98, 11
+FEATURES = (
+    "n_letters", "n_digits", "n_marks", "n_groups", "longest", "n_blanks", "opens", "round", "plus", "tld", "user_marks", "colons", "even", "stuck_before", "stuck_after", "colon_before", "line_start", "sentence_end",
+    *(f"is_{k}" for k in KINDS), *(f"near_{k}" for k in KINDS), *(f"against_{k}" for k in AGAINST),
+)
 #: Matches of a text whose places are added up in one array.
 PLACED = 256
 NONE = "cast(array() as array<struct<kind: int, stated: boolean, start: int, end: int, body: string>>)"
@@ -132,47 +140,81 @@ def passes(span: Column) -> Column:
     )
 
 
+def pick(choice: Column, *forms: Column) -> Column:
+    return F.element_at(F.array(*forms), (F.pmod(choice, F.lit(len(forms))) + 1).cast("int"))
+
+
 def loosely(span: Column, choice: Column) -> Column:
     """The body of a stated candidate in one of the loose forms of its kind."""
     body, number = span["body"], digits(span["body"])
     user, host = F.substring_index(body, "@", 1), F.substring_index(body, "@", -1)
-
-    def pick(*forms: Column) -> Column:
-        return F.element_at(F.array(*forms), (F.pmod(choice, F.lit(len(forms))) + 1).cast("int"))
-
-    at, dot = pick(*map(F.lit, (" (at) ", " at ", "[at]", "{at}"))), pick(*map(F.lit, (" (dot) ", " dot ", "[dot]", " [dot] ", "{dot}")))
+    user = pick(F.shiftright(choice, 16), user, F.coalesce(F.nullif(F.regexp_replace(user, "[^A-Za-z]", ""), F.lit("")), user))  # some have letters only
+    bare = F.regexp_replace(host, "[0-9]", "")
+    host = pick(F.shiftright(choice, 20), host, F.when(bare.rlike(r"^[A-Za-z]") & ~F.contains(bare, F.lit("..")), F.substring_index(bare, ".", -2)).otherwise(host))
+    at, dot = pick(choice, *map(F.lit, (" (at) ", " at ", "[at]", "{at}"))), pick(F.shiftright(choice, 8), *map(F.lit, (" (dot) ", " dot ", "[dot]", " [dot] ", "{dot}")))
     area, local, line = F.substring(number, -10, 3), F.substring(number, -7, 3), F.substring(number, -4, 4)
-    dialled = pick(F.concat(F.lit("("), area, F.lit(") "), local, F.lit("-"), line), F.concat_ws(".", area, local, line), F.concat_ws("-", area, local, line))
+    dialled = pick(choice, F.concat(F.lit("("), area, F.lit(") "), local, F.lit("-"), line), F.concat_ws(".", area, local, line), F.concat_ws("-", area, local, line))
     return (
         F.when(span["kind"] == 0, F.concat(user, at, F.regexp_replace(host, F.lit(r"\."), dot)))
-        .when(span["kind"] == 1, F.regexp_replace(body, F.lit(r"\."), pick(F.lit("[.]"), F.lit("(.)"))))
-        .when(span["kind"] == 2, F.regexp_replace(number, F.lit("([0-9]{4})(?=[0-9])"), pick(*map(F.lit, ("$1.", "$1/", "$1-")))))
+        .when(span["kind"] == 1, F.regexp_replace(body, F.lit(r"\."), pick(choice, F.lit("[.]"), F.lit("(.)"))))
+        .when(span["kind"] == 2, F.regexp_replace(number, F.lit("([0-9]{4})(?=[0-9])"), pick(choice, *map(F.lit, ("$1.", "$1/")))))
         .otherwise(F.when(F.length(number) >= 10, dialled).otherwise(number))
     )
 
 
-def features(text: Column, span: Column) -> Column:
-    """A struct of numbers about the format of a span and the text around it; nothing that the checks look at."""
-    body = span["body"]
-    before = F.substring(text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)), F.least(span["start"], F.lit(WINDOW)))
-    after = F.substring(text, span["end"] + 1, F.lit(2))
+def decoy(text: Column, span: Column, choice: Column) -> Column:
+    """Something else that the loose generator of the span's kind would propose, and whose checks it passes."""
+    draw = lambda k, low, high: (F.pmod(F.xxhash64(choice, F.lit(k)), F.lit(high - low + 1)) + low).cast("string")
+    words = F.filter(F.split(F.regexp_replace(F.substring(text, F.greatest(span["start"] - 400, F.lit(1)), F.lit(400)), "[^A-Za-z]+", " "), " "), lambda w: F.length(w) > 1)
+    word = lambda k: F.coalesce(F.get(words, F.pmod(F.xxhash64(choice, F.lit(k)), F.greatest(F.size(words), F.lit(1))).cast("int")), F.lit("it"))
+    prose = pick(choice, F.concat(word(1), F.lit(" at "), word(2), F.lit(" dot "), word(3)), F.concat(word(1), F.lit(" at "), word(2), F.lit(" dot "), word(3), F.lit(" dot "), word(4)))
+    place = F.array_join(F.array(*[draw(k, 1, 24) for k in range(4)]), "(.)")
+    clock = F.array_join(F.array(*[F.lpad(draw(k, 0, 59), 2, "0") for k in range(8)]), ":")
+    # a number of 12 to 15 digits and the one digit that makes its Luhn sum right, in groups that no card has
+    bare = F.concat(*[draw(k, 1, 9) for k in range(12)], F.substring(F.concat(draw(20, 0, 9), draw(21, 0, 9), draw(22, 0, 9)), F.lit(1), F.pmod(choice, F.lit(4)).cast("int")))
+    number = F.concat(bare, F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: luhn(F.concat(bare, d))), 1))
+    serial = pick(F.shiftright(choice, 4), number, F.regexp_replace(number, F.lit("([0-9]{3})(?=[0-9])"), F.lit("$1.")), F.regexp_replace(number, F.lit("([0-9]{5})(?=[0-9])"), F.lit("$1/")), F.regexp_replace(number, F.lit("([0-9]{4})(?=[0-9])"), F.lit("$1.")))
+    parts = draw(1, 100, 999), draw(2, 100, 999), draw(3, 1000, 9999)
+    part = pick(choice, F.concat_ws("-", *parts), F.concat_ws(".", *parts))
+    return F.when(span["kind"] == 0, prose).when(span["kind"] == 1, pick(choice, place, place, clock)).when(span["kind"] == 2, serial).otherwise(part)
+
+
+def features(body: Column, kind: Column, before: Column, after: Column) -> Column:
+    """A struct of numbers about the format of a span and the text around it."""
+    groups = F.regexp_extract_all(body, F.lit("[0-9]+"), F.lit(0))
+    sizes = F.transform(groups, F.length)
     numbers = {
         "n_letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
+        "n_digits": F.length(digits(body)),
         "n_marks": F.length(F.regexp_replace(body, r"[A-Za-z0-9\x20]", "")),
-        "n_groups": F.size(F.regexp_extract_all(body, F.lit("[0-9]+"), F.lit(0))),
+        "n_groups": F.size(groups),
+        "longest": F.coalesce(F.array_max(sizes), F.lit(0)),
         "n_blanks": F.length(F.regexp_replace(body, r"[^\x20]", "")),
         "opens": body.rlike(r"[(\[{]"),
+        "round": body.rlike(r"\(\.\)"),
         "plus": body.startswith("+"),
-        "at": body.contains("@") | body.rlike(r"(?i)\bat\b"),
+        "tld": F.regexp_extract(body, "[A-Za-z]*$", 0).rlike(TLD),
+        "user_marks": F.regexp_extract(body, r"^[^\x20(\[{]*", 0).rlike("[0-9._%+-]"),
+        "colons": body.contains(":"),
+        "even": (F.size(groups) > 1) & (F.element_at(sizes, 1) == 4) & F.forall(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(1))), lambda n: n == 4),
         "stuck_before": before.rlike("[A-Za-z0-9]$"),
         "stuck_after": after.rlike("^[A-Za-z0-9]"),
         "colon_before": before.rlike(r":\s*$"),
         "line_start": before.rlike(r"(^|\n)\s*$"),
         "sentence_end": after.rlike(r"^\.(\s|$)"),
     }
-    numbers |= {f"is_{k}": span["kind"] == i for i, k in enumerate(KINDS)}
-    numbers |= {f"near_{k}": before.rlike(CONTEXT[k]) for k in KINDS}
-    return F.struct(*[numbers[n].cast("double").alias(n) for n in FEATURES])
+    numbers |= {f"is_{k}": kind == i for i, k in enumerate(KINDS)}
+    numbers |= {f"near_{k}": before.rlike(CONTEXT[k]) for k in KINDS} | {f"against_{k}": before.rlike(AGAINST[k]) for k in AGAINST}
+    return F.struct(*[F.coalesce(numbers[n].cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
+
+
+def around(text: Column, span: Column) -> tuple[Column, Column]:
+    """The characters before and after a span."""
+    return F.substring(text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)), F.least(span["start"], F.lit(WINDOW))), F.substring(text, span["end"] + 1, F.lit(2))
+
+
+def of_span(text: Column, span: Column) -> Column:
+    return features(span["body"], span["kind"], *around(text, span))
 
 
 def tree_sql(node, row: str) -> str:
@@ -189,60 +231,62 @@ def ensemble_sql(model, row: str) -> str:
 
 
 def candidates(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``body_``, the text, and ``stated_`` and ``loose_``, the spans that the generators propose."""
+    """``docs`` with ``body_``, the text, ``stated_``, the spans of the stated forms, and ``loose_``, the looser ones that pass their checks."""
     body = docs.withColumn("body_", F.coalesce(F.col(text).cast("string"), F.lit("")))
     for name, stated in (("stated_", True), ("loose_", False)):
         body = body.withColumns({f"{name}{k}": matches(F.col("body_"), k, stated) for k in KINDS})
-    return body.withColumns({n: F.concat(*[F.col(f"{n}{k}") for k in KINDS]) for n in ("stated_", "loose_")}).drop(*[f"{n}{k}" for n in ("stated_", "loose_") for k in KINDS])
-
-
-def sampled(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` candidates of all three sorts, in hash order: ``kind, source, label, held`` and their features."""
-    found = candidates(docs.select(F.col(text).alias("text_")), "text_").where(F.size(F.concat("stated_", "loose_")) > 0)
-    base = F.filter("stated_", valid)
-
-    def sort(spans: Column, source: int, body) -> Column:
-        return F.transform(spans, lambda s: F.struct(F.lit(source).alias("source"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), body(s).alias("body")))
-
-    own = lambda s: s["body"]
-    free = F.filter("loose_", lambda s: apart(s, base))
-    every = F.concat(sort(F.col("stated_"), FOUND, own), sort(free, LOOSELY_FOUND, own), sort(F.col("stated_"), REWRITTEN, lambda s: loosely(s, F.xxhash64(F.lit(SEED), F.col("body_"), s["start"]))))
-    span = F.col("span")
-    rows = found.select("body_", F.xxhash64(F.lit(SEED), "body_").alias("print_"), F.explode(every).alias("span")).select(
-        F.xxhash64("print_", "span.start", "span.kind", "span.source").alias("key"),
-        F.col("span.kind").alias("kind"),
-        F.col("span.source").alias("source"),
-        F.when(span["source"] == FOUND, valid(span)).otherwise(passes(span)).cast("double").alias("label"),
-        (F.pmod("print_", F.lit(1000)) < int(1000 * HELD_SHARE)).alias("held"),  # copies of a text are in one fold
-        features(F.col("body_"), span).alias("f"),
-    )
-    return rows.orderBy("key", "kind", "source").limit(most).select("key", "kind", "source", "label", "held", "f.*")
+    every = {n: F.concat(*[F.col(f"{n}{k}") for k in KINDS]) for n in ("stated_", "loose_")}
+    body = body.withColumns(every).drop(*[f"{n}{k}" for n in ("stated_", "loose_") for k in KINDS])
+    return body.withColumn("loose_", F.when(F.size("loose_") > 0, F.filter("loose_", passes)).otherwise(F.col("loose_")))
+
+
+def examples(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
+    """About ``most`` examples in hash order, of each valid stated span VARIANTS positives and as many decoys: ``kind, label, held`` and their features."""
+    body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body_"))
+    found = body.withColumns({f"s{i}": matches(F.col("body_"), k, True) for i, k in enumerate(KINDS)})
+    found = found.select("body_", F.xxhash64(F.lit(SEED), "body_").alias("print_"), F.explode(F.filter(F.concat(*[F.col(f"s{i}") for i in range(len(KINDS))]), valid)).alias("span"))
+    key = F.xxhash64("print_", "span.start", "span.kind")
+    span = found.select("body_", "print_", "span", key.alias("key")).orderBy("key").limit(-(-most // (2 * VARIANTS)))
+    span = span.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(VARIANTS)), lambda v: F.xxhash64("key", v))))
+    before, after = around(F.col("body_"), F.col("span"))
+
+    def one(label: float, written: Column, leads: dict) -> Column:
+        lead = F.lit("")
+        for i, k in enumerate(KINDS):
+            lead = F.when(F.col("span.kind") == i, pick(F.xxhash64("key", F.lit(label)), *map(F.lit, leads[k]))).otherwise(lead)
+        return F.struct(F.lit(label).alias("label"), written.alias("body"), F.right(F.concat(before, lead), F.lit(WINDOW)).alias("before"), after.alias("after"))
+
+    pair = F.explode(F.array(one(1.0, loosely(F.col("span"), F.abs(F.shiftright("key", 1))), LEADS), one(0.0, decoy(F.col("body_"), F.col("span"), F.abs(F.shiftright("key", 1))), DECOY_LEADS))).alias("e")
+    rows = span.select(F.col("span.kind").alias("kind"), (F.pmod("print_", F.lit(1000)) < int(1000 * HELD_SHARE)).alias("held"), pair)  # copies of a text are in one fold
+    judged = F.struct("kind", F.lit(False).alias("stated"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("e.body").alias("body"))
+    return rows.where(passes(judged)).select("kind", "held", F.col("e.label").alias("label"), features(F.col("e.body"), F.col("kind"), F.col("e.before"), F.col("e.after")).alias("f")).select("kind", "held", "label", "f.*")
 
 
 def fit_spans(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> tuple[str, dict[int, float]] | None:
-    """The trees' sum as SQL over ``f``, and a threshold for each kind; None without candidates of both outcomes to learn from."""
-    sample = cut(sampled(docs, text, most))  # ``most`` rows at most
+    """The trees' sum as SQL over ``f``, and a threshold for each kind; None without examples of both outcomes to learn from."""
+    sample = cut(examples(docs, text, most))  # ``most`` rows, about
     train = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.where(~F.col("held"))).select("features", "label").coalesce(2))
     if train.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(train)
     sql = ensemble_sql(model, "f")
-    judged = sample.where(F.col("held") & (F.col("source") != FOUND)).select("kind", "label", F.expr(sql.replace("f.", "")).alias("score")).collect()  # part of ``most`` rows
+    judged = sample.where("held").select("kind", "label", F.expr(sql.replace("f.", "")).alias("score")).collect()  # part of them
     limits = {}
     for k, kind in enumerate(KINDS):
         own = [(r["score"], r["label"]) for r in judged if r["kind"] == k]
         limits[k] = threshold(own)
-        LOG.info("%s: threshold %s from %d held-out loose candidates, %d of them pass the checks", kind, limits[k], len(own), sum(label for _, label in own))
+        taken = [label for score, label in own if score >= limits[k]]
+        LOG.info("%s: threshold %s from %d held-out positives and %d decoys; it accepts %d and %d", kind, limits[k], sum(x for _, x in own), sum(1 - x for _, x in own), sum(taken), len(taken) - sum(taken))
     return sql, limits
 
 
 def threshold(scored: list[tuple[float, float]]) -> float:
-    """The lowest score from which on PRECISION of the candidates are right, equal scores all or none; infinite where no score does."""
+    """Half way below the lowest score from which on PRECISION of the candidates are right, equal scores all or none; infinite where no score does."""
     best, good, ordered = float("inf"), 0.0, sorted(scored, reverse=True)
     for n, (score, label) in enumerate(ordered, 1):
         good += label
         if good >= PRECISION * n and (n == len(ordered) or ordered[n][0] < score):
-            best = score
+            best = score if n == len(ordered) else (score + ordered[n][0]) / 2
     return best
 
 
@@ -257,7 +301,7 @@ def find_personal_data(docs: DataFrame, model: tuple[str, dict[int, float]] | No
         found = found.withColumn("more_", F.expr(NONE))
     else:
         sql, limits = model
-        marked = F.transform("loose_", lambda s: F.struct(s.alias("s"), features(F.col("body_"), s).alias("f")))
+        marked = F.transform("loose_", lambda s: F.struct(s.alias("s"), of_span(F.col("body_"), s).alias("f")))
         found = found.withColumn("loose_", F.when(F.size("loose_") > 0, F.filter(marked, lambda c: apart(c["s"], F.col("base_")))).otherwise(F.slice(marked, 1, 0)))
         limit = " ".join(f"WHEN {k} THEN {v!r}D" if v != float("inf") else f"WHEN {k} THEN double('Infinity')" for k, v in limits.items())
         picked = F.expr(f"transform(filter(loose_, c -> ({sql.replace('f.', 'c.f.')}) >= CASE c.s.kind {limit} END), c -> c.s)")
