@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -512,3 +513,40 @@ def quotes_fuzzy(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     near = ready.where(~exact).withColumn("similarity", dice("quote", "body"))
     method = F.when(exact, "exact").when(F.col("similarity") >= least, "similar").otherwise("none")
     return plain.unionByName(near).withColumn("method", method).withColumn("verified", F.col("method") != "none").drop("quote", "body")
+
+
+def cascade(tables: dict[str, DataFrame], gone: DataFrame, claims_gone: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``sources, segments, chunks, claims, links`` without the sources in ``gone`` (``source_id``) and all that hangs on them; also without the claims in ``claims_gone``.
+
+    A claim goes with its source, a link with its claim.
+    """
+    left = {n: df.join(gone, "source_id", "left_anti") for n, df in tables.items() if n != "links"}
+    if claims_gone is not None:
+        left["claims"] = left["claims"].join(claims_gone, "claim_id", "left_anti")
+    return left | {"links": tables["links"].join(left["claims"].select("claim_id"), "claim_id", "left_semi")}
+
+
+def erase_person(tables: dict[str, DataFrame], person: str, rebuild: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """The tables without what ``person`` said (names compare without case): their segments and claims, sources that nothing is left of, with all that hangs on
+    them, and the chunks of every other source where they spoke, which ``rebuild`` makes again from the segments that are left.
+    """
+    theirs = lambda df: df.where(F.lower("speaker") == person.strip().lower())
+    affected = durable(theirs(tables["segments"]).select("source_id").distinct())
+    segments = tables["segments"].where(F.coalesce(F.lower("speaker") != person.strip().lower(), F.lit(True)))
+    emptied = durable(affected.join(segments, "source_id", "left_anti"))
+    left = cascade(tables | {"segments": segments}, emptied, theirs(tables["claims"]).select("claim_id"))
+    again = rebuild(left["segments"].join(affected, "source_id", "left_semi"))
+    chunks = left["chunks"].join(affected, "source_id", "left_anti")
+    return left | {"chunks": chunks.unionByName(again.select(chunks.columns))}
+
+
+def retain(tables: dict[str, DataFrame], oldest: Column) -> dict[str, DataFrame]:
+    """The tables without sources whose ``occurred_at`` is before ``oldest``, and all that hangs on them."""
+    return cascade(tables, durable(tables["sources"].where(F.col("occurred_at") < oldest).select("source_id")))
+
+
+def changes_of(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """``name, kept, gone`` of each table."""
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), F.lit(k).alias("side"), "n") for k, side in enumerate((before, after)) for n, df in side.items()]
+    both = functools.reduce(DataFrame.unionByName, rows).groupBy("name").pivot("side", [0, 1]).agg(F.first("n"))
+    return both.select("name", F.col("1").alias("kept"), (F.col("0") - F.col("1")).alias("gone"))

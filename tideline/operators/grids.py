@@ -111,21 +111,75 @@ def split_metrics(records: DataFrame, category: str, number: str) -> DataFrame:
 
 
 def derived_fields(wide: DataFrame, columns: list[str], least: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """Triples (z, x, y) of columns with z = x + y or z = x - y in all complete rows, in one aggregation over the rows."""
-    found = []
-    for z in columns:
-        for i, x in enumerate(columns):
-            for j, y in enumerate(columns):
-                if z in (x, y) or x == y:
-                    continue
-                for sign, op in (("+", F.col(x) + F.col(y)), ("-", F.col(x) - F.col(y))):
-                    if sign == "+" and i > j:
-                        continue
-                    name = f"{z} = {x} {sign} {y}"
-                    holds = F.abs(F.col(z) - op) <= tolerance * F.greatest(F.abs(z), F.lit(1.0))
-                    found.append(F.when((F.count(holds) >= least) & F.bool_and(holds), F.lit(name)).alias(name))
-    one = wide.agg(*found)
-    return one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in one.columns])).alias("formula")).where("formula is not null")
+    """``field, formula``: columns that follow from others in all complete rows, as z = k x, z = x + y or z = x - y (x before y), in the order of the columns.
+
+    A column that was found explains no other. Sums of products of all pairs, a matrix from one pass, tell which formulas may hold; a second pass tests those few
+    row by row. Both plans have one size, whatever the number of columns.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from tideline.session import ship
+
+    spark, many = wide.sparkSession, len(columns)
+    ship(spark)
+    rows = wide.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    schema = spark.createDataFrame([], "field string, formula string")
+    if many < 2:
+        return schema
+
+    def complete(batch) -> np.ndarray:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        return x[np.isfinite(x).all(1)]
+
+    def products(batches):
+        total, n = np.zeros((many, many)), 0
+        for batch in batches:
+            x = complete(batch)
+            total, n = total + x.T @ x, n + len(x)
+        yield pa.record_batch({"i": np.arange(many), "row": pa.array(list(total), pa.list_(pa.float64())), "n": np.full(many, n)})
+
+    sums = rows.mapInArrow(products, "i long, row array<double>, n long").select("i", "n", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # one matrix
+    s, n = np.zeros((many, many)), max((r["n"] for r in sums), default=0)
+    for r in sums:
+        s[r["i"], r["j"]] = r["v"]
+    if n < least:
+        return schema
+    d, formulas = np.diag(s), []  # z, x, y, factor of x, factor of y
+    for z in range(many):
+        for x in range(many):
+            if x == z:
+                continue
+            k = s[z, x] / d[x] if d[x] > 0 else 0.0
+            if k not in (0.0, 1.0) and d[z] - k * s[z, x] <= 1e-9 * d[z]:
+                formulas.append((z, x, x, k, 0.0))
+            for y in range(x + 1, many):
+                for sign in (1.0, -1.0):
+                    rest = d[z] + d[x] + d[y] - 2 * s[z, x] - 2 * sign * s[z, y] + 2 * sign * s[x, y]
+                    if y != z and rest <= 1e-9 * max(d[z], d[x], d[y]):
+                        formulas.append((z, x, y, 1.0, sign))
+
+    def failures(batches):
+        found = np.zeros(len(formulas), np.int64)
+        for batch in batches:
+            v = complete(batch)
+            for f, (z, x, y, k, sign) in enumerate(formulas):
+                own = k * v[:, x] + sign * v[:, y]
+                found[f] += (np.abs(v[:, z] - own) > tolerance * np.maximum(1, np.maximum(np.abs(v[:, z]), np.abs(own)))).sum()
+        yield pa.record_batch({"f": np.arange(len(formulas)), "failed": found})
+
+    held = {r["f"] for r in rows.mapInArrow(failures, "f long, failed long").groupBy("f").agg(F.sum("failed").alias("failed")).where("failed = 0").collect()} if formulas else set()  # the few formulas
+    known, out = set(), []
+    for f, (z, x, y, k, sign) in enumerate(formulas):
+        if f in held and not {z, x, y} & known:
+            known.add(z)
+            out.append((columns[z], f"{columns[z]} = {k:.6g} x {columns[x]}" if not sign else f"{columns[z]} = {columns[x]} {'+' if sign > 0 else '-'} {columns[y]}"))
+    return spark.createDataFrame(out, "field string, formula string")
+
+
+def without_derived(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """``col, kind``: a number that follows from others is text, so no metric is made of it."""
+    return kinds.join(found.select(F.col("field").alias("col"), F.lit(True).alias("follows")), "col", "left").withColumn("kind", F.when(F.col("follows"), "text").otherwise(F.col("kind"))).drop("follows")
 
 
 def top_variance(metrics: DataFrame, most: int = 199) -> DataFrame:

@@ -106,3 +106,18 @@ def ranking(decided: DataFrame) -> DataFrame:
     run = Window.partitionBy("run_id")
     share = decided.where("drifting").withColumn("contribution", F.col("max_deviation") / F.sum("max_deviation").over(run))
     return share.withColumn("place", F.row_number().over(run.orderBy("victim", F.desc(F.round("contribution", 9)), "sensor"))).select("run_id", "sensor", "victim", "contribution", "place")
+
+
+def ancestors(links: DataFrame) -> DataFrame:
+    """``id, supersedes`` to ``id, ancestor, depth``: all that an id supersedes, directly or not, with the fewest steps; an id on a cycle is no ancestor of itself.
+
+    Each round joins paths with paths, so rounds grow with the logarithm of the longest chain, and end when nothing is new.
+    """
+    paths = durable(links.where("supersedes is not null and supersedes <> id").select("id", F.col("supersedes").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct())
+    while True:
+        further = paths.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = paths.join(further, "ancestor").where("next <> id").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = durable(paths.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        if after.count() == paths.count():
+            return after
+        paths = after

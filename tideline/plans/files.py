@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tideline.functions.cleaning import clean_number
 from tideline.operators import corpus as c
+from tideline.operators import health
 from tideline.operators import packed as pk
 from tideline.plans.corpus import CLAIMS, PHRASES, docs, phrases
 from tideline.plans.drift import ramp
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
-from tideline.session import shared_path
+from tideline.session import durable, shared_path
 from tideline.sources import tables
 
 SENSORS = [m + f for m in ("quantity", "price", "discount") for f in ("", "[A]", "[N]", "[R]")]
@@ -33,6 +34,69 @@ def sink_run_tables(spark, d):
     return tables.load_run(spark, path, "lineitem").select("run_id", "sensor", "t", "v")
 
 
+@query(
+    "sink_run_all",
+    with_grid(" SELECT 'grid' AS name, count(*) AS n FROM grid UNION ALL SELECT 'evidence', count(*) FROM (SELECT DISTINCT sensor, episode FROM grid) UNION ALL SELECT 'rules', 3 * count(DISTINCT sensor) FROM grid"),
+)
+def sink_run_all(spark, d):
+    """A run's grid, evidence and rules saved as one, and again; of a save that fails between two tables nothing is seen."""
+    root, g = shared_path(spark, "run-store"), durable(grid(spark, d))
+    parts = {"grid": g, "evidence": g.groupBy("sensor", "episode").agg(F.count("*").alias("n")), "rules": health.propose_rules(g, 240)}
+    tables.save_run(spark, root, "lineitem", parts)
+    try:
+        tables.save_run(spark, root, "lineitem", {"grid": g.limit(1), "evidence": g.select(F.raise_error(F.lit("no space")).alias("n"))})
+    except Exception:  # noqa: BLE001  the failing save is the point
+        pass
+    loaded = [tables.load_table(spark, root, "lineitem", n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in parts]
+    return loaded[0].unionByName(loaded[1]).unionByName(loaded[2])
+
+
+CORPUS = """s AS (SELECT conv_id AS source_id, turn AS seq, CASE WHEN conv_id % 7 = 0 THEN 'USER' ELSE role END AS speaker, text FROM conversations
+), cl AS (SELECT source_id * 1000 + seq AS claim_id, source_id, speaker FROM s WHERE length(text) % 3 = 0), lk AS (SELECT claim_id, claim_id % 4 AS column_id FROM cl WHERE claim_id % 2 = 0)"""
+
+
+def block_chunks(segments):
+    return segments.groupBy("source_id", F.expr("seq div 3").alias("chunk")).agg(F.count("*").alias("n"))
+
+
+def corpus_tables(spark, d):
+    """Conversations as sources; every seventh has one speaker. A third of the turns makes a claim, half of the claims have a link."""
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.when(F.col("conv_id") % 7 == 0, "USER").otherwise(F.col("role")).alias("speaker"), "text")
+    claims = said.where(F.length("text") % 3 == 0).select((F.col("source_id") * 1000 + F.col("seq")).alias("claim_id"), "source_id", "speaker")
+    sources = said.groupBy("source_id").agg(F.count("*").alias("occurred_at"))
+    return {"sources": sources, "segments": said, "chunks": block_chunks(said), "claims": claims, "links": claims.where("claim_id % 2 = 0").select("claim_id", (F.col("claim_id") % 4).alias("column_id"))}
+
+
+@query(
+    "erase_person",
+    f"""WITH {CORPUS}, left_s AS (SELECT * FROM s WHERE lower(speaker) <> 'user'), src AS (SELECT DISTINCT source_id FROM s), lsrc AS (SELECT DISTINCT source_id FROM left_s
+    ), gone AS (SELECT source_id FROM src WHERE source_id NOT IN (SELECT source_id FROM lsrc)), lcl AS (SELECT * FROM cl WHERE lower(speaker) <> 'user' AND source_id NOT IN (SELECT source_id FROM gone)
+    ), n AS (SELECT 'sources' AS name, (SELECT count(*) FROM src) AS before, (SELECT count(*) FROM src WHERE source_id NOT IN (SELECT source_id FROM gone)) AS kept
+      UNION ALL SELECT 'segments', (SELECT count(*) FROM s), (SELECT count(*) FROM left_s) UNION ALL SELECT 'claims', (SELECT count(*) FROM cl), (SELECT count(*) FROM lcl)
+      UNION ALL SELECT 'chunks', (SELECT count(*) FROM (SELECT DISTINCT source_id, seq // 3 FROM s)), (SELECT count(*) FROM (SELECT DISTINCT source_id, seq // 3 FROM left_s))
+      UNION ALL SELECT 'links', (SELECT count(*) FROM lk), (SELECT count(*) FROM lk WHERE claim_id IN (SELECT claim_id FROM lcl)))
+    SELECT name, kept, before - kept AS gone FROM n""",
+)
+def erase_person(spark, d):
+    before = corpus_tables(spark, d)
+    return c.changes_of(before, c.erase_person(before, " User ", block_chunks))
+
+
+@query(
+    "retain_sources",
+    f"""WITH {CORPUS}, src AS (SELECT source_id, count(*) AS occurred_at FROM s GROUP BY source_id), old AS (SELECT source_id FROM src WHERE occurred_at < 5
+    ), n AS (SELECT 'sources' AS name, (SELECT count(*) FROM src) AS before, (SELECT count(*) FROM src WHERE source_id NOT IN (SELECT source_id FROM old)) AS kept
+      UNION ALL SELECT 'segments', (SELECT count(*) FROM s), (SELECT count(*) FROM s WHERE source_id NOT IN (SELECT source_id FROM old)) UNION ALL SELECT 'claims', (SELECT count(*) FROM cl), (SELECT count(*) FROM cl WHERE source_id NOT IN (SELECT source_id FROM old))
+      UNION ALL SELECT 'chunks', (SELECT count(*) FROM (SELECT DISTINCT source_id, seq // 3 FROM s)), (SELECT count(*) FROM (SELECT DISTINCT source_id, seq // 3 FROM s WHERE source_id NOT IN (SELECT source_id FROM old)))
+      UNION ALL SELECT 'links', (SELECT count(*) FROM lk), (SELECT count(*) FROM lk WHERE claim_id IN (SELECT claim_id FROM cl WHERE source_id NOT IN (SELECT source_id FROM old))))
+    SELECT name, kept, before - kept AS gone FROM n""",
+)
+def retain_sources(spark, d):
+    """Sources of fewer than five turns stand for old ones."""
+    before = corpus_tables(spark, d)
+    return c.changes_of(before, c.retain(before, F.lit(5)))
+
+
 @query("alias_import", "SELECT DISTINCT n_name AS name, r_name AS phrase FROM nation JOIN region ON r_regionkey = n_regionkey")
 def alias_import(spark, d):
     nation, region = table(spark, d, "nation"), table(spark, d, "region")

@@ -161,13 +161,13 @@ def metric_split_by_level(spark, d):
 
 @query(
     "derived_fields",
-    """WITH w AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS net, CAST(round(l_tax * 100) AS BIGINT) AS tax, l_quantity AS qty FROM lineitem), x AS (SELECT net, tax, net + tax AS gross, qty FROM w
-    ), f AS (SELECT unnest(['gross = net + tax', 'net = gross - tax', 'tax = gross - net']) AS formula, unnest([bool_and(gross = net + tax), bool_and(net = gross - tax), bool_and(tax = gross - net)]) AS holds FROM x)
-    SELECT formula FROM f WHERE holds""",
+    """WITH w AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS net, CAST(round(l_tax * 100) AS BIGINT) AS tax, l_quantity AS qty FROM lineitem), x AS (SELECT net, tax, net + tax AS gross, qty, 2.5 * qty AS weight FROM w
+    ), f AS (SELECT unnest(['gross', 'qty']) AS field, unnest(['gross = net + tax', 'qty = 0.4 x weight']) AS formula, unnest([bool_and(gross = net + tax), bool_and(abs(qty - 0.4 * weight) < 1e-6)]) AS holds FROM x)
+    SELECT field, formula FROM f WHERE holds""",
 )
 def derived_fields(spark, d):
     cents = table(spark, d, "lineitem").select(F.round(F.col("l_extendedprice") * 100).cast("long").alias("net"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"), F.col("l_quantity").alias("qty"))
-    return g.derived_fields(cents.withColumn("gross", F.col("net") + F.col("tax")), ["net", "tax", "gross", "qty"])
+    return g.derived_fields(cents.withColumns({"gross": F.col("net") + F.col("tax"), "weight": 2.5 * F.col("qty")}), ["net", "tax", "gross", "qty", "weight"])
 
 
 @query(

@@ -58,6 +58,19 @@ def supersession_chain(spark, d):
     return r.chains(links)
 
 
+@query(
+    "supersession_ancestors",
+    """WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place FROM events)
+    SELECT a.event_id AS id, b.event_id AS ancestor, a.place - b.place AS depth FROM e a JOIN e b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.place < a.place""",
+)
+def supersession_ancestors(spark, d):
+    """Events of a user and type, each of which supersedes the one before: all ancestors of each."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return r.ancestors(table(spark, d, "events").select(F.col("event_id").alias("id"), F.lag("event_id").over(own).alias("supersedes")))
+
+
 @query(
     "report_lanes",
     with_grid(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,34 @@ def load_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("run_id") == run_id)
 
 
+def save_run(spark: SparkSession, root: str, run_id: str, parts: dict[str, DataFrame]) -> str:
+    """All tables of a run, or none: tables are written to a folder of their own, and one manifest row, written last, makes them the run's. Returns the folder.
+
+    A writer that fails in between leaves a folder that no manifest names; a run that is saved again keeps its old tables for those who read them.
+    """
+    version = uuid.uuid4().hex
+    folder = f"{root}/tables/{version}"
+    for name, df in parts.items():
+        df.write.parquet(f"{folder}/{name}")
+    row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(folder).alias("folder"), F.array(*[F.lit(n) for n in sorted(parts)]).alias("tables"), F.unix_micros(F.current_timestamp()).alias("saved_at"))
+    row.coalesce(1).write.parquet(f"{root}/manifest/version={version}")  # a row is there or it is not
+    return folder
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """The newest manifest of each run."""
+    rows = spark.read.parquet(f"{root}/manifest")
+    return rows.groupBy("run_id").agg(F.max_by(F.struct("folder", "tables", "saved_at"), F.struct("saved_at", "version")).alias("m")).select("run_id", "m.*")
+
+
+def load_table(spark: SparkSession, root: str, run_id: str, name: str) -> DataFrame:
+    """A table of a saved run, by its manifest."""
+    found = manifests(spark, root).where(F.col("run_id") == run_id).select("folder", "tables").head()  # one row
+    if found is None or name not in found["tables"]:
+        raise LookupError(f"run {run_id} has no table {name}")
+    return spark.read.parquet(f"{found['folder']}/{name}")
+
+
 def import_aliases(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """``rows`` of texts and a catalog of names: the column with the most known names is the key, the others are phrases."""
     cells = rows.select(F.monotonically_increasing_id().alias("row"), *rows.columns).unpivot(["row"], rows.columns, "col", "cell").where("cell is not null and cell <> ''")
