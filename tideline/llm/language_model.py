@@ -155,7 +155,7 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
     """Of each block a row for each shard that it asks (never more rows than it has pairs and words), and one row of its own (shard -1) with its texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    asks, owns = ("keys", "seen", "words", "word_seen"), ("own_words", "word", "sizes")
+    asks, owns = ("keys", "seen", "words", "word_seen"), ("word", "sizes")
 
     def rows(block: str, parts: list[np.ndarray], sizes: np.ndarray, learned: np.ndarray, rest: pa.Table):
         words, word = np.unique(np.concatenate(parts), return_inverse=True)
@@ -170,7 +170,7 @@ def cut_blocks(text: str, train: str, kept: list[str], schema: T.StructType, sha
             for n, x in zip(asks, (pack(np.diff(keys[a:b], prepend=np.uint64(0)), "<u8"), pack(seen[a:b], "<u4"), pack(np.diff(words[c:d], prepend=np.uint64(0)), "<u8"), pack(word_seen[c:d], "<u4"))):
                 out[n].append(x)
         many = len(asked)
-        out = {n: [*x, None] for n, x in out.items()} | {n: [None] * many + [pack(x, kind)] for n, x, kind in zip(owns, (np.diff(words, prepend=np.uint64(0)), word, sizes), ("<u8", "<u4", "<u4"))}
+        out = {n: [*x, None] for n, x in out.items()} | {n: [None] * many + [pack(x, "<u4")] for n, x in zip(owns, (word, sizes))}
         columns = [pa.array([block] * (many + 1)), pa.array([*asked.tolist(), -1], pa.int64()), *[pa.array(out[n], pa.binary()) for n in (*asks, *owns)]]
         target = to_arrow_schema(schema).field("rest").type
         held = rest.combine_chunks()
@@ -256,13 +256,13 @@ def probe_shard(rows: pa.Table, told: pa.Table) -> pa.Table:
         keys, words = np.cumsum(unpack(keys, "<u8")), np.cumsum(unpack(words, "<u8"))
         answers["levels"].append(pack(shard.levels(keys) if shard else np.zeros(len(keys)), "u1"))
         answers["counts"].append(pack(shard.count(words) if shard else np.zeros(len(words)), "<i8"))
-    return pa.table([rows["block"], rows["shard"], *[pa.array(answers[n], pa.binary()) for n in answers]], names=["block", "shard", *answers])
+    return pa.table([rows["block"], rows["shard"], *[pa.array(answers[n], pa.binary()) for n in answers]], names=["block", "shard", *answers]).append_column("words", rows["words"])
 
 
-def scored(own: pa.RecordBatch, row: int, kept: list[str], total: int, distinct: int, spare: int, ask) -> pa.Table:
+def scored(block: pa.Table, words: np.ndarray, kept: list[str], total: int, distinct: int, spare: int, ask) -> pa.Table:
     """The texts of one block with their scores; ``ask`` gives levels of ascending pair hashes and counts of ascending word hashes."""
-    words = np.cumsum(unpack(own["own_words"][row].as_py(), "<u8"))
-    word, sizes = (unpack(own[n][row].as_py(), "<u4").astype(np.int64) for n in ("word", "sizes"))
+    own = block.combine_chunks().to_batches()[0]
+    word, sizes = (unpack(own[n][0].as_py(), "<u4").astype(np.int64) for n in ("word", "sizes"))
     keys, before, pair = pairs_of(words, word, sizes, spare)
     levels, counts = ask(keys, words)
     context, share = counts[before].astype(np.float64), ((counts + 1) / (total + distinct + 1))[word]
@@ -270,40 +270,41 @@ def scored(own: pa.RecordBatch, row: int, kept: list[str], total: int, distinct:
     starts = np.cumsum(sizes) - sizes
     known, base, score = (np.add.reduceat(x, starts) for x in ((counts > 0)[word].astype(np.int64), np.log10(share), np.log10(chance)))
     result = pa.StructArray.from_arrays([pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score)], names=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
-    rest = own["rest"][row].values
+    rest = own["rest"][0].values
     return pa.table([*[x for n, x in zip(rest.type, rest.flatten()) if n.name in kept], result], names=[*kept, "scored_"])
 
 
+def words_of(rows: pa.Table) -> np.ndarray:
+    """The words of a block, from what it asks its shards in their order."""
+    return np.concatenate([np.cumsum(unpack(x, "<u8")) for x in rows["words"].to_pylist()])
+
+
 def score_block(*known):
     """Scores a block by the answers that its shards sent."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("shard")
         told = [np.concatenate([unpack(x, kind) for x in answers[n].to_pylist()]) for n, kind in (("levels", "u1"), ("counts", "<i8"))]
-        return scored(block.combine_chunks().to_batches()[0], 0, *known, lambda keys, words: told)
+        return scored(block, words_of(answers), *known, lambda keys, words: told)
 
     return run
 
 
 def score_at_hand(held, shards: int, *known):
-    """Scores blocks where they are, with all filters at hand."""
-
-    def run(batches):
-        filters = {k: Shard(row) for k, row in held.value.items()}
+    """Scores a block with all filters at hand."""
 
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         def ask(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             levels, counts = np.zeros(len(keys), np.int64), np.zeros(len(words), np.int64)
             for out, hashes, method in ((levels, keys, Shard.levels), (counts, words, Shard.count)):
                 which = shard_of(hashes, shards)
                 for k in np.unique(which):
                     a, b = np.searchsorted(which, [k, k + 1])
-                    if k in filters:
-                        out[a:b] = method(filters[k], hashes[a:b])
+                    if k in held.value:
+                        out[a:b] = method(Shard(held.value[k]), hashes[a:b])
             return levels, counts
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                yield from scored(batch, row, *known, ask).to_batches()
+        return scored(block, words_of(asked.sort_by("shard")), *known, ask)
 
     return run
 
@@ -317,7 +318,7 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     ready = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(text), F.coalesce(train, F.lit(False)).alias(flag))
     # the flag stays with the other columns, so that there is always one
     others, spare = T.StructType([T.StructField(f.name, f.dataType) for f in ready.schema if f.name != text]), spare_bits(size)
-    kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "own_words", "word", "sizes")], ("rest", T.ArrayType(others))]
+    kinds = [("block", T.StringType()), ("shard", T.LongType()), *[(n, T.BinaryType()) for n in ("keys", "seen", "words", "word_seen", "word", "sizes")], ("rest", T.ArrayType(others))]
     blocks = stored(ready.mapInArrow(cut_blocks(text, flag, others.names, fields(*kinds), shards, hot, spare), fields(*kinds)))  # written once, so that a block keeps its texts
     # as many partitions as data, so that a task sees a few shards or blocks, one after another
     asked = blocks.where("shard >= 0")
@@ -325,17 +326,18 @@ def score_language(docs: DataFrame, train, text: str = "text", into: str = "lm",
     weight = F.octet_length("filter") + F.octet_length("known") + F.octet_length("known_counts")
     held, total, distinct, pairs, wrong, bits = filters.agg(F.coalesce(F.sum(weight), F.lit(0)), *[F.coalesce(F.sum(n), F.lit(0)) for n in TOTALS]).first()
     LOG.info("%d bits of filters; %d of %d training pairs have a wrong level", bits, wrong, pairs)
-    own = blocks.where("shard < 0").select("block", "own_words", "word", "sizes", "rest")
+    own = blocks.where("shard < 0").select("block", "word", "sizes", "rest")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     schema, known = T.StructType([*[f for f in others if f.name != flag], T.StructField("scored_", result)]), (kept, total, distinct, spare)
     if held <= BROADCAST_BYTES:
         told = docs.sparkSession.sparkContext.broadcast({r["of"]: r.asDict() for r in filters.collect()})  # ``held`` bytes
-        out = own.mapInArrow(score_at_hand(told, shards, *known), schema)
+        answers, score = asked.select("block", "shard", "words"), score_at_hand(told, shards, *known)
     else:
         probes = asked.select("block", "shard", "keys", "words").repartition(shards, "shard").groupBy("shard")
-        answers = probes.cogroup(filters.select("of", "filter", "known", "known_counts", "bits").repartition(shards, "of").groupBy("of")).applyInArrow(probe_shard, "block string, shard long, levels binary, counts binary")
-        answers = answers.select(F.col("block").alias("to"), "shard", "levels", "counts").repartition(shards, "to")
-        out = own.repartition(shards, "block").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(score_block(*known), schema)
+        answers = probes.cogroup(filters.select("of", "filter", "known", "known_counts", "bits").repartition(shards, "of").groupBy("of")).applyInArrow(probe_shard, "block string, shard long, levels binary, counts binary, words binary")
+        score = score_block(*known)
+    meet = answers.withColumnRenamed("block", "to").repartition(shards, "to").groupBy("to")
+    out = own.repartition(shards, "block").groupBy("block").cogroup(meet).applyInArrow(score, schema)
     return out.withColumnRenamed("scored_", free_name(docs, into))
 
 
