@@ -239,7 +239,9 @@ def embedding_components(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     named = named.select(
         F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links_"), F.coalesce("root", "rep").alias("component_")
     )
-    out = vectors.withColumns({"own_h1_": marks[0], "own_h2_": marks[1]}).join(named, (F.col("own_h1_") == F.col("h1_")) & (F.col("own_h2_") == F.col("h2_")), "left")
+    # vectors that link with nothing have no second hash, and a first one of their own, so that they don't meet in one task
+    apart = F.xxhash64(F.lit(3), F.coalesce(F.col(vec_id).cast("long"), F.monotonically_increasing_id()))
+    out = vectors.withColumns({"own_h1_": F.coalesce(marks[0], apart), "own_h2_": marks[1]}).join(named, (F.col("own_h1_") == F.col("h1_")) & (F.col("own_h2_") == F.col("h2_")), "left")
     component = F.coalesce("component_", F.col(vec_id).cast("long"))
     result = F.struct(F.coalesce("n_links_", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(vec_id), F.lit(True)).alias("kept"))
     return out.select(*[F.col(f"`{c}`") for c in vectors.columns], result.alias(free_name(vectors, into)))
