@@ -63,7 +63,8 @@ AGAINST = {"thing": r"(?i)order|part|item|serial|ticket|invoice|parcel|track|isb
 LEADS = {"email": ("mail ", "contact: ", "write to ", "", ""), "ip": ("ip ", "server ", "host: ", "", ""), "card": ("card ", "visa: ", "paid by ", "", ""), "phone": ("call ", "phone: ", "fax ", "", "")}
 DECOY_LEADS = {"email": ("", "", "look "), "ip": ("version ", "section ", "chapter "), "card": ("order ", "serial no. ", "parcel ", "isbn "), "phone": ("order ", "part no. ", "ticket ", "invoice ")}
 TLD = r"(?i)^(com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|us|example)$"
-WINDOW = 24
+#: Characters before a span that features see, and that decoys of prose take their words from.
+WINDOW, NEAR = 24, 400
 #: Examples that the trees are trained and calibrated on, and how many of each outcome a span gives; share for calibration; trees and their depth.
 SAMPLE, VARIANTS, HELD_SHARE, TREES, DEPTH, PRECISION, SEED = 20_000, 4, 0.3, 20, 5, 0.98, 11
 FEATURES = (
@@ -162,10 +163,10 @@ def loosely(span: Column, choice: Column) -> Column:
     )
 
 
-def decoy(text: Column, span: Column, choice: Column) -> Column:
-    """Something else that the loose generator of the span's kind would propose, and whose checks it passes."""
+def decoy(near: Column, span: Column, choice: Column) -> Column:
+    """Something else that the loose generator of the span's kind would propose, and whose checks it passes; prose is of the words in ``near``."""
     draw = lambda k, low, high: (F.pmod(F.xxhash64(choice, F.lit(k)), F.lit(high - low + 1)) + low).cast("string")
-    words = F.filter(F.split(F.regexp_replace(F.substring(text, F.greatest(span["start"] - 400, F.lit(1)), F.lit(400)), "[^A-Za-z]+", " "), " "), lambda w: F.length(w) > 1)
+    words = F.filter(F.split(F.regexp_replace(near, "[^A-Za-z]+", " "), " "), lambda w: F.length(w) > 1)
     word = lambda k: F.coalesce(F.get(words, F.pmod(F.xxhash64(choice, F.lit(k)), F.greatest(F.size(words), F.lit(1))).cast("int")), F.lit("it"))
     prose = pick(choice, F.concat(word(1), F.lit(" at "), word(2), F.lit(" dot "), word(3)), F.concat(word(1), F.lit(" at "), word(2), F.lit(" dot "), word(3), F.lit(" dot "), word(4)))
     place = F.array_join(F.array(*[draw(k, 1, 24) for k in range(4)]), "(.)")
@@ -246,17 +247,19 @@ def examples(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFra
     found = body.withColumns({f"s{i}": matches(F.col("body_"), k, True) for i, k in enumerate(KINDS)})
     found = found.select("body_", F.xxhash64(F.lit(SEED), "body_").alias("print_"), F.explode(F.filter(F.concat(*[F.col(f"s{i}") for i in range(len(KINDS))]), valid)).alias("span"))
     key = F.xxhash64("print_", "span.start", "span.kind")
-    span = found.select("body_", "print_", "span", key.alias("key")).orderBy("key").limit(-(-most // (2 * VARIANTS)))
-    span = span.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(VARIANTS)), lambda v: F.xxhash64("key", v))))
+    # of a text only what stands around the span goes on
     before, after = around(F.col("body_"), F.col("span"))
+    near = F.substring("body_", F.greatest(F.col("span.start") - NEAR, F.lit(1)), F.lit(NEAR))
+    span = found.select("print_", "span", key.alias("key"), before.alias("before"), after.alias("after"), near.alias("near")).orderBy("key").limit(-(-most // (2 * VARIANTS)))
+    span = span.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(VARIANTS)), lambda v: F.xxhash64("key", v))))
 
     def one(label: float, written: Column, leads: dict) -> Column:
         lead = F.lit("")
         for i, k in enumerate(KINDS):
             lead = F.when(F.col("span.kind") == i, pick(F.xxhash64("key", F.lit(label)), *map(F.lit, leads[k]))).otherwise(lead)
-        return F.struct(F.lit(label).alias("label"), written.alias("body"), F.right(F.concat(before, lead), F.lit(WINDOW)).alias("before"), after.alias("after"))
+        return F.struct(F.lit(label).alias("label"), written.alias("body"), F.right(F.concat("before", lead), F.lit(WINDOW)).alias("before"), F.col("after").alias("after"))
 
-    pair = F.explode(F.array(one(1.0, loosely(F.col("span"), F.abs(F.shiftright("key", 1))), LEADS), one(0.0, decoy(F.col("body_"), F.col("span"), F.abs(F.shiftright("key", 1))), DECOY_LEADS))).alias("e")
+    pair = F.explode(F.array(one(1.0, loosely(F.col("span"), F.abs(F.shiftright("key", 1))), LEADS), one(0.0, decoy(F.col("near"), F.col("span"), F.abs(F.shiftright("key", 1))), DECOY_LEADS))).alias("e")
     rows = span.select(F.col("span.kind").alias("kind"), (F.pmod("print_", F.lit(1000)) < int(1000 * HELD_SHARE)).alias("held"), pair)  # copies of a text are in one fold
     judged = F.struct("kind", F.lit(False).alias("stated"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("e.body").alias("body"))
     return rows.where(passes(judged)).select("kind", "held", F.col("e.label").alias("label"), features(F.col("e.body"), F.col("kind"), F.col("e.before"), F.col("e.after")).alias("f")).select("kind", "held", "label", "f.*")
