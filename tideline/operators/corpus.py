@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.cleaning import normalize
 from tideline.session import durable, ship
@@ -164,20 +165,28 @@ def split_long(text: Column, most: int) -> Column:
 def chunks(segments: DataFrame, most: int) -> DataFrame:
     """Segments packed in order, up to ``most`` tokens a chunk and within one block; a longer segment is split by sentences, into pieces of a chunk of its own.
 
-    A fold over the ordered segments of one source, in the JVM; it keeps the segments that open a chunk, so its state grows with the chunks only.
+    Segments are sorted by Spark and pass through a task in batches, which hand on the open chunk, so a source of any length takes bounded memory. A null text is an empty one.
     """
-    sized = segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.col("block").cast("long").alias("block"), tokens_of(F.col("text")).alias("n"), "text")
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("block"), F.array().cast("array<bigint>").alias("opens"))
-
-    def step(state: Column, item: Column) -> Column:
-        full = (state["size"] > 0) & ((state["size"] + item["n"] > most) | (state["block"] != item["block"]))
-        opened = F.struct(item["n"].alias("size"), item["block"].alias("block"), F.array_append(state["opens"], item["seq"]).alias("opens"))
-        return F.when(full, opened).otherwise(F.struct((state["size"] + item["n"]).alias("size"), item["block"].alias("block"), state["opens"].alias("opens")))
-
-    ordered = sized.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "block"))).alias("items"))
-    opens = ordered.select("source_id", F.aggregate("items", start, step, lambda s: s["opens"]).alias("opens"))
-    chunk = F.size(F.filter("opens", lambda o: o <= F.col("seq"))).cast("long")
-    dealt = sized.join(opens, "source_id").withColumn("chunk", chunk)
+    ship(segments.sparkSession)
+    size_of = F.coalesce(tokens_of(F.col("text")), F.lit(0)).cast("long")
+    sized = segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.col("block").cast("long").alias("block"), size_of.alias("n"), "text")
+    ordered = sized.repartition("source_id").sortWithinPartitions("source_id", "seq", "n", "block")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, size, block, chunk = object(), 0, 0, 0
+        for batch in batches:
+            own = []
+            for key, n, b in zip(*(batch[c].to_pylist() for c in ("source_id", "n", "block"))):
+                if key != source:
+                    source, size, block, chunk = key, 0, 0, 0
+                if size and (size + n > most or (b is not None and block is not None and b != block)):
+                    size, block, chunk = n, b, chunk + 1
+                else:
+                    size += n
+                own.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    dealt = ordered.mapInArrow(deal, T.StructType([*sized.schema.fields, T.StructField("chunk", T.LongType())]))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
     whole = dealt.where(F.col("n") <= most).groupBy("source_id", "chunk").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n"), F.sum("n").alias("tokens"), text.alias("text"))
     long = dealt.where(F.col("n") > most).select("source_id", "chunk", F.col("seq").alias("from_seq"), F.col("seq").alias("to_seq"), F.lit(1).cast("long").alias("n"), F.posexplode(split_long(F.col("text"), most)).alias("piece", "text"))

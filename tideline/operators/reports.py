@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +58,33 @@ def assign_ids(rows: DataFrame, run: str, order: list[str], prefix: str) -> Data
 
 
 def build_chain(log: DataFrame) -> DataFrame:
-    """``run_id, seq, text``: each row's hash over the one before and its text. One chain per run, runs in parallel."""
+    """``run_id, seq, text``: each row's hash over the one before and its text; a null text counts as empty, rows of equal ``seq`` follow by text.
+
+    One chain per run, runs in parallel. Rows are sorted by Spark and pass through a task in batches, which hand on the last hash, so a run of any length takes bounded memory.
+    """
     ship(log.sparkSession)
+    ordered = log.select(F.col("run_id").cast("string"), F.col("seq").cast("long"), F.col("text").cast("string")).repartition("run_id").sortWithinPartitions("run_id", "seq", "text")
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, before, out = rows.sort_values("seq"), "", []
-        for text in rows["text"]:
-            own = hashlib.sha256((before + text).encode()).hexdigest()
-            out.append((before, own))
-            before = own
-        rows["prev_hash"], rows["hash"] = zip(*out)
-        return rows[["run_id", "seq", "text", "prev_hash", "hash"]]
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, own = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for key, text in zip(batch["run_id"].to_pylist(), batch["text"].to_pylist()):
+                if key != run:
+                    run, own = key, ""
+                before.append(own)
+                own = hashlib.sha256((own + (text or "")).encode()).hexdigest()
+                after.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=["run_id", "seq", "text", "prev_hash", "hash"])
 
-    return log.groupBy("run_id").applyInPandas(link, "run_id string, seq long, text string, prev_hash string, hash string")
+    return ordered.mapInArrow(link, "run_id string, seq long, text string, prev_hash string, hash string")
 
 
 def verify_chain(log: DataFrame) -> DataFrame:
     """The first row of each run that doesn't follow from the one before; checked in parallel, as every row holds both hashes."""
     w = Window.partitionBy("run_id").orderBy("seq")
     linked = F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit(""))
-    own = F.sha2(F.concat("prev_hash", "text"), 256) == F.col("hash")
+    own = F.sha2(F.concat("prev_hash", F.coalesce("text", F.lit(""))), 256) == F.col("hash")
     return log.withColumn("good", linked & own).groupBy("run_id").agg(F.count("*").alias("n"), F.min(F.when(~F.col("good"), F.col("seq"))).alias("first_bad"))
 
 

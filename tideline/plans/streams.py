@@ -19,6 +19,8 @@ def events(spark, d):
 LATE = "2 hours"
 DONE = "(SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
 
+RANKS = "[" + ", ".join(f"{(k + 0.5) / live.POINTS:.4f}" for k in range(live.POINTS)) + "]"
+
 
 @query("stream_tumbling", f"SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events WHERE time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE <= {DONE} GROUP BY ALL")
 def stream_tumbling(spark, d):
@@ -33,6 +35,21 @@ def stream_sliding(spark, d):
     return live.to_table(live.sliding(events(spark, d), 60, 15, LATE))
 
 
+@query(
+    "stream_sliding_distance",
+    f"""WITH e AS (SELECT * FROM events WHERE value IS NOT NULL AND NOT isnan(value)), r AS (SELECT event_type, quantile_disc(value, {RANKS}) AS q FROM e WHERE ts < TIMESTAMP '2024-01-08' GROUP BY event_type
+    ), w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k.k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n, quantile_disc(value, {RANKS}) AS q FROM e CROSS JOIN range(4) k(k) GROUP BY ALL)
+    SELECT start, event_type, n, list_avg(list_transform(range(1, {live.POINTS + 1}), lambda i: abs(w.q[i] - r.q[i]))) AS distance FROM w JOIN r USING (event_type) WHERE start + INTERVAL 60 MINUTE <= {DONE}""",
+    "distance",
+)
+def stream_sliding_distance(spark, d):
+    """Windows of an hour, a quarter apart, against the first week, stored as sketches."""
+    path = shared_path(spark, "reference")
+    first = table(spark, d, "events").where("ts < TIMESTAMP'2024-01-08' AND value IS NOT NULL AND NOT isnan(value)")
+    live.value_sketches(first).write.parquet(path)
+    return live.to_table(live.sliding_distances(events(spark, d), 60, 15, LATE, spark.read.parquet(path)))
+
+
 @query(
     "stream_sessions",
     f"""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m)
@@ -84,7 +101,7 @@ def fed(spark, d, run):
 @query("stream_feed", "SELECT id, channel, version, body FROM (SELECT user_id AS id, user_id % 4 AS channel, max(event_id) AS version, arg_max(event_type, event_id) AS body FROM events GROUP BY user_id) WHERE version % 5 <> 0")
 def stream_feed(spark, d):
     """What two arrivals leave: the newest version of each message, without the deleted ones."""
-    return live.newest(spark, f"{fed(spark, d, live.feed)}/messages").where("not deleted").select("id", "channel", "version", "body")
+    return live.messages(spark, fed(spark, d, live.feed)).where("not deleted").select("id", "channel", "version", "body")
 
 
 @query(

@@ -5,10 +5,12 @@ Windows come out once the watermark has passed them; rows that come later are dr
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.session import shared_path
 
@@ -45,6 +47,32 @@ def sliding(events: DataFrame, minutes: int, stride: int, late: str) -> DataFram
     return by.agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).select(F.col("window.start").alias("start"), "n", "cents")
 
 
+#: Mid-quantiles that a distance takes, and the size of the sketches that they are read from: ranks are exact up to so many values, and beyond within 0.002.
+POINTS, SKETCH = 200, 2048
+
+
+def value_sketches(rows: DataFrame) -> DataFrame:
+    """``event_type, sketch``: a quantile sketch of the values of each type, to be stored as a reference."""
+    return rows.groupBy("event_type").agg(F.kll_sketch_agg_double("value", SKETCH).alias("sketch"))
+
+
+def sliding_distances(events: DataFrame, minutes: int, stride: int, late: str, reference: DataFrame) -> DataFrame:
+    """``start, event_type, n, distance``: the Wasserstein-1 distance of each sliding window's values to a stored reference of ``value_sketches``, on 200 mid-quantiles.
+
+    A value enters one sketch, that of its stride; windows merge the sketches of their strides, so state doesn't grow with a window's rows. Types without a reference have
+    no rows; missing values enter no sketch.
+    """
+    rows = events.withWatermark("ts", late).where("value IS NOT NULL AND NOT isnan(value)")
+    strides = rows.groupBy(F.window("ts", f"{stride} minutes").alias("own"), "event_type").agg(F.kll_sketch_agg_double("value", SKETCH).alias("sketch"))
+    span = F.window(F.window_time("own"), f"{minutes} minutes", f"{stride} minutes")
+    windows = strides.groupBy(span.alias("span"), "event_type").agg(F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    ranks = F.array(*[F.lit((k + 0.5) / POINTS) for k in range(POINTS)])
+    quantiles = lambda c: F.kll_sketch_get_quantile_double(c, ranks)
+    met = windows.join(reference.select("event_type", quantiles("sketch").alias("stored")), "event_type")
+    gaps = F.zip_with(quantiles("sketch"), "stored", lambda a, b: F.abs(a - b))
+    return met.select(F.col("span.start").alias("start"), "event_type", F.kll_sketch_get_n_double("sketch").alias("n"), (F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / POINTS).alias("distance"))
+
+
 def user_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     by = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
     return by.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
@@ -82,22 +110,36 @@ def joined_stretches(parts: DataFrame) -> DataFrame:
     return marked.groupBy("event_type").agg(*sums)
 
 
-def versions(spark: SparkSession, stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
-    """Runs a stream over what has landed; ``step`` makes the next version of a table from a micro-batch and the version before.
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders, those that are there."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+#: Makes the next version of a table from a micro-batch, the version before and the batch's number.
+Step = Callable[[DataFrame, DataFrame | None, int], DataFrame]
 
-    A batch that is repeated after a failure writes its version again, from the same version before.
+
+def versions(spark: SparkSession, stream: DataFrame, path: str, step: Step) -> None:
+    """Runs a stream over what has landed, and writes the version of a table that each micro-batch leaves.
+
+    A batch that is repeated after a failure writes its version again, from the same version before. A version counts once its mark is there; the two newest are kept.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
         before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        step(batch, before).write.mode("overwrite").parquet(f"{path}/version={number}")
-        (spark.createDataFrame([(number,)], "number long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/newest")
+        step(batch, before, number).write.mode("overwrite").parquet(f"{path}/version={number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+        remove(spark, [f"{path}/done/batch={number - 2}", f"{path}/version={number - 2}"])
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/newest').head()[0]}")
+    number = spark.read.parquet(f"{path}/done").agg(F.max("number")).head()[0]
+    return spark.read.parquet(f"{path}/version={number}")
 
 
 def cusum_states(events: DataFrame, slack: float) -> DataFrame:
@@ -109,7 +151,7 @@ def cusum_states(events: DataFrame, slack: float) -> DataFrame:
     spark = events.sparkSession
     path = shared_path(spark, "cusum")
 
-    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    def step(batch: DataFrame, before: DataFrame | None, number: int) -> DataFrame:
         part = joined_stretches(stretches(batch, slack))
         if before is None:
             return part.select("event_type", "episode", F.col("up_tail").alias("up"), F.col("down_tail").alias("down"), "n", F.lit(0).cast("long").alias("late"))
@@ -134,23 +176,74 @@ def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def feed(stream: DataFrame, path: str) -> None:
-    """``channel, id, version, body, deleted, ts``: merges messages as they land. The newest version of an id stays, a delete marker too, so that older versions don't return.
+#: Folders that a feed's messages are dealt to by id.
+BUCKETS = 64
+#: Batches that a bucket lies in before it is written as one.
+MOST_PARTS = 32
 
-    Each version of the table is a file set of its own; a batch reads the one before.
-    """
 
-    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        rows = batch if before is None else before.unionByName(batch)
-        return rows.groupBy("id").agg(F.max_by(F.struct("channel", "body", "deleted", "ts", "version"), "version").alias("m")).select("id", "m.*").select(batch.columns)
+def newest_messages(rows: DataFrame) -> DataFrame:
+    """One row for each id: that of the greatest version; of equal versions the greatest of the other columns, so that the order of arrival doesn't matter."""
+    others = [c for c in rows.columns if c not in ("id", "version")]
+    return rows.groupBy("id").agg(F.max(F.struct("version", *others)).alias("m")).select("id", "m.*").select(rows.columns)
+
 
-    versions(stream.sparkSession, stream, f"{path}/messages", step)
+def stored_messages(spark: SparkSession, path: str, held: DataFrame) -> DataFrame:
+    """The rows that a manifest names, with their bucket: of each bucket what was written since it was last written as one."""
+    first = held.select("schema", "number").head()
+    schema = T.StructType.fromJson(json.loads(first["schema"])).add("batch", T.LongType()).add("bucket", T.IntegerType())
+    rows = spark.read.schema(schema).parquet(f"{path}/messages").where(F.col("batch") <= first["number"])
+    # a manifest has one row for each bucket
+    return rows.join(F.broadcast(held.select("bucket", "since")), "bucket").where("batch >= since").drop("batch", "since")
+
+
+def feed(stream: DataFrame, path: str, buckets: int = BUCKETS, most_parts: int = MOST_PARTS) -> None:
+    """``channel, id, version, body, deleted, ts``: merges messages as they land. The newest version of an id stays, a delete marker too, so that older versions don't return.
+
+    A micro-batch writes its own rows, by bucket of their ids. A bucket is written as one again, by the batch after, when what came since outweighs it or lies in more than
+    ``most_parts`` batches; so what is written follows what lands, and what is read at most doubles the table. A manifest of one row for each bucket is the version; it counts once
+    it is whole, and a batch that is repeated starts from the same manifest. Files that the manifest before doesn't name are removed, so a reader has until the end of the batch
+    after next. The first batch fixes ``buckets``; a bucket should fit a task.
+    """
+    spark, columns, schema = stream.sparkSession, stream.columns, stream.schema.json()
+    kept = "bucket int, since long, replaced long, rows long, added long, parts int, number long, schema string"
+
+    def step(batch: DataFrame, before: DataFrame | None, number: int) -> DataFrame:
+        held = {r.bucket: r for r in before.collect()} if before is not None else {}  # one row for each bucket
+        size = len(held) or buckets
+        due = [k for k, r in held.items() if r.added > r.rows or r.parts > most_parts]
+        rows = batch
+        if due:
+            rows = batch.unionByName(stored_messages(spark, path, before).where(F.col("bucket").isin(due)).select(columns))
+        dealt = newest_messages(rows).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(size)).cast("int"))
+        target = f"{path}/messages/batch={number}"
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        written = spark.read.schema(T.StructType.fromJson(json.loads(schema)).add("bucket", T.IntegerType())).parquet(target).groupBy("bucket").count()
+        counts = {r["bucket"]: r["count"] for r in written.collect()}
+        out = []
+        for k in range(size):
+            n, r = counts.get(k, 0), held.get(k)
+            if r is None or k in due:
+                out.append((k, number, r and r.since, n, 0, 1, number, schema))
+            else:
+                out.append((k, r.since, None, r.rows, r.added + n, r.parts + (n > 0), number, schema))
+        # what the manifest before replaced: a batch that is repeated needs that manifest only
+        remove(spark, [f"{path}/messages/batch={m}/bucket={k}" for k, r in held.items() if r.replaced is not None for m in range(r.replaced, r.since)])
+        return spark.createDataFrame(out, kept).coalesce(1)
+
+    versions(spark, stream, f"{path}/manifest", step)
+
+
+def messages(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each message of a feed, delete markers too."""
+    rows = stored_messages(spark, path, newest(spark, f"{path}/manifest"))
+    return newest_messages(rows.drop("bucket"))
 
 
 def cursors(stream: DataFrame, path: str, late_seconds: int) -> None:
     """``channel, ts``: the newest time of each channel, and how many rows came more than ``late_seconds`` behind the newest of the batches before."""
 
-    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    def step(batch: DataFrame, before: DataFrame | None, number: int) -> DataFrame:
         if before is None:
             return batch.groupBy("channel").agg(F.max("ts").alias("cursor"), F.count("*").alias("n"), F.lit(0).cast("long").alias("late"))
         behind = F.col("ts") < F.col("cursor") - F.make_dt_interval(secs=F.lit(late_seconds))
