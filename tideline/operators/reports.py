@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.operators import kernels as k
 from tideline.operators.kernels import KEYS
@@ -15,11 +16,68 @@ from tideline.session import durable, ship
 
 
 def compare_windows(g: DataFrame, a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
-    """Counts, medians and Wasserstein distance of two windows of each sensor."""
+    """Counts, medians, scaled MADs, the Wasserstein distance (200 mid-quantiles) and histograms of two windows of each sensor.
+
+    Both histograms have the bounds ``lo``, the lesser 1st percentile, and ``hi``, the greater 99th: below, 18 bins of equal width, above; ``bins_a`` and ``bins_b`` hold counts. An
+    empty window has null medians and quantiles, and zeros for counts; it leaves the bounds to the other.
+    """
     sides = {n: f"CASE WHEN t >= {lo} AND t < {hi} THEN v END" for n, (lo, hi) in (("a", a), ("b", b))}
-    aggregates = [F.expr(f"count({s})").alias(f"n_{n}") for n, s in sides.items()] + [F.expr(f"percentile({s}, 0.5)").alias(f"median_{n}") for n, s in sides.items()]
-    quantiles = [k.mid_quantiles(s, 50).alias(f"q_{n}") for n, s in sides.items()]
-    return g.groupBy(*KEYS).agg(*aggregates, *quantiles).select(*KEYS, "n_a", "n_b", "median_a", "median_b", k.wasserstein(F.col("q_a"), F.col("q_b")).alias("distance"))
+    first = [F.expr(x).alias(f"{name}_{n}") for n, s in sides.items() for name, x in (("n", f"count({s})"), ("median", f"percentile({s}, 0.5D)"), ("p1", f"percentile({s}, 0.01D)"), ("p99", f"percentile({s}, 0.99D)"))]
+    first += [k.mid_quantiles(s, 200).alias(f"q_{n}") for n, s in sides.items()]
+    told = g.groupBy(*KEYS).agg(*first).withColumns({"lo": F.least("p1_a", "p1_b"), "hi": F.greatest("p99_a", "p99_b"), "distance": k.wasserstein(F.col("q_a"), F.col("q_b"))}).drop("q_a", "q_b")
+    bin_ = F.expr("CASE WHEN v < lo THEN 0 WHEN v > hi THEN 19 WHEN hi > lo THEN least(19, 1 + floor((v - lo) / ((hi - lo) / 18))) ELSE 9 END")
+    placed = g.join(told.select(*KEYS, "median_a", "median_b", "lo", "hi"), KEYS).withColumn("bin", bin_)
+    second = [F.expr(f"percentile(abs({s} - median_{n}), 0.5D) * {k.MAD_SCALE}D").alias(f"mad_{n}") for n, s in sides.items()]
+    second += [F.array(*[F.expr(f"count_if(bin = {j} AND ({s}) IS NOT NULL)") for j in range(20)]).alias(f"bins_{n}") for n, s in sides.items()]
+    names = [f"{x}_{n}" for x in ("n", "median", "mad", "bins") for n in sides]
+    return told.join(placed.groupBy(*KEYS).agg(*second), KEYS).select(*KEYS, *names, "lo", "hi", "distance")
+
+
+def relation_in_window(g: DataFrame, pairs: DataFrame, window: tuple[int, int], most: int = 64) -> DataFrame:
+    """``run_id, a, b`` pairs to Spearman's ``rho`` over the ``n`` samples of a window where both have values, and the ``lag`` of b behind a, up to ``most`` samples within
+    episodes, with the largest absolute correlation, ``rho_at_lag``. Ranks are taken in the window, before pairing. A pair that never meets has rho 0 and no lag.
+    """
+    low, high = window
+    rows = g.where((F.col("t") >= low) & (F.col("t") < high))
+    ranks = k.average_ranks(rows)
+    of = lambda name, rank: ranks.select("run_id", F.col("sensor").alias(name), "t", F.col("rank").alias(rank))
+    met = pairs.select("run_id", "a", "b").join(of("a", "u"), ["run_id", "a"], "left").join(of("b", "w"), ["run_id", "b", "t"], "left")
+    both = [F.when(F.col("u").isNotNull() & F.col("w").isNotNull(), F.col(c)).alias(c) for c in ("u", "w")]
+    rho = met.select("run_id", "a", "b", *both).groupBy("run_id", "a", "b").agg(k.correlation("u", "w").alias("rho"), F.count("u").alias("n"))
+    lags = k.cross_correlation(rows, pairs, max(0, min(most, high - low - 2))).select("run_id", "a", "b", "lag", F.col("rho").alias("rho_at_lag"))
+    return rho.join(lags, ["run_id", "a", "b"], "left")
+
+
+def alerts(health: DataFrame, drift: DataFrame) -> DataFrame:
+    """``run_id, sensor, kind, verdict``: sensors whose health is another than healthy, and those that drift. A sensor may have both."""
+    failed = health.where("health <> 'healthy'").select("run_id", "sensor", F.lit("health").alias("kind"), F.col("health").alias("verdict"))
+    return failed.unionByName(drift.where("drifting").select("run_id", "sensor", F.lit("drift").alias("kind"), F.lit("drifting").alias("verdict")))
+
+
+def csv_line(columns: list[str], rows: DataFrame) -> Column:
+    """A record by RFC 4180: cells with commas, quotes or line ends are quoted, quotes doubled; null is an empty cell, and what is no text is written as JSON."""
+    cells = []
+    for c in columns:
+        nested = isinstance(rows.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))
+        text = F.coalesce(F.to_json(c) if nested else F.col(c).cast("string"), F.lit(""))
+        cells.append(F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
+    return F.concat_ws(",", *cells)
+
+
+def log_lines(log: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``order, csv, json``: each entry as a CSV record and as a JSON object, nulls written."""
+    return log.select(order, csv_line(columns, log).alias("csv"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def export_log(log: DataFrame, columns: list[str], order: str, path: str, form: str) -> None:
+    """Writes the log in order of ``order`` as text files, whose names follow that order: ``csv`` with one header line and CRLF, or ``json``, an object a line. Sorted by ranges, so no task holds it whole."""
+    if form not in ("csv", "json"):
+        raise ValueError(f"no format {form}")
+    lines = log_lines(log, columns, order).select(F.lit(1).alias("part"), F.col(order).alias("at"), F.col(form).alias("value"))
+    if form == "csv":
+        kind = lines.schema["at"].dataType
+        lines = lines.unionByName(log.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(None).cast(kind).alias("at"), F.lit(",".join(columns)).alias("value")))
+    lines.orderBy("part", "at").select("value").write.option("lineSep", "\r\n" if form == "csv" else "\n").text(path)
 
 
 def run_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

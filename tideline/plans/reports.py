@@ -4,33 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import kernels as k
 from tideline.operators import reports as r
+from tideline.plans import registry
 from tideline.plans.drift import ALARMS, BLOCKS, RAMP, own_decided
 from tideline.plans.fixtures import grid, table, with_grid
+from tideline.plans.health import health_gate
+from tideline.plans.kernels import RANKS
 from tideline.plans.registry import query
 
-MIDS = "[" + ", ".join(f"{(x + 0.5) / 50}" for x in range(50)) + "]"
+MIDS = "[" + ", ".join(f"{(x + 0.5) / 200}" for x in range(200)) + "]"
+WINDOWS = {"a": "t >= 160 AND t < 220", "b": "t >= 300 AND t < 380"}
+OF_WINDOWS = ", ".join(f"count(v) FILTER (WHERE {w}) AS n_{n}, median(v) FILTER (WHERE {w}) AS median_{n}, quantile_cont(v, 0.01) FILTER (WHERE {w}) AS p1_{n}, quantile_cont(v, 0.99) FILTER (WHERE {w}) AS p99_{n}, quantile_cont(v, {MIDS}) FILTER (WHERE {w}) AS q_{n}" for n, w in WINDOWS.items())
+OF_BINS = ", ".join(f"median(abs(v - median_{n})) FILTER (WHERE {w}) * 1.4826 AS mad_{n}, concat_ws(' ', {', '.join(f'count(*) FILTER (WHERE bin = {j} AND {w})' for j in range(20))}) AS bins_{n}" for n, w in WINDOWS.items())
 
 
 @query(
     "tool_compare_windows",
     with_grid(
-        f""", s AS (SELECT run_id, sensor, count(v) FILTER (WHERE t >= 160 AND t < 220) AS n_a, count(v) FILTER (WHERE t >= 300 AND t < 380) AS n_b, median(v) FILTER (WHERE t >= 160 AND t < 220) AS median_a, median(v) FILTER (WHERE t >= 300 AND t < 380) AS median_b,
-        quantile_cont(v, {MIDS}) FILTER (WHERE t >= 160 AND t < 220) AS qa, quantile_cont(v, {MIDS}) FILTER (WHERE t >= 300 AND t < 380) AS qb FROM grid WHERE sensor NOT LIKE 'rows%' GROUP BY ALL)
-        SELECT run_id, sensor, n_a, n_b, median_a, median_b, list_avg(list_transform(list_zip(qa, qb), lambda z: abs(z[1] - z[2]))) AS distance FROM s"""
+        f""", s AS (SELECT run_id, sensor, {OF_WINDOWS} FROM grid WHERE sensor NOT LIKE 'rows%' GROUP BY ALL
+        ), e AS (SELECT *, least(p1_a, p1_b) AS lo, greatest(p99_a, p99_b) AS hi, list_avg(list_transform(list_zip(q_a, q_b), lambda z: abs(z[1] - z[2]))) AS distance FROM s
+        ), m AS (SELECT g.run_id, g.sensor, g.t, g.v, e.median_a, e.median_b, CASE WHEN v < lo THEN 0 WHEN v > hi THEN 19 WHEN hi > lo THEN least(19, 1 + floor((v - lo) / ((hi - lo) / 18))) ELSE 9 END AS bin FROM grid g JOIN e USING (run_id, sensor) WHERE v IS NOT NULL
+        ), x AS (SELECT run_id, sensor, {OF_BINS} FROM m GROUP BY ALL)
+        SELECT run_id, sensor, n_a, n_b, median_a, median_b, mad_a, mad_b, bins_a, bins_b, lo, hi, distance FROM e JOIN x USING (run_id, sensor)"""
     ),
-    "median_a median_b distance",
+    "median_a median_b mad_a mad_b lo hi distance",
 )
 def tool_compare_windows(spark, d):
-    return r.compare_windows(grid(spark, d).where("sensor not like 'rows%'"), (160, 220), (300, 380))
+    told = r.compare_windows(grid(spark, d).where("sensor not like 'rows%'"), (160, 220), (300, 380))
+    return told.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("bins_a", "bins_b")})
 
 
-@query("tool_test_relation", with_grid(" SELECT a.run_id, b.sensor, corr(a.v, b.v) AS rho, count(*) AS n FROM grid a JOIN grid b ON b.run_id = a.run_id AND b.t = a.t WHERE a.sensor = 'price' AND b.sensor LIKE 'price[%' AND a.t >= 160 AND a.t < 300 GROUP BY ALL"), "rho")
+@query(
+    "tool_test_relation",
+    with_grid(
+        ", part AS (SELECT * FROM grid WHERE t >= 160 AND t < 300)"
+        + RANKS.replace("FROM grid", "FROM part")
+        + """, rho AS (SELECT a.run_id, a.sensor AS a, b.sensor AS b, CASE WHEN stddev_pop(a.rank) > 1e-12 AND stddev_pop(b.rank) > 1e-12 THEN corr(a.rank, b.rank) ELSE 0 END AS rho, count(*) AS n FROM ranks a JOIN ranks b ON b.run_id = a.run_id AND b.t = a.t WHERE a.sensor = 'price' AND b.sensor LIKE 'price[%' GROUP BY ALL
+        ), lags AS (SELECT a.run_id, a.sensor AS a, b.sensor AS b, CAST(l.lag AS INTEGER) AS lag, CASE WHEN stddev_pop(a.v) > 1e-12 AND stddev_pop(b.v) > 1e-12 THEN corr(a.v, b.v) ELSE 0 END AS rho_at_lag
+          FROM part a CROSS JOIN range(-64, 65) l(lag) JOIN part b ON b.run_id = a.run_id AND b.episode = a.episode AND b.t = a.t + l.lag WHERE a.sensor = 'price' AND b.sensor LIKE 'price[%' AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL
+        ), best AS (SELECT * FROM lags QUALIFY row_number() OVER (PARTITION BY run_id, a, b ORDER BY round(abs(rho_at_lag), 9) DESC, abs(lag), lag) = 1)
+        SELECT run_id, a, b, rho, n, lag, rho_at_lag FROM rho LEFT JOIN best USING (run_id, a, b)"""
+    ),
+    "rho rho_at_lag",
+)
 def tool_test_relation(spark, d):
-    g = grid(spark, d).where("t >= 160 and t < 300")
-    a = g.where("sensor = 'price'").select("run_id", "t", F.col("v").alias("u"))
-    return g.where("sensor like 'price[%'").join(a, ["run_id", "t"]).groupBy("run_id", "sensor").agg(k.correlation("u", "v").alias("rho"), F.count("*").alias("n"))
+    """Each split of the price against the price, in a window of 140 weeks."""
+    g = grid(spark, d)
+    pairs = g.where("sensor like 'price[%'").select("run_id", F.lit("price").alias("a"), F.col("sensor").alias("b")).distinct()
+    return r.relation_in_window(g, pairs, (160, 300))
 
 
 @query(
@@ -91,11 +112,12 @@ def report_drift_order(spark, d):
     return own_decided(spark, d).where("drifting").select("run_id", "sensor", "max_deviation", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(F.round("max_deviation", 9)), "sensor")).alias("place"))
 
 
-@query("sensor_alerts", with_grid(RAMP + BLOCKS + ALARMS + " SELECT run_id, sensor, 'drifting' AS alert FROM decided WHERE drifting UNION ALL SELECT run_id, sensor, 'missing' FROM grid GROUP BY run_id, sensor HAVING avg(CAST(v IS NULL AS INT)) > 0.01"))
+@query(
+    "sensor_alerts",
+    f"SELECT run_id, sensor, 'health' AS kind, health AS verdict FROM ({registry._oracles['health_gate']}) WHERE health <> 'healthy' UNION ALL SELECT run_id, sensor, 'drift', 'drifting' FROM ({with_grid(RAMP + BLOCKS + ALARMS + ' SELECT run_id, sensor FROM decided WHERE drifting')})",
+)
 def sensor_alerts(spark, d):
-    drifting = own_decided(spark, d).where("drifting").select("run_id", "sensor", F.lit("drifting").alias("alert"))
-    missing = grid(spark, d).groupBy("run_id", "sensor").agg(F.avg(F.col("v").isNull().cast("int")).alias("m")).where("m > 0.01").select("run_id", "sensor", F.lit("missing").alias("alert"))
-    return drifting.unionByName(missing)
+    return r.alerts(health_gate(spark, d), own_decided(spark, d))
 
 
 @query("faceted_search", "SELECT doc_id, source, lang FROM documents WHERE (contains(lower(lang), 'en') OR contains(lower(lang), 'fr')) AND (contains(lower(text), 'idiot') OR contains(lower(text), 'license'))")
@@ -135,9 +157,13 @@ def log_chain_verify(spark, d):
     return r.verify_chain(forged)
 
 
-@query("log_export", "SELECT event_id AS seq, '\"' || event_type || '\",' || event_id AS line FROM events")
+@query(
+    "log_export",
+    """SELECT event_id, event_id || ',' || event_type || ',' || CASE WHEN regexp_matches(props, '[",\r\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE coalesce(props, '') END AS csv,
+    CAST(json_object('event_id', event_id, 'event_type', event_type, 'props', props) AS VARCHAR) AS json FROM events""",
+)
 def log_export(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit('"'), "event_type", F.lit('",'), F.col("event_id")).alias("line"))
+    return r.log_lines(table(spark, d, "events"), ["event_id", "event_type", "props"], "event_id")
 
 
 @query(
