@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "sensor_fingerprint"
-MODULES = ("kernels", "profiles", "grids", "signals", "health", "relations", "drift", "corpus", "reports", "privacy", "streams", "files", "threads", "faults", "reviews", "analysis")
+MODULES = ("kernels", "profiles", "grids", "signals", "health", "relations", "drift", "corpus", "reports", "privacy", "streams", "files", "threads", "faults", "reviews", "catalog", "analysis")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
