@@ -29,3 +29,47 @@ def test_relation_rules(spark):
         return sum(a is not None and b is not None and abs(a - b) > tolerance for a, b in pairs)
 
     assert {r.rule_id: r.violations for r in health.relation_violations(g, frame).collect()} == {k: count(*rule) for k, rule in enumerate(rules)} | {9: 0}
+
+
+def test_rules_of_every_type_in_a_window(spark):
+    x = [1.0, 2.0, 2.0, 2.0, None, 9.0, 9.0, 1.0, 4.0, 5.0, 5.0, 5.0]
+    y = [0.0, 2.5, 2.0, 4.0, 1.0, 9.0, None, 1.0, 4.0, 7.0, 5.0, 0.0]
+    rows = [("r", n, t // 6, t, v) for n, values in (("x", x), ("y", y)) for t, v in enumerate(values) if not (n == "y" and 6 <= t < 9)]
+    g = spark.createDataFrame(rows, "run_id string, sensor string, episode int, t long, v double").repartition(3)
+    y[6:9] = [None] * 3  # not in the grid
+    schema = "rule_id long, type string, sensor string, other string, relation string, lag int, low double, high double, size long, aggregate string"
+    given = {
+        1: ("range", "x", None, None, None, 2.0, 5.0, None, None),
+        2: ("range", "x", None, None, None, None, 5.0, None, None),
+        3: ("rate", "x", None, None, None, None, 2.5, None, None),
+        4: ("flatline", "x", None, None, None, None, 2.0, None, None),
+        5: ("relation", "x", "y", "equals", 0, None, 0.4, None, None),
+        6: ("relation", "x", "y", "tracks", 2, None, 1.0, None, None),
+        7: ("relation", "x", "y", "leads", 2, None, 1.0, None, None),
+        8: ("missing", "y", None, None, None, None, 0.5, 3, None),
+        9: ("missing", "y", None, None, None, None, 0.2, 100, None),
+        10: ("aggregate", "x", None, None, None, None, 4.0, 3, "median"),
+        11: ("aggregate", "y", None, None, None, 1.0, None, 3, "min"),
+        12: ("missing", "gone", None, None, None, None, 0.0, 3, None),
+    }
+    low, high = 1, 11
+    window = range(low, high)
+    far = lambda pairs, limit: sum(a is not None and b is not None and abs(a - b) > limit for a, b in pairs)
+    blocks = lambda z, n: [z[k : k + n] for k in range(low, high - n + 1, n)]
+    held = lambda z: sorted(v for v in z if v is not None)
+    want = {
+        1: sum(x[t] is not None and not 2 <= x[t] <= 5 for t in window),
+        2: sum(x[t] is not None and x[t] > 5 for t in window),
+        3: far([(x[t], x[t - 1]) for t in window if t > low], 2.5),
+        4: 1,  # the three values of 2; the last run is cut to two by the window
+        5: far([(x[t], y[t]) for t in window], 0.4),
+        6: far([(x[t], y[t - 2]) for t in window if t >= 2], 1.0),
+        7: far([(x[t - 2], y[t]) for t in window if t >= 2], 1.0),
+        8: sum(b.count(None) / 3 > 0.5 for b in blocks(y, 3)),
+        9: int(y[low:high].count(None) / 10 > 0.2),
+        10: sum(bool(held(b)) and (held(b)[len(held(b)) // 2] + held(b)[(len(held(b)) - 1) // 2]) / 2 > 4.0 for b in blocks(x, 3)),
+        11: sum(bool(held(b)) and min(held(b)) < 1.0 for b in blocks(y, 3)),
+        12: 0,
+    }
+    rules = spark.createDataFrame([(k, *r) for k, r in given.items()], schema)
+    assert {r.rule_id: r.violations for r in health.violations_in_window(g, rules, (low, high)).collect()} == want

@@ -155,6 +155,41 @@ def block_violations(g: DataFrame, rules: DataFrame, size: int) -> DataFrame:
     return met.groupBy("rule_id", "aggregate").agg(F.count("*").alias("blocks"), F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("violations"))
 
 
+def violations_in_window(g: DataFrame, rules: DataFrame, window: tuple[int, int]) -> DataFrame:
+    """``rule_id, type, sensor, other, relation, lag, low, high, size, aggregate`` to the violations of each rule in a window, whatever its type; a sensor that isn't there has none.
+
+    range: samples outside of [low, high], either of which may be null; rate: steps larger than ``high``; flatline: runs longer than ``high``; relation: samples further apart than
+    ``high``, the earlier of which may lie before the window; missing: blocks with a missing share above ``high``; aggregate: blocks whose aggregate lies outside. Blocks are full
+    tumbling blocks of ``size`` from the window's start on, or the window itself if it is shorter. Samples that aren't in the grid are missing; episodes don't matter.
+    """
+    low, high = window
+    rows = g.where((F.col("t") >= low) & (F.col("t") < high))
+    before = F.lag(F.struct("t", "v")).over(Window.partitionBy("run_id", "sensor").orderBy("t"))
+    steps = rows.withColumn("before", before).withColumn("step", F.when(F.col("before.t") == F.col("t") - 1, F.abs(F.col("v") - F.col("before.v"))))
+    outside = lambda v: F.coalesce(v < F.col("low"), F.lit(False)) | F.coalesce(v > F.col("high"), F.lit(False))
+    of = lambda *types: rules.where(F.col("type").isin(*types))
+    points = steps.join(of("range", "rate"), "sensor").where(F.when(F.col("type") == "range", outside(F.col("v"))).otherwise(F.col("step") > F.col("high"))).select("rule_id")
+    runs = k.run_lengths(rows.withColumn("episode", F.lit(0))).join(of("flatline"), "sensor").where("length > high").select("rule_id")
+
+    own, other = g.select("run_id", "sensor", "t", "v"), g.select("run_id", F.col("sensor").alias("other"), F.col("t").alias("t0"), F.col("v").alias("u"))
+    leads = F.col("relation") == "leads"
+    pairs = own.join(of("relation"), "sensor").withColumn("t0", F.col("t") + F.when(leads, F.col("lag")).otherwise(-F.col("lag")))
+    at = F.when(leads, F.col("t0")).otherwise(F.col("t"))
+    apart = pairs.where((at >= low) & (at < high)).join(other, ["run_id", "other", "t0"]).where(F.abs(F.col("v") - F.col("u")) > F.col("high")).select("rule_id")
+
+    length = F.least(F.col("size"), F.lit(high - low))
+    spans = g.select("run_id", "sensor").distinct().join(of("missing", "aggregate").withColumn("size", length), "sensor")
+    spans = spans.select("run_id", "rule_id", "sensor", "type", "aggregate", "size", "low", "high", F.explode(F.sequence(F.lit(0), F.expr(f"{high - low} div size - 1"))).alias("block"))
+    sums = {"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5D)"), "min": F.min("v"), "max": F.max("v"), "std": F.stddev_pop("v"), "held": F.count("v")}
+    inside = rows.join(of("missing", "aggregate").select("sensor", "rule_id", length.alias("size")), "sensor").withColumn("block", F.expr(f"(t - {low}) div size"))
+    each = spans.join(inside.groupBy("run_id", "rule_id", "block").agg(*[x.alias(n) for n, x in sums.items()]), ["run_id", "rule_id", "block"], "left").fillna(0, ["held"])
+    value = F.coalesce(*[F.when(F.col("aggregate") == n, F.col(n)) for n in sums if n != "held"])
+    bad = each.where(F.when(F.col("type") == "missing", (F.col("size") - F.col("held")) / F.col("size") > F.col("high")).otherwise(outside(value))).select("rule_id")
+
+    counts = points.unionByName(runs).unionByName(apart).unionByName(bad).groupBy("rule_id").agg(F.count("*").alias("violations"))
+    return rules.select("rule_id", "type", "sensor").join(counts, "rule_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+
+
 def propose_rules(g: DataFrame, baseline_end: int) -> DataFrame:
     """Range, flatline and missing rules from the baseline's quantiles."""
     base = g.where(F.col("t") < baseline_end)

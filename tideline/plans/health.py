@@ -243,6 +243,48 @@ def rule_missing(spark, d):
     return h.block_violations(grid(spark, d), rules(spark, "rule_id long, sensor string, aggregate string, low double, high double", AGGREGATE), 16).where("aggregate = 'missing'")
 
 
+IN_WINDOW = [
+    (1, "range", "price", None, None, None, 38000.0, 38800.0, None, None),
+    (2, "range", "price[N]", None, None, None, None, 38300.0, None, None),
+    (3, "rate", "quantity", None, None, None, None, 0.4, None, None),
+    (4, "flatline", "discount", None, None, None, None, 1.0, None, None),
+    (5, "relation", "price", "price[N]", "equals", 0, None, 300.0, None, None),
+    (6, "relation", "price", "price[R]", "tracks", 2, None, 500.0, None, None),
+    (7, "relation", "price", "price[A]", "leads", 1, None, 500.0, None, None),
+    (8, "missing", "tax", None, None, None, None, 0.01, 12, None),
+    (9, "aggregate", "quantity", None, None, None, 25.4, 25.6, 16, "mean"),
+    (10, "aggregate", "quantity", None, None, None, None, 25.8, 7, "max"),
+    (11, "aggregate", "quantity[A]", None, None, None, 0.2, None, 500, "std"),
+    (12, "range", "gone", None, None, None, 0.0, 1.0, None, None),
+]
+IN_WINDOW_SCHEMA = "rule_id long, type string, sensor string, other string, relation string, lag int, low double, high double, size long, aggregate string"
+_literal = lambda x: "NULL" if x is None else repr(x)
+IN_WINDOW_SQL = ", rules(rule_id, type, sensor, other, relation, lag, low, high, size, aggregate) AS (VALUES " + ", ".join(f"({', '.join(map(_literal, r))})" for r in IN_WINDOW) + ")"
+
+
+@query(
+    "tool_check_rules",
+    with_grid(
+        IN_WINDOW_SQL
+        + """, w AS (SELECT * FROM grid WHERE t >= 180 AND t < 330
+        ), p AS (SELECT *, abs(v - lag(v) OVER o) AS step, CASE WHEN v IS NULL OR lag(v) OVER o IS NULL OR v <> lag(v) OVER o THEN 1 ELSE 0 END AS change FROM w WINDOW o AS (PARTITION BY run_id, sensor ORDER BY t)
+        ), i AS (SELECT *, sum(change) OVER (PARTITION BY run_id, sensor ORDER BY t) AS island FROM p), runs AS (SELECT run_id, sensor, count(*) AS length FROM i WHERE v IS NOT NULL GROUP BY run_id, sensor, island
+        ), b AS (SELECT rule_id, any_value(type) AS type, any_value(low) AS low, any_value(high) AS high, 1 - count(v) / any_value(least(size, 150)) AS missing, CASE any_value(aggregate) WHEN 'mean' THEN avg(v) WHEN 'max' THEN max(v) WHEN 'std' THEN stddev_pop(v) END AS value
+          FROM w JOIN rules r USING (sensor) WHERE r.type IN ('missing', 'aggregate') AND ((t - 180) // least(size, 150) + 1) * least(size, 150) <= 150 GROUP BY run_id, rule_id, (t - 180) // least(size, 150)
+        ), bad AS (
+          SELECT rule_id FROM p JOIN rules USING (sensor) WHERE type = 'range' AND (coalesce(v < low, false) OR coalesce(v > high, false)) OR type = 'rate' AND step > high
+          UNION ALL SELECT rule_id FROM runs JOIN rules USING (sensor) WHERE type = 'flatline' AND length > high
+          UNION ALL SELECT rule_id FROM rules r JOIN grid x ON x.sensor = r.sensor JOIN grid y ON y.sensor = r.other AND y.run_id = x.run_id AND CASE WHEN relation = 'leads' THEN x.t = y.t - r.lag ELSE y.t = x.t - r.lag END
+            WHERE type = 'relation' AND CASE WHEN relation = 'leads' THEN y.t ELSE x.t END BETWEEN 180 AND 329 AND abs(x.v - y.v) > high
+          UNION ALL SELECT rule_id FROM b WHERE CASE WHEN type = 'missing' THEN missing > high ELSE coalesce(value < low, false) OR coalesce(value > high, false) END
+        ) SELECT CAST(rule_id AS BIGINT) AS rule_id, any_value(type) AS type, any_value(sensor) AS sensor, (SELECT count(*) FROM bad WHERE bad.rule_id = rules.rule_id) AS violations FROM rules GROUP BY rule_id"""
+    ),
+)
+def tool_check_rules(spark, d):
+    """Rules of every type in one window of 150 weeks."""
+    return h.violations_in_window(grid(spark, d), rules(spark, IN_WINDOW_SCHEMA, IN_WINDOW), (180, 330))
+
+
 PROPOSED = """, b AS (SELECT * FROM grid WHERE t < 240), e AS (SELECT run_id, sensor, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, median(v) AS m, avg(CAST(v IS NULL AS INT)) AS missing FROM b GROUP BY ALL
 ), s AS (SELECT run_id, sensor, median(abs(v - m)) * 1.4826 AS mad FROM b JOIN e USING (run_id, sensor) GROUP BY ALL
 ), c AS (SELECT *, CASE WHEN v IS NULL OR lag(v) OVER w IS NULL OR v <> lag(v) OVER w THEN 1 ELSE 0 END AS change FROM b WINDOW w AS (PARTITION BY run_id, sensor, episode ORDER BY t)
