@@ -73,3 +73,25 @@ def test_rules_of_every_type_in_a_window(spark):
     }
     rules = spark.createDataFrame([(k, *r) for k, r in given.items()], schema)
     assert {r.rule_id: r.violations for r in health.violations_in_window(g, rules, (low, high)).collect()} == want
+
+
+def test_rules_read_as_sentences(spark):
+    schema = "type string, sensor string, other string, relation string, lag int, low double, high double, size long, aggregate string"
+    rows = [
+        ("range", "x", None, None, None, 1.0, 38412.7, None, None, "x must stay between 1 and 38400"),
+        ("range", "x", None, None, None, None, -0.012345, None, None, "x must stay below -0.0123"),
+        ("range", "x", None, None, None, 100.0, None, None, None, "x must stay above 100"),
+        ("range", "x", None, None, None, None, None, None, None, "x must stay above 0"),
+        ("flatline", "x", None, None, None, None, 12.0, None, None, "x must not stay flat for more than 12 samples"),
+        ("rate", "x", None, None, None, None, 0.5, None, None, "x must not change faster than 0.5 per sample"),
+        ("relation", "x", "y", "leads", None, None, 2.0, None, None, "x must lead y by 0 samples within 2"),
+        ("relation", "x", "y", "tracks", 3, None, 2.25, None, None, "x must track y within 2.25"),
+        ("relation", "x", "y", "equals", None, None, 1e-3, None, None, "x must equal y within 0.001"),
+        ("missing", "x", None, None, None, None, 0.05, 64, None, "x must not be missing more than 5% in 64 samples"),
+        ("aggregate", "x", None, None, None, 10.0, 20.0, 8, "std", "std of x over 8 samples must stay between 10 and 20"),
+        ("other", "x", None, None, None, None, None, None, None, None),
+    ]
+    got = health.in_words(spark.createDataFrame([r[:-1] for r in rows], schema)).collect()
+    assert [r.text for r in got] == [r[-1] for r in rows]
+    huge = spark.createDataFrame([("rate", "x", None, None, None, None, 1e30, None, None)], schema)
+    assert health.in_words(huge).head().text == "x must not change faster than 1.0E30 per sample"

@@ -212,3 +212,44 @@ def restate(rules: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.col("sensor"), F.lit(" misses at most "), F.round(F.col("high") * 100, 1).cast("decimal(20,1)").cast("string"), F.lit("% of a block")))
     )
     return rules.withColumn("text", words)
+
+
+# How a rule of each type reads, and a limit of one side or both.
+RULE_WORDS = {
+    "range": "%s must stay %s",
+    "flatline": "%s must not stay flat for more than %s samples",
+    "rate": "%s must not change faster than %s per sample",
+    "leads": "%s must lead %s by %s samples within %s",
+    "tracks": "%s must track %s within %s",
+    "equals": "%s must equal %s within %s",
+    "missing": "%s must not be missing more than %s%% in %s samples",
+    "aggregate": "%s of %s over %s samples must stay %s",
+}
+BOUND_WORDS = {"both": "between %s and %s", "high": "below %s", "low": "above %s"}
+
+
+def short_number(x: Column) -> Column:
+    """Three significant digits without trailing zeros; what is beyond 26 digits or below the 12th place is written with an exponent, or as 0."""
+    rounded = k.round_sig(x)
+    return F.coalesce(F.regexp_replace(rounded.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", ""), rounded.cast("string"))
+
+
+def in_words(rules: DataFrame) -> DataFrame:
+    """``rules`` as ``violations_in_window`` takes them, of every type, with a sentence, ``text``. A relation without a lag has lag 0, a limit without either side is one above 0."""
+    low, high = short_number(F.coalesce("low", F.lit(0.0))), short_number(F.col("high"))
+    both = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.format_string(BOUND_WORDS["both"], low, high))
+    bounds = both.when(F.col("high").isNotNull(), F.format_string(BOUND_WORDS["high"], high)).otherwise(F.format_string(BOUND_WORDS["low"], low))
+    parts = {
+        "range": ["sensor", bounds],
+        "flatline": ["sensor", F.col("high").cast("long")],
+        "rate": ["sensor", high],
+        "leads": ["sensor", "other", F.coalesce("lag", F.lit(0)), high],
+        "tracks": ["sensor", "other", high],
+        "equals": ["sensor", "other", high],
+        "missing": ["sensor", short_number(F.col("high") * 100), "size"],
+        "aggregate": ["aggregate", "sensor", "size", bounds],
+    }
+    kind, text = F.when(F.col("type") == "relation", F.col("relation")).otherwise(F.col("type")), F.lit(None).cast("string")
+    for name, columns in parts.items():
+        text = F.when(kind == name, F.format_string(RULE_WORDS[name], *columns)).otherwise(text)
+    return rules.withColumn("text", text)

@@ -285,6 +285,28 @@ def tool_check_rules(spark, d):
     return h.violations_in_window(grid(spark, d), rules(spark, IN_WINDOW_SCHEMA, IN_WINDOW), (180, 330))
 
 
+def _short(x: str) -> str:
+    return f"regexp_replace(CAST(CAST(CAST(format('{{:.2e}}', {x}) AS DOUBLE) AS DECIMAL(38,12)) AS VARCHAR), '\\.?0+$', '')"
+
+
+@query(
+    "rules_in_words",
+    with_grid(
+        f""", q AS (SELECT run_id, sensor, coalesce(quantile_cont(v, 0.01), 0) AS p1, coalesce(quantile_cont(v, 0.99), 0) AS p99 FROM grid WHERE t < 240 GROUP BY ALL), s AS (SELECT *, {_short('p1')} AS a, {_short('p99')} AS b, {_short('100 * p99')} AS c FROM q)
+        SELECT sensor, unnest(['both', 'high', 'low', 'flatline', 'rate', 'leads', 'tracks', 'equals', 'missing', 'aggregate']) AS kind, unnest([sensor || ' must stay between ' || a || ' and ' || b, sensor || ' must stay below ' || b, sensor || ' must stay above ' || a,
+          sensor || ' must not stay flat for more than ' || CAST(trunc(p99) AS BIGINT) || ' samples', sensor || ' must not change faster than ' || b || ' per sample', sensor || ' must lead price by 2 samples within ' || b, sensor || ' must track price within ' || b,
+          sensor || ' must equal price within ' || b, sensor || ' must not be missing more than ' || c || '% in 16 samples', 'mean of ' || sensor || ' over 16 samples must stay between ' || a || ' and ' || b]) AS text FROM s"""
+    ),
+)
+def rules_in_words(spark, d):
+    """Rules of every type with each sensor's baseline quantiles as limits."""
+    base = k.quantiles(grid(spark, d).where("t < 240"), {"p1": 0.01, "p99": 0.99})
+    kinds = [("both", "range", None), ("high", "range", None), ("low", "range", None), ("flatline", "flatline", None), ("rate", "rate", None)] + [(x, "relation", x) for x in ("leads", "tracks", "equals")] + [("missing", "missing", None), ("aggregate", "aggregate", None)]
+    each = F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(t).alias("type"), F.lit(r).cast("string").alias("relation")) for n, t, r in kinds])
+    rows = base.select("sensor", F.inline(each), "p1", "p99").select("sensor", "kind", "type", "relation", F.lit("price").alias("other"), F.lit(2).alias("lag"), F.when(F.col("kind") != "high", F.col("p1")).alias("low"), F.when(F.col("kind") != "low", F.col("p99")).alias("high"), F.lit(16).alias("size"), F.lit("mean").alias("aggregate"))
+    return h.in_words(rows).select("sensor", "kind", "text")
+
+
 PROPOSED = """, b AS (SELECT * FROM grid WHERE t < 240), e AS (SELECT run_id, sensor, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, median(v) AS m, avg(CAST(v IS NULL AS INT)) AS missing FROM b GROUP BY ALL
 ), s AS (SELECT run_id, sensor, median(abs(v - m)) * 1.4826 AS mad FROM b JOIN e USING (run_id, sensor) GROUP BY ALL
 ), c AS (SELECT *, CASE WHEN v IS NULL OR lag(v) OVER w IS NULL OR v <> lag(v) OVER w THEN 1 ELSE 0 END AS change FROM b WINDOW w AS (PARTITION BY run_id, sensor, episode ORDER BY t)
