@@ -45,7 +45,7 @@ HOT, HOT_PARTS = 1 << 10, 1 << 16
 #: A text with more copies than this, and than one of so many parts of all texts, is read in one of its copies only.
 COPIES, COPY_PARTS = 64, 1 << 16
 #: Bytes of stretches in one suffix array, about; bytes of texts that are read at once.
-ARRAY_BYTES, TEXT_BYTES = 4 << 20, 8 << 20
+ARRAY_BYTES, TEXT_BYTES = 4 << 20, 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
