@@ -8,7 +8,9 @@ from tideline.operators import privacy as p
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
 
-INDEX = """, r AS (SELECT run_id, sensor, t, CAST(format('{:.2e}', v) AS DOUBLE) AS r FROM grid WHERE v IS NOT NULL AND sensor LIKE 'rows%'
+#: Three significant digits of a whole number ``{x}``, halves away from zero; ``format`` would take a half to the even digit.
+THREE = "round({x}, 2 - CAST(split_part(format('{{:.17e}}', {x}), 'e', 2) AS INTEGER))"
+INDEX = f""", r AS (SELECT run_id, sensor, t, {THREE.format(x='v')} AS r FROM grid WHERE v IS NOT NULL AND sensor LIKE 'rows%'
 ), c AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY run_id, sensor ORDER BY t) AS before FROM r) WHERE before IS NULL OR before <> r
 ), x AS (SELECT r AS a, lead(r, 1) OVER w AS b, lead(r, 2) OVER w AS c FROM c WINDOW w AS (PARTITION BY run_id, sensor ORDER BY t)), idx AS (SELECT DISTINCT a, b, c FROM x WHERE c IS NOT NULL)"""
 
@@ -26,8 +28,8 @@ def leak_index(spark, d):
     "leak_scan",
     with_grid(
         INDEX
-        + """, seq AS (SELECT sensor, episode, t, v, t // 6 AS payload FROM grid WHERE sensor IN ('rows', 'rows[A]')
-        ), n AS (SELECT sensor || ':' || payload AS payload_id, CASE WHEN payload % 2 = 0 THEN t ELSE -t END AS pos, v AS r FROM seq
+        + f""", seq AS (SELECT sensor, episode, t, v, t // 6 AS payload FROM grid WHERE sensor IN ('rows', 'rows[A]')
+        ), n AS (SELECT sensor || ':' || payload AS payload_id, CASE WHEN payload % 2 = 0 THEN t ELSE -t END AS pos, {THREE.format(x='v')} AS r FROM seq
         ), c2 AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY payload_id ORDER BY pos) AS before FROM n) WHERE before IS NULL OR before <> r
         ), tr AS (SELECT payload_id, r AS a, lead(r, 1) OVER w AS b, lead(r, 2) OVER w AS c FROM c2 WINDOW w AS (PARTITION BY payload_id ORDER BY pos))
         SELECT p.payload_id, count(i.a) AS hits FROM (SELECT DISTINCT payload_id FROM n) p LEFT JOIN (SELECT * FROM tr WHERE c IS NOT NULL) tr USING (payload_id) LEFT JOIN idx i ON i.a = tr.a AND i.b = tr.b AND i.c = tr.c GROUP BY p.payload_id"""
