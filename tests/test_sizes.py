@@ -3,9 +3,13 @@
 import time
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from tideline.operators import kernels
 from tideline.plans import files, privacy
+from tideline.plans import kernels as plans
+from tideline.streaming import live
 
 
 def written(spark, path, name, rows, schema):
@@ -24,5 +28,24 @@ def test_contradicted_claims_of_a_long_line(spark, tmp_path):
 def test_halves_of_three_digits_go_up_in_sql_too(spark):
     values = [1.0, 7.0, 10.0, 99.0, 999.0, 1000.0, 1004.0, 1005.0, 1705.0, 1715.0, 2995.0, 9995.0, 10_250.0, 10_350.0, 99_950.0, 1_234_500.0]
     ours = spark.createDataFrame([(v,) for v in values], "v double").select(kernels.round_sig("v").alias("r")).collect()
-    theirs = duckdb.sql(f"SELECT {privacy.THREE.format(x='v')} FROM (SELECT unnest({values}) AS v)").fetchall()
+    theirs = duckdb.sql(f"SELECT {privacy.THREE.format(x='v')} FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()
     assert [r.r for r in ours] == [r[0] for r in theirs] and ours[8].r == 1710.0
+
+
+def test_quantiles_of_a_large_reference_are_exact(spark):
+    rng = np.random.default_rng(3)
+    held = {"a": rng.gamma(2.0, 12.0, 30_000), "b": rng.integers(0, 9, 5000).astype(float), "c": np.array([1.5, 2.5, 7.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in held.items() for v in x] + [("a", None), ("a", float("nan"))], "event_type string, value double")
+    got = {r.event_type: r.stored for r in live.value_sketches(rows).collect()}
+    ranks = 2 * np.arange(live.POINTS) + 1
+    assert got == {k: np.sort(x)[-(-ranks * len(x) // (2 * live.POINTS)) - 1].tolist() for k, x in held.items()}
+
+
+def test_edges_of_histograms_are_the_same_number_in_sql(spark):
+    rng = np.random.default_rng(5)
+    held = {k: rng.integers(0, 60 * 10 ** (k % 4), 200 + 13 * k).astype(float).tolist() for k in range(30)}
+    frame = spark.createDataFrame([(k, v) for k, x in held.items() for v in x], "k int, v double")
+    ours = {r.k: (r.lo, r.hi) for r in frame.groupBy("k").agg(F.expr("percentile(v, 0.01)").alias("lo"), F.expr("percentile(v, 0.99)").alias("hi")).collect()}
+    for k, x in held.items():
+        p1, p99 = (duckdb.sql(f"SELECT {plans.PLACED.format(p='p')} FROM (SELECT {sorted(x)}::DOUBLE[] AS x, {len(x) - 1} * CAST({p} AS DOUBLE) AS p)").fetchone()[0] for p in (0.01, 0.99))
+        assert (p1, p99) == ours[k]

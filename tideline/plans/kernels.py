@@ -125,10 +125,15 @@ def stat_compress_hold(spark, d):
     return k.compress_hold(grid(spark, d), 3)
 
 
+#: The value at place ``{p}`` of the sorted list ``x``, between two neighbours in the arithmetic of ``percentile``: a last digit of an edge decides on values that lie on it.
+PLACED = "CASE WHEN x[{lower}] = x[{higher}] THEN x[{lower}] ELSE (ceil({{p}}) - {{p}}) * x[{lower}] + ({{p}} - floor({{p}})) * x[{higher}] END".format(lower="CAST(floor({p}) AS BIGINT) + 1", higher="CAST(ceil({p}) AS BIGINT) + 1")
+
+
 @query(
     "stat_histogram",
     with_grid(
-        """, edges AS (SELECT run_id, sensor, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM grid GROUP BY ALL
+        f""", own AS (SELECT run_id, sensor, list(v ORDER BY v) FILTER (WHERE v IS NOT NULL) AS x, (count(v) - 1) * CAST(0.01 AS DOUBLE) AS p1, (count(v) - 1) * CAST(0.99 AS DOUBLE) AS p99 FROM grid GROUP BY ALL
+        ), edges AS (SELECT run_id, sensor, {PLACED.format(p='p1')} AS lo, {PLACED.format(p='p99')} AS hi FROM own
         ), binned AS (
           SELECT run_id, sensor, CASE WHEN v < lo THEN 0 WHEN v > hi THEN 19 WHEN hi <= lo THEN 9 ELSE least(18, 1 + CAST(floor((v - lo) / (hi - lo) * 18) AS INTEGER)) END AS bin
           FROM grid JOIN edges USING (run_id, sensor) WHERE v IS NOT NULL
