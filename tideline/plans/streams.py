@@ -43,7 +43,7 @@ def stream_sliding(spark, d):
     "distance",
 )
 def stream_sliding_distance(spark, d):
-    """Windows of an hour, a quarter apart, against the first week, stored as sketches."""
+    """Windows of an hour, a quarter apart, against the first week, whose quantiles are stored."""
     path = shared_path(spark, "reference")
     first = table(spark, d, "events").where("ts < TIMESTAMP'2024-01-08' AND value IS NOT NULL AND NOT isnan(value)")
     live.value_sketches(first).write.parquet(path)
