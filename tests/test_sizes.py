@@ -1,12 +1,13 @@
 """Rules and costs that show on larger tables only."""
 
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import kernels
+from tideline.operators import corpus, kernels
 from tideline.plans import files, privacy
 from tideline.plans import kernels as plans
 from tideline.streaming import live
@@ -47,5 +48,17 @@ def test_edges_of_histograms_are_the_same_number_in_sql(spark):
     frame = spark.createDataFrame([(k, v) for k, x in held.items() for v in x], "k int, v double")
     ours = {r.k: (r.lo, r.hi) for r in frame.groupBy("k").agg(F.expr("percentile(v, 0.01)").alias("lo"), F.expr("percentile(v, 0.99)").alias("hi")).collect()}
     for k, x in held.items():
-        p1, p99 = (duckdb.sql(f"SELECT {plans.PLACED.format(p='p')} FROM (SELECT {sorted(x)}::DOUBLE[] AS x, {len(x) - 1} * CAST({p} AS DOUBLE) AS p)").fetchone()[0] for p in (0.01, 0.99))
+        p1, p99 = (duckdb.sql(f"SELECT {plans.PLACED.format(p='p')} FROM (SELECT {sorted(x)}::DOUBLE[] AS x, {len(x) - 1} * CAST({p} AS DOUBLE) AS p)").fetchall()[0][0] for p in (0.01, 0.99))
         assert (p1, p99) == ours[k]
+
+
+def test_trigrams_counted_at_once_equal_the_plain_form():
+    texts = ["Pump pressure pump", None, "", "a", "\U0001f600 Å中 straße", "x" * 300]
+    want = np.zeros((len(texts), corpus.DIMENSIONS))
+    for i, x in enumerate(texts):
+        padded = f" {(x or '').lower()} "
+        for gram, n in Counter(padded[k : k + 3] for k in range(len(padded) - 2)).items():
+            h = corpus.fnv(gram.encode())
+            want[i, h % corpus.DIMENSIONS] += np.log1p(n) * (1 if h >> 31 else -1)
+        want[i] /= np.linalg.norm(want[i]) or 1
+    assert np.allclose(corpus.embedded(texts, {}), want, atol=1e-6) and corpus.embedded([], {}).shape == (0, corpus.DIMENSIONS)

@@ -194,37 +194,46 @@ def chunks(segments: DataFrame, most: int) -> DataFrame:
 
 
 DIMENSIONS = 1024
+#: Texts that are counted at once.
+EMBED_ROWS = 64
+
+
+def fnv(data: bytes) -> int:
+    # The offset and the prime of 32-bit FNV-1a.
+    h = 0x811C9DC5
+    for b in data:
+        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+    return h
+
+
+def embedded(texts: list[str | None], known: dict[int, int]) -> np.ndarray:
+    """One row for each text. All trigrams of the texts are numbers of three code points, counted by text in one sort; ``known`` keeps the hash of each."""
+    padded = [f" {(x or '').lower()} " for x in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(padded)), [len(x) for x in padded])
+    inside = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
+    # a code point has 21 bits
+    grams, which = np.unique((points[inside] << 42) | (points[inside + 1] << 21) | points[inside + 2], return_inverse=True)
+    for g in grams.tolist():
+        if g not in known:
+            known[g] = fnv("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode("utf-8", "surrogatepass"))
+    hashes = np.array([known[g] for g in grams.tolist()], np.int64)
+    pairs, counts = np.unique(owner[inside] * max(1, len(grams)) + which, return_counts=True)
+    row, h = pairs // max(1, len(grams)), hashes[pairs % max(1, len(grams))]
+    weights = np.log1p(counts) * np.where(h >> 31, 1.0, -1.0)
+    out = np.bincount(row * DIMENSIONS + h % DIMENSIONS, weights, len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
 def hash_embedding(docs: DataFrame, text: str = "text") -> DataFrame:
     """Signed hashed character trigrams with logarithmic weights, of unit length, in Arrow batches."""
     ship(docs.sparkSession)
 
-    def fnv(data: bytes) -> int:
-        # The offset and the prime of 32-bit FNV-1a.
-        h = 0x811C9DC5
-        for b in data:
-            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-        return h
-
     def embed(texts: pa.Array) -> pa.Array:
-        known: dict[str, int] = {}
-        rows = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for i, x in enumerate(texts.to_pylist()):
-            padded = f" {(x or '').lower()} "
-            counts: dict[str, int] = {}
-            for k in range(len(padded) - 2):
-                gram = padded[k : k + 3]
-                counts[gram] = counts.get(gram, 0) + 1
-            for gram, n in counts.items():
-                h = known.get(gram)
-                if h is None:
-                    h = known[gram] = fnv(gram.encode("utf-8", "surrogatepass"))
-                rows[i, h % DIMENSIONS] += np.log1p(n) * (1 if h >> 31 else -1)
-            norm = np.linalg.norm(rows[i])
-            if norm:
-                rows[i] /= norm
-        return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
+        known: dict[int, int] = {}
+        parts = [embedded(texts[at : at + EMBED_ROWS].to_pylist(), known) for at in range(0, max(1, len(texts)), EMBED_ROWS)]
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parts).ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
 
     return docs.withColumn("embedding", F.arrow_udf(embed, "array<float>")(F.col(text)))
 
