@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tideline import session
 from tideline.operators import corpus, kernels
 from tideline.plans import files, privacy
 from tideline.plans import kernels as plans
@@ -62,3 +63,16 @@ def test_trigrams_counted_at_once_equal_the_plain_form():
             want[i, h % corpus.DIMENSIONS] += np.log1p(n) * (1 if h >> 31 else -1)
         want[i] /= np.linalg.norm(want[i]) or 1
     assert np.allclose(corpus.embedded(texts, {}), want, atol=1e-6) and corpus.embedded([], {}).shape == (0, corpus.DIMENSIONS)
+
+
+def test_batches_of_texts_stay_small(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for held, want in (("10000", str(session.TEXT_ROWS)), ("0", str(session.TEXT_ROWS)), ("7", "7")):
+            spark.conf.set(key, held)
+            pairs = spark.createDataFrame([("a b c", "a b d"), (None, "x")], "quote string, body string")
+            assert [r.method for r in corpus.quotes_fuzzy(pairs).collect()].count("none") == 2
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.cleaning import normalize
-from tideline.session import durable, ship
+from tideline.session import durable, ship, text_batches
 
 
 def sessions(messages: DataFrame, channel: str, gap_seconds: int) -> DataFrame:
@@ -228,7 +228,7 @@ def embedded(texts: list[str | None], known: dict[int, int]) -> np.ndarray:
 
 def hash_embedding(docs: DataFrame, text: str = "text") -> DataFrame:
     """Signed hashed character trigrams with logarithmic weights, of unit length, in Arrow batches."""
-    ship(docs.sparkSession)
+    text_batches(docs.sparkSession)
 
     def embed(texts: pa.Array) -> pa.Array:
         known: dict[int, int] = {}
@@ -390,7 +390,7 @@ def quotes_exact(quotes: DataFrame, docs: DataFrame, words_in: int = 8) -> DataF
     its key. Keys of texts meet keys of quotes, then the whole quote is looked up in the few texts of each. A quote of one or two words has
     no word inside: it is looked up in every text, in blocks of such quotes.
     """
-    ship(docs.sparkSession)
+    text_batches(docs.sparkSession)
     asked = quotes.select("item_id", normalize(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
     asked = durable(asked.withColumn("size", F.least(F.size("w") - 2, F.lit(words_in))).select("item_id", "quote", "size", F.when(F.col("size") > 0, F.xxhash64(F.slice("w", 2, F.greatest("size", F.lit(1))))).alias("key")))
     bodies = docs.select("doc_id", normalize(F.col("text")).alias("body"))
@@ -519,7 +519,7 @@ def best_dice(quote: str, body: str) -> float:
 
 def quotes_fuzzy(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     """``quote, body`` of each claim: exact after normalisation, else the most similar window of words. Only pairs that aren't exact reach Python."""
-    ship(pairs.sparkSession)
+    text_batches(pairs.sparkSession)
 
     @F.pandas_udf("double")
     def dice(quote: pd.Series, body: pd.Series) -> pd.Series:

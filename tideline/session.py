@@ -49,3 +49,15 @@ def durable(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows of one Arrow batch of whole texts.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Before Python tasks over whole texts: sends the package, and keeps their Arrow batches small for the sake of workers' memory; smaller batches of the session stay."""
+    ship(spark)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if rows <= 0 or rows > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
