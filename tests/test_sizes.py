@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tideline import session
-from tideline.operators import corpus, kernels
+from tideline.operators import corpus, kernels, reports
 from tideline.plans import files, privacy
 from tideline.plans import kernels as plans
 from tideline.streaming import live
@@ -76,3 +76,11 @@ def test_batches_of_texts_stay_small(spark):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_ancestors_of_a_chain_are_made_once(spark):
+    links = spark.createDataFrame([(k, k - 1 if k else None) for k in range(1500)] + [(5000, 5001), (5001, 5002), (5002, 5000), (5003, 5000)], "id long, supersedes long")
+    began = time.perf_counter()
+    got = reports.ancestors(links).agg(F.count("*"), F.sum(F.when(F.col("id") < 5000, F.col("id") - F.col("ancestor") - F.col("depth")).otherwise(0)), F.sum(F.when(F.col("id") >= 5000, F.col("depth")))).first()
+    assert tuple(got) == (1500 * 1499 // 2 + 9, 0, 3 * (1 + 2) + 1 + 2 + 3)
+    assert time.perf_counter() - began < 60

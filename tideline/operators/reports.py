@@ -177,13 +177,12 @@ def ranking(decided: DataFrame) -> DataFrame:
 def ancestors(links: DataFrame) -> DataFrame:
     """``id, supersedes`` to ``id, ancestor, depth``: all that an id supersedes, directly or not, with the fewest steps; an id on a cycle is no ancestor of itself.
 
-    Each round joins paths with paths, so rounds grow with the logarithm of the longest chain, and end when nothing is new.
+    Each round joins the longest paths so far, of ``step`` steps each, with all of them: a path with fewest steps is such a one and a shorter one, so each is made once
+    on a chain. Rounds grow with the logarithm of the longest chain, and end when no path has twice the steps.
     """
-    paths = durable(links.where("supersedes is not null and supersedes <> id").select("id", F.col("supersedes").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct())
-    while True:
+    paths, step = durable(links.where("supersedes is not null and supersedes <> id").select("id", F.col("supersedes").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct()), 1
+    while paths.where(F.col("depth") == step).limit(1).count():
         further = paths.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = paths.join(further, "ancestor").where("next <> id").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = durable(paths.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
-        if after.count() == paths.count():
-            return after
-        paths = after
+        longer = paths.where(F.col("depth") == step).join(further, "ancestor").where("next <> id").select("id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        paths, step = durable(paths.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))), 2 * step
+    return paths
