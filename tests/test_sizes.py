@@ -1,5 +1,6 @@
 """Rules and costs that show on larger tables only."""
 
+import random
 import time
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline import session
 from tideline.operators import corpus, kernels, reports
-from tideline.plans import files, privacy
+from tideline.plans import files, privacy, threads
 from tideline.plans import kernels as plans
 from tideline.streaming import live
 
@@ -84,3 +85,53 @@ def test_ancestors_of_a_chain_are_made_once(spark):
     got = reports.ancestors(links).agg(F.count("*"), F.sum(F.when(F.col("id") < 5000, F.col("id") - F.col("ancestor") - F.col("depth")).otherwise(0)), F.sum(F.when(F.col("id") >= 5000, F.col("depth")))).first()
     assert tuple(got) == (1500 * 1499 // 2 + 9, 0, 3 * (1 + 2) + 1 + 2 + 3)
     assert time.perf_counter() - began < 60
+
+
+def plain_turns(words, gap, most):
+    out, since, latest, cut = [], 0, 0, False
+    for w in words:
+        fresh = not out or w["speaker"] != out[-1][0] or w["start_ms"] - latest > gap
+        if fresh or cut:
+            _, island, part = out[-1][:3] if out else (None, 0, 0)
+            out.append([w["speaker"], island + fresh, 0 if fresh else part + 1, w["start_ms"], w["end_ms"], 0, []])
+            since = 0
+        turn = out[-1]
+        turn[3], turn[4], turn[5] = min(turn[3], w["start_ms"]), max(turn[4], w["end_ms"]), turn[5] + 1
+        turn[6].append(w["word"])
+        since += len(w["word"]) + 1
+        cut = since > most and w["word"][-1:] in (".", "!", "?")
+        latest = max(latest, w["end_ms"])
+    return [(*turn[:6], " ".join(turn[6])) for turn in out]
+
+
+def test_turns_of_stretches_equal_the_plain_form(spark):
+    draw, rows, want = random.Random(3), [], {}
+    for source in range(12):
+        words, at, speaker = [], 0, 0
+        for _ in range(draw.choice([1, 5, 300])):
+            # some words begin before the one before has ended, or last until after later ones
+            at = max(0, at + draw.choice([-300, 50, 100, 100, 900, 1001, 1200]))
+            speaker = speaker if draw.random() < 0.93 else draw.choice([0, 1, None])
+            words.append({"speaker": speaker, "word": draw.choice(["so", "pump.", "Why?", "", "pressure", "\U0001f600", "end.\u2028"]), "start_ms": at, "end_ms": at + draw.choice([100, 300, 300, 2500])})
+            at += 100
+        want[source] = plain_turns(words, 1000, 30)
+        k = 0
+        while k < len(words):
+            size = draw.choice([1, 1, 4, 60])
+            rows.append((source, k, words[k : k + size]))
+            k += size
+        rows.append((source, k, []))
+    draw.shuffle(rows)
+    stretches = spark.createDataFrame(rows, "source_id long, pos long, words array<struct<speaker: int, word: string, start_ms: long, end_ms: long>>").repartition(5)
+    got = {}
+    for r in corpus.word_turns(stretches, 1000, 30).orderBy("source_id", "island", "part").collect():
+        got.setdefault(r.source_id, []).append((r.speaker, r.island, r.part, r.start_ms, r.end_ms, r.n_words, r.text))
+    assert got == want and any(r[2] > 1 for turns in want.values() for r in turns)
+
+
+def test_words_of_turns_are_shuffled_once_and_as_texts(spark, tmp_path):
+    written(spark, tmp_path, "documents", [(k, "\n".join(f"line {j} of a text." for j in range(50))) for k in range(20)], "doc_id long, text string")
+    got = threads.word_turns(spark, str(tmp_path))
+    assert got.count() == 20 * 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "posexplode(words" not in plan

@@ -484,23 +484,47 @@ def thread_chunks(segments: DataFrame) -> DataFrame:
     return said.join(parent, "source_id").select("source_id", "seq", text.alias("text")).withColumn("tokens", tokens_of(F.col("text")))
 
 
-def word_turns(words: DataFrame, gap_ms: int = 2000, most_chars: int = 1200) -> DataFrame:
-    """``source_id, pos, speaker, word, start_ms, end_ms``: turns end where the speaker changes, after a pause, and at the first
-    sentence end beyond a number of characters. Pauses and speakers are windows; the last rule is a fold over the sentence ends of one turn.
+def word_turns(stretches: DataFrame, gap_ms: int = 2000, most_chars: int = 1200) -> DataFrame:
+    """``source_id, pos, words``: stretches of one or more consecutive words, in the order of ``pos``, each word with ``speaker, word, start_ms, end_ms``.
+
+    Turns end where the speaker changes, after a pause, and at the first sentence end beyond a number of characters. Inside its row a stretch is
+    parted where a turn may end: after a sentence end, at another speaker, and at a pause after the word before. Only these pieces are shuffled, once,
+    by source; pauses after all that was said before and speakers are windows over them, and the last rule is a fold over the pieces of one island.
     """
-    source = Window.partitionBy("source_id").orderBy("pos")
-    quiet = F.col("start_ms") - F.max("end_ms").over(source.rowsBetween(Window.unboundedPreceding, -1)) > gap_ms
+    ended = lambda w: F.coalesce(F.right(w["word"], F.lit(1)).isin(".", "!", "?"), F.lit(False))
+    parted = lambda w, v: v.isNull() | ended(v) | ~w["speaker"].eqNullSafe(v["speaker"]) | F.coalesce(w["start_ms"] - v["end_ms"] > gap_ms, F.lit(False))
+    # the rows of an array between the given starts
+    between = lambda rows, starts: F.transform(starts, lambda s, j: F.slice(rows, s + 1, F.coalesce(F.get(starts, j + 1), F.size(rows)) - s))
+    # each element of the outer array is bound to a variable, so words and starts are made once
+    first = lambda words: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: parted(F.get(words, i), F.get(words, i - 1)))
+    pieces = F.flatten(F.transform(F.array("words"), lambda words: F.flatten(F.transform(F.array(first(words)), lambda starts: between(words, starts)))))
+    piece = stretches.select("source_id", "pos", F.posexplode(F.when(F.size("words") > 0, pieces)).alias("k", "w"))
+    field = lambda name: F.transform("w", lambda w: w[name])
+    chars = F.aggregate("w", F.lit(0).cast("long"), lambda s, w: s + F.coalesce(F.length(w["word"]) + 1, F.lit(0)))
+    said = piece.select(
+        "source_id", "pos", "k", F.get("w", F.lit(0))["speaker"].alias("speaker"), F.get("w", F.lit(0))["start_ms"].alias("first_ms"), F.array_min(field("start_ms")).alias("start_ms"), F.array_max(field("end_ms")).alias("end_ms"),
+        F.size("w").alias("n"), chars.alias("chars"), ended(F.element_at("w", -1)).alias("ended"), F.when(chars > 0, F.array_join(field("word"), " ")).alias("text"),
+    )
+    source = Window.partitionBy("source_id").orderBy("pos", "k")
+    quiet = F.coalesce(F.col("first_ms") - F.max("end_ms").over(source.rowsBetween(Window.unboundedPreceding, -1)) > gap_ms, F.lit(False))
     change = F.when(F.lag("pos").over(source).isNull() | quiet | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(source)), 1).otherwise(0)
-    island = words.withColumn("change", change).withColumn("island", F.sum("change").over(source))
-    run = Window.partitionBy("source_id", "island")
-    counted = island.withColumn("chars", F.sum(F.length("word") + 1).over(run.orderBy("pos")))
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
-    step = lambda s, e: F.when(e - s["last"] > most_chars, F.struct(e.alias("last"), F.array_append(s["cuts"], e).alias("cuts"))).otherwise(s)
-    ends = F.sort_array(F.collect_list(F.when(F.col("word").rlike(r"[.!?]$"), F.col("chars"))))
-    cuts = counted.groupBy("source_id", "island").agg(ends.alias("ends")).select("source_id", "island", F.aggregate("ends", start, step, lambda s: s["cuts"]).alias("cuts"))
-    cut = counted.join(cuts, ["source_id", "island"]).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("chars"))))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
-    return cut.groupBy("source_id", "island", "part", "speaker").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), text.alias("text"))
+    island = said.withColumn("change", change).withColumn("island", F.sum("change").over(source))
+    # a source's islands stay where its pieces are
+    rows = F.sort_array(F.collect_list(F.struct("pos", "k", "start_ms", "end_ms", "n", "chars", "ended", "text")))
+    whole = island.groupBy("source_id", "island", "speaker").agg(rows.alias("rows"))
+    state = lambda i, since, cuts: F.struct(i.alias("i"), since.alias("since"), cuts.alias("cuts"))
+
+    def step(s, r):
+        since, i = s["since"] + r["chars"], s["i"] + 1
+        return F.when(r["ended"] & (since > most_chars), state(i, F.lit(0).cast("long"), F.array_append(s["cuts"], i))).otherwise(state(i, since, s["cuts"]))
+
+    cuts = F.aggregate("rows", state(F.lit(0), F.lit(0).cast("long"), F.array().cast("array<int>")), step, lambda s: s["cuts"])
+    starts = F.concat(F.array(F.lit(0)), F.filter(cuts, lambda c: c < F.size("rows")))
+    parts = F.flatten(F.transform(F.array(starts), lambda starts: between(F.col("rows"), starts)))
+    cut = whole.select("source_id", "island", "speaker", F.posexplode(parts).alias("part", "r"))
+    of = lambda name: F.transform("r", lambda r: r[name])
+    n_words = F.aggregate("r", F.lit(0).cast("long"), lambda s, r: s + r["n"])
+    return cut.select("source_id", "island", "part", "speaker", F.array_min(of("start_ms")).alias("start_ms"), F.array_max(of("end_ms")).alias("end_ms"), n_words.alias("n_words"), F.array_join(of("text"), " ").alias("text"))
 
 
 def best_dice(quote: str, body: str) -> float:

@@ -35,15 +35,18 @@ def chunk_thread_parent(spark, d):
     SELECT source_id, CAST(island AS BIGINT) AS island, CAST(part AS INTEGER) AS part, CAST(speaker AS INTEGER) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(word, ' ' ORDER BY pos) AS text FROM p GROUP BY ALL""",
 )
 def word_turns(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    # a line's first word follows all words of the lines before it
-    spoken = lines.select("doc_id", "n", F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
     from pyspark.sql import Window
 
-    before = F.sum(F.size("words")).over(Window.partitionBy("doc_id").orderBy("n")) - F.size("words")
-    words = spoken.withColumn("before", before).select(F.col("doc_id").alias("source_id"), (F.col("n") % 2).alias("speaker"), "before", F.posexplode("words").alias("k", "word")).withColumn("pos", F.col("before") + F.col("k"))
-    start = F.col("pos") * 400 + F.expr("pos div 300") * 3000
-    return c.word_turns(words.select("source_id", "pos", "speaker", "word", start.alias("start_ms"), (start + 300).alias("end_ms")))
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    spoken = lines.select("doc_id", "n", F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"))
+    # lines are shuffled as texts, which take less than arrays of words
+    sized = spoken.select("doc_id", "n", F.size("words").alias("size"), F.array_join("words", " ").alias("said"))
+    # a line's first word follows all words of the lines before it
+    before = F.sum("size").over(Window.partitionBy("doc_id").orderBy("n")) - F.col("size")
+    placed = sized.withColumn("before", before).where("size > 0")
+    start = lambda pos: pos * 400 + (pos - pos % 300) * 10
+    word = lambda w, k: F.struct((F.col("n") % 2).alias("speaker"), w.alias("word"), start(F.col("before") + k).alias("start_ms"), (start(F.col("before") + k) + 300).alias("end_ms"))
+    return c.word_turns(placed.select(F.col("doc_id").alias("source_id"), F.col("before").alias("pos"), F.transform(F.split("said", " "), word).alias("words")))
 
 
 #: The words three to ten of a message; every other quote has its fourth letter misspelt.
