@@ -135,3 +135,48 @@ def test_words_of_turns_are_shuffled_once_and_as_texts(spark, tmp_path):
     assert got.count() == 20 * 50
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "posexplode(words" not in plan
+
+
+def test_words_of_questions_are_found_in_one_read_of_the_texts(spark, monkeypatch):
+    rows = [(1, "The pump, the PUMP and a valve"), (2, "no such thing"), (3, ""), (4, None), (5, "Größe der pump_2"), (5, "valve valve"), (6, "valve")]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", read("text"))
+    questions = spark.createDataFrame([(1, "the pump?"), (2, "größe of a Valve"), (3, "")], "query_id long, text string")
+    found = lambda: sorted((r.query_id, r.place, r.doc_id, round(r.score, 9)) for r in corpus.lexical_top(docs, questions, 3).collect())
+    once = found()
+    assert reads.value == len(rows) and [x[:3] for x in once] == [(1, 1, 1), (2, 1, 5), (2, 2, 1), (2, 3, 6)]
+    # by hand: the six texts that aren't null have 7, 3, 0, 3, 2 and 1 words
+    idf, mean = lambda df: np.log(1 + (7 - df + 0.5) / (df + 0.5)), 16 / 6
+    part = lambda df, tf, size: idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
+    assert abs(once[0][3] - part(1, 2, 7) - part(1, 2, 7)) < 1e-6 and abs(once[3][3] - part(3, 1, 1)) < 1e-6
+    monkeypatch.setattr(corpus, "LITERALS", 2)
+    assert found() == once
+    assert corpus.lexical_top(docs, questions.where("query_id = 3"), 3).count() == 0
+
+
+def test_texts_become_vectors_where_they_are_compared(spark):
+    docs = spark.createDataFrame([(k, None if k == 3 else f"pump {k % 7} of line {k}") for k in range(40)], "vec_id long, text string")
+    asked = corpus.hash_embedding(spark.createDataFrame([(1, "pump 3"), (2, "line 39"), (3, None)], "query_id long, text string")).select("query_id", F.col("embedding").alias("query"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(corpus.nearest(docs, asked, 5)) == rows(corpus.nearest(corpus.hash_embedding(docs), asked, 5))
+
+
+def test_texts_are_not_shuffled_to_results(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        docs = spark.createDataFrame([(k, f"t{k}", f"Text {k} of a pump") for k in range(50)], "doc_id long, title string, text string")
+        questions = spark.createDataFrame([(1, "t7", None), (2, None, "TEXT 9"), (3, "t1", None)], "query_id long, title string, contains string")
+        top = spark.createDataFrame([(1, 8, 1), (1, 7, 2), (2, 9, 1), (3, 2, 1)], "query_id long, doc_id long, place int")
+        hits = corpus.golden_hits(top, questions, docs)
+        assert {r.query_id: r.place for r in hits.collect()} == {1: 2, 2: 1, 3: None}
+        assert "hashpartitioning(doc_id" not in hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)

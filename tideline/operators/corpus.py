@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,36 +207,60 @@ def fnv(data: bytes) -> int:
     return h
 
 
-def embedded(texts: list[str | None], known: dict[int, int]) -> np.ndarray:
-    """One row for each text. All trigrams of the texts are numbers of three code points, counted by text in one sort; ``known`` keeps the hash of each."""
+def fnv_of_characters(grams: list[np.ndarray], spelt: list[bytes]) -> np.ndarray:
+    """``fnv`` of the UTF-8 bytes of each row of ``grams``, whose columns number the characters in ``spelt``."""
+    longest = max(map(len, spelt), default=0)
+    octets = np.frombuffer(b"".join(x.ljust(longest, b"\0") for x in spelt), np.uint8).reshape(len(spelt), longest).astype(np.uint32)
+    lengths = np.array([len(x) for x in spelt])
+    h = np.full(len(grams[0]), 0x811C9DC5, np.uint32)
+    for column in grams:
+        for k in range(longest):
+            told = (h ^ octets[column, k]) * np.uint32(0x01000193)
+            h = told if k == 0 else np.where(lengths[column] > k, told, h)
+    return h
+
+
+def embedded(texts: list[str | None], known: dict[int, bytes]) -> np.ndarray:
+    """One row for each text. A trigram is a number of three characters, each numbered among those of the texts, and its text stands before it: one sort counts
+    them all. ``known`` keeps the UTF-8 bytes of each character.
+    """
     padded = [f" {(x or '').lower()} " for x in texts]
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(points.max(initial=0)) + 1, np.int64)
+    seen[points] = 1
+    letters = np.flatnonzero(seen)
+    size = len(letters)
+    if len(texts) > 1 and len(texts) * size**3 >= 1 << 63:
+        return np.concatenate([embedded([x], known) for x in texts])
+    for c in letters.tolist():
+        if c not in known:
+            known[c] = chr(c).encode("utf-8", "surrogatepass")
+    seen[letters] = np.arange(size)
+    at = seen[points]
     owner = np.repeat(np.arange(len(padded)), [len(x) for x in padded])
-    inside = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
-    # a code point has 21 bits
-    grams, which = np.unique((points[inside] << 42) | (points[inside + 1] << 21) | points[inside + 2], return_inverse=True)
-    for g in grams.tolist():
-        if g not in known:
-            known[g] = fnv("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode("utf-8", "surrogatepass"))
-    hashes = np.array([known[g] for g in grams.tolist()], np.int64)
-    pairs, counts = np.unique(owner[inside] * max(1, len(grams)) + which, return_counts=True)
-    row, h = pairs // max(1, len(grams)), hashes[pairs % max(1, len(grams))]
+    inside = owner[2:] == owner[:-2]
+    keys = np.sort((((owner[2:] * size + at[:-2]) * size + at[1:-1]) * size + at[2:])[inside])
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    pairs, counts = keys[first], np.diff(first, append=len(keys))
+    last, middle, left = pairs % max(1, size), pairs // max(1, size) % max(1, size), pairs // max(1, size**2)
+    row, start = left // max(1, size), left % max(1, size)
+    h = fnv_of_characters([start, middle, last], [known[c] for c in letters.tolist()])
     weights = np.log1p(counts) * np.where(h >> 31, 1.0, -1.0)
     out = np.bincount(row * DIMENSIONS + h % DIMENSIONS, weights, len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
+def vectors_of(texts: pa.Array) -> pa.Array:
+    known: dict[int, bytes] = {}
+    parts = [embedded(texts[at : at + EMBED_ROWS].to_pylist(), known) for at in range(0, max(1, len(texts)), EMBED_ROWS)]
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parts).ravel()), DIMENSIONS)
+
+
 def hash_embedding(docs: DataFrame, text: str = "text") -> DataFrame:
     """Signed hashed character trigrams with logarithmic weights, of unit length, in Arrow batches."""
     text_batches(docs.sparkSession)
-
-    def embed(texts: pa.Array) -> pa.Array:
-        known: dict[int, int] = {}
-        parts = [embedded(texts[at : at + EMBED_ROWS].to_pylist(), known) for at in range(0, max(1, len(texts)), EMBED_ROWS)]
-        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parts).ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
-
-    return docs.withColumn("embedding", F.arrow_udf(embed, "array<float>")(F.col(text)))
+    return docs.withColumn("embedding", F.arrow_udf(lambda texts: vectors_of(texts).cast(pa.list_(pa.float32())), "array<float>")(F.col(text)))
 
 
 def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -259,6 +284,14 @@ def bm25(docs: DataFrame, terms: list[str], most: int, k1: float = 1.2, b: float
 QUERY_BLOCK = 4096
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, in double precision."""
+    sizes = pc.min_max(pc.list_value_length(vectors)).as_py()
+    if vectors.null_count or sizes["min"] != sizes["max"]:
+        return np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
 def keep_nearest(batches, ids: np.ndarray, queries: np.ndarray, most: int):
     """Of the vectors in ``batches`` the ``most`` nearest of each query by distance to 9 digits, then id; ties at the border are settled by id.
 
@@ -270,7 +303,8 @@ def keep_nearest(batches, ids: np.ndarray, queries: np.ndarray, most: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        own, names = np.array(batch["embedding"].to_pylist(), float).reshape(batch.num_rows, -1), batch["vec_id"].to_numpy()
+        vectors = batch["embedding"] if "embedding" in batch.schema.names else vectors_of(batch["text"])
+        own, names = matrix(vectors), batch["vec_id"].to_numpy()
         sizes = (own**2).sum(1)
         margin = 4e-9 * (1 + sizes.max())
         for at in range(0, len(ids), 256):
@@ -295,16 +329,20 @@ def keep_nearest(batches, ids: np.ndarray, queries: np.ndarray, most: int):
 def nearest(vectors: DataFrame, wanted: DataFrame, most: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, query`` to ``query_id, vec_id, distance, place``: the nearest vectors of each query by Euclidean distance, ties to the smaller id.
 
+    ``vectors`` has ``vec_id, embedding``, or ``vec_id, text``: then a text becomes its vector of hashed trigrams in the task that compares it.
+
     Queries are taken in blocks of about ``block``; a block goes to every task, whose vectors meet it as matrix products, and only the best of each task are
     shuffled. The hits of each block are written before the next one is sent, so tasks hold one block at a time.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    texts = "embedding" not in vectors.columns
+    (text_batches if texts else ship)(spark)
+    given = vectors.select("vec_id", "text" if texts else "embedding")
     blocks, parts = max(1, -(-wanted.count() // block)), []
     for k in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "query").toArrow()  # ``block`` rows, about
         held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["query"].to_pylist(), float).reshape(rows.num_rows, -1 if rows.num_rows else 0)))
-        found = vectors.select("vec_id", "embedding").mapInArrow(lambda batches, held=held: keep_nearest(batches, *held.value, most), "query_id long, vec_id long, distance double")
+        found = given.mapInArrow(lambda batches, held=held: keep_nearest(batches, *held.value, most), "query_id long, vec_id long, distance double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
         found = found.withColumn("place", place).where(F.col("place") <= most)
         if blocks > 1:
@@ -317,9 +355,8 @@ def nearest(vectors: DataFrame, wanted: DataFrame, most: int, block: int = QUERY
 def hybrid(docs: DataFrame, questions: DataFrame, most: int, deep: int = 50) -> DataFrame:
     """``query_id, text`` to the best texts of each question by both lists, BM25 and hashed trigrams, fused: ``query_id, doc_id, score, place``."""
     lexical = lexical_top(docs, questions, deep).select("query_id", "doc_id", F.col("place").alias("rank_a"))
-    vectors = hash_embedding(docs.select(F.col("doc_id").alias("vec_id"), "text")).select("vec_id", "embedding")
     asked = hash_embedding(questions.select("query_id", "text")).select("query_id", F.col("embedding").alias("query"))
-    near = nearest(vectors, asked, deep).select("query_id", F.col("vec_id").alias("doc_id"), F.col("place").alias("rank_b"))
+    near = nearest(docs.select(F.col("doc_id").alias("vec_id"), "text"), asked, deep).select("query_id", F.col("vec_id").alias("doc_id"), F.col("place").alias("rank_b"))
     met = fuse(lexical, near, ["query_id", "doc_id"])
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return met.withColumn("place", place).where(F.col("place") <= most).select("query_id", "doc_id", "score", "place")
@@ -331,7 +368,8 @@ def golden_hits(top: DataFrame, questions: DataFrame, docs: DataFrame, most: int
     ``questions`` has ``query_id, title, contains``, one of which may be null; ``docs`` has ``doc_id, title, text``. The excerpt is where the text was found, else its start.
     """
     asked = questions.select("query_id", F.col("title").alias("want_title"), F.lower("contains").alias("want"))
-    read = top.join(asked, "query_id").join(docs.select("doc_id", "title", F.lower("text").alias("body")), "doc_id")
+    # texts are read past the few results, not shuffled to them
+    read = docs.select("doc_id", "title", "text").join(small(durable(top.join(asked, "query_id"))), "doc_id").withColumn("body", F.lower("text"))
     excerpt = F.substring("body", F.greatest(F.instr(F.col("body"), F.col("want")) - 30, F.lit(1)), F.lit(most))
     hit = (F.col("title") == F.col("want_title")) | F.contains(excerpt, F.col("want"))
     found = read.groupBy("query_id").agg(F.min(F.when(hit, F.col("place"))).alias("place"))
@@ -441,14 +479,22 @@ def link_scores(said: DataFrame, columns: DataFrame) -> DataFrame:
 def lexical_top(docs: DataFrame, questions: DataFrame, most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, text`` to the best texts of each question by BM25 over its distinct words: ``query_id, doc_id, score, place``.
 
-    Only postings of the questions' words leave a text's row.
+    Texts are read once for up to ``LITERALS`` words, else twice. Only postings of the questions' words leave a text's row, and one row more, of the term "", for its size.
     """
-    words = lambda text: F.filter(F.split(F.lower(text), EDGE + "+"), lambda w: w != "")
+    words = lambda text: F.array_remove(F.split(F.lower(text), EDGE + "+"), "")
     asked = durable(questions.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
     sized = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
-    post = sized.select("doc_id", "size", F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
-    post = durable(post)
+    terms = asked.select("term").distinct()
+    few = [r["term"] for r in terms.limit(LITERALS + 1).collect()]
+    if len(few) <= LITERALS:
+        found = F.coalesce(F.filter("w", lambda w: w.isin(few)), F.array().cast("array<string>"))
+        rows = sized.select("doc_id", "size", F.explode(F.concat(F.array(F.lit("")), found)).alias("term"))
+    else:
+        met = sized.select("doc_id", "size", F.explode("w").alias("term")).join(small(terms), "term", "left_semi")
+        rows = met.select("doc_id", "size", "term").unionByName(sized.select("doc_id", "size", F.lit("").alias("term")))
+    post = durable(rows.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf")))
+    mean = F.sum(F.col("size") * F.col("tf")) / F.sum(F.when(F.col("size").isNotNull(), F.col("tf")))  # texts that are null have no size
+    stats = post.where("term = ''").agg(F.sum("tf").alias("n"), mean.alias("mean"))  # one row
     frequency = post.groupBy("term").agg(F.count("*").alias("df"))
     met = post.join(small(asked.join(frequency, "term")), "term").join(F.broadcast(stats), F.lit(True))
     score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
