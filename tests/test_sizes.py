@@ -1,8 +1,9 @@
 """Rules and costs that show on larger tables only."""
 
+import datetime as dt
 import random
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tideline import session
 from tideline.operators import corpus, kernels, reports
-from tideline.plans import files, privacy, threads
+from tideline.operators import privacy as guards
+from tideline.plans import files, fixtures, privacy, threads
 from tideline.plans import kernels as plans
 from tideline.streaming import live
 
@@ -35,6 +37,32 @@ def test_halves_of_three_digits_go_up_in_sql_too(spark):
     assert [r.r for r in ours] == [r[0] for r in theirs] and ours[8].r == 1710.0
 
 
+def test_leak_index_rounds_parts_of_a_number_like_its_sql(spark):
+    values = [0.07125, 0.04325, 0.0372, 25.45, 25.25, 1.005, 1.015, 9.995, 99.95, 0.1, 0.001, 1e-6, 36_949.99, 38_250.0, -0.07125, 0.0]
+    ours = spark.createDataFrame([(v,) for v in values], "v double").select(guards.three_digits(F.col("v")).alias("r")).collect()
+    theirs = duckdb.sql(f"SELECT {privacy.THREE.format(x='v')} FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()
+    assert [r.r for r in ours] == [r[0] for r in theirs] and ours[0].r == 0.0712
+    odd = spark.createDataFrame([(float("inf"),), (None,), (1e-310,)], "v double").select(guards.three_digits(F.col("v")).alias("r")).collect()
+    assert [r.r for r in odd] == [float("inf"), None, 1e-310]
+    # what was sent rounded is found again: raw values at a half too
+    raw = spark.createDataFrame([("x", "s", t, v) for t, v in enumerate((0.04325, 0.07125, 1.005))], "run_id string, sensor string, t long, v double")
+    sent = raw.groupBy().agg(guards.round_values(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"])).cast("string").alias("text"))
+    assert [r.hits for r in guards.leak_scan(sent.select(F.lit(1).alias("payload_id"), "text"), guards.leak_index(raw)).collect()] == [1]
+
+
+def test_leak_index_holds_the_triples_of_every_sensor(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(dt.date(1994, 1, 3) + dt.timedelta(days=7 * week + rng.randrange(5)), rng.choice("ANR"), rng.randrange(1, 51) * 1.0, rng.randrange(90_000, 9_000_000) / 100, rng.randrange(11) / 100, rng.randrange(9) / 100) for week in range(60) for _ in range(rng.randrange(12, 30))]
+    written(spark, tmp_path, "lineitem", rows, "l_shipdate date, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    series = defaultdict(list)
+    for r in fixtures.grid(spark, str(tmp_path)).where("v is not null").withColumn("r", guards.three_digits(F.col("v"))).orderBy("sensor", "t").collect():
+        if series[r.sensor][-1:] != [r.r]:
+            series[r.sensor].append(r.r)
+    own = {k: set(zip(x, x[1:], x[2:], strict=False)) for k, x in series.items()}
+    got = [tuple(r) for r in privacy.leak_index(spark, str(tmp_path)).collect()]
+    assert len(own) == 20 and all(own.values()) and set(got) == set().union(*own.values()) and len(set(got)) == len(got)
+
+
 def test_quantiles_of_a_large_reference_are_exact(spark):
     rng = np.random.default_rng(3)
     held = {"a": rng.gamma(2.0, 12.0, 30_000), "b": rng.integers(0, 9, 5000).astype(float), "c": np.array([1.5, 2.5, 7.0])}

@@ -10,10 +10,22 @@ from tideline.operators.kernels import KEYS, round_sig
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 
+def three_digits(value: Column) -> Column:
+    """A number rounded to three digits, halves away from zero, as a double scaled by a power of ten; what isn't finite, or is below 1e-300, stays.
+
+    What is indexed, scanned and sent is rounded by the same arithmetic, else a raw value at a half would be missed.
+    """
+    size = F.abs(value.cast("double"))
+    digits = 2 - F.floor(F.log10(size))
+    scale = F.pow(F.lit(10.0), F.abs(digits))
+    rounded = F.when(digits < 0, F.round(size / scale) * scale).otherwise(F.round(size * scale) / scale)
+    return F.when((size >= 1e-300) & (size < float("inf")), F.signum(value) * rounded).otherwise(value.cast("double"))
+
+
 def leak_index(g: DataFrame) -> DataFrame:
     """All triples of successive different values of each sensor, rounded to three digits."""
     w = Window.partitionBy(*KEYS).orderBy("t")
-    values = g.where("v is not null").select(*KEYS, "t", round_sig(F.col("v")).alias("r"))
+    values = g.where("v is not null").select(*KEYS, "t", three_digits(F.col("v")).alias("r"))
     changed = values.withColumn("before", F.lag("r").over(w)).where("before is null or before <> r")
     triples = changed.select(F.col("r").alias("a"), F.lead("r", 1).over(w).alias("b"), F.lead("r", 2).over(w).alias("c"))
     return triples.where("c is not null").distinct()
@@ -21,7 +33,7 @@ def leak_index(g: DataFrame) -> DataFrame:
 
 def leak_scan(payloads: DataFrame, index: DataFrame) -> DataFrame:
     """``payload_id, text``: how many triples of successive numbers of a payload are raw values."""
-    numbers = payloads.select("payload_id", F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)), lambda x: round_sig(x.cast("double")))).alias("pos", "r"))
+    numbers = payloads.select("payload_id", F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)), lambda x: three_digits(x.cast("double")))).alias("pos", "r"))
     w = Window.partitionBy("payload_id").orderBy("pos")
     changed = numbers.withColumn("before", F.lag("r").over(w)).where("before is null or before <> r")
     triples = changed.select("payload_id", F.col("r").alias("a"), F.lead("r", 1).over(w).alias("b"), F.lead("r", 2).over(w).alias("c")).where("c is not null")
@@ -60,7 +72,7 @@ def text_guard(text: Column, most_chars: int = 8000, most_numbers: float = 0.3)
 
 def round_values(values: Column) -> Column:
     """Numbers that aren't whole, to three digits."""
-    return F.transform(values, lambda x: F.when(x == F.floor(x), x.cast("double")).otherwise(round_sig(x)))
+    return F.transform(values, lambda x: F.when(x == F.floor(x), x.cast("double")).otherwise(three_digits(x)))
 
 
 def payload_guards(payloads: DataFrame, least_n: int = 100, most_bytes: int = 8192, most_numbers: int = 20) -> DataFrame:

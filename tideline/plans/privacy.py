@@ -8,26 +8,25 @@ from tideline.operators import privacy as p
 from tideline.plans.fixtures import grid, table, with_grid
 from tideline.plans.registry import query
 
-#: Three significant digits of a whole number ``{x}``, halves away from zero; ``format`` would take a half to the even digit.
+#: Three significant digits of a number ``{x}``, as ``three_digits`` of the operators has them: halves away from zero; ``format`` would take a half to the even digit.
 THREE = "round({x}, 2 - CAST(split_part(format('{{:.17e}}', {x}), 'e', 2) AS INTEGER))"
-INDEX = f""", r AS (SELECT run_id, sensor, t, {THREE.format(x='v')} AS r FROM grid WHERE v IS NOT NULL AND sensor LIKE 'rows%'
+INDEX = f""", r AS (SELECT run_id, sensor, t, {THREE.format(x='v')} AS r FROM grid WHERE v IS NOT NULL
 ), c AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY run_id, sensor ORDER BY t) AS before FROM r) WHERE before IS NULL OR before <> r
 ), x AS (SELECT r AS a, lead(r, 1) OVER w AS b, lead(r, 2) OVER w AS c FROM c WINDOW w AS (PARTITION BY run_id, sensor ORDER BY t)), idx AS (SELECT DISTINCT a, b, c FROM x WHERE c IS NOT NULL)"""
-
-
-def index(spark, d):
-    return p.leak_index(grid(spark, d).where("sensor like 'rows%'"))
+#: The same of the counts of rows only, which the payloads of ``leak_scan`` are made of.
+COUNTS = INDEX.replace("v IS NOT NULL", "v IS NOT NULL AND sensor LIKE 'rows%'", 1)
 
 
 @query("leak_index", with_grid(INDEX + " SELECT * FROM idx"), "a b c")
 def leak_index(spark, d):
-    return index(spark, d)
+    """The triples of all sensors."""
+    return p.leak_index(grid(spark, d))
 
 
 @query(
     "leak_scan",
     with_grid(
-        INDEX
+        COUNTS
         + f""", seq AS (SELECT sensor, episode, t, v, t // 6 AS payload FROM grid WHERE sensor IN ('rows', 'rows[A]')
         ), n AS (SELECT sensor || ':' || payload AS payload_id, CASE WHEN payload % 2 = 0 THEN t ELSE -t END AS pos, {THREE.format(x='v')} AS r FROM seq
         ), c2 AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY payload_id ORDER BY pos) AS before FROM n) WHERE before IS NULL OR before <> r
@@ -40,7 +39,7 @@ def leak_scan(spark, d):
     pos = F.when(F.col("payload") % 2 == 0, F.col("t")).otherwise(-F.col("t"))
     ordered = seq.groupBy(F.concat_ws(":", "sensor", "payload").alias("payload_id")).agg(F.sort_array(F.collect_list(F.struct(pos.alias("pos"), "v"))).alias("x"))
     payloads = ordered.select("payload_id", F.concat(F.lit("the values were "), F.array_join(F.transform("x", lambda e: e["v"].cast("long").cast("string")), ", then ")).alias("text"))
-    return p.leak_scan(payloads, index(spark, d))
+    return p.leak_scan(payloads, p.leak_index(grid(spark, d).where("sensor like 'rows%'")))
 
 
 NAMES = ("license", "password", "token", "clown", "MIT License", "the Apache License")
